@@ -135,15 +135,10 @@ def from_tpch(spark: SparkSession, sf_dir: str) -> Model:
     from trestle.sources import tpch
 
     m = tpch.load_model(spark, sf_dir)
-    kpis = (
-        m.kpis.withColumnRenamed("projValueText", "ProjValue")
-        .withColumnRenamed("startText", "startDate")
-        .withColumnRenamed("endText", "endDate")
-    )
     return Model(
         scorecard=m.scorecard,
         processes=m.processes,
-        kpis=kpis,
+        kpis=m.kpis,
         action_items=m.action_items,
         order_cols=tpch.ROW_KEY,
         item_key="event_id",

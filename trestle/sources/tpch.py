@@ -151,9 +151,9 @@ def kpi_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         (unrealized * F.col("l_tax")).alias("process_level_unrealized_value"),
         (unrealized * F.col("l_tax") / 4).alias("phase_level_unrealized_value"),
         F.col("l_linenumber").alias("kpi_wt"),
-        "projValueText",
-        F.col("o_orderdate").cast("date").cast("string").alias("startText"),
-        F.col("l_shipdate").cast("date").cast("string").alias("endText"),
+        F.col("projValueText").alias("ProjValue"),
+        F.col("o_orderdate").cast("date").cast("string").alias("startDate"),
+        F.col("l_shipdate").cast("date").cast("string").alias("endDate"),
         "people",
         "name_flag",
         *ROW_KEY,

@@ -48,9 +48,9 @@ kpis AS (
          (100 - l.l_quantity * 2) * l.l_tax AS process_level_unrealized_value,
          (100 - l.l_quantity * 2) * l.l_tax / 4 AS phase_level_unrealized_value,
          l.l_linenumber AS kpi_wt,
-         x.projValueText,
-         CAST(CAST(o.o_orderdate AS date) AS varchar(10)) AS startText,
-         CAST(CAST(l.l_shipdate AS date) AS varchar(10)) AS endText,
+         x.projValueText AS ProjValue,
+         CAST(CAST(o.o_orderdate AS date) AS varchar(10)) AS startDate,
+         CAST(CAST(l.l_shipdate AS date) AS varchar(10)) AS endDate,
          x.people, x.name_flag,
          l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
