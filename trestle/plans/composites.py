@@ -231,7 +231,8 @@ def legacy_category_card(spark: SparkSession, model: Model, profile: Profile, se
     phase_kpis = FL.filter_category(FL.propagate_projects(model.kpis, summary), sel.category)
     gap_phase = R.top_gap(phase_kpis, "process_level_unrealized_value", ("phase",))
     return _union([
-        _card(cats, "category", "impact_category", "position", "category_score", F.col("category_impact").cast("string")),
+        _card(cats, "category", "impact_category", "position", "category_score"),
+        _card(cats, "category_impact", "impact_category", "position", "category_impact"),
         _card(ph_imp, "phase_impact", F.concat_ws("|", "phase", "impact_category"), "position", "phase_impact"),
         _card(gap_all, "gap_phase_level", "kpi_name", "rank", "gap"),
         _card(gap_phase, "gap_process_level", F.concat_ws("|", "phase", "kpi_name"), "rank", "gap"),
@@ -263,7 +264,8 @@ def cost_improvement_card(spark: SparkSession, model: Model, profile: Profile, s
         ).alias("x"),
     )
     return _union([
-        _card(rows, "phase", "x.p", "x.i", "x.v", F.col("x.s").cast("string")),
+        _card(rows, "phase_score", "x.p", "x.i", "x.s"),
+        _card(rows, "improvement", "x.p", "x.i", "x.v"),
         _card(wide, "total", F.lit("total"), F.lit(None), "total"),
     ])
 

@@ -473,7 +473,11 @@ def segment_to_meta(spark, d):
 
 
 def _rollup_sql(src: str, coverage: bool, scale: str = "1") -> str:
+    """A5 (+A6): averaged rows for groups with more than one project, the
+    rows themselves otherwise."""
     cov = ", count(actual_numeric) * 100.0 / max(n_projects) AS percent_of_projects" if coverage else ""
+    cov1 = (", count(actual_numeric) OVER (PARTITION BY phase, process_name, kpi_name) * 100.0 / n_projects "
+            "AS percent_of_projects") if coverage else ""
     return f"""
 src AS (SELECT *, {S.parse_value('actual')} AS actual_numeric FROM {src} WHERE process_name IS NOT NULL),
 np AS (SELECT phase, process_name, count(DISTINCT projectId) AS n_projects FROM src
@@ -484,8 +488,11 @@ rolled AS (
   SELECT phase, process_name, kpi_name, avg(actual_numeric) AS actual_numeric, avg(score) * {scale} AS score,
          avg(unrealized_value) AS unrealized_value,
          {S.first_by('bp_range_display', S.ROW_ORDER)} AS bp_range_display,
-         {S.first_by('unit', S.ROW_ORDER)} AS unit{cov}
-  FROM j WHERE n_projects > 1 GROUP BY phase, process_name, kpi_name)
+         {S.first_by('unit', S.ROW_ORDER)} AS unit{cov}, true AS is_averaged
+  FROM j WHERE n_projects > 1 GROUP BY phase, process_name, kpi_name
+  UNION ALL
+  SELECT phase, process_name, kpi_name, actual_numeric, score * {scale}, unrealized_value, bp_range_display,
+         unit{cov1}, false FROM j WHERE n_projects <= 1)
 """
 
 
@@ -1062,3 +1069,162 @@ def process_display_name(spark, d):
 def kpi_display_name(spark, d):
     k = raw_model(spark, d).kpis
     return k.select("kpi_name", display.kpi_display_name("kpi_name").alias("kpi_display")).distinct()
+
+
+# =============================================================================
+# Composite queries (Q1-Q8)
+# =============================================================================
+
+CARD_DBL, CARD_INTS = ("value",), ("rank",)
+
+
+def _strength_sql(src: str) -> str:
+    return (f"SELECT x.*, coalesce(t.strength, '{dims.DEFAULT_STRENGTH}') AS txt FROM ({src}) x "
+            f"LEFT JOIN kpi_text t ON t.kpi_key = {KEY}")
+
+
+def _guidance_sql(src: str) -> str:
+    return (f"SELECT x.*, coalesce(t.guidance, {_guidance_case(KEY)}) AS txt FROM ({src}) x "
+            f"LEFT JOIN kpi_text t ON t.kpi_key = {KEY}")
+
+
+def _impact_rows_sql(src: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT 'impact', '{k}', {i}, {v}, NULL FROM {src}"
+        for i, (k, v) in enumerate(S.impact_estimates("avg(score)").items(), start=1)
+    )
+
+
+@reg("executive_summary",
+     f"""SELECT 'overall' AS section, 'cr_score' AS name, CAST(NULL AS BIGINT) AS rank, avg(score) AS value,
+                CAST(NULL AS VARCHAR) AS detail FROM s
+         UNION ALL {_impact_rows_sql('s')}
+         UNION ALL SELECT 'phase', phase, position, phase_score, NULL FROM ({_phase_rows_sql('s')})
+         UNION ALL SELECT 'top_performing', kpi_name, rank, score_weighted, txt FROM ({_strength_sql(_topn('tp', 'score_weighted'))})
+         UNION ALL SELECT 'top_priority', kpi_name, rank, priority_metric, txt FROM ({_guidance_sql(_topn('tq', 'priority_metric'))})""",
+     ctes=ALL_KPIS_SQL, dbl=CARD_DBL, ints=CARD_INTS)
+def executive_summary(spark, d):
+    """Q1 executive summary card (main variant, category Schedule)."""
+    return Q.executive_summary(spark, main_model(spark, d), MAIN, SEL)
+
+
+@reg("portfolio_scoreboard",
+     f"""SELECT Segment, cr_score, est_project_value, est_start_date, est_end_date,
+                {S.money('est_project_value')} AS value_display, {S.mdy('est_start_date')} AS start_display,
+                {S.mdy('est_end_date')} AS end_display
+         FROM board ORDER BY round(cr_score, 6) DESC NULLS LAST, Segment LIMIT 50""",
+     ctes=BOARD_SQL.format(seg="projectId", src="sc"), dbl=BOARD_DBL)
+def portfolio_scoreboard(spark, d):
+    """Q2 portfolio scoreboard, by project, default sort, first page."""
+    return Q.portfolio_scoreboard(spark, main_model(spark, d), MAIN, SEL)
+
+
+PHASE_PAGE_SQL = PROC_DEFAULT_SQL + f""",
+s AS ({_sel_sql()}),
+pk AS (SELECT * FROM kpis WHERE projectId IN (SELECT projectId FROM s) AND kpi_name IS NOT NULL AND phase IS NOT NULL),
+ptp AS (SELECT phase, kpi_name, avg(coalesce(score, 0) * coalesce(CAST(kpi_wt AS DOUBLE), 0)) AS m FROM pk GROUP BY phase, kpi_name),
+ptq AS (SELECT phase, kpi_name, avg(coalesce(process_level_unrealized_value, 0)) AS m FROM pk GROUP BY phase, kpi_name)
+"""
+BAR_SQL = "coalesce(CASE WHEN NOT isnan(process_score) THEN CAST(trunc(process_score) AS BIGINT) END, 0)"
+
+
+@reg("phase_summary",
+     f"""SELECT 'phase_score' AS section, phase AS name, CAST(position AS BIGINT) AS rank, phase_score AS value,
+                CAST(NULL AS VARCHAR) AS detail FROM ({_phase_rows_sql('s')})
+         UNION ALL SELECT 'process', phase || '|' || process_name, position, process_score,
+                {S.process_display('process_name', PROCESS_DISPLAY_OVERRIDES)} || '|' || CAST({BAR_SQL} AS VARCHAR) FROM listed
+         UNION ALL SELECT 'top_performing', phase || '|' || kpi_name, rank, m, txt
+                FROM ({_strength_sql(_topn('ptp', 'm', part='phase'))})
+         UNION ALL SELECT 'top_priority', phase || '|' || kpi_name, rank, m, txt
+                FROM ({_guidance_sql(_topn('ptq', 'm', part='phase'))})""",
+     ctes=PHASE_PAGE_SQL, dbl=CARD_DBL, ints=CARD_INTS)
+def phase_summary(spark, d):
+    """Q3 phase pages, every phase in one pass."""
+    return Q.phase_summary(spark, main_model(spark, d), MAIN, SEL)
+
+
+@reg("process_kpi_table",
+     f"""SELECT phase, process_name, position, kpi_name, upper(coalesce(nullif(kpi_name, ''), 'N/A')) AS kpi_display,
+                bp_range_display, actual_numeric,
+                CASE WHEN actual_numeric IS NULL OR isnan(actual_numeric) THEN (CASE WHEN coalesce(unit = '%', false) THEN 'nan%' ELSE 'nan' END)
+                     WHEN coalesce(unit = '%', false) THEN printf('%.0f', actual_numeric * 100) || '%'
+                     ELSE printf('%.1f', actual_numeric) END AS actual_display,
+                score, printf('%.0f', score) AS score_display, unrealized_value, {LABEL_CASE} AS impact_label, is_averaged,
+                coalesce(t.definition, '{dims.DEFAULT_DEFINITION_PREFIX}' || trim(coalesce(CAST(kpi_name AS VARCHAR), ''))
+                         || '{dims.DEFAULT_DEFINITION_SUFFIX}') AS definition
+         FROM lab2 LEFT JOIN kpi_text t ON t.kpi_key = {KEY}""",
+     ctes=_rollup_sql(SEL_KPIS, False) + """,
+lab2 AS (SELECT *, coalesce(unrealized_value, 0.0) AS uv0,
+                row_number() OVER (PARTITION BY phase, process_name ORDER BY round(coalesce(unrealized_value, 0.0), 6) DESC, kpi_name) AS position,
+                count(*) OVER (PARTITION BY phase, process_name) AS n
+         FROM rolled)""".replace("SELECT *, coalesce(unrealized_value, 0.0) AS uv0,",
+                                 "SELECT * REPLACE (coalesce(unrealized_value, 0.0) AS unrealized_value),"),
+     dbl=("actual_numeric", "score", "unrealized_value"), ints=("position",))
+def process_kpi_table(spark, d):
+    """Q4 KPI tables of every process (main variant)."""
+    return Q.process_kpi_table(spark, main_model(spark, d), MAIN, SEL)
+
+
+@reg("process_kpi_report_card",
+     f"""SELECT phase, process_name,
+                row_number() OVER (PARTITION BY phase, process_name ORDER BY round(unrealized_value, 6) DESC NULLS LAST, kpi_name) AS priority,
+                kpi_name, percent_of_projects, bp_range_display, actual_numeric, score, {S.grade('score')} AS grade, unrealized_value
+         FROM rolled""",
+     ctes=_rollup_sql(CSEL_KPIS, True, "100.0"),
+     dbl=("percent_of_projects", "actual_numeric", "score", "unrealized_value"), ints=("priority",))
+def process_kpi_report_card(spark, d):
+    """Q5 KPI report card (cloud variant with coverage, rank and grade)."""
+    return Q.process_kpi_report_card(spark, cloud_model(spark, d, MIXED), MIXED, CLOUD_SEL)
+
+
+LEGACY_SQL = CAT_SQL + ",\ncmult AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{c}', {v})" for c, v in CATEGORY_MULTIPLIERS.items()
+) + ") t(impact_category, multiplier)),\n" + PMULT_SQL + ",\n" + ALL_KPIS_SQL + ",\nph AS (" + _phase_rows_sql("s") + "),\n" + """
+pk2 AS (SELECT * FROM kpis WHERE impact_category = 'Schedule' AND kpi_name IS NOT NULL AND phase IS NOT NULL
+          AND projectId IN (SELECT projectId FROM s)),
+g AS (SELECT phase, kpi_name, avg(process_level_unrealized_value) AS gap FROM pk2 GROUP BY phase, kpi_name
+      HAVING avg(process_level_unrealized_value) IS NOT NULL),
+gt AS (""" + _topn("g", "gap", part="phase") + "),\ngta AS (" + _topn("tg", "gap") + ")"
+
+
+@reg("legacy_category_card",
+     """SELECT 'category' AS section, impact_category AS name, CAST(position AS BIGINT) AS rank, category_score AS value,
+               CAST(NULL AS VARCHAR) AS detail FROM cats
+        UNION ALL SELECT 'category_impact', c.impact_category, c.position, c.category_score * m.multiplier, NULL
+               FROM cats c JOIN cmult m USING (impact_category)
+        UNION ALL SELECT 'phase_impact', p.phase || '|' || m.impact_category, p.position, p.phase_score * m.multiplier, NULL
+               FROM ph p JOIN pmult m USING (phase)
+        UNION ALL SELECT 'gap_phase_level', kpi_name, rank, gap, NULL FROM gta WHERE (SELECT sum(gap) FROM gta) <> 0
+        UNION ALL SELECT 'gap_process_level', phase || '|' || kpi_name, rank, gap, NULL FROM gt
+               WHERE phase IN (SELECT phase FROM gt GROUP BY phase HAVING sum(gap) <> 0)""",
+     ctes=LEGACY_SQL, dbl=CARD_DBL, ints=CARD_INTS)
+def legacy_category_card(spark, d):
+    """Q6 legacy category / phase impact card (``app`` variant)."""
+    return Q.legacy_category_card(spark, main_model(spark, d), APP, SEL)
+
+
+@reg("cost_improvement_card",
+     f"""SELECT 'phase_score' AS section, phase AS name, CAST(position AS BIGINT) AS rank, phase_score AS value,
+                CAST(NULL AS VARCHAR) AS detail FROM imp
+         UNION ALL SELECT 'improvement', phase, position, improvement, NULL FROM imp
+         UNION ALL SELECT 'total', 'total', NULL,
+                CASE WHEN (SELECT count(*) FROM cs) = 0 THEN 0.0 ELSE (SELECT sum(improvement) FROM imp) END, NULL""",
+     ctes=f"cs AS (SELECT * FROM csc WHERE impact_category = 'cost'),\nimp AS ({_improvement_rows_sql('mixed')})",
+     dbl=CARD_DBL, ints=CARD_INTS)
+def cost_improvement_card(spark, d):
+    """Q7 cost improvement card (cloud variant, mixed model)."""
+    return Q.cost_improvement_card(spark, cloud_model(spark, d, MIXED), MIXED, CLOUD_SEL)
+
+
+@reg("action_item_list",
+     f"""SELECT 'all' AS scope, rank, projectId, {ITEM_TITLE_SQL} AS item_type_display, item_display, required_action,
+                risk_value, event_id
+         FROM (SELECT *, row_number() OVER (ORDER BY risk_value DESC, event_id) AS rank FROM it) WHERE rank <= 5
+         UNION ALL
+         SELECT phase, rank, projectId, {ITEM_TITLE_SQL}, item_display, required_action, risk_value, event_id
+         FROM (SELECT *, row_number() OVER (PARTITION BY phase ORDER BY risk_value DESC, event_id) AS rank FROM it)
+         WHERE rank <= 5""",
+     ctes=ITEMS_SHAPED_SQL, dbl=("risk_value",), ints=("rank", "event_id"))
+def action_item_list(spark, d):
+    """Q8 top action items, overall and per phase (cloud variant)."""
+    return Q.action_item_list(spark, cloud_model(spark, d, MIXED), MIXED, CLOUD_SEL)
