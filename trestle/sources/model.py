@@ -130,12 +130,32 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def from_tpch(spark: SparkSession, sf_dir: str) -> Model:
-    """The test-table adapter (``trestle.sources.tpch``) as a ``Model``."""
-    from trestle.sources import tpch
+# Staged models of this process, by (session, input directory, signature):
+# DataFrames are immutable plans, so one staged model serves every query.
+_STAGED: dict[tuple[int, str, str], Model] = {}
 
-    m = tpch.load_model(spark, sf_dir)
-    return Model(
+STAGED_TABLES = ("scorecard", "processes", "kpis", "action_items")
+PARTITIONED = {"processes": "phase", "kpis": "phase"}
+
+
+def from_tpch(spark: SparkSession, sf_dir: str, staged: bool = True) -> Model:
+    """The test-table adapter (``trestle.sources.tpch``) as a ``Model``.
+
+    With ``staged`` (default) the derived tables are written once per input
+    signature under the session's checkpoint directory and read from there
+    (``trestle.sources.staging``); the input files' metadata is checked on
+    every call, so changed inputs are never answered from stale tables.
+    """
+    from trestle.sources import staging, tpch
+
+    base = sf_dir.rstrip("/")
+    if staged:
+        sig = staging.input_signature(spark, [f"{base}/{t}.parquet" for t in tpch.SOURCE_TABLES])
+        key = (id(spark), base, sig)
+        if key in _STAGED:
+            return _STAGED[key]
+    m = tpch.load_model(spark, base)
+    model = Model(
         scorecard=m.scorecard,
         processes=m.processes,
         kpis=m.kpis,
@@ -144,6 +164,18 @@ def from_tpch(spark: SparkSession, sf_dir: str) -> Model:
         item_key="event_id",
         phases=("bidding", "preconstruction", "construction", "closeout"),
     )
+    if not staged:
+        return model
+    root = f"{staging.staging_root(spark)}/tpch-{sig}"
+    frames = {
+        name: staging.stage_table(
+            spark, getattr(model, name), f"{root}/{name}", PARTITIONED.get(name), "projectId"
+        )
+        for name in STAGED_TABLES
+    }
+    out = model.replace(**frames)
+    _STAGED[key] = out
+    return out
 
 
 # FIXED VALUES: the cloud dashboards' layout differs from the main one only

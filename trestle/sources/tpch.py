@@ -47,6 +47,9 @@ ITEM_CATEGORY_LAST = "Safety"
 STAGE_BY_BALANCE = ((0.0, "Closeout"), (3000.0, "Construction"), (6000.0, "Preconstruction"))
 STAGE_LAST = "Bidding"
 
+# Test tables the adapter reads.
+SOURCE_TABLES = ("region", "nation", "customer", "orders", "lineitem", "part", "events")
+
 # Natural row order of a KPI fact ("file order" of the reference's CSVs).
 ROW_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
