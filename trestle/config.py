@@ -147,6 +147,8 @@ class Profile:
     coverage_basis: str = "rows"
     excluded_kpis: tuple[str, ...] = ()
     exclude_flagged_at_load: bool = False
+    # whole-row dedup of every table at load (the cloud download helper)
+    dedup_at_load: bool = False
 
     @property
     def phases(self) -> tuple[str, ...]:
@@ -166,6 +168,7 @@ PRESETS: dict[str, Profile] = {
         phase_score_columns=dict(PHASE_SCORE_COLUMNS_CLOUD),
         kpi_score_scale=100.0,
         excluded_kpis=ZERO_WEIGHT_KPIS,
+        dedup_at_load=True,
     ),
     "power": Profile(
         "power",
@@ -182,6 +185,7 @@ PRESETS: dict[str, Profile] = {
         kpi_score_scale=100.0,
         improvement_model="mixed",
         exclude_flagged_at_load=True,
+        dedup_at_load=True,
     ),
 }
 

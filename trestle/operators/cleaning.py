@@ -27,13 +27,21 @@ def drop_dup_columns(df: DataFrame) -> DataFrame:
     return tmp.select(*[F.col(f"_c{i}").alias(df.columns[i]) for i in keep])
 
 
-def drop_dup_rows(df: DataFrame) -> DataFrame:
+def drop_dup_rows(df: DataFrame, order_cols: tuple[str, ...] = ()) -> DataFrame:
     """Whole-row dedup; null equals null as in pandas.
 
     One hash shuffle on all columns with a map-side partial dedup, so a value
-    repeated millions of times is collapsed before it is shuffled.
+    repeated millions of times is collapsed before it is shuffled.  With
+    ``order_cols`` (the row-order columns, which are not data) the first copy
+    in row order is the one kept, so a later ``first`` still sees it first.
     """
-    return df.dropDuplicates()
+    if not order_cols:
+        return df.dropDuplicates()
+    data = [c for c in df.columns if c not in order_cols]
+    first = F.min(F.struct(*[F.col(c) for c in order_cols])).alias("_first")
+    return df.groupBy(*data).agg(first).select(*data, *[F.col(f"_first.{c}").alias(c) for c in order_cols]).select(
+        *df.columns
+    )
 
 
 def canonical_names(df: DataFrame) -> DataFrame:

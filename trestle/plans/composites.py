@@ -62,10 +62,13 @@ def data_columns(model: Model, df: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in model.order_cols]
 
 
-def all_kpis(model: Model, summary: DataFrame) -> DataFrame:
+def all_kpis(model: Model, summary: DataFrame, profile: Profile | None = None) -> DataFrame:
     """J1 + U1: KPI rows of the selected projects, whole-row dedup on the
-    data columns (the row-order columns are not data)."""
+    data columns (the row-order columns are not data); no rows unless every
+    phase of the profile was loaded."""
     k = FL.propagate_projects(model.kpis, summary)
+    if profile is not None and not all(p in model.phases for p in profile.phases):
+        return k.where(F.lit(False))
     return k.dropDuplicates(data_columns(model, k))
 
 
@@ -85,7 +88,7 @@ def executive_summary(spark: SparkSession, model: Model, profile: Profile, sel:
         ).alias("x")
     ).select("x.*")
     phases = A.phase_components(summary, profile.phase_score_columns)
-    kpis = FL.filter_category(all_kpis(model, summary), sel.category)
+    kpis = FL.filter_category(all_kpis(model, summary, profile), sel.category)
     top_perf = J.attach_strength(spark, R.top_performing_kpis(kpis))
     parts = [
         _card(overall, "overall", F.lit("cr_score"), F.lit(None), "overall_score"),
@@ -226,7 +229,7 @@ def legacy_category_card(spark: SparkSession, model: Model, profile: Profile, se
     cats = J.category_impact(spark, A.category_scores(before, profile.categories, cat_dim))
     phase_scores = A.phase_components(summary, profile.phase_score_columns)
     ph_imp = J.phase_impact(spark, phase_scores)
-    kpis = FL.filter_category(all_kpis(model, summary), sel.category)
+    kpis = FL.filter_category(all_kpis(model, summary, profile), sel.category)
     gap_all = R.top_gap(kpis, "phase_level_unrealized_value")
     phase_kpis = FL.filter_category(FL.propagate_projects(model.kpis, summary), sel.category)
     gap_phase = R.top_gap(phase_kpis, "process_level_unrealized_value", ("phase",))

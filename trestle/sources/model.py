@@ -69,6 +69,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
+ORDER_COLS = ("_file", "_block", "_row")
+
+
 def load_csv_model(
     spark: SparkSession,
     base: str,
@@ -80,41 +83,59 @@ def load_csv_model(
 
     A phase is loaded only when both of its files exist (S2).  Category cut
     (F1), dedup (C2), zero-weight KPI exclusion (C6) and flag exclusion (C7)
-    follow the profile.
+    follow the profile.  KPI and item rows carry their file order
+    (``_file``, ``_block``, ``_row``) for pandas-``first`` semantics.
     """
     b = base.rstrip("/")
-    sc = files.read_csv(spark, f"{b}/{scorecard_file}", files.SCORECARD_SCHEMA)
-    sc = allow_categories(drop_dup_rows(sc), profile.categories)
+
+    def dedup(df: DataFrame, order=()) -> DataFrame:
+        return drop_dup_rows(df, order) if profile.dedup_at_load else df
+
+    sc = dedup(files.read_csv(spark, f"{b}/{scorecard_file}", files.SCORECARD_SCHEMA))
+    sc = allow_categories(canonical_names(sc), profile.categories)
     if profile.exclude_flagged_at_load:
         sc = exclude_flagged(_flag_name(sc))
     procs, kpis, loaded = [], [], []
     for phase, (p_path, k_path) in files.phase_table_paths(b, profile.phases).items():
         if not (_exists(spark, p_path) and _exists(spark, k_path)):
             continue
-        p = canonical_names(files.read_csv(spark, p_path, files.PROCESS_SCHEMA))
-        k = canonical_names(files.read_csv(spark, k_path, files.KPI_SCHEMA))
-        k = _with_file_order(k)
+        p = dedup(canonical_names(files.read_csv(spark, p_path, files.PROCESS_SCHEMA)))
+        k = dedup(_with_file_order(canonical_names(files.read_csv(spark, k_path, files.KPI_SCHEMA))), ORDER_COLS)
         if profile.exclude_flagged_at_load:
             p, k = exclude_flagged(_flag_name(p)), exclude_flagged(_flag_name(k))
         procs.append(p.withColumn("phase", F.lit(phase)))
         kpis.append(k.withColumn("phase", F.lit(phase)))
         loaded.append(phase)
-    processes = _union(procs) if procs else files.empty_frame(spark, files.PROCESS_SCHEMA).withColumn("phase", F.lit(None).cast("string"))
-    k_all = _union(kpis) if kpis else files.empty_frame(spark, files.KPI_SCHEMA).withColumn("phase", F.lit(None).cast("string"))
+    if procs:
+        processes, k_all = _union(procs), _union(kpis)
+    else:
+        processes = files.empty_frame(spark, files.PROCESS_SCHEMA).withColumn("phase", F.lit(None).cast("string"))
+        k_all = _no_order(files.empty_frame(spark, files.KPI_SCHEMA)).withColumn("phase", F.lit(None).cast("string"))
     k_all = exclude_kpis(k_all, profile.excluded_kpis)
-    items = files.read_or_empty(spark, f"{b}/{items_file}", files.ACTION_ITEM_SCHEMA)
-    items = _with_file_order(items) if "_metadata" not in items.columns and items.columns else items
+    items_path = f"{b}/{items_file}"
+    if _exists(spark, items_path):
+        items = _with_file_order(files.read_csv(spark, items_path, files.ACTION_ITEM_SCHEMA))
+    else:  # S3: optional source
+        items = _no_order(files.empty_frame(spark, files.ACTION_ITEM_SCHEMA))
     return Model(
         scorecard=sc,
         processes=processes,
         kpis=k_all,
         action_items=items,
-        order_cols=("_file", "_block", "_row"),
+        order_cols=ORDER_COLS,
         item_key="_row",
         phases=tuple(loaded),
     )
 
 
+def _no_order(df: DataFrame) -> DataFrame:
+    return (
+        df.withColumn("_file", F.lit(None).cast("string"))
+        .withColumn("_block", F.lit(None).cast("long"))
+        .withColumn("_row", F.lit(None).cast("long"))
+    )
+
+
 def _flag_name(df: DataFrame) -> DataFrame:
     # The flag header is spelled two ways; normalise once at ingest.
     for name in ("VISTA_filter", "vista_filter"):
