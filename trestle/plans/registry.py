@@ -1228,3 +1228,33 @@ def cost_improvement_card(spark, d):
 def action_item_list(spark, d):
     """Q8 top action items, overall and per phase (cloud variant)."""
     return Q.action_item_list(spark, cloud_model(spark, d, MIXED), MIXED, CLOUD_SEL)
+
+
+# =============================================================================
+# Dimensions against the data
+# =============================================================================
+
+@reg("dim_tables",
+     """SELECT d.phase, d.process_name, d.position, count(p.projectId) AS n_score_rows
+        FROM pdim d LEFT JOIN processes p ON p.phase = d.phase AND p.process_name = d.process_name
+        GROUP BY d.phase, d.process_name, d.position""",
+     ctes=_process_dim_values(), ints=("position", "n_score_rows"))
+def dim_tables(spark, d):
+    """The configured process dimension and how many score rows each
+    process has in the data (0 for processes the data lacks)."""
+    counts = raw_model(spark, d).processes.groupBy("phase", "process_name").agg(F.count(F.lit(1)).alias("n"))
+    dim = dims.process_dim(spark)
+    return F.broadcast(dim).join(counts, ["phase", "process_name"], "left").select(
+        "phase", "process_name", "position", F.coalesce(F.col("n"), F.lit(0)).alias("n_score_rows")
+    )
+
+
+@reg("dim_kpi_text",
+     f"""SELECT k.kpi_name, t.kpi_key IS NOT NULL AS has_text
+         FROM (SELECT DISTINCT kpi_name FROM kpis) k LEFT JOIN kpi_text t ON t.kpi_key = {KEY}""")
+def dim_kpi_text(spark, d):
+    """Every KPI name of the data and whether the text dimension has it."""
+    names = raw_model(spark, d).kpis.select("kpi_name").distinct()
+    texts = dims.kpi_text_dim(spark).select("kpi_key")
+    j = names.join(F.broadcast(texts), dims.kpi_key("kpi_name") == F.col("kpi_key"), "left")
+    return j.select("kpi_name", F.col("kpi_key").isNotNull().alias("has_text"))

@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The dashboards this library re-builds are batch only: every load reads whole
+tables, and the only time-related behaviour is an app-server cache lifetime.
+There are no watermarks, windows over event time or stateful operators to
+re-express, so nothing here uses Structured Streaming.
+"""
