@@ -142,8 +142,10 @@ def priority_label(rolled: DataFrame, group_cols: tuple[str, ...] = ()) -> DataF
 def sort_scoreboard(board: DataFrame, column: str = "CR-Score", ascending: bool = False) -> DataFrame:
     """O1: sort on any scoreboard column, missing values last both ways;
     ``Segment`` breaks ties."""
-    c = F.col(f"`{column}`")
     if column == "CR-Score":
+        column = "cr_score"
+    c = F.col(f"`{column}`")
+    if column == "cr_score":
         c = F.round(c, RANK_DIGITS)
     key = c.asc_nulls_last() if ascending else c.desc_nulls_last()
     return board.orderBy(key, F.col("Segment").asc_nulls_last())
@@ -155,13 +157,18 @@ def page_bounds(total_rows: int, page: int, rows_per_page: int = ROWS_PER_PAGE)
     return min(max(page, 0), pages - 1), pages
 
 
-def page(sorted_df: DataFrame, page_no: int, total_rows: int, rows_per_page: int = ROWS_PER_PAGE) -> DataFrame:
+def page(sorted_df: DataFrame, page_no: int, total_rows: int | None = None, rows_per_page: int = ROWS_PER_PAGE) -> DataFrame:
     """L1: one page of an ordered frame, page clamped to the last one.
 
-    ``total_rows`` is the row count (one scalar job by the caller).  Spark
-    plans ``offset + limit`` over a sort as a top-(offset+limit) selection.
+    Page 0 always exists, so it needs no count.  For a later page the row
+    count is needed to clamp: pass ``total_rows`` if known, otherwise one
+    scalar ``count()`` job runs.  Spark plans ``offset + limit`` over a sort
+    as a top-(offset+limit) selection, never a full sort of the frame.
     """
-    p, _ = page_bounds(total_rows, page_no, rows_per_page)
+    if page_no <= 0:
+        return sorted_df.limit(rows_per_page)
+    n = sorted_df.count() if total_rows is None else total_rows
+    p, _ = page_bounds(n, page_no, rows_per_page)
     return sorted_df.offset(p * rows_per_page).limit(rows_per_page)
 
 

@@ -122,7 +122,7 @@ def portfolio_scoreboard(
     ordered = R.sort_scoreboard(board, SORT_COLUMNS[sort_by], ascending)
     found = FL.search_segments(ordered, search)
     if page_no is not None:
-        found = R.page(found, page_no, found.count())
+        found = R.page(found, page_no)
     return found.select(
         "Segment",
         "cr_score",

@@ -835,7 +835,7 @@ def page_q(spark, d):
     m = main_model(spark, d)
     board = scoreboard(m.scorecard, Q.project_meta_of(m), "Project")
     ordered = R.sort_scoreboard(board, "Segment", True)
-    return R.page(ordered, 2, ordered.count()).select("Segment", "cr_score")
+    return R.page(ordered, 2).select("Segment", "cr_score")
 
 
 ITEM_TOP_SQL = (
