@@ -1258,3 +1258,18 @@ def dim_kpi_text(spark, d):
     texts = dims.kpi_text_dim(spark).select("kpi_key")
     j = names.join(F.broadcast(texts), dims.kpi_key("kpi_name") == F.col("kpi_key"), "left")
     return j.select("kpi_name", F.col("kpi_key").isNotNull().alias("has_text"))
+
+
+@reg("suppress_zero_gap",
+     """SELECT * FROM gz WHERE (projectId, phase) IN (SELECT projectId, phase FROM gz GROUP BY projectId, phase HAVING sum(gap) <> 0)""",
+     ctes="""gp AS (SELECT projectId, phase, kpi_name, avg(process_level_unrealized_value) AS gap FROM kpis
+       WHERE kpi_name IS NOT NULL AND projectId IS NOT NULL AND phase IS NOT NULL GROUP BY projectId, phase, kpi_name
+       HAVING avg(process_level_unrealized_value) IS NOT NULL),
+gz AS (""" + _topn("gp", "gap", part="projectId, phase") + ")",
+     dbl=("gap",), ints=("rank",))
+def suppress_zero_gap(spark, d):
+    """The process-level gap list of every (project, phase) at once -- the
+    A11 answer for each single-project selection -- with lists whose top-5
+    values sum to 0 suppressed."""
+    k = raw_model(spark, d).kpis.where(F.col("projectId").isNotNull())
+    return R.top_gap(k, "process_level_unrealized_value", ("projectId", "phase"))
