@@ -59,18 +59,39 @@ def _top(df: DataFrame, metric: str, group_cols: tuple[str, ...], k: int, tie: s
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def kpi_metrics(kpis: DataFrame, group_cols: tuple[str, ...] = ()) -> DataFrame:
+    """A8 + A9 inputs in one aggregation per KPI: ``score_weighted`` =
+    mean(score x weight) and, when a priority column exists,
+    ``priority_metric`` = mean(unrealized); missing values count as 0.
+
+    Both top-5 lists of a page read this one aggregate (Spark reuses its
+    exchange), so the KPI facts are scanned and shuffled once, not twice.
+    """
+    weight_col = pick_column(kpis, WEIGHT_COLUMN_CANDIDATES)
+    w = _num0(kpis, weight_col) if weight_col else F.lit(1.0)
+    metric_col = pick_column(kpis, PRIORITY_METRIC_CANDIDATES)
+    src = kpis.where(F.col("kpi_name").isNotNull())
+    for g in group_cols:
+        src = src.where(F.col(g).isNotNull())
+    aggs = [F.avg(_num0(kpis, "score") * w).alias("score_weighted")]
+    if metric_col is not None:
+        aggs.append(F.avg(_num0(kpis, metric_col)).alias("priority_metric"))
+    return src.groupBy(*group_cols, "kpi_name").agg(*aggs)
+
+
+def top_of(metrics: DataFrame, metric: str, group_cols: tuple[str, ...] = (), k: int = TOP_K) -> DataFrame | None:
+    """Top k KPIs of one column of ``kpi_metrics`` (``None`` if absent)."""
+    if metric not in metrics.columns:
+        return None
+    return _top(metrics.select(*group_cols, "kpi_name", metric), metric, group_cols, k)
+
+
 def top_performing_kpis(
     kpis: DataFrame, group_cols: tuple[str, ...] = (), k: int = TOP_K
 ) -> DataFrame:
     """mean(score x weight) per KPI, top k.  Missing score or weight
     counts as 0; the weight is the first present candidate column, else 1.0."""
-    weight_col = pick_column(kpis, WEIGHT_COLUMN_CANDIDATES)
-    w = _num0(kpis, weight_col) if weight_col else F.lit(1.0)
-    src = kpis.where(F.col("kpi_name").isNotNull()).withColumn("_sw", _num0(kpis, "score") * w)
-    for g in group_cols:
-        src = src.where(F.col(g).isNotNull())
-    agg = src.groupBy(*group_cols, "kpi_name").agg(F.avg("_sw").alias("score_weighted"))
-    return _top(agg, "score_weighted", group_cols, k)
+    return top_of(kpi_metrics(kpis, group_cols), "score_weighted", group_cols, k)
 
 
 def top_priority_kpis(
@@ -79,14 +100,7 @@ def top_priority_kpis(
     """mean(unrealized, missing = 0) per KPI, top k; the metric is the
     first present of process-level, phase-level, plain.  No such column ->
     ``None`` (the dashboard shows an empty list)."""
-    metric_col = pick_column(kpis, PRIORITY_METRIC_CANDIDATES)
-    if metric_col is None:
-        return None
-    src = kpis.where(F.col("kpi_name").isNotNull()).withColumn("_m", _num0(kpis, metric_col))
-    for g in group_cols:
-        src = src.where(F.col(g).isNotNull())
-    agg = src.groupBy(*group_cols, "kpi_name").agg(F.avg("_m").alias("priority_metric"))
-    return _top(agg, "priority_metric", group_cols, k)
+    return top_of(kpi_metrics(kpis, group_cols), "priority_metric", group_cols, k)
 
 
 def top_gap(
@@ -104,9 +118,16 @@ def top_gap(
         .agg(F.avg(nan_to_null(metric_col)).alias("gap"))
         .where(F.col("gap").isNotNull())
     )
-    top = _top(agg, "gap", group_cols, k)
+    return top_gap_of(agg, group_cols, k, suppress_zero)
+
+
+def top_gap_of(gaps: DataFrame, group_cols: tuple[str, ...] = (), k: int = TOP_K,
+               suppress_zero: bool = True) -> DataFrame:
+    """Top k of a per-KPI ``gap`` frame (no nulls), with A12."""
+    top = _top(gaps, "gap", group_cols, k)
     if not suppress_zero:
         return top
+    # The window runs over the <= k rows of each list.
     total = F.sum("gap").over(Window.partitionBy(*group_cols)) if group_cols else F.sum("gap").over(Window.partitionBy())
     return top.withColumn("_t", total).where(F.col("_t") != 0).drop("_t")
 

@@ -58,45 +58,68 @@ def selections(model: Model, sel: Selection) -> tuple[DataFrame, DataFrame]:
     return before, FL.filter_category(before, sel.category)
 
 
-def data_columns(model: Model, df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c not in model.order_cols]
-
-
 def all_kpis(model: Model, summary: DataFrame, profile: Profile | None = None) -> DataFrame:
     """J1 + U1: KPI rows of the selected projects, whole-row dedup on the
     data columns (the row-order columns are not data); no rows unless every
-    phase of the profile was loaded."""
-    k = FL.propagate_projects(model.kpis, summary)
+    phase of the profile was loaded.
+
+    On a staged model the deduplicated rows were written once at load
+    (row filters commute with the dedup), so this is a scan and a semi join;
+    otherwise one ``dropDuplicates`` on the data columns.
+    """
+    src = model.kpis_unique if model.kpis_unique is not None else model.kpis
+    k = FL.propagate_projects(src, summary)
     if profile is not None and not all(p in model.phases for p in profile.phases):
         return k.where(F.lit(False))
-    return k.dropDuplicates(data_columns(model, k))
+    if model.kpis_unique is not None:
+        return k
+    return k.dropDuplicates(model.data_columns(k))
 
 
 # --- Q1 -------------------------------------------------------------------
 
+def _summary_card(summary: DataFrame, phase_columns: dict[str, str], with_overall: bool = True) -> DataFrame:
+    """A1 + X1 + A2 from one aggregation pass over the selected scorecard
+    rows, as card rows (overall, impact estimates, phase components)."""
+    from trestle.functions.parse import nan_to_null
+
+    aggs = [F.avg(nan_to_null(c)).alias(f"_p{i}") for i, c in enumerate(phase_columns.values())]
+    if with_overall:
+        aggs.insert(0, F.avg(nan_to_null("score")).alias("_overall"))
+    stats = summary.agg(*aggs)
+    rows = []
+    if with_overall:
+        rows.append(F.struct(F.lit("overall").alias("section"), F.lit("cr_score").alias("name"),
+                             F.lit(None).cast("int").alias("rank"), F.col("_overall").alias("value")))
+        for i, (k, v) in enumerate(scoring.impact_estimates("_overall").items(), start=1):
+            rows.append(F.struct(F.lit("impact").alias("section"), F.lit(k).alias("name"),
+                                 F.lit(i).alias("rank"), v.alias("value")))
+    for i, p in enumerate(phase_columns, start=1):
+        rows.append(F.struct(F.lit("phase").alias("section"), F.lit(p).alias("name"),
+                             F.lit(i).alias("rank"), F.col(f"_p{i - 1}").alias("value")))
+    exploded = stats.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    return exploded.select(
+        "section", F.col("name").cast("string"), F.col("rank").cast("int"), F.col("value").cast("double"),
+        F.lit(None).cast("string").alias("detail"),
+    )
+
+
 def executive_summary(spark: SparkSession, model: Model, profile: Profile, sel: Selection) -> DataFrame:
     """Q1: CR-score, impact estimates, phase components, top-5 performing
-    KPIs (with strength text) and top-5 priority KPIs (with guidance)."""
+    KPIs (with strength text) and top-5 priority KPIs (with guidance).
+
+    Two scans in all: one aggregation over the selected scorecard rows for
+    every number of the card, one aggregation over the selected KPI rows
+    for both top-5 lists."""
     _, summary = selections(model, sel)
-    overall = A.overall_score(summary)
-    impacts = overall.select(
-        F.explode(
-            F.array(*[
-                F.struct(F.lit(k).alias("k"), F.lit(i + 1).alias("i"), v.alias("v"))
-                for i, (k, v) in enumerate(scoring.impact_estimates("overall_score").items())
-            ])
-        ).alias("x")
-    ).select("x.*")
-    phases = A.phase_components(summary, profile.phase_score_columns)
     kpis = FL.filter_category(all_kpis(model, summary, profile), sel.category)
-    top_perf = J.attach_strength(spark, R.top_performing_kpis(kpis))
+    metrics = R.kpi_metrics(kpis)
+    top_perf = J.attach_strength(spark, R.top_of(metrics, "score_weighted"))
     parts = [
-        _card(overall, "overall", F.lit("cr_score"), F.lit(None), "overall_score"),
-        _card(impacts, "impact", "k", "i", "v"),
-        _card(phases, "phase", "phase", "position", "phase_score"),
+        _summary_card(summary, profile.phase_score_columns),
         _card(top_perf, "top_performing", "kpi_name", "rank", "score_weighted", "strength"),
     ]
-    top_prio = R.top_priority_kpis(kpis)
+    top_prio = R.top_of(metrics, "priority_metric")
     if top_prio is not None:
         parts.append(_card(J.attach_guidance(spark, top_prio), "top_priority", "kpi_name", "rank", "priority_metric", "guidance"))
     return _union(parts)
@@ -147,7 +170,8 @@ def phase_summary(spark: SparkSession, model: Model, profile: Profile, sel: Sele
     means = A.process_scores(procs, ("phase",))
     listed = J.processes_with_default(spark, means, model.phases)
     kpis = FL.propagate_projects(model.kpis, summary)
-    top_perf = J.attach_strength(spark, R.top_performing_kpis(kpis, ("phase",)))
+    metrics = R.kpi_metrics(kpis, ("phase",))
+    top_perf = J.attach_strength(spark, R.top_of(metrics, "score_weighted", ("phase",)))
     parts = [
         _card(phase_scores, "phase_score", "phase", "position", "phase_score"),
         _card(
@@ -156,7 +180,7 @@ def phase_summary(spark: SparkSession, model: Model, profile: Profile, sel: Sele
         ),
         _card(top_perf, "top_performing", F.concat_ws("|", "phase", "kpi_name"), "rank", "score_weighted", "strength"),
     ]
-    top_prio = R.top_priority_kpis(kpis, ("phase",))
+    top_prio = R.top_of(metrics, "priority_metric", ("phase",))
     if top_prio is not None:
         top_prio = J.attach_guidance(spark, top_prio)
         parts.append(_card(top_prio, "top_priority", F.concat_ws("|", "phase", "kpi_name"), "rank", "priority_metric", "guidance"))
@@ -229,10 +253,7 @@ def legacy_category_card(spark: SparkSession, model: Model, profile: Profile, se
     cats = J.category_impact(spark, A.category_scores(before, profile.categories, cat_dim))
     phase_scores = A.phase_components(summary, profile.phase_score_columns)
     ph_imp = J.phase_impact(spark, phase_scores)
-    kpis = FL.filter_category(all_kpis(model, summary, profile), sel.category)
-    gap_all = R.top_gap(kpis, "phase_level_unrealized_value")
-    phase_kpis = FL.filter_category(FL.propagate_projects(model.kpis, summary), sel.category)
-    gap_phase = R.top_gap(phase_kpis, "process_level_unrealized_value", ("phase",))
+    gap_all, gap_phase = _gap_lists(model, profile, summary, sel.category)
     return _union([
         _card(cats, "category", "impact_category", "position", "category_score"),
         _card(cats, "category_impact", "impact_category", "position", "category_impact"),
@@ -242,6 +263,14 @@ def legacy_category_card(spark: SparkSession, model: Model, profile: Profile, se
     ])
 
 
+def _gap_lists(model: Model, profile: Profile, summary: DataFrame, category: str | None) -> tuple[DataFrame, DataFrame]:
+    """A10 (phase-level gap over the deduplicated rows of every phase) and
+    A11 (process-level gap per phase over all rows), each with A12."""
+    gap_all = R.top_gap(FL.filter_category(all_kpis(model, summary, profile), category), "phase_level_unrealized_value")
+    k = FL.filter_category(FL.propagate_projects(model.kpis, summary), category)
+    return gap_all, R.top_gap(k, "process_level_unrealized_value", ("phase",))
+
+
 # --- Q7 -------------------------------------------------------------------
 
 def cost_improvement_card(spark: SparkSession, model: Model, profile: Profile, sel: Selection) -> DataFrame:

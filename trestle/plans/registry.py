@@ -881,7 +881,7 @@ def top_items_by_risk_per_phase(spark, d):
      ints=("n_rows",))
 def all_phase_kpis(spark, d):
     m = raw_model(spark, d)
-    by_phase = {p: m.phase_kpis(p).drop(*m.order_cols) for p in m.phases}
+    by_phase = {p: m.phase_kpis(p).select(*m.data_columns(m.kpis)) for p in m.phases}
     u = R.all_phase_kpis(by_phase, m.phases)
     return u.groupBy("phase").agg(F.count(F.lit(1)).alias("n_rows"))
 

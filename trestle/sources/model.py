@@ -17,12 +17,13 @@ time the same frame can be partitioned by ``phase`` for pruning.
 
 from __future__ import annotations
 
+import threading
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trestle.config import Profile
+from trestle.config import PRIORITY_METRIC_CANDIDATES, WEIGHT_COLUMN_CANDIDATES, Profile
 from trestle.operators.cleaning import (
     canonical_names,
     drop_dup_rows,
@@ -42,10 +43,17 @@ class Model:
     order_cols: tuple[str, ...]
     item_key: str
     phases: tuple[str, ...]
+    # KPI facts after the whole-row dedup (U1), narrowed to the columns its
+    # consumers read; set by staging, else U1 deduplicates at query time.
+    kpis_unique: DataFrame | None = None
 
     def replace(self, **kw) -> "Model":
         return replace(self, **kw)
 
+    def data_columns(self, df: DataFrame) -> list[str]:
+        """Columns that are data (not row order, not staging flags)."""
+        return [c for c in df.columns if c not in self.order_cols]
+
     def phase_kpis(self, phase: str) -> DataFrame:
         return self.kpis.where(F.col("phase") == F.lit(phase))
 
@@ -154,9 +162,10 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 # Staged models of this process, by (session, input directory, signature):
 # DataFrames are immutable plans, so one staged model serves every query.
 _STAGED: dict[tuple[int, str, str], Model] = {}
+_STAGE_LOCK = threading.Lock()
 
 STAGED_TABLES = ("scorecard", "processes", "kpis", "action_items")
-PARTITIONED = {"processes": "phase", "kpis": "phase"}
+PARTITIONED = {"processes": "phase", "kpis": "phase", "kpis_unique": "phase"}
 
 
 def from_tpch(spark: SparkSession, sf_dir: str, staged: bool = True) -> Model:
@@ -175,28 +184,71 @@ def from_tpch(spark: SparkSession, sf_dir: str, staged: bool = True) -> Model:
         key = (id(spark), base, sig)
         if key in _STAGED:
             return _STAGED[key]
-    m = tpch.load_model(spark, base)
-    model = Model(
-        scorecard=m.scorecard,
-        processes=m.processes,
-        kpis=m.kpis,
-        action_items=m.action_items,
-        order_cols=tpch.ROW_KEY,
-        item_key="event_id",
-        phases=("bidding", "preconstruction", "construction", "closeout"),
-    )
     if not staged:
-        return model
-    root = f"{staging.staging_root(spark)}/tpch-{sig}"
-    frames = {
-        name: staging.stage_table(
-            spark, getattr(model, name), f"{root}/{name}", PARTITIONED.get(name), "projectId"
+        m = tpch.load_model(spark, base)
+        return Model(
+            scorecard=m.scorecard,
+            processes=m.processes,
+            kpis=m.kpis,
+            action_items=m.action_items,
+            order_cols=tpch.ROW_KEY,
+            item_key="event_id",
+            phases=("bidding", "preconstruction", "construction", "closeout"),
         )
-        for name in STAGED_TABLES
+    root = f"{staging.staging_root(spark)}/tpch-{staging.STAGE_VERSION}-{sig}"
+    with _STAGE_LOCK:
+        if key not in _STAGED:
+            # The join tree of the adapter runs once: the KPI facts are
+            # staged first and every other table is derived from the files.
+            kpis = staging.stage_table(spark, tpch.kpi_rows(spark, base), f"{root}/kpis", "phase", "projectId")
+            model = Model(
+                scorecard=tpch.scorecard(kpis),
+                processes=tpch.processes(kpis),
+                kpis=kpis,
+                action_items=tpch.action_items(spark, base),
+                order_cols=tpch.ROW_KEY,
+                item_key="event_id",
+                phases=("bidding", "preconstruction", "construction", "closeout"),
+            )
+            _STAGED[key] = stage_model(spark, model, root)
+    return _STAGED[key]
+
+
+# Columns the consumers of the deduplicated KPI rows (A8, A9, A10) read.
+UNIQUE_KPI_COLUMNS = (
+    "projectId", "phase", "impact_category", "kpi_name", "score", "name_flag",
+    *WEIGHT_COLUMN_CANDIDATES, *PRIORITY_METRIC_CANDIDATES,
+)
+
+
+def unique_kpis(model: Model) -> DataFrame:
+    """U1's whole-row dedup of the KPI facts (data columns only), narrowed to
+    ``UNIQUE_KPI_COLUMNS``.  A hash aggregate on the data columns with a
+    map-side partial dedup; row-level filters (J1, category) commute with it,
+    so it can be computed once for every later selection."""
+    data = model.data_columns(model.kpis)
+    keep = [c for c in UNIQUE_KPI_COLUMNS if c in data]
+    return model.kpis.select(*data).dropDuplicates().select(*keep)
+
+
+def stage_model(spark: SparkSession, model: Model, root: str) -> Model:
+    """Write the model tables as Parquet under ``root`` (once) and return the
+    model read back from there (``trestle.sources.staging``), including the
+    deduplicated KPI rows that U1 reads."""
+    from trestle.sources import staging
+
+    tables = {
+        "scorecard": model.scorecard,
+        "processes": model.processes,
+        "kpis": model.kpis,
+        "kpis_unique": unique_kpis(model),
+        "action_items": model.action_items,
     }
-    out = model.replace(**frames)
-    _STAGED[key] = out
-    return out
+    frames = {
+        name: staging.stage_table(spark, df, f"{root}/{name}", PARTITIONED.get(name), "projectId")
+        for name, df in tables.items()
+    }
+    return model.replace(**frames)
 
 
 # FIXED VALUES: the cloud dashboards' layout differs from the main one only
@@ -226,19 +278,28 @@ def cloud_layout(model: Model) -> Model:
     for old, new in CLOUD_COLUMN_RENAMES.items():
         sc = sc.withColumnRenamed(old, new)
     kpis = lower_cat(phase(model.kpis)).withColumn("score", F.col("score") / 100.0)
+    uniq = model.kpis_unique
+    if uniq is not None:
+        uniq = lower_cat(phase(uniq)).withColumn("score", F.col("score") / 100.0)
     procs = lower_cat(phase(model.processes))
     items = model.action_items
     if "impact_category" in items.columns:
         items = lower_cat(items)
     phases = tuple(CLOUD_PHASE_RENAMES.get(p, p) for p in model.phases)
-    return model.replace(scorecard=sc, kpis=kpis, processes=procs, action_items=items, phases=phases)
+    return model.replace(scorecard=sc, kpis=kpis, processes=procs, action_items=items, phases=phases,
+                         kpis_unique=uniq)
 
 
 def for_profile(model: Model, profile: Profile) -> Model:
     """Load-time steps that depend on the variant: F1, C6, C7."""
     sc = allow_categories(model.scorecard, profile.categories)
     kpis = exclude_kpis(model.kpis, profile.excluded_kpis)
+    uniq = model.kpis_unique
+    if uniq is not None:
+        uniq = exclude_kpis(uniq, profile.excluded_kpis)
     procs = model.processes
     if profile.exclude_flagged_at_load:
         sc, kpis, procs = exclude_flagged(sc), exclude_flagged(kpis), exclude_flagged(procs)
-    return model.replace(scorecard=sc, kpis=kpis, processes=procs)
+        if uniq is not None:
+            uniq = exclude_flagged(uniq)
+    return model.replace(scorecard=sc, kpis=kpis, processes=procs, kpis_unique=uniq)

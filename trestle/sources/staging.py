@@ -14,9 +14,9 @@ file instead of recomputing the joins that produced it.
   file so Parquet min/max statistics skip row groups for project filters.
   No repartition by ``phase`` (four values, one task each would be skew):
   every write task writes its own slice of each phase.
-* Key: a hash of the input files' paths, sizes and modification times, so
-  new input data gets a new staging directory and stale files are never
-  read.  A table counts as staged only when its ``_SUCCESS`` marker exists.
+* Key: a hash of the input files' paths, sizes and modification times plus
+  the layout version, so new input data or a new layout gets a new staging
+  directory and stale files are never read.  A table counts as staged only when its ``_SUCCESS`` marker exists.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ from pyspark.sql import DataFrame, SparkSession
 from trestle.session import ensure_checkpoint_dir
 
 STAGE_DIR = "trestle-stage"
+# Version of the staged layout: part of every staging key, so tables written
+# by an older layout are never read by newer code.
+STAGE_VERSION = "v6"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -76,9 +79,18 @@ def stage_table(
     """Write ``df`` to ``path`` unless it is already complete there; return
     the frame read back from the files."""
     if not exists(spark, f"{path}/_SUCCESS"):
+        out = df
+        # A frame with fewer partitions than the cluster has cores (a small
+        # input read as one split, joined by broadcast) would be written by
+        # a single task; spread it round-robin (no key, so a hot project
+        # cannot skew it).  Large inputs already have enough splits and are
+        # written without a shuffle.
+        target = spark.sparkContext.defaultParallelism
+        if out.rdd.getNumPartitions() < target:
+            out = out.repartition(target)
         # The partition column leads the sort, so the writer keeps this order.
         keys = [k for k in (partition_by, sort_by) if k]
-        out = df.sortWithinPartitions(*keys) if keys else df
+        out = out.sortWithinPartitions(*keys) if keys else out
         writer = out.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(partition_by)
