@@ -109,7 +109,11 @@ def top_gap(
 ) -> DataFrame:
     """A10/A11 (+A12): mean of an unrealized-value column per KPI, nulls
     skipped, top k (``Series.nlargest`` drops NaN means).  With
-    ``suppress_zero`` a list whose k values sum to 0 gives no rows (A12)."""
+    ``suppress_zero`` a list whose k values sum to 0 gives no rows (A12).
+    A frame without the metric column gives an empty list."""
+    if metric_col not in kpis.columns:
+        empty = kpis.where(F.lit(False)).select(*group_cols, "kpi_name", F.lit(None).cast("double").alias("gap"))
+        return empty.withColumn("rank", F.lit(None).cast("int"))
     src = kpis.where(F.col("kpi_name").isNotNull())
     for g in group_cols:
         src = src.where(F.col(g).isNotNull())
