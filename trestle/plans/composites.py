@@ -46,14 +46,19 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def project_meta_of(model: Model) -> DataFrame:
-    """A13 over the construction KPIs of the *unfiltered* model."""
-    return A.project_meta(model.phase_kpis("construction"), model.order_cols)
+def project_meta_of(model: Model, with_end: bool = True) -> DataFrame | None:
+    """A13 over the construction KPIs of the *unfiltered* model; ``None``
+    when the KPI table lacks one of the meta columns (P1: no meta)."""
+    needed = {"projectId", "ProjValue", "startDate"} | ({"endDate"} if with_end else set())
+    if not needed.issubset(model.kpis.columns):
+        return None
+    return A.project_meta(model.phase_kpis("construction"), model.order_cols, end_col="endDate" if with_end else None)
 
 
 def selections(model: Model, sel: Selection) -> tuple[DataFrame, DataFrame]:
     """(rows before the category cut, rows after it)."""
-    meta = project_meta_of(model) if (sel.value_range or sel.start_range or sel.strict_value_range) else None
+    wants_meta = sel.value_range or sel.start_range or sel.strict_value_range
+    meta = project_meta_of(model, with_end=False) if wants_meta else None
     before = FL.apply_selection(model.scorecard, sel, meta)
     return before, FL.filter_category(before, sel.category)
 
