@@ -14,11 +14,12 @@ SF = "/root/testdata/sf0.001"
 def test_signature_tracks_file_metadata(spark):
     d = tempfile.mkdtemp(prefix="trestle-sig-")
     shutil.copy(f"{SF}/region.parquet", f"{d}/region.parquet")
-    a = staging.input_signature(spark, [f"{d}/region.parquet"])
-    assert a == staging.input_signature(spark, [f"{d}/region.parquet"])
+    a = staging.input_signature(spark, [f"{d}/region.parquet"], ttl=0)
+    assert a == staging.input_signature(spark, [f"{d}/region.parquet"], ttl=0)
     os.utime(f"{d}/region.parquet", (1, 1))
-    assert a != staging.input_signature(spark, [f"{d}/region.parquet"])
-    assert staging.input_signature(spark, [f"{d}/absent.parquet"]) != a
+    assert staging.input_signature(spark, [f"{d}/region.parquet"], ttl=3600) == a  # cached listing
+    assert a != staging.input_signature(spark, [f"{d}/region.parquet"], ttl=0)
+    assert staging.input_signature(spark, [f"{d}/absent.parquet"], ttl=0) != a
 
 
 def test_stage_table_writes_once(spark):

@@ -22,6 +22,7 @@ file instead of recomputing the joins that produced it.
 from __future__ import annotations
 
 import hashlib
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,9 +45,29 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def input_signature(spark: SparkSession, paths: list[str]) -> str:
+# Input listings are re-checked at most this often (the dashboards refresh
+# their data on the same kind of timer); 0 re-lists on every call.
+SIGNATURE_TTL_SECONDS = 60.0
+_SIGNATURES: dict[tuple[str, ...], tuple[float, str]] = {}
+
+
+def input_signature(spark: SparkSession, paths: list[str], ttl: float | None = None) -> str:
     """Hash of (path, length, modification time) of every file under the
-    given paths; metadata only, the data is not read."""
+    given paths; metadata only, the data is not read.  A listing younger
+    than ``ttl`` seconds (default ``SIGNATURE_TTL_SECONDS``) is reused, so a
+    burst of page queries lists a large input once."""
+    key = tuple(sorted(paths))
+    limit = SIGNATURE_TTL_SECONDS if ttl is None else ttl
+    hit = _SIGNATURES.get(key)
+    now = time.monotonic()
+    if hit is not None and now - hit[0] < limit:
+        return hit[1]
+    sig = _list_signature(spark, list(key))
+    _SIGNATURES[key] = (now, sig)
+    return sig
+
+
+def _list_signature(spark: SparkSession, paths: list[str]) -> str:
     h = hashlib.sha256()
     for path in sorted(paths):
         fs, p = _fs(spark, path)
