@@ -71,3 +71,9 @@ def process_display_name(process: Column | str) -> Column:
 def kpi_display_name(kpi_name: Column | str) -> Column:
     """Upper case; null or empty -> ``N/A``."""
     return F.upper(F.coalesce(F.nullif(_c(kpi_name), F.lit("")), F.lit("N/A")))
+
+
+def format_whole(value: Column | str) -> Column:
+    """``f"{x:.0f}"``: no decimals, half-to-even; missing -> ``nan``."""
+    v = _c(value)
+    return F.when(v.isNull() | F.isnan(v), F.lit("nan")).otherwise(F.format_string("%.0f", F.bround(v, 0)))

@@ -214,7 +214,7 @@ def process_kpi_table(spark: SparkSession, model: Model, profile: Profile, sel:
         "actual_numeric",
         display.format_actual("actual_numeric", "unit").alias("actual_display"),
         "score",
-        F.format_string("%.0f", F.bround("score", 0)).alias("score_display"),
+        display.format_whole("score").alias("score_display"),
         "unrealized_value",
         "impact_label",
         "is_averaged",

@@ -1149,7 +1149,7 @@ def phase_summary(spark, d):
                 CASE WHEN actual_numeric IS NULL OR isnan(actual_numeric) THEN (CASE WHEN coalesce(unit = '%', false) THEN 'nan%' ELSE 'nan' END)
                      WHEN coalesce(unit = '%', false) THEN printf('%.0f', actual_numeric * 100) || '%'
                      ELSE printf('%.1f', actual_numeric) END AS actual_display,
-                score, printf('%.0f', score) AS score_display, unrealized_value, {LABEL_CASE} AS impact_label, is_averaged,
+                score, CASE WHEN score IS NULL OR isnan(score) THEN 'nan' ELSE printf('%.0f', score) END AS score_display, unrealized_value, {LABEL_CASE} AS impact_label, is_averaged,
                 coalesce(t.definition, '{dims.DEFAULT_DEFINITION_PREFIX}' || trim(coalesce(CAST(kpi_name AS VARCHAR), ''))
                          || '{dims.DEFAULT_DEFINITION_SUFFIX}') AS definition
          FROM lab2 LEFT JOIN kpi_text t ON t.kpi_key = {KEY}""",
