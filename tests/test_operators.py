@@ -266,3 +266,45 @@ def test_hand_golden_schedule_means(spark):
     assert round(A.overall_score(summary).first()[0], 6) == 41.316675
     phases = {r.phase: round(r.phase_score, 6) for r in A.phase_components(summary, PHASE_SCORE_COLUMNS_MAIN).collect()}
     assert phases == {"bidding": 32.3, "preconstruction": 48.8665, "construction": 41.8602, "closeout": 42.24}
+
+
+def test_f10_main_item_filter_and_counts(spark):
+    from trestle.operators import items as IT
+
+    items = spark.createDataFrame(
+        [("P1", "N", "M1", "Cost", 3.0, 1), ("P2", "N", "M2", "Cost", 5.0, 2), ("P3", "S", "M1", "Safety", 9.0, 3)],
+        "projectId string, region string, projectManager string, impact_category string, weight double, event_id long")
+    kept = IT.filter_items_main(items, Selection(region="N"), "Cost")
+    assert sorted(r.projectId for r in kept.collect()) == ["P1", "P2"]
+    counts = IT.filter_counts(items, kept).first()
+    assert (counts.original_count, counts.filtered_count) == (3, 2)
+    top = IT.top_items_by_weight(items, k=2).orderBy("rank").collect()
+    assert [r.event_id for r in top] == [3, 2]
+
+
+def test_f10_optional_columns_are_skipped(spark):
+    from trestle.operators import items as IT
+
+    items = spark.createDataFrame([("P1", "A"), ("P2", "B")], "projectId string, office_name string")
+    # no project_stage column: that filter is silently disabled
+    got = IT.filter_items_optional(items, Selection(office="A", stage="Closeout"))
+    assert [r.projectId for r in got.collect()] == ["P1"]
+
+
+def test_value_slider_labels():
+    from trestle.config import value_label_to_number, value_options
+
+    opts = value_options()
+    assert opts[0] == "$0" and opts[3] == "$1,000,000" and opts[-1] == "> $1,000,000,000"
+    assert value_label_to_number("$5,000,000") == 5e6 and value_label_to_number(opts[-1]) is None
+
+
+def test_j4_definition_lookup_modes(spark):
+    df = spark.createDataFrame([("RFI Lead Time",), ("rfi lead time",), ("Unknown KPI",)], "kpi_name string")
+    lower = {r.kpi_name: r.definition for r in J.attach_definition(spark, df).collect()}
+    assert lower["RFI Lead Time"] == lower["rfi lead time"] != lower["Unknown KPI"]
+    assert "Unknown KPI" in lower["Unknown KPI"]
+    exact = {r.kpi_name: r.definition for r in J.attach_definition(spark, df, fallback="fixed", exact_case=True).collect()}
+    from trestle.sources import dims
+
+    assert exact["RFI Lead Time"] == dims.NO_DEFINITION and exact["rfi lead time"] != dims.NO_DEFINITION

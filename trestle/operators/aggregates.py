@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trestle.functions.parse import nan_to_null, parse_date, parse_money, parse_value
-from trestle.operators.cleaning import pick_column
 
 
 def first_non_null(col: str, order_cols: list[str] | tuple[str, ...]) -> Column:
@@ -196,6 +195,3 @@ def facet_date_bounds(meta: DataFrame) -> DataFrame:
     """Min / max start date over the project meta."""
     return meta.agg(F.min("startDate").alias("date_min"), F.max("startDate").alias("date_max"))
 
-
-def top_weight_column(kpis: DataFrame, candidates: tuple[str, ...]) -> str | None:
-    return pick_column(kpis, candidates)

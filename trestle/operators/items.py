@@ -78,12 +78,9 @@ def shaped(top: DataFrame) -> DataFrame:
 
 
 def top_items_by_weight(items: DataFrame, k: int = TOP_K, tie: str = "event_id") -> DataFrame:
-    """L2: top k items by weight (main)."""
-    return top_items(items, "weight", k, tie).select(
-        "rank", "action_item_type" if "action_item_type" in items.columns else "item_type",
-        "description" if "description" in items.columns else "risky_id",
-        "required_action", "weight", tie,
-    )
+    """L2: top k items by weight (main); every item column is kept, plus
+    ``rank``."""
+    return top_items(items, "weight", k, tie)
 
 
 def top_items_by_risk(items: DataFrame, k: int = TOP_K, tie: str = "event_id") -> DataFrame:

@@ -22,9 +22,9 @@ def attach_coverage(rolled: DataFrame, coverage: DataFrame, keys: tuple[str, ...
 def _text_lookup(spark: SparkSession, df: DataFrame, kpi_col: str, text_col: str, exact_case: bool) -> DataFrame:
     texts = dims.kpi_text_dim(spark).select("kpi_key", text_col)
     if exact_case:
-        # Keys are compared as written (the cloud dashboards' dictionaries).
-        key = F.trim(F.coalesce(F.col(kpi_col).cast("string"), F.lit("")))
-        texts = texts.withColumn("kpi_key", F.col("kpi_key"))
+        # The name as written must equal the key (the cloud dashboards'
+        # dictionaries are looked up without lower-casing).
+        key = F.coalesce(F.col(kpi_col).cast("string"), F.lit(""))
     else:
         key = dims.kpi_key(kpi_col)
     return df.withColumn("_kpi_key", key).join(F.broadcast(texts), F.col("_kpi_key") == F.col("kpi_key"), "left").drop(
@@ -32,10 +32,13 @@ def _text_lookup(spark: SparkSession, df: DataFrame, kpi_col: str, text_col: str
     )
 
 
-def attach_definition(spark: SparkSession, df: DataFrame, kpi_col: str = "kpi_name", fallback: str = "sentence") -> DataFrame:
-    """Definition by lower-cased name; else a sentence holding the name
+def attach_definition(
+    spark: SparkSession, df: DataFrame, kpi_col: str = "kpi_name", fallback: str = "sentence", exact_case: bool = False
+) -> DataFrame:
+    """Definition by lower-cased name (main) or by the name as written
+    (``exact_case``, cloud variants); else a sentence holding the name
     (``fallback="sentence"``) or one fixed default text (``"fixed"``)."""
-    j = _text_lookup(spark, df, kpi_col, "definition", exact_case=False)
+    j = _text_lookup(spark, df, kpi_col, "definition", exact_case)
     if fallback == "sentence":
         name = F.trim(F.coalesce(F.col(kpi_col).cast("string"), F.lit("")))
         default = F.concat(F.lit(dims.DEFAULT_DEFINITION_PREFIX), name, F.lit(dims.DEFAULT_DEFINITION_SUFFIX))

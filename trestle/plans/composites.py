@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trestle.config import IMPACT_FACTORS, Profile, Selection
+from trestle.config import Profile, Selection
 from trestle.functions import display, scoring
 from trestle.operators import aggregates as A
 from trestle.operators import filters as FL
@@ -26,9 +26,6 @@ from trestle.operators.scoreboard import SORT_COLUMNS, scoreboard
 from trestle.sources import dims
 from trestle.sources.model import Model
 
-CARD_SCHEMA = ("section", "name", "rank", "value", "detail")
-
-
 def _card(df: DataFrame, section: str, name, rank, value, detail=None) -> DataFrame:
     return df.select(
         F.lit(section).alias("section"),
@@ -319,5 +316,3 @@ def action_item_list(spark: SparkSession, model: Model, profile: Profile, sel: S
     cols = ["scope", "rank", "projectId", "item_type_display", "item_display", "required_action", "risk_value", model.item_key]
     return overall.select(*cols).unionByName(per_phase.select(*cols))
 
-
-IMPACT_KEYS = tuple(IMPACT_FACTORS)

@@ -847,7 +847,7 @@ ITEM_TOP_SQL = (
 @reg("top_items_by_weight", ITEM_TOP_SQL.format(m="weight").replace("risk_value,", "weight,"),
      dbl=("weight",), ints=("event_id", "rank"))
 def top_items_by_weight(spark, d):
-    return R.top_items(raw_model(spark, d).action_items, "weight").select("event_id", "weight", "rank")
+    return IT.top_items_by_weight(raw_model(spark, d).action_items).select("event_id", "weight", "rank")
 
 
 ITEM_TITLE_SQL = S.title("replace(item_type, '_', ' ')")
