@@ -26,9 +26,9 @@ from trestle.operators.scoreboard import SORT_COLUMNS, scoreboard
 from trestle.sources import dims
 from trestle.sources.model import Model
 
-def _card(df: DataFrame, section: str, name, rank, value, detail=None) -> DataFrame:
+def _card(df: DataFrame, section, name, rank, value, detail=None) -> DataFrame:
     return df.select(
-        F.lit(section).alias("section"),
+        (F.lit(section) if isinstance(section, str) else section).alias("section"),
         (F.col(name) if isinstance(name, str) else name).cast("string").alias("name"),
         (F.col(rank) if isinstance(rank, str) else rank).cast("int").alias("rank"),
         (F.col(value) if isinstance(value, str) else value).cast("double").alias("value"),
@@ -106,6 +106,27 @@ def _summary_card(summary: DataFrame, phase_columns: dict[str, str], with_overal
     )
 
 
+def _top_lists(spark: SparkSession, metrics: DataFrame, group_cols: tuple[str, ...] = ()) -> DataFrame:
+    """Both top-5 KPI lists of a page (A8 with strength text, A9 with
+    guidance) from ONE metrics aggregate: the two metrics are unpivoted into
+    (list, KPI, value) rows and ranked by one window partitioned by list (and
+    ``group_cols``).  Separate top-k branches would each be column-pruned to
+    one metric, so Spark could not share their scan and shuffle."""
+    lists = [("top_performing", "score_weighted")]
+    if "priority_metric" in metrics.columns:
+        lists.append(("top_priority", "priority_metric"))
+    rows = metrics.select(
+        *group_cols,
+        "kpi_name",
+        F.explode(F.array(*[F.struct(F.lit(s).alias("section"), F.col(m).alias("value")) for s, m in lists])).alias("x"),
+    ).select(*group_cols, "kpi_name", "x.section", "x.value")
+    top = R.top_of(rows.withColumnRenamed("value", "metric"), "metric", (*group_cols, "section"))
+    texts = J.attach_guidance(spark, J.attach_strength(spark, top))
+    name = F.concat_ws("|", *group_cols, "kpi_name") if group_cols else F.col("kpi_name")
+    detail = F.when(F.col("section") == "top_performing", F.col("strength")).otherwise(F.col("guidance"))
+    return _card(texts, F.col("section"), name, "rank", "metric", detail)
+
+
 def executive_summary(spark: SparkSession, model: Model, profile: Profile, sel: Selection) -> DataFrame:
     """Q1: CR-score, impact estimates, phase components, top-5 performing
     KPIs (with strength text) and top-5 priority KPIs (with guidance).
@@ -115,16 +136,7 @@ def executive_summary(spark: SparkSession, model: Model, profile: Profile, sel:
     for both top-5 lists."""
     _, summary = selections(model, sel)
     kpis = FL.filter_category(all_kpis(model, summary, profile), sel.category)
-    metrics = R.kpi_metrics(kpis)
-    top_perf = J.attach_strength(spark, R.top_of(metrics, "score_weighted"))
-    parts = [
-        _summary_card(summary, profile.phase_score_columns),
-        _card(top_perf, "top_performing", "kpi_name", "rank", "score_weighted", "strength"),
-    ]
-    top_prio = R.top_of(metrics, "priority_metric")
-    if top_prio is not None:
-        parts.append(_card(J.attach_guidance(spark, top_prio), "top_priority", "kpi_name", "rank", "priority_metric", "guidance"))
-    return _union(parts)
+    return _union([_summary_card(summary, profile.phase_score_columns), _top_lists(spark, R.kpi_metrics(kpis))])
 
 
 # --- Q2 -------------------------------------------------------------------
@@ -172,20 +184,14 @@ def phase_summary(spark: SparkSession, model: Model, profile: Profile, sel: Sele
     means = A.process_scores(procs, ("phase",))
     listed = J.processes_with_default(spark, means, model.phases)
     kpis = FL.propagate_projects(model.kpis, summary)
-    metrics = R.kpi_metrics(kpis, ("phase",))
-    top_perf = J.attach_strength(spark, R.top_of(metrics, "score_weighted", ("phase",)))
     parts = [
         _card(phase_scores, "phase_score", "phase", "position", "phase_score"),
         _card(
             listed, "process", F.concat_ws("|", "phase", "process_name"), "position", "process_score",
             F.concat(display.process_display_name("process_name"), F.lit("|"), scoring.bar_score("process_score").cast("string")),
         ),
-        _card(top_perf, "top_performing", F.concat_ws("|", "phase", "kpi_name"), "rank", "score_weighted", "strength"),
+        _top_lists(spark, R.kpi_metrics(kpis, ("phase",)), ("phase",)),
     ]
-    top_prio = R.top_of(metrics, "priority_metric", ("phase",))
-    if top_prio is not None:
-        top_prio = J.attach_guidance(spark, top_prio)
-        parts.append(_card(top_prio, "top_priority", F.concat_ws("|", "phase", "kpi_name"), "rank", "priority_metric", "guidance"))
     return _union(parts)
 
 
@@ -277,7 +283,8 @@ def _gap_lists(model: Model, profile: Profile, summary: DataFrame, category: str
 
 def cost_improvement_card(spark: SparkSession, model: Model, profile: Profile, sel: Selection) -> DataFrame:
     """Q7 (cloud variants): per phase mean score and cost improvement (the
-    profile's model), and their total (0 when nothing is selected)."""
+    profile's model), and their total (0 when nothing is selected) -- one
+    aggregation over the selected scorecard rows, one explode."""
     _, summary = selections(model, sel)
     cols = profile.phase_score_columns
     wide = summary.agg(
@@ -288,20 +295,21 @@ def cost_improvement_card(spark: SparkSession, model: Model, profile: Profile, s
     total = None
     for v in imps.values():
         total = v if total is None else total + v
-    wide = wide.withColumn("total", F.when(F.col("_n") == 0, F.lit(0.0)).otherwise(total))
-    rows = wide.select(
-        F.explode(
-            F.array(*[
-                F.struct(F.lit(p).alias("p"), F.lit(i + 1).alias("i"), F.col(p).alias("s"), imps[p].alias("v"))
-                for i, p in enumerate(cols)
-            ])
-        ).alias("x"),
+    total = F.when(F.col("_n") == 0, F.lit(0.0)).otherwise(total)
+
+    def row(section: str, name: str, rank, value):
+        return F.struct(
+            F.lit(section).alias("section"), F.lit(name).alias("name"),
+            (F.lit(rank) if rank is not None else F.lit(None)).cast("int").alias("rank"),
+            value.cast("double").alias("value"),
+        )
+
+    rows = [row("phase_score", p, i, F.col(p)) for i, p in enumerate(cols, start=1)]
+    rows += [row("improvement", p, i, imps[p]) for i, p in enumerate(cols, start=1)]
+    rows.append(row("total", "total", None, total))
+    return wide.select(F.explode(F.array(*rows)).alias("x")).select(
+        "x.section", "x.name", "x.rank", "x.value", F.lit(None).cast("string").alias("detail")
     )
-    return _union([
-        _card(rows, "phase_score", "x.p", "x.i", "x.s"),
-        _card(rows, "improvement", "x.p", "x.i", "x.v"),
-        _card(wide, "total", F.lit("total"), F.lit(None), "total"),
-    ])
 
 
 # --- Q8 -------------------------------------------------------------------
