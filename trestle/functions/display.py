@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trestle.functions.memo import plain_args_cache
+
 from trestle.config import PROCESS_DISPLAY_OVERRIDES
 
 
@@ -16,6 +18,7 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+@plain_args_cache
 def format_actual(value: Column | str, unit: Column | str) -> Column:
     """Unit ``%`` -> value x 100, no decimals, ``%``; else one decimal.
 
@@ -29,6 +32,7 @@ def format_actual(value: Column | str, unit: Column | str) -> Column:
     return F.when(v.isNull() | F.isnan(v), nan_text).otherwise(shown)
 
 
+@plain_args_cache
 def format_money(value: Column | str) -> Column:
     """X11: ``$1,234`` (no decimals) or ``N/A``."""
     v = _c(value)
@@ -37,11 +41,13 @@ def format_money(value: Column | str) -> Column:
     )
 
 
+@plain_args_cache
 def format_date(value: Column | str) -> Column:
     """``MM/dd/yyyy`` or ``N/A``."""
     return F.coalesce(F.date_format(_c(value), "MM/dd/yyyy"), F.lit("N/A"))
 
 
+@plain_args_cache
 def title_case(text: Column | str) -> Column:
     """Python ``str.title``: upper-case a letter that follows a non-letter,
     lower-case every other letter (``'o&m manuals'`` -> ``'O&M Manuals'``)."""
@@ -55,11 +61,13 @@ def title_case(text: Column | str) -> Column:
     return F.array_join(F.transform(chars, fix), "")
 
 
+@plain_args_cache
 def title_item_type(item_type: Column | str) -> Column:
     """``'punch_item'`` -> ``'Punch Item'``."""
     return title_case(F.regexp_replace(_c(item_type), "_", " "))
 
 
+@plain_args_cache
 def process_display_name(process: Column | str) -> Column:
     """Override table, else camelCase split + title case."""
     p = _c(process)
@@ -68,11 +76,13 @@ def process_display_name(process: Column | str) -> Column:
     return F.coalesce(F.try_element_at(overrides, p), split)
 
 
+@plain_args_cache
 def kpi_display_name(kpi_name: Column | str) -> Column:
     """Upper case; null or empty -> ``N/A``."""
     return F.upper(F.coalesce(F.nullif(_c(kpi_name), F.lit("")), F.lit("N/A")))
 
 
+@plain_args_cache
 def format_whole(value: Column | str) -> Column:
     """``f"{x:.0f}"``: no decimals, half-to-even; missing -> ``nan``."""
     v = _c(value)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trestle.functions.memo import plain_args_cache
+
 from trestle.config import NA_WORDS
 
 # A plain decimal number with optional sign and exponent.
@@ -34,34 +36,40 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+@plain_args_cache
 def na_to_null(col: Column | str) -> Column:
     """Missing-value words (``'NA'``, ``'n/a'``, ``''`` ...) become null."""
     c = _c(col)
     return F.when(c.isin(*NA_WORDS), F.lit(None)).otherwise(c)
 
 
+@plain_args_cache
 def nan_to_null(col: Column | str) -> Column:
     """Floating NaN becomes null, so aggregates skip it like pandas does."""
     c = _c(col)
     return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
 
 
+@plain_args_cache
 def to_number(col: Column | str) -> Column:
     """String -> double, or null when the trimmed text is not a plain number."""
     s = F.trim(_c(col).cast("string"))
     return F.when(s.rlike(NUMERIC_PATTERN), s.try_cast("double"))
 
 
+@plain_args_cache
 def parse_value(col: Column | str) -> Column:
     """Drop every ``%``, trim, then numeric or null (``'85%'`` -> 85.0)."""
     return to_number(F.regexp_replace(_c(col).cast("string"), "%", ""))
 
 
+@plain_args_cache
 def parse_money(col: Column | str) -> Column:
     """Drop ``$`` and ``,``, then numeric or null (``'$1,234.50'`` -> 1234.5)."""
     return to_number(F.regexp_replace(_c(col).cast("string"), r"[$,]", ""))
 
 
+@plain_args_cache
 def parse_date(col: Column | str, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
     """First layout that parses, else null; returns a date."""
     s = F.trim(_c(col).cast("string"))
@@ -69,6 +77,7 @@ def parse_date(col: Column | str, formats: tuple[str, ...] = DATE_FORMATS) -> Co
     return F.to_date(F.coalesce(*tries))
 
 
+@plain_args_cache
 def zero_fill(col: Column | str) -> Column:
     """Numeric coercion with missing -> 0.0."""
     return F.coalesce(to_number(col), F.lit(0.0))
@@ -84,12 +93,14 @@ def zero_fill_double(col: Column | str) -> Column:
 ITEM_DISPLAY_PATTERN = r"([0-9]+\s*-\s*.+?)(?:\s*-\s*[A-Za-z]|$)"
 
 
+@plain_args_cache
 def item_display(risky_id: Column | str) -> Column:
     """C11: ``'12 - Roof leak - Open'`` -> ``'12 - Roof leak'``; no match -> the id."""
     rid = _c(risky_id)
     return F.coalesce(F.nullif(F.regexp_extract(rid, ITEM_DISPLAY_PATTERN, 1), F.lit("")), rid)
 
 
+@plain_args_cache
 def parse_people(col: Column | str) -> Column:
     """Comma list of people -> array of display names.
 

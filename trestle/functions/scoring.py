@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trestle.functions.memo import plain_args_cache
+
 from trestle.config import (
     GRADE_BOUNDS,
     IMPACT_FACTORS,
@@ -31,6 +33,7 @@ def _safe_pow(score: Column) -> Column:
     return F.when(score >= 0, F.pow(score, F.lit(IMPROVEMENT_EXPONENT)))
 
 
+@plain_args_cache
 def phase_improvement(score: Column | str, phase: str, model: str = "power") -> Column:
     """Cost improvement of one phase's mean score.
 
@@ -55,6 +58,7 @@ def phase_improvement(score: Column | str, phase: str, model: str = "power") ->
     raise ValueError(f"unknown improvement model {model!r}")
 
 
+@plain_args_cache
 def grade(score: Column | str) -> Column:
     """A>=80, B>=60, C>=40, D>=20, else F; null or NaN -> F."""
     s = _c(score)
@@ -65,6 +69,7 @@ def grade(score: Column | str) -> Column:
     return expr.otherwise(F.lit("F"))
 
 
+@plain_args_cache
 def ratio_band(actual: Column | str, possible: Column | str) -> Column:
     """Band 1..5 of actual/possible at .2/.4/.6/.8; possible 0 or null -> ratio 0."""
     a, p = _c(actual), _c(possible)
@@ -75,12 +80,14 @@ def ratio_band(actual: Column | str, possible: Column | str) -> Column:
     return expr.otherwise(F.lit(len(RATIO_BAND_BOUNDS) + 1))
 
 
+@plain_args_cache
 def bar_score(score: Column | str) -> Column:
     """Integer part of the score, null -> 0 (horizontal bar)."""
     s = _c(score)
     return F.coalesce(F.when(~F.isnan(s), s.cast("long")), F.lit(0).cast("long"))
 
 
+@plain_args_cache
 def meter_score(score: Column | str) -> Column:
     """Score clamped to [0, 100], null -> 0 (circular meter)."""
     s = F.coalesce(_c(score).cast("double"), F.lit(0.0))

@@ -50,7 +50,7 @@ def attach_definition(
 def attach_guidance(spark: SparkSession, df: DataFrame, kpi_col: str = "kpi_name") -> DataFrame:
     """Exact lookup, else the ordered keyword rules, else the default."""
     j = _text_lookup(spark, df, kpi_col, "guidance", exact_case=False)
-    return j.withColumn("guidance", F.coalesce(F.col("guidance"), dims.guidance_rule_text(F.col("_kpi_key")))).drop(
+    return j.withColumn("guidance", F.coalesce(F.col("guidance"), dims.guidance_rule_text("_kpi_key"))).drop(
         "_kpi_key"
     )
 

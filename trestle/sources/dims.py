@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trestle.config import PHASE_CATEGORY_MULTIPLIERS, CATEGORY_MULTIPLIERS, PROCESSES_BY_PHASE
+from trestle.functions.memo import plain_args_cache
 
 KPI_TEXT_SCHEMA = T.StructType(
     [
@@ -81,9 +82,20 @@ def kpi_key(name: Column | str) -> Column:
     return F.lower(F.trim(F.coalesce(c.cast("string"), F.lit(""))))
 
 
+_DIM_FRAMES: dict[tuple[int, str], DataFrame] = {}
+
+
+def _per_session(spark: SparkSession, name: str, build) -> DataFrame:
+    # Small literal frames are immutable plans: build once per session.
+    key = (id(spark), name)
+    if key not in _DIM_FRAMES:
+        _DIM_FRAMES[key] = build()
+    return _DIM_FRAMES[key]
+
+
 def kpi_text_dim(spark: SparkSession) -> DataFrame:
     """KPI text dimension keyed by ``lower(trim(kpi_name))``."""
-    return spark.createDataFrame(KPI_TEXTS, KPI_TEXT_SCHEMA)
+    return _per_session(spark, "kpi_text", lambda: spark.createDataFrame(KPI_TEXTS, KPI_TEXT_SCHEMA))
 
 
 def kpi_text_from_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -91,8 +103,10 @@ def kpi_text_from_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(KPI_TEXT_SCHEMA).option("header", True).csv(path)
 
 
-def guidance_rule_text(key: Column) -> Column:
-    """Ordered keyword rules on a lower-cased KPI name, then the default."""
+@plain_args_cache
+def guidance_rule_text(key_col: str) -> Column:
+    """Ordered keyword rules on a lower-cased KPI name column, then the default."""
+    key = F.col(key_col)
     expr = None
     for all_of, any_of, text in GUIDANCE_RULES:
         cond = F.lit(True)
@@ -114,19 +128,23 @@ def process_dim(spark: SparkSession, phases: tuple[str, ...] | None = None) -> D
         if phases is None or phase in phases:
             rows.extend((phase, p, i) for i, p in enumerate(procs, start=1))
     schema = "phase string, process_name string, position int"
-    return spark.createDataFrame(rows, schema)
+    return _per_session(spark, f"process:{phases}", lambda: spark.createDataFrame(rows, schema))
 
 
 def category_multiplier_dim(spark: SparkSession) -> DataFrame:
     """Impact category multipliers (legacy card), in display order."""
     rows = [(c, m, i) for i, (c, m) in enumerate(CATEGORY_MULTIPLIERS.items(), start=1)]
-    return spark.createDataFrame(rows, "impact_category string, multiplier double, position int")
+    return _per_session(
+        spark, "category", lambda: spark.createDataFrame(rows, "impact_category string, multiplier double, position int")
+    )
 
 
 def phase_multiplier_dim(spark: SparkSession) -> DataFrame:
     """Phase x category multipliers (legacy card)."""
     rows = [(p, c, m) for p, cm in PHASE_CATEGORY_MULTIPLIERS.items() for c, m in cm.items()]
-    return spark.createDataFrame(rows, "phase string, impact_category string, multiplier double")
+    return _per_session(
+        spark, "phase_mult", lambda: spark.createDataFrame(rows, "phase string, impact_category string, multiplier double")
+    )
 
 
 def item_phase_dim(spark: SparkSession, mapping: dict[str, str]) -> DataFrame:
