@@ -18,6 +18,7 @@ time the same frame can be partitioned by ``phase`` for pruning.
 from __future__ import annotations
 
 import threading
+import warnings
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -184,7 +185,7 @@ def from_tpch(spark: SparkSession, sf_dir: str, staged: bool = True) -> Model:
         key = (id(spark), base, sig)
         if key in _STAGED:
             return _STAGED[key]
-    if not staged:
+    else:
         m = tpch.load_model(spark, base)
         return Model(
             scorecard=m.scorecard,
@@ -195,25 +196,37 @@ def from_tpch(spark: SparkSession, sf_dir: str, staged: bool = True) -> Model:
             item_key="event_id",
             phases=("bidding", "preconstruction", "construction", "closeout"),
         )
-    root = f"{staging.staging_root(spark)}/tpch-{staging.STAGE_VERSION}-{sig}"
     with _STAGE_LOCK:
-        if key not in _STAGED:
-            # The join tree of the adapter runs once: the KPI facts are
-            # staged first and every other table is derived from the files.
-            kpis = staging.stage_table(spark, tpch.kpi_rows(spark, base), f"{root}/kpis", "phase", "projectId")
-            model = Model(
-                scorecard=tpch.scorecard(kpis),
-                processes=tpch.processes(kpis),
-                kpis=kpis,
-                action_items=tpch.action_items(spark, base),
-                order_cols=tpch.ROW_KEY,
-                item_key="event_id",
-                phases=("bidding", "preconstruction", "construction", "closeout"),
-            )
-            _STAGED[key] = stage_model(spark, model, root)
+        if key in _STAGED:
+            return _STAGED[key]
+        try:
+            root = f"{staging.staging_root(spark)}/tpch-{staging.STAGE_VERSION}-{sig}"
+            _STAGED[key] = _stage_tpch(spark, base, root)
+        except Exception as exc:  # noqa: BLE001 - e.g. no writable shared folder
+            warnings.warn(f"staging skipped ({exc.__class__.__name__}: {str(exc)[:200]}); using the unstaged model")
+            return from_tpch(spark, base, staged=False)
     return _STAGED[key]
 
 
+def _stage_tpch(spark: SparkSession, base: str, root: str) -> Model:
+    """Stage the adapter's tables under ``root``.  The join tree runs once:
+    the KPI facts are staged first and every other table is derived from
+    those files."""
+    from trestle.sources import staging, tpch
+
+    kpis = staging.stage_table(spark, tpch.kpi_rows(spark, base), f"{root}/kpis", "phase", "projectId")
+    model = Model(
+        scorecard=tpch.scorecard(kpis),
+        processes=tpch.processes(kpis),
+        kpis=kpis,
+        action_items=tpch.action_items(spark, base),
+        order_cols=tpch.ROW_KEY,
+        item_key="event_id",
+        phases=("bidding", "preconstruction", "construction", "closeout"),
+    )
+    return stage_model(spark, model, root)
+
+
 # Columns the consumers of the deduplicated KPI rows (A8, A9, A10) read.
 UNIQUE_KPI_COLUMNS = (
     "projectId", "phase", "impact_category", "kpi_name", "score", "name_flag",
