@@ -44,3 +44,31 @@ def test_matches_oracle(spark, con, name):
     assert len(rows) == len(orows)
     idx = [ocols.index(c) for c in df.columns]
     assert sorted(tuple(canon(v) for v in r) for r in rows) == sorted(tuple(canon(r[i]) for i in idx) for r in orows)
+
+
+COMPOSITES = ("executive_summary", "portfolio_scoreboard", "phase_summary", "process_kpi_table",
+              "process_kpi_report_card", "legacy_category_card", "cost_improvement_card", "action_item_list",
+              "propagate_projects", "scoreboard", "project_meta")
+
+
+@pytest.fixture()
+def no_broadcast(spark):
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    yield spark
+    for k, v in old.items():
+        if v is None:
+            spark.conf.unset(k)
+        else:
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", COMPOSITES)
+def test_matches_oracle_with_shuffle_joins(no_broadcast, con, name):
+    """The plans a large cluster runs (no side small enough to broadcast)."""
+    test_matches_oracle(no_broadcast, con, name)
+    plan = E.queries()[name](no_broadcast, SF)._jdf.queryExecution().executedPlan().toString()
+    if name == "propagate_projects":
+        assert "SortMergeJoin" in plan and "LeftSemi" in plan
