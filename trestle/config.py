@@ -149,6 +149,9 @@ class Profile:
     exclude_flagged_at_load: bool = False
     # whole-row dedup of every table at load (the cloud download helper)
     dedup_at_load: bool = False
+    # a phase is loaded only when both its files have rows (object-store
+    # variants) rather than merely exist (local variants)
+    phase_files_nonempty: bool = False
 
     @property
     def phases(self) -> tuple[str, ...]:
@@ -161,7 +164,7 @@ class Profile:
 PRESETS: dict[str, Profile] = {
     "main": Profile("main"),
     "app": Profile("app", item_phase_map=dict(ITEM_PHASE_MAP_LEGACY)),
-    "backup": Profile("backup", item_phase_map=dict(ITEM_PHASE_MAP_LEGACY)),
+    "backup": Profile("backup", item_phase_map=dict(ITEM_PHASE_MAP_LEGACY), phase_files_nonempty=True),
     "actual": Profile(
         "actual",
         categories=CATEGORIES_CLOUD,
@@ -169,6 +172,7 @@ PRESETS: dict[str, Profile] = {
         kpi_score_scale=100.0,
         excluded_kpis=ZERO_WEIGHT_KPIS,
         dedup_at_load=True,
+        phase_files_nonempty=True,
     ),
     "power": Profile(
         "power",
@@ -177,6 +181,7 @@ PRESETS: dict[str, Profile] = {
         kpi_score_scale=100.0,
         improvement_model="power",
         item_phase_map=dict(ITEM_PHASE_MAP_LEGACY),
+        phase_files_nonempty=True,
     ),
     "mixed": Profile(
         "mixed",
@@ -186,6 +191,7 @@ PRESETS: dict[str, Profile] = {
         improvement_model="mixed",
         exclude_flagged_at_load=True,
         dedup_at_load=True,
+        phase_files_nonempty=True,
     ),
 }
 

@@ -110,6 +110,8 @@ def load_csv_model(
             continue
         p = dedup(canonical_names(files.read_csv(spark, p_path, files.PROCESS_SCHEMA)))
         k = dedup(_with_file_order(canonical_names(files.read_csv(spark, k_path, files.KPI_SCHEMA))), ORDER_COLS)
+        if profile.phase_files_nonempty and (_is_empty(p) or _is_empty(k)):
+            continue
         if profile.exclude_flagged_at_load:
             p, k = exclude_flagged(_flag_name(p)), exclude_flagged(_flag_name(k))
         procs.append(p.withColumn("phase", F.lit(phase)))
@@ -137,6 +139,11 @@ def load_csv_model(
     )
 
 
+def _is_empty(df: DataFrame) -> bool:
+    # One row is enough: reads the first split only.
+    return not df.limit(1).collect()
+
+
 def _no_order(df: DataFrame) -> DataFrame:
     return (
         df.withColumn("_file", F.lit(None).cast("string"))
