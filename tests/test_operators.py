@@ -308,3 +308,9 @@ def test_j4_definition_lookup_modes(spark):
     from trestle.sources import dims
 
     assert exact["RFI Lead Time"] == dims.NO_DEFINITION and exact["rfi lead time"] != dims.NO_DEFINITION
+
+
+def test_a5_coverage_without_projects_is_null_not_an_error(spark):
+    rows = [(None, "p", "a", "K1", "1", "", "", 1.0, 1.0, 1)]
+    r = A.kpi_rollup(kpis(spark, rows), ("phase", "process_name"), ("rk",), with_coverage=True).first()
+    assert r.percent_of_projects is None and not r.is_averaged

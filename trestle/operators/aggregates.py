@@ -126,7 +126,7 @@ def kpi_rollup(
             F.avg(nan_to_null("unrealized_value")).alias("unrealized_value"),
             first_non_null("bp_range_display", order).alias("bp_range_display"),
             first_non_null("unit", order).alias("unit"),
-            (cov_num * 100.0 / F.max("n_projects")).alias("percent_of_projects"),
+            F.try_divide(cov_num * 100.0, F.max("n_projects")).alias("percent_of_projects"),
             F.lit(True).alias("is_averaged"),
         )
     )
@@ -138,7 +138,7 @@ def kpi_rollup(
     if with_coverage:
         cov = (
             single.groupBy(*gk, "kpi_name")
-            .agg((cov_num * 100.0 / F.max("n_projects")).alias("percent_of_projects"))
+            .agg(F.try_divide(cov_num * 100.0, F.max("n_projects")).alias("percent_of_projects"))
         )
         single = single.join(cov, [*gk, "kpi_name"], "left")
     single = single.withColumn("is_averaged", F.lit(False)).select(*out_cols)

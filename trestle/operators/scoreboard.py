@@ -47,7 +47,7 @@ def scoreboard(summary: DataFrame, meta: DataFrame | None, segment_by: str = "Pr
             .withColumn("endDate", F.lit(None).cast("date"))
         )
     return per_project.groupBy("Segment").agg(
-        (F.sum("_s") / F.sum("_n")).alias("cr_score"),
+        F.try_divide(F.sum("_s"), F.sum("_n")).alias("cr_score"),
         F.sum("projValue").alias("est_project_value"),
         F.min("startDate").alias("est_start_date"),
         F.max("endDate").alias("est_end_date"),
