@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from trestle.functions.memo import plain_args_cache
+from trestle.functions.parse import nan_to_null
 
 from trestle.config import (
     GRADE_BOUNDS,
@@ -84,11 +85,12 @@ def ratio_band(actual: Column | str, possible: Column | str) -> Column:
 def bar_score(score: Column | str) -> Column:
     """Integer part of the score, null -> 0 (horizontal bar)."""
     s = _c(score)
-    return F.coalesce(F.when(~F.isnan(s), s.cast("long")), F.lit(0).cast("long"))
+    # try_cast: an infinite or out-of-range score gives 0, never an error
+    return F.coalesce(F.when(~F.isnan(s), s.try_cast("long")), F.lit(0).cast("long"))
 
 
 @plain_args_cache
 def meter_score(score: Column | str) -> Column:
     """Score clamped to [0, 100], null -> 0 (circular meter)."""
-    s = F.coalesce(_c(score).cast("double"), F.lit(0.0))
+    s = F.coalesce(nan_to_null(_c(score).try_cast("double")), F.lit(0.0))
     return F.greatest(F.lit(0.0), F.least(s, F.lit(100.0)))
