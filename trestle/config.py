@@ -27,6 +27,10 @@ PROCESSES_BY_PHASE = {
     "closeout": ("finalDocumentation", "punchlistCompletion", "financialReconciliation", "clientHandover"),
 }
 
+# The cloud dashboards name the first phase "estimating"; its process list is
+# the one of "bidding".
+PHASE_ALIASES = {"estimating": "bidding"}
+
 # Display-name overrides for process keys; others are split on camelCase.
 PROCESS_DISPLAY_OVERRIDES = {
     "bidreview": "Bid Review",

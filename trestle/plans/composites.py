@@ -197,13 +197,20 @@ def phase_summary(spark: SparkSession, model: Model, profile: Profile, sel: Sele
 
 # --- Q4 -------------------------------------------------------------------
 
+def _configured(spark: SparkSession, model: Model, kpis: DataFrame) -> DataFrame:
+    """KPI rows of the configured processes of each loaded phase (the pages
+    show a KPI table only under a configured process).  The process list is
+    configuration-sized, so it is broadcast."""
+    proc = dims.process_dim(spark, model.phases).select("phase", "process_name")
+    return kpis.join(F.broadcast(proc), ["phase", "process_name"], "left_semi")
+
+
 def process_kpi_table(spark: SparkSession, model: Model, profile: Profile, sel: Selection) -> DataFrame:
     """Q4: the KPI table of every process of every phase (category cut,
     rollup when more than one project, labels, definitions, display text)."""
     _, summary = selections(model, sel)
-    kpis = FL.filter_category(FL.propagate_projects(model.kpis, summary), sel.category)
+    kpis = _configured(spark, model, FL.filter_category(FL.propagate_projects(model.kpis, summary), sel.category))
     groups = ("phase", "process_name")
-    kpis = kpis.where(F.col("process_name").isNotNull())
     rolled = A.kpi_rollup(kpis, groups, model.order_cols)
     labelled = R.priority_label(rolled, groups)
     with_def = J.attach_definition(spark, labelled)
@@ -231,9 +238,8 @@ def process_kpi_report_card(spark: SparkSession, model: Model, profile: Profile,
     """Q5 (cloud variants): per process, KPI rollup with coverage, score on
     0-100, priority rank by unrealized value, letter grade."""
     _, summary = selections(model, sel)
-    kpis = FL.filter_category(FL.propagate_projects(model.kpis, summary), sel.category)
+    kpis = _configured(spark, model, FL.filter_category(FL.propagate_projects(model.kpis, summary), sel.category))
     groups = ("phase", "process_name")
-    kpis = kpis.where(F.col("process_name").isNotNull())
     rolled = A.kpi_rollup(kpis, groups, model.order_cols, with_coverage=True, coverage_basis=profile.coverage_basis)
     scaled = rolled.withColumn("score", F.col("score") * profile.kpi_score_scale)
     ranked = R.priority_rank(scaled, groups)

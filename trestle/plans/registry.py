@@ -498,6 +498,10 @@ rolled AS (
 
 SEL_KPIS = "(SELECT * FROM kpis WHERE impact_category = 'Schedule' AND projectId IN (SELECT projectId FROM sc WHERE impact_category = 'Schedule'))"
 CSEL_KPIS = "(SELECT * FROM ckpis WHERE impact_category = 'cost' AND projectId IN (SELECT projectId FROM csc WHERE impact_category = 'cost'))"
+# the same, restricted to the configured processes of each phase (pages)
+SEL_KPIS_CONF = f"(SELECT * FROM {SEL_KPIS} WHERE (phase, process_name) IN (SELECT phase, process_name FROM pdim))"
+CSEL_KPIS_CONF = ("(SELECT * FROM " + CSEL_KPIS + " WHERE (CASE phase WHEN 'estimating' THEN 'bidding' ELSE phase END, "
+                  "process_name) IN (SELECT phase, process_name FROM pdim))")
 
 
 def _rolled_main(spark, d, coverage=False, basis="rows", scale=1.0):
@@ -1153,7 +1157,7 @@ def phase_summary(spark, d):
                 coalesce(t.definition, '{dims.DEFAULT_DEFINITION_PREFIX}' || trim(coalesce(CAST(kpi_name AS VARCHAR), ''))
                          || '{dims.DEFAULT_DEFINITION_SUFFIX}') AS definition
          FROM lab2 LEFT JOIN kpi_text t ON t.kpi_key = {KEY}""",
-     ctes=_rollup_sql(SEL_KPIS, False) + """,
+     ctes=_process_dim_values() + ",\n" + _rollup_sql(SEL_KPIS_CONF, False) + """,
 lab2 AS (SELECT *, coalesce(unrealized_value, 0.0) AS uv0,
                 row_number() OVER (PARTITION BY phase, process_name ORDER BY round(coalesce(unrealized_value, 0.0), 6) DESC, kpi_name) AS position,
                 count(*) OVER (PARTITION BY phase, process_name) AS n
@@ -1170,7 +1174,7 @@ def process_kpi_table(spark, d):
                 row_number() OVER (PARTITION BY phase, process_name ORDER BY round(unrealized_value, 6) DESC NULLS LAST, kpi_name) AS priority,
                 kpi_name, percent_of_projects, bp_range_display, actual_numeric, score, {S.grade('score')} AS grade, unrealized_value
          FROM rolled""",
-     ctes=_rollup_sql(CSEL_KPIS, True, "100.0"),
+     ctes=_process_dim_values() + ",\n" + _rollup_sql(CSEL_KPIS_CONF, True, "100.0"),
      dbl=("percent_of_projects", "actual_numeric", "score", "unrealized_value"), ints=("priority",))
 def process_kpi_report_card(spark, d):
     """Q5 KPI report card (cloud variant with coverage, rank and grade)."""

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trestle.config import PHASE_CATEGORY_MULTIPLIERS, CATEGORY_MULTIPLIERS, PROCESSES_BY_PHASE
+from trestle.config import PHASE_ALIASES, PHASE_CATEGORY_MULTIPLIERS, CATEGORY_MULTIPLIERS, PROCESSES_BY_PHASE
 from trestle.functions.memo import plain_args_cache
 
 KPI_TEXT_SCHEMA = T.StructType(
@@ -122,11 +122,12 @@ def guidance_rule_text(key_col: str) -> Column:
 
 
 def process_dim(spark: SparkSession, phases: tuple[str, ...] | None = None) -> DataFrame:
-    """(phase, process_name, position) in configured display order."""
+    """(phase, process_name, position) in configured display order, for
+    the given phase names (an aliased phase takes its twin's list)."""
     rows = []
-    for phase, procs in PROCESSES_BY_PHASE.items():
-        if phases is None or phase in phases:
-            rows.extend((phase, p, i) for i, p in enumerate(procs, start=1))
+    for phase in phases if phases is not None else tuple(PROCESSES_BY_PHASE):
+        procs = PROCESSES_BY_PHASE.get(phase) or PROCESSES_BY_PHASE.get(PHASE_ALIASES.get(phase, ""), ())
+        rows.extend((phase, p, i) for i, p in enumerate(procs, start=1))
     schema = "phase string, process_name string, position int"
     return _per_session(spark, f"process:{phases}", lambda: spark.createDataFrame(rows, schema))
 
