@@ -101,6 +101,10 @@ ITEM_PHASE_MAP_LEGACY = {
 }
 ITEM_PHASE_DEFAULT = "construction"
 
+# Header spellings of the 0/1 name-flag column in the input files; read as
+# ``name_flag``.
+FLAG_COLUMN_NAMES = ("VISTA_filter", "vista_filter")
+
 # Candidate column names, first present wins.
 WEIGHT_COLUMN_CANDIDATES = ("KPI wt", "kpi_wt", "kpi_weight", "importance_weight")
 PRIORITY_METRIC_CANDIDATES = ("process_level_unrealized_value", "phase_level_unrealized_value", "unrealized_value")

@@ -24,7 +24,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trestle.config import PRIORITY_METRIC_CANDIDATES, WEIGHT_COLUMN_CANDIDATES, Profile
+from trestle.config import FLAG_COLUMN_NAMES, PRIORITY_METRIC_CANDIDATES, WEIGHT_COLUMN_CANDIDATES, Profile
 from trestle.operators.cleaning import (
     canonical_names,
     drop_dup_rows,
@@ -86,11 +86,12 @@ def load_csv_model(
     base: str,
     profile: Profile,
     scorecard_file: str = "executive_summary.csv",
-    items_file: str = "procore-itemized-combined.csv",
+    items_file: str = "action_items.csv",
 ) -> Model:
     """S1-S3 + C1-C4, C6, C7 + F1: the dashboard's ``load_data``.
 
-    A phase is loaded only when both of its files exist (S2).  Category cut
+    A phase is loaded only when both of its files exist (S2).  The optional
+    action-item file name is a parameter (``items_file``).  Category cut
     (F1), dedup (C2), zero-weight KPI exclusion (C6) and flag exclusion (C7)
     follow the profile.  KPI and item rows carry their file order
     (``_file``, ``_block``, ``_row``) for pandas-``first`` semantics.
@@ -154,7 +155,7 @@ def _no_order(df: DataFrame) -> DataFrame:
 
 def _flag_name(df: DataFrame) -> DataFrame:
     # The flag header is spelled two ways; normalise once at ingest.
-    for name in ("VISTA_filter", "vista_filter"):
+    for name in FLAG_COLUMN_NAMES:
         if name in df.columns:
             return df.withColumnRenamed(name, "name_flag")
     return df
