@@ -88,8 +88,8 @@ def zero_fill_double(col: Column | str) -> Column:
     return F.coalesce(nan_to_null(_c(col).cast("double")), F.lit(0.0))
 
 
-# C11: "<number> - <title>" at the start of the first match, up to the next
-# " - <letter>" or the end.
+# FIXED VALUE (C11, the dashboards' pattern): "<number> - <title>" at the
+# start of the first match, up to the next " - <letter>" or the end.
 ITEM_DISPLAY_PATTERN = r"([0-9]+\s*-\s*.+?)(?:\s*-\s*[A-Za-z]|$)"
 
 

@@ -59,8 +59,9 @@ DEFAULT_STRENGTH = "A strong value here points to steady execution and lower ris
 DEFAULT_GUIDANCE = "Name an owner, set a weekly target and review the gap to target until it holds."
 NO_DEFINITION = "No definition available for this KPI."
 
-# Guidance keyword rules, checked in this order on the lower-cased name; each
-# rule is (all-of words, any-of words); our own advice text follows.
+# FIXED VALUES: the guidance keyword rules, in the dashboards' order (first
+# match wins), checked on the lower-cased name; each rule is (all-of words,
+# any-of words).  The advice texts after them are our own wording.
 GUIDANCE_RULES = [
     (("rfi", "lead time"), (), "Answer RFIs within two days and sort the open ones by impact each morning."),
     (("rfi", "closed on time"), (), "Age overdue RFIs by bucket and escalate those older than a week."),
