@@ -31,7 +31,7 @@ from trestle.session import ensure_checkpoint_dir
 STAGE_DIR = "trestle-stage"
 # Version of the staged layout: part of every staging key, so tables written
 # by an older layout are never read by newer code.
-STAGE_VERSION = "v6"
+STAGE_VERSION = "v7"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -100,15 +100,12 @@ def stage_table(
     """Write ``df`` to ``path`` unless it is already complete there; return
     the frame read back from the files."""
     if not exists(spark, f"{path}/_SUCCESS"):
-        out = df
-        # A frame with fewer partitions than the cluster has cores (a small
-        # input read as one split, joined by broadcast) would be written by
-        # a single task; spread it round-robin (no key, so a hot project
-        # cannot skew it).  Large inputs already have enough splits and are
-        # written without a shuffle.
-        target = spark.sparkContext.defaultParallelism
-        if out.rdd.getNumPartitions() < target:
-            out = out.repartition(target)
+        # Rebalance before writing: one shuffle without a key, after which
+        # AQE sizes the partitions (coalescing tiny ones, splitting skewed
+        # ones), so files are even at any scale and a tiny input read as one
+        # split is still written in parallel.  (Asking the frame for its
+        # partition count instead would execute its shuffles twice.)
+        out = df.hint("rebalance")
         # The partition column leads the sort, so the writer keeps this order.
         keys = [k for k in (partition_by, sort_by) if k]
         out = out.sortWithinPartitions(*keys) if keys else out
