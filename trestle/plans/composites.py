@@ -131,9 +131,9 @@ def executive_summary(spark: SparkSession, model: Model, profile: Profile, sel:
     """Q1: CR-score, impact estimates, phase components, top-5 performing
     KPIs (with strength text) and top-5 priority KPIs (with guidance).
 
-    Two scans in all: one aggregation over the selected scorecard rows for
-    every number of the card, one aggregation over the selected KPI rows
-    for both top-5 lists."""
+    One aggregation over the selected scorecard rows for every number of
+    the card, and one aggregation over the selected KPI rows (semi-joined
+    with the selected project ids) for both top-5 lists."""
     _, summary = selections(model, sel)
     kpis = FL.filter_category(all_kpis(model, summary, profile), sel.category)
     return _union([_summary_card(summary, profile.phase_score_columns), _top_lists(spark, R.kpi_metrics(kpis))])
