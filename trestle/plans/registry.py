@@ -110,8 +110,21 @@ def oracle(key: str) -> str | None:
 
 # --- models -----------------------------------------------------------------
 
+# Profile views of a model are immutable plans: build each once.  The entry
+# keeps its base model alive, so the id in the key is never reused.
+_VIEWS: dict[tuple[int, str, str], tuple[Model, Model]] = {}
+
+
+def _view(base: Model, kind: str, profile) -> Model:
+    key = (id(base), kind, profile.name)
+    if key not in _VIEWS:
+        src = cloud_layout(base) if kind == "cloud" else base
+        _VIEWS[key] = (base, for_profile(src, profile))
+    return _VIEWS[key][1]
+
+
 def main_model(spark: SparkSession, sf_dir: str) -> Model:
-    return for_profile(from_tpch(spark, sf_dir), MAIN)
+    return _view(from_tpch(spark, sf_dir), "main", MAIN)
 
 
 def raw_model(spark: SparkSession, sf_dir: str) -> Model:
@@ -119,7 +132,7 @@ def raw_model(spark: SparkSession, sf_dir: str) -> Model:
 
 
 def cloud_model(spark: SparkSession, sf_dir: str, profile=MIXED) -> Model:
-    return for_profile(cloud_layout(from_tpch(spark, sf_dir)), profile)
+    return _view(from_tpch(spark, sf_dir), "cloud", profile)
 
 
 # SQL twins of the models: main scorecard (F1), cloud layout (C7, F1), the
