@@ -53,3 +53,15 @@ def test_profiles_carry_the_unique_rows(spark):
     phases = {r.phase for r in cloud.kpis_unique.select("phase").distinct().collect()}
     assert "estimating" in phases and "bidding" not in phases
     assert cloud.kpis_unique.where("name_flag <> 0").count() == 0
+
+
+def test_stage_table_publishes_atomically(spark):
+    root = tempfile.mkdtemp(prefix="trestle-publish-")
+    df = spark.range(5).withColumnRenamed("id", "projectId")
+    staging.stage_table(spark, df, f"{root}/t")
+    assert os.path.exists(f"{root}/t/_SUCCESS")
+    assert not [n for n in os.listdir(root) if ".tmp-" in n]
+    # a stale partial directory (no _SUCCESS) is never read as the table
+    os.makedirs(f"{root}/stale")
+    got = staging.stage_table(spark, df, f"{root}/stale")
+    assert got.count() == 5 and not os.path.exists(f"{root}/stale/_SUCCESS")

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,7 +32,7 @@ from trestle.session import ensure_checkpoint_dir
 STAGE_DIR = "trestle-stage"
 # Version of the staged layout: part of every staging key, so tables written
 # by an older layout are never read by newer code.
-STAGE_VERSION = "v7"
+STAGE_VERSION = "v8"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -99,18 +100,28 @@ def stage_table(
 ) -> DataFrame:
     """Write ``df`` to ``path`` unless it is already complete there; return
     the frame read back from the files."""
-    if not exists(spark, f"{path}/_SUCCESS"):
-        # Rebalance before writing: one shuffle without a key, after which
-        # AQE sizes the partitions (coalescing tiny ones, splitting skewed
-        # ones), so files are even at any scale and a tiny input read as one
-        # split is still written in parallel.  (Asking the frame for its
-        # partition count instead would execute its shuffles twice.)
-        out = df.hint("rebalance")
-        # The partition column leads the sort, so the writer keeps this order.
-        keys = [k for k in (partition_by, sort_by) if k]
-        out = out.sortWithinPartitions(*keys) if keys else out
-        writer = out.write.mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(partition_by)
-        writer.parquet(path)
-    return spark.read.parquet(path)
+    if exists(spark, f"{path}/_SUCCESS"):
+        return spark.read.parquet(path)
+    # Rebalance before writing: one shuffle without a key, after which
+    # AQE sizes the partitions (coalescing tiny ones, splitting skewed
+    # ones), so files are even at any scale and a tiny input read as one
+    # split is still written in parallel.  (Asking the frame for its
+    # partition count instead would execute its shuffles twice.)
+    out = df.hint("rebalance")
+    # The partition column leads the sort, so the writer keeps this order.
+    keys = [k for k in (partition_by, sort_by) if k]
+    out = out.sortWithinPartitions(*keys) if keys else out
+    # Write to a private directory, then publish it with one rename: a
+    # concurrent or interrupted staging never exposes a partial table.
+    tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
+    writer = out.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.parquet(tmp)
+    fs, target = _fs(spark, path)
+    jvm = spark.sparkContext._jvm
+    if not fs.exists(target) and fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), target):
+        return spark.read.parquet(path)
+    if exists(spark, f"{path}/_SUCCESS"):  # another writer published first
+        return spark.read.parquet(path)
+    return spark.read.parquet(tmp)  # a stale partial directory blocks the name
