@@ -14,6 +14,8 @@ file instead of recomputing the joins that produced it.
   file so Parquet min/max statistics skip row groups for project filters.
   No repartition by ``phase`` (four values, one task each would be skew):
   every write task writes its own slice of each phase.
+* Publish: each table is written to a private directory and renamed into
+  place, so concurrent or interrupted runs never expose a partial table.
 * Key: a hash of the input files' paths, sizes and modification times plus
   the layout version, so new input data or a new layout gets a new staging
   directory and stale files are never read.  A table counts as staged only when its ``_SUCCESS`` marker exists.
