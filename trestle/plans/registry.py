@@ -1290,3 +1290,51 @@ def suppress_zero_gap(spark, d):
     values sum to 0 suppressed."""
     k = raw_model(spark, d).kpis.where(F.col("projectId").isNotNull())
     return R.top_gap(k, "process_level_unrealized_value", ("projectId", "phase"))
+
+
+# =============================================================================
+# Schema-level ingest rules on frames derived from the test tables
+# =============================================================================
+
+@reg("canonical_names",
+     "SELECT projectId, phase, count(*) AS n_rows FROM processes GROUP BY projectId, phase",
+     ints=("n_rows",))
+def canonical_names(spark, d):
+    """Process scores whose key column is spelled ``project_id`` (as some
+    dashboard files spell it) are read back under ``projectId``."""
+    p = raw_model(spark, d).processes.withColumnRenamed("projectId", "project_id")
+    return C.canonical_names(p).groupBy("projectId", "phase").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@reg("drop_dup_columns",
+     """SELECT k.kpi_name, k.impact_category, count(*) AS n_rows, avg(k.score) AS mean_score
+        FROM kpis k JOIN scorecard s ON k.projectId = s.projectId AND k.impact_category = s.impact_category
+        GROUP BY k.kpi_name, k.impact_category""", dbl=("mean_score",), ints=("n_rows",))
+def drop_dup_columns(spark, d):
+    """A frame with repeated column names (KPI rows joined with their
+    scorecard row, both carrying ``projectId``, ``impact_category`` and
+    ``score``) keeps the first column of each name."""
+    m = raw_model(spark, d)
+    k = m.kpis.select("projectId", "impact_category", "kpi_name", "score")
+    s = m.scorecard.select("projectId", "impact_category", "score")
+    joined = k.join(s, (k.projectId == s.projectId) & (k.impact_category == s.impact_category))
+    deduped = C.drop_dup_columns(joined)
+    return deduped.groupBy("kpi_name", "impact_category").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.avg("score").alias("mean_score")
+    )
+
+
+@reg("pick_column",
+     """SELECT kpi_name, avg(CAST(kpi_wt AS DOUBLE)) AS weight, avg(process_level_unrealized_value) AS metric
+        FROM kpis WHERE kpi_name IS NOT NULL GROUP BY kpi_name""", dbl=("weight", "metric"))
+def pick_column(spark, d):
+    """C14: the first present candidate column is used: the weight column of
+    A8 and the priority metric of A9, averaged per KPI."""
+    k = raw_model(spark, d).kpis.where(F.col("kpi_name").isNotNull())
+    from trestle.config import PRIORITY_METRIC_CANDIDATES, WEIGHT_COLUMN_CANDIDATES
+
+    w = C.pick_column(k, WEIGHT_COLUMN_CANDIDATES)
+    mcol = C.pick_column(k, PRIORITY_METRIC_CANDIDATES)
+    return k.groupBy("kpi_name").agg(
+        F.avg(F.col(w).cast("double")).alias("weight"), F.avg(F.col(mcol)).alias("metric")
+    )
