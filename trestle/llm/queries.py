@@ -7,8 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trestle.llm import decontaminate, line_mph
-from trestle.llm.common import table
+from trestle.llm import decontaminate, line_mph, nbsvm, order_minhash, poisson_mix, zstd_langid
+from trestle.llm.common import fold, table
+
+
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash of every text, of its edited text, and of the next document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = order_minhash.with_neighbours(docs, "doc_id", "text", "fp")
+    n_chars = marked.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("n_chars", F.char_length("text").cast("long"))
+    changed = n_chars.withColumn("edited", order_minhash.edited("text", "next_text", "n_chars"))
+    both = order_minhash.fingerprint(changed, "edited", "edited_fp")
+    return both.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        order_minhash.to_text("fp").alias("fingerprint"),
+        order_minhash.to_text("edited_fp").alias("edited_fingerprint"),
+        order_minhash.likeness("fp", "edited_fp").alias("near_edited"),
+        order_minhash.likeness("fp", "next_fp").alias("near_next"),
+    )
+
+
+def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents repeated to target shares in proportion to the square root of each source's count."""
+    docs = table(spark, sf_dir, "documents")
+    mixed = poisson_mix.mix(docs, poisson_mix.tempered_rates(docs, exponent=0.5))
+    return mixed.select("doc_id", "source", "text", "copy", "shuffle_key")
+
+
+def op4_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents by a model of the rows that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", fold(F.col("doc_id"), 4) == 2)
+    model = zstd_langid.learn(docs.where("not held_out"))
+    found = zstd_langid.identify(docs.select("doc_id", "held_out", "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +58,15 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op7_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by a model of the labelled rows that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 3) != 1)
+    model = nbsvm.learn(docs, labels.select("doc_id", "quality"), label_col="quality")
+    scored = nbsvm.score(docs.withColumn("held_out", fold(F.col("doc_id"), 3) == 1), model)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 40 code points and more that 5 documents hold stay in one of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -35,7 +77,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_order_minhash,
+        op3_poisson_mixing,
+        op4_zstd_language,
         op5_benchmark_decontamination,
+        op7_nb_svm_quality,
         op10_line_dedup,
     )
 }
@@ -45,6 +91,27 @@ _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 _TEXT = _LOWER.format("coalesce(text, '')")
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_poisson_mixing": """
+WITH RECURSIVE c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+r AS (
+  SELECT source, pow(n, 0.5) / sum(pow(n, 0.5)) OVER () * sum(n) OVER () * 1.0 / n AS rate FROM c
+), p(source, rate, k, logp, total) AS (
+  SELECT source, rate, 0, -rate, exp(-rate) FROM r
+  UNION ALL
+  SELECT source, rate, k + 1, logp + ln(rate) - ln(k + 1), total + exp(logp + ln(rate) - ln(k + 1)) FROM p
+  WHERE k < ceil(rate + 12 * sqrt(rate) + 30)
+), d AS (
+  SELECT *, cast('0x' || substr(md5('mix|' || coalesce(cast(doc_id AS varchar), '') || '|' || md5(coalesce(text, ''))), 1, 13) AS bigint)
+            / 4503599627370496.0 AS u FROM documents
+), m AS (
+  SELECT doc_id, d.source, text, count(*) AS copies FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND p.total <= d.u
+  GROUP BY doc_id, d.source, text
+), x AS (SELECT doc_id, source, text, unnest(range(1, copies + 1)) AS copy FROM m)
+SELECT doc_id, source, text, cast(copy AS int) AS copy,
+       cast('0x' || substr(md5('mix/order|' || coalesce(cast(doc_id AS varchar), '') || '|' || copy || '|' || md5(coalesce(text, ''))), 1, 13)
+            AS bigint) / 4503599627370496.0 AS shuffle_key
+FROM x
+""",
     "op5_benchmark_decontamination": rf"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all({_TEXT}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
