@@ -1,8 +1,8 @@
 """Order MinHash: document fingerprints that follow the edit distance of texts.
 
-A text is the sequence of its words (runs without white space) after a start
-mark; its k-mers are runs of ``k`` neighbours, and the c-th occurrence of a
-k-mer is an element of its own.  Elements are hashed, dealt into ``slots`` by
+A text is the sequence of its words (runs without white space); its k-mers are
+runs of ``k`` neighbours (shorter ones at the start of the text), and the c-th
+occurrence of a k-mer is an element of its own.  Elements are hashed, dealt into ``slots`` by
 the top bits of the hash, and each slot takes the ``size`` elements with the
 smallest hashes, puts them back in text order and hashes the tuple.  Two texts
 agree in a slot if they share these elements in the same order, so moved or
@@ -32,63 +32,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLOTS, SIZE, K = 64, 2, 2
-_START = "\x02"
-_NO_LONGS = "cast(array() as array<bigint>)"
 
 
 def fingerprint(df: DataFrame, text_col: str, out: str, slots: int = SLOTS, k: int = K, size: int = SIZE) -> DataFrame:
-    """``df`` with ``out``: an array of ``slots`` longs, null where a slot has no element."""
+    """``df`` with ``out``: an array of longs, one for each slot with an element, the slot's number in its top bits."""
     if slots & (slots - 1):
         raise ValueError("slots must be a power of two")
     top = int(math.log2(slots))
-    p = f"__{out}_"
-    words, hashes, bits, order, again, seen, elements, picked = (p + x for x in "words hashes bits order again seen elements picked".split())
-    made = [words, hashes, bits, order, again, seen, elements, picked]
-    df = df.withColumn(words, F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    # k-mers, the first ones from the start mark on
-    window = "xxhash64(" + ", ".join(
-        f"if(i < {j}, '{_START}', get(`{words}`, i - {j}))" for j in range(k - 1, -1, -1)
-    ) + ")"
-    df = df.withColumn(
-        hashes,
-        F.expr(f"if(size(`{words}`) = 0, {_NO_LONGS}, transform(sequence(0, greatest(size(`{words}`), 1) - 1), i -> {window}))"),
-    )
+    made = [f"__{out}_{x}" for x in ("words", "hashes", "bits", "order", "again", "seen", "elements", "picked")]
+    words, hashes, bits, order, again, seen, elements, picked = made
+    # an intermediate column that a later one uses must be used twice or outside of its
+    # lambda functions: else it would be moved into the lambda and computed per element
+    df = df.withColumn(words, F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"), ""))
+    # k-mers; the first ones are shorter, which marks the start
+    before = "".join(f"get(`{words}`, i - {j}), " for j in range(k - 1, 0, -1))
+    df = df.withColumn(hashes, F.expr(f"transform(`{words}`, (w, i) -> xxhash64({before}w))"))
     df = df.withColumn(bits, F.expr(f"length(bin(size(`{hashes}`)))"))
     low = f"((1L << `{bits}`) - 1)"
-    # equal k-mers side by side, in text order
-    df = df.withColumn(
-        order,
-        F.expr(f"transform(sort_array(transform(`{hashes}`, (h, i) -> (h << `{bits}`) | i)), x -> cast(x & {low} as int))"),
-    )
+    # hashes with the place in the text as low bits: equal k-mers side by side, in text order
+    df = df.withColumn(order, F.expr(f"sort_array(transform(`{hashes}`, (h, i) -> (h & -(1L << `{bits}`)) | i))"))
     # sorted places whose k-mer is that of the place before
+    same = f"shiftright(get(`{order}`, j), `{bits}`) = shiftright(get(`{order}`, j - 1), `{bits}`)"
     df = df.withColumn(
         again,
-        F.expr(
-            f"if(size(`{hashes}`) < 2, cast(array() as array<int>), filter(sequence(1, greatest(size(`{hashes}`), 2) - 1), "
-            f"j -> get(`{hashes}`, get(`{order}`, j)) = get(`{hashes}`, get(`{order}`, j - 1))))"
-        ),
+        F.expr(f"if(size(`{order}`) < 2, cast(array() as array<int>), filter(sequence(1, greatest(size(`{order}`), 2) - 1), j -> {same}))"),
     )
     # occurrence numbers of those places: 1 + neighbours before without a gap, by doubling
     linked = f"transform(`{again}`, (a, i) -> if(i > 0 and get(`{again}`, i - 1) = a - 1, 1, 0))"
     df = df.withColumn(
         seen,
         F.expr(
-            f"aggregate(sequence(0, greatest(length(bin(size(`{again}`))), 1)), {linked}, (run, t) -> "
+            f"aggregate(sequence(0, length(bin(size(`{again}`)))), {linked}, (run, t) -> "
             "if(exists(run, r -> r >= (1 << t)), "
             "transform(run, (r, i) -> if(r = (1 << t), r + get(run, i - (1 << t)), r)), run))"
         ),
     )
-    # one hash per element, its low bits replaced by its place in the text
-    first = (
-        f"transform(filter(sequence(0, greatest(size(`{hashes}`), 1) - 1), j -> j < size(`{hashes}`) and (j = 0 or "
-        f"get(`{hashes}`, get(`{order}`, j)) <> get(`{hashes}`, get(`{order}`, j - 1)))), "
-        f"j -> (xxhash64(get(`{hashes}`, get(`{order}`, j)), 0) & ~{low}) | get(`{order}`, j))"
-    )
-    repeated = (
-        f"transform(`{again}`, (j, i) -> "
-        f"(xxhash64(get(`{hashes}`, get(`{order}`, j)), 1 + get(`{seen}`, i)) & ~{low}) | get(`{order}`, j))"
+    # later occurrences of a k-mer get a hash of k-mer and number
+    place = f"(get(`{order}`, j) & {low})"
+    repeated = f"zip_with(`{again}`, `{seen}`, (j, c) -> (xxhash64(get(`{hashes}`, cast({place} as int)), 1 + c) & -(1L << `{bits}`)) | {place})"
+    df = df.withColumn(
+        elements,
+        F.expr(
+            f"if(size(`{again}`) = 0, `{order}`, sort_array(concat("
+            f"array_except(`{order}`, transform(`{again}`, j -> get(`{order}`, j))), {repeated})))"
+        ),
     )
-    df = df.withColumn(elements, F.expr(f"sort_array(concat({first}, {repeated}))"))
     # the smallest elements of each slot: those with fewer than `size` of the same slot before them
     shift = 64 - top
     df = df.withColumn(
@@ -97,35 +85,33 @@ def fingerprint(df: DataFrame, text_col: str, out: str, slots: int = SLOTS, k: i
             f"filter(`{elements}`, (x, j) -> j < {size} or shiftright(get(`{elements}`, j - {size}), {shift}) <> shiftright(x, {shift}))"
         ),
     )
-    slot_of = f"shiftright(x, {shift}) = s - {slots // 2}"
-    tuple_of = (
-        f"transform(sort_array(transform(filter(`{picked}`, x -> {slot_of}), x -> x & {low})), q -> "
-        f"get(`{hashes}`, cast(q as int)))"
-    )
+    # at the first element of a slot: the slot's elements in text order, as one hash under the slot's bits
+    mates = f"filter(slice(`{picked}`, j + 1, {size}), y -> shiftright(y, {shift}) = shiftright(x, {shift}))"
+    in_order = f"transform(sort_array(transform({mates}, y -> y & {low})), q -> get(`{hashes}`, cast(q as int)))"
+    entry = f"shiftleft(shiftright(x, {shift}), {shift}) | shiftrightunsigned(xxhash64({in_order}), {top})"
+    repeats = f"j > 0 and shiftright(get(`{picked}`, j - 1), {shift}) = shiftright(x, {shift})"
     df = df.withColumn(
         out,
-        F.expr(
-            f"transform(sequence(0, {slots - 1}), s -> if(exists(`{picked}`, x -> {slot_of}), "
-            f"xxhash64({tuple_of}), cast(null as bigint)))"
-        ),
+        F.expr(f"filter(transform(`{picked}`, (x, j) -> if({repeats}, cast(null as bigint), {entry})), e -> e is not null)"),
     )
     return df.drop(*made)
 
 
 def to_text(prints: str) -> Column:
-    """A fingerprint array as text: 16 hexadecimal digits a slot, '-' for an empty one."""
-    return F.array_join(F.transform(prints, lambda h: F.coalesce(F.lpad(F.lower(F.hex(h)), 16, "0"), F.lit("-"))), "")
+    """A fingerprint as text: 16 hexadecimal digits a filled slot, slots in order."""
+    return F.array_join(F.transform(prints, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def likeness(a: str, b: str) -> Column:
+def likeness(a: str, b: str, slots: int = SLOTS) -> Column:
     """Share of agreeing slots among those that either fingerprint fills; 1 for two empty ones."""
-    pairs = F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b"))
-    filled = F.size(F.filter(pairs, lambda x: x["a"].isNotNull() | x["b"].isNotNull()))
-    same = F.size(F.filter(pairs, lambda x: x["a"] == x["b"]))
-    return F.when(filled == 0, F.lit(1.0)).otherwise(same / filled)
+    shift = 64 - int(math.log2(slots))
+    filled = F.size(
+        F.array_union(F.transform(a, lambda h: F.shiftright(h, shift)), F.transform(b, lambda h: F.shiftright(h, shift)))
+    )
+    return F.when(filled == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / filled)
 
 
-def bucket_bounds(df: DataFrame, order_col: str, rows_per_bucket: int = 4000, max_buckets: int = 65_536) -> list[int]:
+def bucket_bounds(df: DataFrame, order_col: str, rows_per_bucket: int = 2000, max_buckets: int = 65_536) -> list[int]:
     """Approximate quantiles of a long column: bounds of buckets of about equally many rows."""
     n = df.count()
     buckets = min(max_buckets, max(1, n // rows_per_bucket))
@@ -139,7 +125,7 @@ def bucket_bounds(df: DataFrame, order_col: str, rows_per_bucket: int = 4000, ma
 def bucket_of(order_col: str, bounds: list[int]) -> Column:
     """Number of bounds at or below the value, by binary search; nulls are in bucket 0."""
     if not bounds:
-        return F.lit(0)
+        return F.coalesce(F.col(order_col) * 0, F.lit(0)).cast("int")  # a column: one bucket isn't a cross join
     n = len(bounds)
     table = "array(" + ", ".join(f"{b}L" for b in bounds) + ")"
     steps = ", ".join(str(1 << i) for i in reversed(range(n.bit_length())))
