@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trestle.llm import decontaminate, line_mph, nbsvm, order_minhash, poisson_mix, zstd_langid
+from trestle.llm import decontaminate, line_mph, nbsvm, order_minhash, poisson_mix, simhash_trie, zstd_langid
 from trestle.llm.common import fold, table
 
 
@@ -58,6 +58,17 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose SimHashes over 3-word shingles differ in at most 3 bits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash_trie.cluster(docs, shingle=3, max_bits=3)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 def op7_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents by a model of the labelled rows that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -81,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_poisson_mixing,
         op4_zstd_language,
         op5_benchmark_decontamination,
+        op6_simhash_trie,
         op7_nb_svm_quality,
         op10_line_dedup,
     )
