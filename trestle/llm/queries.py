@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trestle.llm import decontaminate, line_mph, nbsvm, order_minhash, poisson_mix, simhash_trie, zstd_langid
+from trestle.llm import decontaminate, html_diff, line_mph, nbsvm, order_minhash, poisson_mix, simhash_trie, zstd_langid
 from trestle.llm.common import fold, table
 
 
+def op1_html_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = html_diff.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order MinHash of every text, of its edited text, and of the next document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -88,6 +94,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_html_differencing,
         op2_order_minhash,
         op3_poisson_mixing,
         op4_zstd_language,

@@ -227,4 +227,4 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
     stay = found.where("id = component").select(F.col("id").alias("__stay")).distinct()
     kept = docs.join(stay, F.col("doc_id") == F.col("__stay"), "left_semi")
     nameless = docs.where("doc_id is null").dropDuplicates(["text"])
-    return kept.dropDuplicates(["doc_id"]).union(nameless)
+    return kept.dropDuplicates(["doc_id", "text"]).union(nameless)
