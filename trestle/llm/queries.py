@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trestle.llm import decontaminate, html_diff, line_mph, nbsvm, order_minhash, poisson_mix, simhash_trie, zstd_langid
+from trestle.llm import arc_convert, decontaminate, html_diff, line_mph, nbsvm, order_minhash, poisson_mix, simhash_trie, zstd_langid
 from trestle.llm.common import fold, table
 
 
@@ -84,6 +84,12 @@ def op7_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as ARC files, converted to WARC files, and read back."""
+    read = arc_convert.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 40 code points and more that 5 documents hold stay in one of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_benchmark_decontamination,
         op6_simhash_trie,
         op7_nb_svm_quality,
+        op9_arc_to_warc,
         op10_line_dedup,
     )
 }
