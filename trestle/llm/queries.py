@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trestle.llm import arc_convert, decontaminate, html_diff, line_mph, nbsvm, order_minhash, poisson_mix, simhash_trie, zstd_langid
+from trestle.llm import arc_convert, decontaminate, html_diff, katz, line_mph, nbsvm, order_minhash, poisson_mix, simhash_trie, zstd_langid
 from trestle.llm.common import fold, table
 
 
@@ -84,6 +84,15 @@ def op7_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of all documents by a bigram model of those that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = katz.score(docs, train=fold(F.col("doc_id"), 10) != 0)
+    return scored.select(
+        F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as ARC files, converted to WARC files, and read back."""
     read = arc_convert.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
@@ -107,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_benchmark_decontamination,
         op6_simhash_trie,
         op7_nb_svm_quality,
+        op8_katz_backoff,
         op9_arc_to_warc,
         op10_line_dedup,
     )
