@@ -185,7 +185,7 @@ def lines_of(page: str | None) -> tuple[list[str], bool]:
             end = re.compile(rf"</{re.escape(name)}\s*/?>", re.I).search(text, at)
             at = end.end() if end else len(text)
             continue
-        if name == "header" and level == 2:  # an article's own heading
+        if name == "header" and level:  # the article's own heading
             drops = re.search(r"<nav|<form", text[at : _end(text, at, "header")], re.I) is not None
         if marks and not dropped:
             flush()
@@ -377,17 +377,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 gone = deletions(own, np.asarray(r.sizes, np.int64), [h for _, _, h in sorted(near, key=lambda x: x[:2])])
                 if gone:
                     rows.append((r.id, r.page, gone))
-            yield pd.DataFrame(rows, columns=["gone_id", "gone_page", "gone"])
+            yield pd.DataFrame(rows, columns=["__gone_id", "__gone_page", "__gone"])
 
     unmarked = written(parsed)
     if unmarked.isEmpty():
-        joined = keyed.withColumn("gone", F.lit(None).cast("array<int>"))
+        joined = keyed.withColumn("__gone", F.lit(None).cast("array<int>"))
     else:
-        found = _neighbours(unmarked, distance).mapInPandas(align, "gone_id long, gone_page long, gone array<int>")
-        found = found.dropDuplicates(["gone_id", "gone_page"])
-        same = F.col("__id").eqNullSafe(F.col("gone_id")) & (F.col("__page") == F.col("gone_page"))
-        joined = keyed.join(found, same, "left").drop("gone_id", "gone_page")
-    source = joined.select(*[F.col(quoted(c)) for c in kept], "gone")
+        found = _neighbours(unmarked, distance).mapInPandas(align, "__gone_id long, __gone_page long, __gone array<int>")
+        found = found.dropDuplicates(["__gone_id", "__gone_page"])
+        same = F.col("__id").eqNullSafe(F.col("__gone_id")) & (F.col("__page") == F.col("__gone_page"))
+        joined = keyed.join(found, same, "left").drop("__gone_id", "__gone_page")
+    source = joined.select(*[F.col(quoted(c)) for c in kept], "__gone")
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("text", T.StringType(), True)])
     at = kept.index(html_col)
 
