@@ -202,8 +202,8 @@ def lines_of(page: str | None) -> tuple[list[str], bool]:
 
 
 def _end(text: str, at: int, name: str) -> int:
-    end = text.find(f"</{name}", at)
-    return len(text) if end < 0 else end
+    end = re.compile(f"</{name}", re.I).search(text, at)
+    return end.start() if end else len(text)
 
 
 def _end_of_p(stack: list, close) -> None:
