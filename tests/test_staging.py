@@ -3,10 +3,17 @@
 import os
 import shutil
 import tempfile
+import threading
+import time
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 from trestle.config import PRESETS
 from trestle.sources import model as M
 from trestle.sources import staging
+from trestle.sources.tpch_sql import ADAPTER_CTES
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,13 +62,78 @@ def test_profiles_carry_the_unique_rows(spark):
     assert cloud.kpis_unique.where("name_flag <> 0").count() == 0
 
 
-def test_stage_table_publishes_atomically(spark):
+def test_a_table_shows_only_when_it_is_complete(spark):
     root = tempfile.mkdtemp(prefix="trestle-publish-")
     df = spark.range(5).withColumnRenamed("id", "projectId")
-    staging.stage_table(spark, df, f"{root}/t")
-    assert os.path.exists(f"{root}/t/_SUCCESS")
-    assert not [n for n in os.listdir(root) if ".tmp-" in n]
-    # a stale partial directory (no _SUCCESS) is never read as the table
-    os.makedirs(f"{root}/stale")
-    got = staging.stage_table(spark, df, f"{root}/stale")
-    assert got.count() == 5 and not os.path.exists(f"{root}/stale/_SUCCESS")
+    # data without a marker (an interrupted run, or a run that is still writing) is never read
+    spark.range(99).write.parquet(f"{root}/t/data-unfinished")
+    assert staging.staged_path(spark, f"{root}/t") is None
+    assert staging.stage_table(spark, df, f"{root}/t").count() == 5
+    done = staging.staged_path(spark, f"{root}/t")
+    assert done and os.path.exists(f"{done}/_SUCCESS") and not done.endswith("unfinished")
+    # an empty marker (its writer died) hides the table, and the own copy is read
+    open(f"{root}/{staging.MARKER}", "w").close()
+    assert staging.staged_path(spark, root) is None
+    assert staging.stage_table(spark, df, root).count() == 5
+
+
+def test_readers_while_tables_are_published(spark):
+    root = tempfile.mkdtemp(prefix="trestle-race-")
+    seen, stop = [], threading.Event()
+
+    def read():
+        while not stop.is_set():
+            if done := staging.staged_path(spark, f"{root}/t"):
+                seen.append(spark.read.parquet(done).count())
+
+    def write(n):
+        staging.stage_table(spark, spark.range(n).withColumnRenamed("id", "projectId"), f"{root}/t")
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    writers = [threading.Thread(target=write, args=(n,)) for n in (1000, 2000)]
+    for t in writers:
+        t.start()
+    for t in writers:
+        t.join()
+    time.sleep(0.5)
+    stop.set()
+    reader.join()
+    assert seen and len(set(seen)) == 1 and seen[0] in (1000, 2000)
+
+
+def test_old_stages_are_removed_on_demand(spark):
+    root = staging.staging_root(spark)
+    os.makedirs(f"{root}/tpch-old/kpis")
+    os.utime(f"{root}/tpch-old", (1, 1))
+    staging.stage_table(spark, spark.range(2), f"{root}/tpch-new/kpis")
+    removed = staging.clean_stages(spark, older_than_hours=1)
+    assert [p for p in removed if p.endswith("tpch-old")] and not os.path.exists(f"{root}/tpch-old")
+    assert os.path.exists(f"{root}/tpch-new")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging.staging_root(Session())
+
+
+def test_project_ids_are_never_cut(spark):
+    from trestle.sources.tpch import _project_id
+
+    keys = [7, 12345678, 123456789, 123456780, 10**15 + 1]
+    got = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k long").select(_project_id(F.col("k"))).collect()]
+    assert got == ["P-00000007", "P-12345678", "P-123456789", "P-123456780", "P-1000000000000001"]
+    sql = "concat('P-', repeat('0', greatest(0, 8 - length(CAST(o.o_custkey AS string)))), CAST(o.o_custkey AS string))"
+    assert sql in ADAPTER_CTES
+    values = ", ".join(f"({k})" for k in keys)
+    assert [r[0] for r in duckdb.sql(f"SELECT {sql} FROM (VALUES {values}) o(o_custkey)").fetchall()] == got

@@ -117,7 +117,7 @@ def parse_people(col: Column | str) -> Column:
         n = F.size(parts)
         has_parens = entry.contains("(") & entry.contains(")")
         last = F.try_element_at(parts, F.lit(1))
-        first_paren = F.when(n > 2, F.array_join(F.slice(parts, 3, 1_000_000), " ")).otherwise(F.try_element_at(parts, F.lit(-1)))
+        first_paren = F.when(n > 2, F.array_join(F.slice(parts, F.lit(3), F.greatest(n - 2, F.lit(0))), " ")).otherwise(F.try_element_at(parts, F.lit(-1)))
         paren_name = F.trim(F.concat_ws(" ", first_paren, last))
         two_word = F.concat_ws(" ", F.try_element_at(parts, F.lit(2)), F.try_element_at(parts, F.lit(1)))
         return (

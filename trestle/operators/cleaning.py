@@ -59,7 +59,7 @@ def tag_phase(df: DataFrame, phase: str) -> DataFrame:
 def phase_label(phase_col: str = "phase") -> F.Column:
     """C4 for a frame that holds every phase: Python ``str.capitalize``."""
     c = F.col(phase_col)
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 30)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substr(c, F.lit(2))))
 
 
 def _norm(col: str) -> F.Column:

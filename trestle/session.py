@@ -43,6 +43,11 @@ def build_session(
     return spark
 
 
+def session_key(spark: SparkSession) -> str:
+    """Identifies a session for caches; never reused, unlike ``id(spark)``."""
+    return f"{spark.sparkContext.applicationId}/{spark._jsparkSession.sessionUUID()}"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint dir, setting a local one only if unset."""
     sc = spark.sparkContext

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from trestle.config import PHASE_ALIASES, PHASE_CATEGORY_MULTIPLIERS, CATEGORY_MULTIPLIERS, PROCESSES_BY_PHASE
 from trestle.functions.memo import plain_args_cache
+from trestle.session import session_key
 
 KPI_TEXT_SCHEMA = T.StructType(
     [
@@ -83,13 +84,15 @@ def kpi_key(name: Column | str) -> Column:
     return F.lower(F.trim(F.coalesce(c.cast("string"), F.lit(""))))
 
 
-_DIM_FRAMES: dict[tuple[int, str], DataFrame] = {}
+_DIM_FRAMES: dict[tuple[str, str], DataFrame] = {}
 
 
 def _per_session(spark: SparkSession, name: str, build) -> DataFrame:
     # Small literal frames are immutable plans: build once per session.
-    key = (id(spark), name)
+    key = (session_key(spark), name)
     if key not in _DIM_FRAMES:
+        for old in [k for k in _DIM_FRAMES if k[0] != key[0]]:
+            del _DIM_FRAMES[old]
         _DIM_FRAMES[key] = build()
     return _DIM_FRAMES[key]
 

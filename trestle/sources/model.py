@@ -32,6 +32,7 @@ from trestle.operators.cleaning import (
     exclude_kpis,
 )
 from trestle.operators.filters import allow_categories
+from trestle.session import session_key
 from trestle.sources import files
 
 
@@ -170,7 +171,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 # Staged models of this process, by (session, input directory, signature):
 # DataFrames are immutable plans, so one staged model serves every query.
-_STAGED: dict[tuple[int, str, str], Model] = {}
+_STAGED: dict[tuple[str, str, str], Model] = {}
 _STAGE_LOCK = threading.Lock()
 
 STAGED_TABLES = ("scorecard", "processes", "kpis", "action_items")
@@ -190,7 +191,7 @@ def from_tpch(spark: SparkSession, sf_dir: str, staged: bool = True) -> Model:
     base = sf_dir.rstrip("/")
     if staged:
         sig = staging.input_signature(spark, [f"{base}/{t}.parquet" for t in tpch.SOURCE_TABLES])
-        key = (id(spark), base, sig)
+        key = (session_key(spark), base, sig)
         if key in _STAGED:
             return _STAGED[key]
     else:
@@ -207,12 +208,14 @@ def from_tpch(spark: SparkSession, sf_dir: str, staged: bool = True) -> Model:
     with _STAGE_LOCK:
         if key in _STAGED:
             return _STAGED[key]
-        try:
-            root = f"{staging.staging_root(spark)}/tpch-{staging.STAGE_VERSION}-{sig}"
+        root = f"{staging.staging_root(spark)}/tpch-{staging.STAGE_VERSION}-{sig}"
+        for old in [k for k in _STAGED if k[0] != key[0]]:  # frames of stopped sessions
+            del _STAGED[old]
+        if not staging.writable(spark):
+            warnings.warn("the folder for staged tables can't be written; using the unstaged model")
+            _STAGED[key] = from_tpch(spark, base, staged=False)
+        else:
             _STAGED[key] = _stage_tpch(spark, base, root)
-        except Exception as exc:  # noqa: BLE001 - e.g. no writable shared folder
-            warnings.warn(f"staging skipped ({exc.__class__.__name__}: {str(exc)[:200]}); using the unstaged model")
-            return from_tpch(spark, base, staged=False)
     return _STAGED[key]
 
 

@@ -59,7 +59,9 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _project_id(key: Column) -> Column:
-    return F.concat(F.lit("P-"), F.lpad(key.cast("string"), 8, "0"))
+    # padded to 8 digits, longer keys as they are (lpad would cut them)
+    digits = key.cast("string")
+    return F.concat(F.lit("P-"), F.repeat(F.lit("0"), F.greatest(F.lit(0), F.lit(8) - F.length(digits))), digits)
 
 
 def _case(pairs, otherwise, test) -> Column:
@@ -150,7 +152,7 @@ def kpi_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit(" %")))
         .alias("actual"),
         F.when(F.col("p_brand") < "Brand#2", F.lit("%")).otherwise(F.lit("days")).alias("unit"),
-        F.concat(F.lit(">= "), F.substring(F.col("p_brand"), 7, 1000)).alias("bp_range_display"),
+        F.concat(F.lit(">= "), F.substr(F.col("p_brand"), F.lit(7))).alias("bp_range_display"),
         score.alias("score"),
         unrealized.alias("unrealized_value"),
         (unrealized * F.col("l_tax")).alias("process_level_unrealized_value"),

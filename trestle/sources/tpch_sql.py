@@ -12,15 +12,15 @@ ctx AS (
          c.c_mktsegment AS office_name, concat('PgM ', r.r_name) AS program_manager,
          CASE WHEN c.c_acctbal < 0 THEN 'Closeout' WHEN c.c_acctbal < 3000 THEN 'Construction'
               WHEN c.c_acctbal < 6000 THEN 'Preconstruction' ELSE 'Bidding' END AS project_stage,
-         concat('Lead', CAST(n.n_nationkey AS varchar(4)), ' (7-', CAST(c.c_custkey % 9 AS varchar(4)), ') Ann, ',
-                'Reed', CAST(r.r_regionkey AS varchar(4)), ' Bo, Cher') AS people,
+         concat('Lead', CAST(n.n_nationkey AS string), ' (7-', CAST(c.c_custkey % 9 AS string), ') Ann, ',
+                'Reed', CAST(r.r_regionkey AS string), ' Bo, Cher') AS people,
          c.c_custkey % 2 AS name_flag,
-         concat('$', CAST(CAST(round(abs(c.c_acctbal)) AS int) AS varchar(12)), ',000') AS projValueText
+         concat('$', CAST(CAST(round(abs(c.c_acctbal)) AS int) AS string), ',000') AS projValueText
   FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
        JOIN region r ON n.n_regionkey = r.r_regionkey
 ),
 kpis AS (
-  SELECT concat('P-', lpad(CAST(o.o_custkey AS varchar(12)), 8, '0')) AS projectId,
+  SELECT concat('P-', repeat('0', greatest(0, 8 - length(CAST(o.o_custkey AS string)))), CAST(o.o_custkey AS string)) AS projectId,
          x.region, x.projectManager, x.office_name, x.program_manager, x.project_stage,
          CASE o.o_orderpriority WHEN '1-URGENT' THEN 'Schedule' WHEN '2-HIGH' THEN 'Cost'
               WHEN '3-MEDIUM' THEN 'Safety' WHEN '4-NOT SPECIFIED' THEN 'GL Insurance'
@@ -40,7 +40,7 @@ kpis AS (
          END AS process_name,
          p.p_brand AS kpi_name,
          CASE WHEN l.l_discount = 0 THEN 'n/a'
-              ELSE concat(CAST(CAST(round(l.l_discount * 100) AS int) AS varchar(12)), ' %') END AS actual,
+              ELSE concat(CAST(CAST(round(l.l_discount * 100) AS int) AS string), ' %') END AS actual,
          CASE WHEN p.p_brand < 'Brand#2' THEN '%' ELSE 'days' END AS unit,
          concat('>= ', substr(p.p_brand, 7)) AS bp_range_display,
          l.l_quantity * 2 AS score,
@@ -49,8 +49,8 @@ kpis AS (
          (100 - l.l_quantity * 2) * l.l_tax / 4 AS phase_level_unrealized_value,
          l.l_linenumber AS kpi_wt,
          x.projValueText AS ProjValue,
-         CAST(CAST(o.o_orderdate AS date) AS varchar(10)) AS startDate,
-         CAST(CAST(l.l_shipdate AS date) AS varchar(10)) AS endDate,
+         CAST(CAST(o.o_orderdate AS date) AS string) AS startDate,
+         CAST(CAST(l.l_shipdate AS date) AS string) AS endDate,
          x.people, x.name_flag,
          l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
@@ -73,13 +73,13 @@ processes AS (
   FROM kpis GROUP BY projectId, phase, process_name, impact_category, name_flag
 ),
 action_items AS (
-  SELECT e.event_id, concat('P-', lpad(CAST(e.user_id AS varchar(12)), 8, '0')) AS projectId,
+  SELECT e.event_id, CASE WHEN e.user_id IS NOT NULL THEN concat('P-', repeat('0', greatest(0, 8 - length(CAST(e.user_id AS string)))), CAST(e.user_id AS string)) END AS projectId,
          x.region, x.projectManager, x.office_name, x.program_manager, x.project_stage,
          x.people AS project_managers, x.projectManager AS project_manager, x.name_flag,
          CASE WHEN hour(e.ts) < 8 THEN 'Schedule' WHEN hour(e.ts) < 16 THEN 'Cost' ELSE 'Safety' END AS impact_category,
          CASE e.event_type WHEN 'click' THEN 'rfi' WHEN 'view' THEN 'submittal' WHEN 'error' THEN 'incident'
               WHEN 'purchase' THEN 'prime_contract_change_order' ELSE 'punch_item' END AS item_type,
-         concat(CAST(e.event_id AS varchar(12)), ' - ', e.event_type, ' - Open') AS risky_id,
+         concat(CAST(e.event_id AS string), ' - ', e.event_type, ' - Open') AS risky_id,
          e.value AS risk_value, e.value AS weight,
          concat('Resolve open ', e.event_type, ' item') AS required_action
   FROM events e LEFT JOIN ctx x ON e.user_id = x.c_custkey
