@@ -128,7 +128,6 @@ NA_WORDS = (
 # Scoreboard paging and segment choices.
 ROWS_PER_PAGE = 50
 SEGMENT_COLUMNS = {"Project": "projectId", "Region": "region", "Project Manager": "projectManager"}
-SCOREBOARD_COLUMNS = ("Segment", "CR-Score", "Estimated Project Value", "Est Proj Start Date", "Est Proj End Date")
 
 # Priority labels.
 LABEL_HIGH, LABEL_AVERAGE, LABEL_LOW = "High", "Average", "Low"
@@ -157,6 +156,11 @@ class Profile:
     exclude_flagged_at_load: bool = False
     # whole-row dedup of every table at load (the cloud download helper)
     dedup_at_load: bool = False
+    # KPIs dropped at load inside one process of one phase: (phase, process, names)
+    excluded_in_process: tuple | None = None
+    # action items: category cut at load, plain equality filters and the
+    # category filter on the page (main), or filters on the columns that exist
+    main_items: bool = False
     # a phase is loaded only when both its files have rows (object-store
     # variants) rather than merely exist (local variants)
     phase_files_nonempty: bool = False
@@ -170,9 +174,11 @@ class Profile:
 
 
 PRESETS: dict[str, Profile] = {
-    "main": Profile("main"),
+    "main": Profile("main", excluded_in_process=EXCLUDED_KPIS_IN_PROCESS, main_items=True),
     "app": Profile("app", item_phase_map=dict(ITEM_PHASE_MAP_LEGACY)),
-    "backup": Profile("backup", item_phase_map=dict(ITEM_PHASE_MAP_LEGACY), phase_files_nonempty=True),
+    "backup": Profile(
+        "backup", item_phase_map=dict(ITEM_PHASE_MAP_LEGACY), dedup_at_load=True, phase_files_nonempty=True
+    ),
     "actual": Profile(
         "actual",
         categories=CATEGORIES_CLOUD,
@@ -189,6 +195,7 @@ PRESETS: dict[str, Profile] = {
         kpi_score_scale=100.0,
         improvement_model="power",
         item_phase_map=dict(ITEM_PHASE_MAP_LEGACY),
+        dedup_at_load=True,
         phase_files_nonempty=True,
     ),
     "mixed": Profile(

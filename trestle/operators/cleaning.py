@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trestle.config import ITEM_PHASE_DEFAULT
-from trestle.functions.parse import nan_to_null
+from trestle.functions.parse import nan_to_null, to_number
 
 
 def drop_dup_columns(df: DataFrame) -> DataFrame:
@@ -101,7 +101,12 @@ def exclude_flagged(df: DataFrame, flag_col: str = "name_flag") -> DataFrame:
     """
     if flag_col not in df.columns:
         return df
-    return df.where(F.col(flag_col) == 0)
+    return df.where(flag_value(df, flag_col) == 0)
+
+
+def flag_value(df: DataFrame, col: str) -> F.Column:
+    """A 0/1 flag as a number; text such as ``0.0`` counts, other text is null."""
+    return to_number(col) if dict(df.dtypes)[col] == "string" else F.col(col)
 
 
 def pick_column(df: DataFrame, candidates: tuple[str, ...]) -> str | None:

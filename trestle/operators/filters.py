@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from trestle.config import NAME_FLAG_ALL, NAME_FLAG_EXCLUDE, NAME_FLAG_ONLY, Selection
 from trestle.functions.parse import parse_people
+from trestle.operators.cleaning import flag_value
 
 
 def allow_categories(df: DataFrame, categories: tuple[str, ...], col: str = "impact_category") -> DataFrame:
@@ -54,9 +55,9 @@ def filter_name_flag(df: DataFrame, choice: str, col: str = "name_flag") -> Data
     if choice == NAME_FLAG_ALL or col not in df.columns:
         return df
     if choice == NAME_FLAG_EXCLUDE:
-        return df.where(F.col(col) == 0)
+        return df.where(flag_value(df, col) == 0)
     if choice == NAME_FLAG_ONLY:
-        return df.where(F.col(col) == 1)
+        return df.where(flag_value(df, col) == 1)
     raise ValueError(f"unknown name-flag choice {choice!r}")
 
 

@@ -24,6 +24,7 @@ ITEM_FILTER_COLUMNS = (
     ("manager", "project_manager"),
     ("stage", "project_stage"),
 )
+PEOPLE_COLUMN = "project_managers"
 
 
 def prepare_items(spark: SparkSession, items: DataFrame, phase_map: dict[str, str]) -> DataFrame:
@@ -43,20 +44,21 @@ def filter_items_main(items: DataFrame, sel: Selection, category: str | None) ->
     return df
 
 
-def filter_items_optional(items: DataFrame, sel: Selection, flag_col: str | None = None) -> DataFrame:
+def filter_items_optional(items: DataFrame, sel: Selection, flag_col: str = "name_flag") -> DataFrame:
     """F10 (cloud): each filter applies only when the item table has the
     column (a missing column silently disables that filter), compared as
-    text; ``flag_col`` adds the three-way name-flag choice."""
-    from trestle.operators.filters import filter_name_flag
+    text; then the person of the parsed people list and the three-way
+    name-flag choice, where their columns exist."""
+    from trestle.operators.filters import filter_name_flag, filter_person
 
     df = items
     for attr, col in ITEM_FILTER_COLUMNS:
         value = getattr(sel, attr)
         if value is not None and col in df.columns:
             df = df.where(F.col(col).cast("string") == F.lit(str(value)))
-    if flag_col:
-        df = filter_name_flag(df, sel.name_flag, flag_col)
-    return df
+    if PEOPLE_COLUMN in df.columns:
+        df = filter_person(df, sel.person, PEOPLE_COLUMN)
+    return filter_name_flag(df, sel.name_flag, flag_col)
 
 
 def filter_counts(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -65,15 +67,16 @@ def filter_counts(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.agg(F.count(F.lit(1)).alias("original_count")).withColumn("filtered_count", filtered)
 
 
-def shaped(top: DataFrame) -> DataFrame:
-    """W3 + X13: rank, project, title-cased type, item, required action."""
+def shaped(top: DataFrame, key: str = "event_id") -> DataFrame:
+    """W3 + X13: rank, project, title-cased type, item, required action; the
+    item's key ``key`` stays."""
     return top.select(
         "rank",
         "projectId",
         title_item_type("item_type").alias("item_type_display"),
         "item_display",
         "required_action",
-        *[c for c in ("phase", "risk_value", "event_id") if c in top.columns],
+        *[c for c in ("phase", "risk_value", "weight", key) if c in top.columns],
     )
 
 
@@ -85,11 +88,11 @@ def top_items_by_weight(items: DataFrame, k: int = TOP_K, tie: str = "event_id")
 
 def top_items_by_risk(items: DataFrame, k: int = TOP_K, tie: str = "event_id") -> DataFrame:
     """L3: top k by risk over all phases, shaped for display."""
-    return shaped(top_items(items, "risk_value", k, tie))
+    return shaped(top_items(items, "risk_value", k, tie), tie)
 
 
 def top_items_by_risk_per_phase(items: DataFrame, k: int = TOP_K, tie: str = "event_id",
                                 phase: str | None = None) -> DataFrame:
     """L4: top k by risk inside each phase (or one phase), in one pass."""
     src = items if phase is None else items.where(F.col("phase") == F.lit(phase))
-    return shaped(top_items(src, "risk_value", k, tie, group_cols=("phase",)))
+    return shaped(top_items(src, "risk_value", k, tie, group_cols=("phase",)), tie)

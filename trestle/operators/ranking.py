@@ -201,8 +201,9 @@ def top_items(items: DataFrame, metric: str, k: int = TOP_K, tie: str = "event_i
               group_cols: tuple[str, ...] = ()) -> DataFrame:
     """L2/L3/L4: ``nlargest(k, metric)``: missing values never win, ties go
     to the first row (``tie`` is the natural row key)."""
-    order = [F.col(metric).desc_nulls_last(), F.col(tie).asc_nulls_last()]
-    src = items.where(F.col(metric).isNotNull() & ~F.isnan(F.col(metric)))
+    number = to_number(metric) if dict(items.dtypes)[metric] == "string" else nan_to_null(F.col(metric).cast("double"))
+    order = [number.desc_nulls_last(), F.col(tie).asc_nulls_last()]
+    src = items.where(number.isNotNull())
     if not group_cols:
         top = src.orderBy(*order).limit(k)
         return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))

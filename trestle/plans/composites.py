@@ -321,12 +321,33 @@ def cost_improvement_card(spark: SparkSession, model: Model, profile: Profile, s
 # --- Q8 -------------------------------------------------------------------
 
 def action_item_list(spark: SparkSession, model: Model, profile: Profile, sel: Selection) -> DataFrame:
-    """Q8: top-5 action items by risk over all phases and inside each phase,
-    after the optional-column filters."""
+    """Q8: the top-5 action items of the selection.
+
+    Main form: project, region, manager and category filters, then the items
+    of the largest weight.  Other variants: the filters whose columns exist,
+    then the largest risk over all phases and inside each phase.
+    """
     items = IT.prepare_items(spark, model.action_items, profile.item_phase_map)
+    if profile.main_items:
+        return _main_items(model, IT.filter_items_main(items, sel, sel.category))
     items = IT.filter_items_optional(items, sel)
     overall = IT.top_items_by_risk(items, tie=model.item_key).withColumn("scope", F.lit("all"))
     per_phase = IT.top_items_by_risk_per_phase(items, tie=model.item_key).withColumn("scope", F.col("phase"))
     cols = ["scope", "rank", "projectId", "item_type_display", "item_display", "required_action", "risk_value", model.item_key]
     return overall.select(*cols).unionByName(per_phase.select(*cols))
 
+
+def _main_items(model: Model, items: DataFrame) -> DataFrame:
+    metric = "weight" if "weight" in items.columns else "risk_value"
+    top = IT.shaped(R.top_items(items, metric, tie=model.item_key), model.item_key)
+    return top.select(
+        F.lit("all").alias("scope"), "rank", "projectId", "item_type_display", "item_display", "required_action",
+        F.col(metric).cast("double").alias(metric), model.item_key,
+    )
+
+
+def action_item_counts(spark: SparkSession, model: Model, profile: Profile, sel: Selection) -> DataFrame:
+    """F10's note under an empty list: items before and after the filters."""
+    items = model.action_items
+    after = IT.filter_items_main(items, sel, sel.category) if profile.main_items else IT.filter_items_optional(items, sel)
+    return IT.filter_counts(items, after)

@@ -30,6 +30,7 @@ from trestle.operators.cleaning import (
     drop_dup_rows,
     exclude_flagged,
     exclude_kpis,
+    exclude_kpis_in_process,
 )
 from trestle.operators.filters import allow_categories
 from trestle.session import session_key
@@ -88,13 +89,15 @@ def load_csv_model(
     profile: Profile,
     scorecard_file: str = "executive_summary.csv",
     items_file: str = "action_items.csv",
+    multi_line: bool = True,
 ) -> Model:
-    """S1-S3 + C1-C4, C6, C7 + F1: the dashboard's ``load_data``.
+    """S1-S3 + C1-C7 + F1: the dashboard's ``load_data``.
 
     A phase is loaded only when both of its files exist (S2).  The optional
     action-item file name is a parameter (``items_file``).  Category cut
-    (F1), dedup (C2), zero-weight KPI exclusion (C6) and flag exclusion (C7)
-    follow the profile.  KPI and item rows carry their file order
+    (F1, also of the items where the profile has it), dedup of every table
+    (C2), KPI exclusion inside a process (C5) and everywhere (C6), and flag
+    exclusion (C7) follow the profile.  KPI and item rows carry their file order
     (``_file``, ``_block``, ``_row``) for pandas-``first`` semantics.
     """
     b = base.rstrip("/")
@@ -102,7 +105,7 @@ def load_csv_model(
     def dedup(df: DataFrame, order=()) -> DataFrame:
         return drop_dup_rows(df, order) if profile.dedup_at_load else df
 
-    sc = dedup(files.read_csv(spark, f"{b}/{scorecard_file}", files.SCORECARD_SCHEMA))
+    sc = dedup(files.read_csv(spark, f"{b}/{scorecard_file}", files.SCORECARD_SCHEMA, multi_line))
     sc = allow_categories(canonical_names(sc), profile.categories)
     if profile.exclude_flagged_at_load:
         sc = exclude_flagged(_flag_name(sc))
@@ -110,10 +113,12 @@ def load_csv_model(
     for phase, (p_path, k_path) in files.phase_table_paths(b, profile.phases).items():
         if not (_exists(spark, p_path) and _exists(spark, k_path)):
             continue
-        p = dedup(canonical_names(files.read_csv(spark, p_path, files.PROCESS_SCHEMA)))
-        k = dedup(_with_file_order(canonical_names(files.read_csv(spark, k_path, files.KPI_SCHEMA))), ORDER_COLS)
-        if profile.phase_files_nonempty and (_is_empty(p) or _is_empty(k)):
+        p_raw = files.read_csv(spark, p_path, files.PROCESS_SCHEMA, multi_line)
+        k_raw = files.read_csv(spark, k_path, files.KPI_SCHEMA, multi_line)
+        if profile.phase_files_nonempty and (_is_empty(p_raw) or _is_empty(k_raw)):
             continue
+        p = dedup(canonical_names(p_raw))
+        k = dedup(_with_file_order(canonical_names(k_raw)), ORDER_COLS)
         if profile.exclude_flagged_at_load:
             p, k = exclude_flagged(_flag_name(p)), exclude_flagged(_flag_name(k))
         procs.append(p.withColumn("phase", F.lit(phase)))
@@ -124,10 +129,13 @@ def load_csv_model(
     else:
         processes = files.empty_frame(spark, files.PROCESS_SCHEMA).withColumn("phase", F.lit(None).cast("string"))
         k_all = _no_order(files.empty_frame(spark, files.KPI_SCHEMA)).withColumn("phase", F.lit(None).cast("string"))
-    k_all = exclude_kpis(k_all, profile.excluded_kpis)
+    k_all = _without_kpis(k_all, profile)
     items_path = f"{b}/{items_file}"
     if _exists(spark, items_path):
-        items = _with_file_order(files.read_csv(spark, items_path, files.ACTION_ITEM_SCHEMA))
+        items = files.read_csv(spark, items_path, files.ACTION_ITEM_SCHEMA, multi_line)
+        items = _flag_name(dedup(_with_file_order(canonical_names(items)), ORDER_COLS))
+        if profile.main_items and "impact_category" in items.columns:
+            items = allow_categories(items, profile.categories)
     else:  # S3: optional source
         items = _no_order(files.empty_frame(spark, files.ACTION_ITEM_SCHEMA))
     return Model(
@@ -141,9 +149,16 @@ def load_csv_model(
     )
 
 
-def _is_empty(df: DataFrame) -> bool:
-    # One row is enough: reads the first split only.
-    return not df.limit(1).collect()
+def _is_empty(raw: DataFrame) -> bool:
+    # Asked of the raw scan, before any aggregate: one row of the first split is enough.
+    return not raw.limit(1).collect()
+
+
+def _without_kpis(kpis: DataFrame, profile: Profile) -> DataFrame:
+    """C5 and C6 as the profile has them."""
+    if profile.excluded_in_process and {"process_name", "kpi_name"} <= set(kpis.columns):
+        kpis = exclude_kpis_in_process(kpis, *profile.excluded_in_process)
+    return exclude_kpis(kpis, profile.excluded_kpis)
 
 
 def _no_order(df: DataFrame) -> DataFrame:
@@ -240,7 +255,7 @@ def _stage_tpch(spark: SparkSession, base: str, root: str) -> Model:
 
 # Columns the consumers of the deduplicated KPI rows (A8, A9, A10) read.
 UNIQUE_KPI_COLUMNS = (
-    "projectId", "phase", "impact_category", "kpi_name", "score", "name_flag",
+    "projectId", "phase", "process_name", "impact_category", "kpi_name", "score", "name_flag",
     *WEIGHT_COLUMN_CANDIDATES, *PRIORITY_METRIC_CANDIDATES,
 )
 
@@ -315,15 +330,18 @@ def cloud_layout(model: Model) -> Model:
 
 
 def for_profile(model: Model, profile: Profile) -> Model:
-    """Load-time steps that depend on the variant: F1, C6, C7."""
+    """Load-time steps that depend on the variant: F1, C5-C7."""
     sc = allow_categories(model.scorecard, profile.categories)
-    kpis = exclude_kpis(model.kpis, profile.excluded_kpis)
+    kpis = _without_kpis(model.kpis, profile)
     uniq = model.kpis_unique
     if uniq is not None:
-        uniq = exclude_kpis(uniq, profile.excluded_kpis)
+        uniq = _without_kpis(uniq, profile)
+    items = model.action_items
+    if profile.main_items and "impact_category" in items.columns:
+        items = allow_categories(items, profile.categories)
     procs = model.processes
     if profile.exclude_flagged_at_load:
         sc, kpis, procs = exclude_flagged(sc), exclude_flagged(kpis), exclude_flagged(procs)
         if uniq is not None:
             uniq = exclude_flagged(uniq)
-    return model.replace(scorecard=sc, kpis=kpis, processes=procs, kpis_unique=uniq)
+    return model.replace(scorecard=sc, kpis=kpis, processes=procs, kpis_unique=uniq, action_items=items)
