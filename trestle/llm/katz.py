@@ -22,8 +22,8 @@ of one per n-gram.
 2. Answer: unigram partitions answer with counts.  Global counts of counts are
    a sum over partitions, and give the discounts.
 3. Evaluate: a second scan sends the documents' tokens to the bigram partitions,
-   which look up c(h, w), T(h) and c(w), back off where needed, and return one
-   partial sum per document; sums per document end the job.
+   which look up c(h, w), T(h) and c(w), back off where needed, and return the
+   documents' partial sums as one packed row per block; a block adds them up.
 
 A history that is frequent enough to fill a partition by itself (found in a
 sample of documents, which decides on balance only) is dealt over all partitions
@@ -53,8 +53,8 @@ from pyspark.sql import functions as F
 from trestle.llm.common import WORD, quoted, utf8, written
 
 CUTOFF = 5  # counts above are not discounted
-BLOCK_TOKENS = 2_000_000  # tokens that a task holds before it sends them
-PART_TOKENS = 5_000_000  # tokens per partition of the key space
+BLOCK_TOKENS = 1_600_000  # tokens that a task holds before it sends them
+PART_TOKENS = 4_000_000  # tokens per partition of the key space
 _START = np.uint64(0x9E3779B97F4A7C15)  # history of a first token
 _END = np.uint64(0xC2B2AE3D27D4EB4F)  # the end mark
 _ROWS = "kind string, part int, src int, blob binary, heavy int, stats array<long>, value double"
@@ -347,7 +347,7 @@ def _send_tokens(layout: Layout):
             here, d = keys // len(rids), (keys % len(rids)).astype(np.uint32)
             hs, ws = bigrams // len(words), (bigrams % len(words)).astype(np.uint32)
             per = np.bincount(here, minlength=len(bigrams))
-            blob = pack(words, np.diff(hs, prepend=0).astype(np.uint32), ws, per.astype(np.uint32), d, n.astype(np.uint32), rids)
+            blob = pack(words, np.diff(hs, prepend=0).astype(np.uint32), ws, per.astype(np.uint32), d, n.astype(np.uint32), rids[:1])
             yield _sent("t", p, blob)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,7 +410,8 @@ class Partition:
         return np.log10(np.where(n > 0, seen, self.alpha[h] * self.p1[w]))
 
 
-_PARTIAL = "rid long, n long, known long, base double, score double, id long, train boolean"
+_PARTIAL = "block long, kind string, blob binary"
+_SUMS = "id long, train boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def _evaluate(layout: Layout, heavy: dict[int, tuple], discounts: Discounts):
@@ -419,26 +420,37 @@ def _evaluate(layout: Layout, heavy: dict[int, tuple], discounts: Discounts):
         part = Partition(tables[0] if tables else None, list(pdf["blob"][pdf["kind"] == "c"]), layout, heavy, discounts)
         base = discounts.base(part.counts)
         out = []
-        for blob in pdf["blob"][pdf["kind"] == "d"]:
-            rids, ids, null, train = unpack(blob)
-            named = pd.Series(ids, dtype="Int64").mask(null)
-            out.append(pd.DataFrame({"rid": rids, "n": 0, "known": 0, "base": 0.0, "score": 0.0, "id": named, "train": train}))
+        for blob in pdf["blob"][pdf["kind"] == "d"]:  # a block's documents go on to its sums
+            out.append((int(unpack(blob)[0][0]), "d", blob))
         for blob in pdf["blob"][pdf["kind"] == "t"]:
-            own, steps, ws, per, doc, n, rids = unpack(blob)
+            own, steps, ws, per, doc, n, first = unpack(blob)
             to = np.searchsorted(part.words, own)
             h, w = to[np.cumsum(steps, dtype=np.int64)], to[ws]
             each = np.repeat(np.arange(len(h)), per)
             log_p = part.log_probs(h, w)[each]
             of = w[each]
-            present = np.flatnonzero(np.bincount(doc, minlength=len(rids)))
-            sums = [np.bincount(doc, weights=x, minlength=len(rids))[present] for x in (n, n * (part.counts[of] > 0), n * base[of], n * log_p)]
-            found = {"rid": rids[present], "n": sums[0].astype(np.int64), "known": sums[1].astype(np.int64), "base": sums[2], "score": sums[3]}
-            out.append(pd.DataFrame(found | {"id": pd.Series(pd.NA, index=range(len(present)), dtype="Int64"), "train": None}))
-        return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in _PARTIAL.split(", ")})
+            here = np.flatnonzero(np.bincount(doc))
+            sums = [np.bincount(doc, weights=x)[here] for x in (n, n * (part.counts[of] > 0), n * base[of], n * log_p)]
+            counts = [x.astype(np.uint32) for x in sums[:2]]
+            out.append((int(first[0]), "p", pack(here.astype(np.uint32), *counts, *sums[2:])))
+        return pd.DataFrame(out, columns=["block", "kind", "blob"])
 
     return run
 
 
+def _add_up(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The sums of a block's documents over all partitions."""
+    _, ids, null, train = unpack(next(iter(pdf["blob"][pdf["kind"] == "d"])))
+    sums = np.zeros((4, len(ids)))
+    for blob in pdf["blob"][pdf["kind"] == "p"]:
+        here, *values = unpack(blob)
+        for total, x in zip(sums, values, strict=True):
+            total[here] += x
+    named = pd.Series(ids, dtype="Int64").mask(null)
+    n, known = sums[:2].astype(np.int64)
+    return pd.DataFrame({"id": named, "train": train, "n_tokens": n, "n_known": known, "base_score": sums[2], "score": sums[3]})
+
+
 # ------------------------------------------------------------ the operator
 
 
@@ -490,12 +502,5 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     tokens = numbered.select("text", "rid", F.col("id").cast("long"), "train").mapInArrow(_send_tokens(layout), "kind string, part int, blob binary")
     stored = model.where("kind = 'b'").select("kind", "part", "blob").union(answers.where("kind = 'c'").select("kind", "part", "blob"))
     partial = tokens.union(stored).groupBy("part").applyInPandas(_evaluate(layout, heavy, discounts), _PARTIAL)
-    return partial.groupBy("rid").agg(
-        F.max("id").alias("id"),
-        F.max("train").alias("train"),
-        F.sum("n").alias("n_tokens"),
-        F.sum("known").alias("n_known"),
-        F.lit(discounts.tokens).cast("long").alias("train_tokens"),
-        F.sum("base").alias("base_score"),
-        F.sum("score").alias("score"),
-    ).drop("rid")
+    sums = partial.groupBy("block").applyInPandas(_add_up, _SUMS)
+    return sums.select("id", "train", "n_tokens", "n_known", F.lit(discounts.tokens).cast("long").alias("train_tokens"), "base_score", "score")
