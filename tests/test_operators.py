@@ -300,14 +300,40 @@ def test_value_slider_labels():
 
 
 def test_j4_definition_lookup_modes(spark):
-    df = spark.createDataFrame([("RFI Lead Time",), ("rfi lead time",), ("Unknown KPI",)], "kpi_name string")
+    df = spark.createDataFrame([("RFIs Lead Time",), ("rfis lead time",), ("Unknown KPI",)], "kpi_name string")
     lower = {r.kpi_name: r.definition for r in J.attach_definition(spark, df).collect()}
-    assert lower["RFI Lead Time"] == lower["rfi lead time"] != lower["Unknown KPI"]
+    assert lower["RFIs Lead Time"] == lower["rfis lead time"] != lower["Unknown KPI"]
     assert "Unknown KPI" in lower["Unknown KPI"]
     exact = {r.kpi_name: r.definition for r in J.attach_definition(spark, df, fallback="fixed", exact_case=True).collect()}
     from trestle.sources import dims
 
-    assert exact["RFI Lead Time"] == dims.NO_DEFINITION and exact["rfi lead time"] != dims.NO_DEFINITION
+    assert exact["RFIs Lead Time"] == dims.NO_DEFINITION and exact["rfis lead time"] != dims.NO_DEFINITION
+
+
+def test_kpi_texts_reach_every_branch(spark):
+    from trestle.sources import dims
+    from trestle.sources.tpch import KPI_BY_BRAND
+
+    assert len(dims.KPI_NAMES) == len(set(dims.KPI_NAMES)) == 69
+    names = [n for _, n in KPI_BY_BRAND] + ["Brand#13"]
+    df = spark.createDataFrame([(n,) for n in names], "kpi_name string")
+    got = {r.kpi_name: r.guidance for r in J.attach_guidance(spark, df).collect()}
+    rules = {text for *_, text in dims.GUIDANCE_RULES}
+    assert rules <= set(got.values()) and got["Brand#13"] == dims.DEFAULT_GUIDANCE
+    exact = [n for n in names if n.lower() in dims.KPI_NAMES]
+    assert len(exact) == 3 and all(got[n] not in rules for n in exact)
+
+
+def test_a_deployments_own_texts(spark, tmpdir_path):
+    from trestle.sources import dims
+
+    with open(f"{tmpdir_path}/kpi_texts.csv", "w") as fh:
+        fh.write('kpi_key,definition,guidance\n Cost Variance ,"our own, quoted",ours\ncost variance,second,two\n')
+    own = dims.kpi_text_from_csv(spark, f"{tmpdir_path}/kpi_texts.csv")
+    df = spark.createDataFrame([("COST VARIANCE",), ("other",)], "kpi_name string")
+    got = {r.kpi_name: r for r in J.attach_strength(spark, J.attach_guidance(spark, df, texts=own), texts=own).collect()}
+    assert len(got) == 2 and got["COST VARIANCE"].guidance in ("ours", "two")
+    assert got["COST VARIANCE"].strength == got["other"].strength == dims.DEFAULT_STRENGTH
 
 
 def test_a5_coverage_without_projects_is_null_not_an_error(spark):

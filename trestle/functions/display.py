@@ -1,7 +1,8 @@
 """Presentation values (X10-X15) as Column expressions.
 
-The dashboards format with Python's ``format``; the equivalents here round
-half-to-even first (``bround``) so ``2.5`` shows as ``2`` like Python does.
+The dashboards format with Python's ``format``, which rounds the exact binary
+value, ties to even: ``2.5`` shows as ``2``, ``0.35`` (a little less than its
+text) as ``0.3``.  Whole numbers need ``bround`` only, as halves are exact.
 """
 
 from __future__ import annotations
@@ -18,6 +19,25 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _one_decimal(v: Column) -> Column:
+    """The value rounded to one decimal as Python's ``.1f`` does: by the exact binary value.
+
+    ``k / 10`` is the tenth below, ``mid`` the double next to the midpoint of
+    ``k`` and ``k + 1`` tenths.  At ``mid`` itself the exact midpoint lies on
+    the side that ``(2 k + 1) - 20 mid`` tells; both differences below are
+    exact, as their operands are within a factor of two.
+    """
+    a = F.abs(v)
+    k = F.floor(a * 10).cast("double")
+    k = F.when(k / 10 > a, k - 1).otherwise(k)
+    odd = k * 2 + 1
+    mid = odd / 20
+    over = (odd - mid * 16) - mid * 4
+    up = (a > mid) | ((a == mid) & ((over < 0) | ((over == 0) & (k % 2 == 1))))
+    rounded = F.when(a >= 1e15, a).otherwise((k + F.when(up, 1.0).otherwise(0.0)) / 10)
+    return F.when(v == 0, v).when(v < 0, -rounded).otherwise(rounded)
+
+
 @plain_args_cache
 def format_actual(value: Column | str, unit: Column | str) -> Column:
     """Unit ``%`` -> value x 100, no decimals, ``%``; else one decimal.
@@ -26,7 +46,7 @@ def format_actual(value: Column | str, unit: Column | str) -> Column:
     """
     v, u = _c(value), _c(unit)
     pct = F.concat(F.format_string("%.0f", F.bround(v * 100, 0)), F.lit("%"))
-    one = F.format_string("%.1f", F.bround(v, 1))
+    one = F.format_string("%.1f", _one_decimal(v))
     shown = F.when(F.coalesce(u == "%", F.lit(False)), pct).otherwise(one)
     nan_text = F.when(F.coalesce(u == "%", F.lit(False)), F.lit("nan%")).otherwise(F.lit("nan"))
     return F.when(v.isNull() | F.isnan(v), nan_text).otherwise(shown)

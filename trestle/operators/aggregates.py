@@ -43,8 +43,8 @@ def category_scores(summary: DataFrame, categories: tuple[str, ...], dim: DataFr
     """A3: mean score per impact category over every allowed category; a
     category without rows gets 0 (``dict.get(c, 0)``).
 
-    ``dim`` lists the allowed categories with a ``position``; it is a
-    configuration-sized frame, joined by broadcast.
+    ``dim`` lists the allowed categories with a ``position``; the means are
+    one row per category, so the planner broadcasts them.
     """
     means = (
         summary.where(F.col("impact_category").isNotNull())
@@ -52,7 +52,7 @@ def category_scores(summary: DataFrame, categories: tuple[str, ...], dim: DataFr
         .agg(F.avg(nan_to_null("score")).alias("category_score"), F.lit(True).alias("present"))
     )
     return (
-        F.broadcast(dim.where(F.col("impact_category").isin(*categories)))
+        dim.where(F.col("impact_category").isin(*categories))
         .join(means, "impact_category", "left")
         .select(
             "impact_category",
@@ -92,8 +92,8 @@ def kpi_rollup(
 
     Per group, when more than one project is present the rows are averaged
     per KPI (``actual_numeric``, ``score``, ``unrealized_value``; first
-    ``bp_range_display`` and ``unit`` in row order); with a single project the
-    rows pass unchanged.  Both branches are one lazy plan: the project count
+    ``bp_range_display`` and ``unit`` in row order; rows without a KPI name
+    have no group); with a single project the rows pass unchanged.  Both branches are one lazy plan: the project count
     per group is an aggregate joined back on the group key (one row per
     group), or a scalar subquery without groups; never a driver round trip.
 
@@ -110,7 +110,6 @@ def kpi_rollup(
         # Uncorrelated scalar subquery, evaluated once.
         src = src.withColumn("n_projects", project_count(src).scalar())
     src = src.withColumn("n_projects", F.coalesce(F.col("n_projects"), F.lit(0)))
-    keyed = src.where(F.col("kpi_name").isNotNull())
     order = list(order_cols) or ["projectId"]
     valued = F.col("actual_numeric").isNotNull()
     if coverage_basis == "projects":
@@ -118,7 +117,7 @@ def kpi_rollup(
     else:
         cov_num = F.count(F.when(valued, F.lit(1)))
     averaged = (
-        keyed.where(F.col("n_projects") > 1)
+        src.where((F.col("n_projects") > 1) & F.col("kpi_name").isNotNull())
         .groupBy(*gk, "kpi_name")
         .agg(
             F.avg("actual_numeric").alias("actual_numeric"),
@@ -134,10 +133,11 @@ def kpi_rollup(
     if with_coverage:
         out_cols.append("percent_of_projects")
     out_cols.append("is_averaged")
-    single = keyed.where(F.col("n_projects") <= 1)
+    single = src.where(F.col("n_projects") <= 1)  # as they are, a null KPI name included
     if with_coverage:
         cov = (
-            single.groupBy(*gk, "kpi_name")
+            single.where(F.col("kpi_name").isNotNull())
+            .groupBy(*gk, "kpi_name")
             .agg(F.try_divide(cov_num * 100.0, F.max("n_projects")).alias("percent_of_projects"))
         )
         single = single.join(cov, [*gk, "kpi_name"], "left")
@@ -182,6 +182,34 @@ def facet_values(df: DataFrame, col: str, as_string: bool = True) -> DataFrame:
     return df.where(F.col(col).isNotNull()).select(c.alias("value")).distinct().orderBy("value")
 
 
+def facet_table(df: DataFrame, facets: dict[str, str]) -> DataFrame:
+    """A15 for several filters at once: sorted distinct (facet, value) rows.
+
+    One scan: each row yields its (facet, value) pairs, which are made
+    distinct before and after one shuffle; columns that ``df`` lacks are left out.
+    """
+    pairs = [
+        F.struct(F.lit(name).alias("facet"), F.col(col).cast("string").alias("value"))
+        for name, col in facets.items()
+        if col in df.columns
+    ]
+    rows = df.select(F.explode(F.array(*pairs)).alias("x")).select("x.facet", "x.value")
+    return rows.where(F.col("value").isNotNull()).distinct().orderBy("facet", "value")
+
+
+def coverage(kpis: DataFrame, group_cols: tuple[str, ...], basis: str = "rows") -> DataFrame:
+    """One row per group and KPI name with ``percent_of_projects``, for J3."""
+    src = kpis.withColumn("actual_numeric", parse_value("actual"))
+    valued = F.col("actual_numeric").isNotNull()
+    by_kpi = src.where(F.col("kpi_name").isNotNull()).groupBy(*group_cols, "kpi_name")
+    counted = by_kpi.agg(
+        (F.count_distinct(F.when(valued, F.col("projectId"))) if basis == "projects" else F.count(F.when(valued, F.lit(1)))).alias("n")
+    )
+    return counted.join(project_count(src, group_cols), list(group_cols), "left").select(
+        *group_cols, "kpi_name", F.try_divide(F.col("n") * 100.0, F.col("n_projects")).alias("percent_of_projects")
+    )
+
+
 def facet_people(df: DataFrame, col: str = "project_managers") -> DataFrame:
     """Sorted distinct parsed people names (explode after a partial
     distinct on the raw text, so each distinct list is parsed once)."""

@@ -15,30 +15,46 @@ from trestle.sources import dims
 
 
 def attach_coverage(rolled: DataFrame, coverage: DataFrame, keys: tuple[str, ...] = ("kpi_name",)) -> DataFrame:
-    """Left join a per-KPI coverage frame (one row per key)."""
-    return rolled.join(coverage, list(keys), "left")
+    """Left join a per-KPI coverage frame; of a key that it holds more
+    than once, one row is used, so no row of ``rolled`` is multiplied."""
+    return rolled.join(coverage.dropDuplicates(list(keys)), list(keys), "left")
 
 
-def _text_lookup(spark: SparkSession, df: DataFrame, kpi_col: str, text_col: str, exact_case: bool) -> DataFrame:
-    texts = dims.kpi_text_dim(spark).select("kpi_key", text_col)
+def segment_meta(summary: DataFrame, meta: DataFrame, segment_col: str) -> DataFrame:
+    """(segment, project) pairs of the selection, each once, with the
+    project's meta; projects without meta are left out."""
+    pairs = summary.select(segment_col, "projectId").distinct()
+    return pairs.join(meta, "projectId")
+
+
+def _text_lookup(
+    spark: SparkSession, df: DataFrame, kpi_col: str, text_col: str, exact_case: bool, own: DataFrame | None
+) -> DataFrame:
+    # The built-in texts are configuration-sized; a deployment's own table is
+    # left to the planner's size check.
+    texts = F.broadcast(dims.kpi_text_dim(spark)) if own is None else own
+    texts = texts.select("kpi_key", text_col)
     if exact_case:
         # The name as written must equal the key (the cloud dashboards'
         # dictionaries are looked up without lower-casing).
         key = F.coalesce(F.col(kpi_col).cast("string"), F.lit(""))
     else:
         key = dims.kpi_key(kpi_col)
-    return df.withColumn("_kpi_key", key).join(F.broadcast(texts), F.col("_kpi_key") == F.col("kpi_key"), "left").drop(
-        "kpi_key"
-    )
+    return df.withColumn("_kpi_key", key).join(texts, F.col("_kpi_key") == F.col("kpi_key"), "left").drop("kpi_key")
 
 
 def attach_definition(
-    spark: SparkSession, df: DataFrame, kpi_col: str = "kpi_name", fallback: str = "sentence", exact_case: bool = False
+    spark: SparkSession,
+    df: DataFrame,
+    kpi_col: str = "kpi_name",
+    fallback: str = "sentence",
+    exact_case: bool = False,
+    texts: DataFrame | None = None,
 ) -> DataFrame:
     """Definition by lower-cased name (main) or by the name as written
     (``exact_case``, cloud variants); else a sentence holding the name
     (``fallback="sentence"``) or one fixed default text (``"fixed"``)."""
-    j = _text_lookup(spark, df, kpi_col, "definition", exact_case)
+    j = _text_lookup(spark, df, kpi_col, "definition", exact_case, texts)
     if fallback == "sentence":
         name = F.trim(F.coalesce(F.col(kpi_col).cast("string"), F.lit("")))
         default = F.concat(F.lit(dims.DEFAULT_DEFINITION_PREFIX), name, F.lit(dims.DEFAULT_DEFINITION_SUFFIX))
@@ -47,17 +63,21 @@ def attach_definition(
     return j.withColumn("definition", F.coalesce(F.col("definition"), default)).drop("_kpi_key")
 
 
-def attach_guidance(spark: SparkSession, df: DataFrame, kpi_col: str = "kpi_name") -> DataFrame:
+def attach_guidance(
+    spark: SparkSession, df: DataFrame, kpi_col: str = "kpi_name", texts: DataFrame | None = None
+) -> DataFrame:
     """Exact lookup, else the ordered keyword rules, else the default."""
-    j = _text_lookup(spark, df, kpi_col, "guidance", exact_case=False)
+    j = _text_lookup(spark, df, kpi_col, "guidance", False, texts)
     return j.withColumn("guidance", F.coalesce(F.col("guidance"), dims.guidance_rule_text("_kpi_key"))).drop(
         "_kpi_key"
     )
 
 
-def attach_strength(spark: SparkSession, df: DataFrame, kpi_col: str = "kpi_name") -> DataFrame:
+def attach_strength(
+    spark: SparkSession, df: DataFrame, kpi_col: str = "kpi_name", texts: DataFrame | None = None
+) -> DataFrame:
     """Exact lookup else the default strength text."""
-    j = _text_lookup(spark, df, kpi_col, "strength", exact_case=False)
+    j = _text_lookup(spark, df, kpi_col, "strength", False, texts)
     return j.withColumn("strength", F.coalesce(F.col("strength"), F.lit(dims.DEFAULT_STRENGTH))).drop("_kpi_key")
 
 
@@ -69,9 +89,8 @@ def processes_with_default(
     stays null (T22).  Display order is kept in ``position``."""
     proc = dims.process_dim(spark, phases)
     m = means.withColumn("_present", F.lit(True))
-    out = F.broadcast(proc).join(m, ["phase", "process_name"], "left") if "phase" in means.columns else (
-        F.broadcast(proc).join(m, ["process_name"], "left")
-    )
+    # the kept side of an outer join can't be broadcast; the means are one row per process
+    out = proc.join(m, ["phase", "process_name"] if "phase" in means.columns else ["process_name"], "left")
     return out.select(
         "phase",
         "process_name",

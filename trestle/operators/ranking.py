@@ -176,6 +176,14 @@ def sort_scoreboard(board: DataFrame, column: str = "CR-Score", ascending: bool
     return board.orderBy(key, F.col("Segment").asc_nulls_last())
 
 
+def sort_kpis(rolled: DataFrame, group_cols: tuple[str, ...] = ()) -> DataFrame:
+    """O2: the KPI tables sorted by ``unrealized_value`` descending, missing
+    last; the KPI name breaks ties.  Tables of several groups follow each
+    other in the order of ``group_cols``."""
+    order = [F.col("unrealized_value").desc_nulls_last(), F.col("kpi_name").asc_nulls_last()]
+    return rolled.orderBy(*[F.col(g).asc_nulls_last() for g in group_cols], *order)
+
+
 def page_bounds(total_rows: int, page: int, rows_per_page: int = ROWS_PER_PAGE) -> tuple[int, int]:
     """L1: clamp a page number; returns (page, total_pages)."""
     pages = max(1, math.ceil(total_rows / rows_per_page))

@@ -23,7 +23,7 @@ from trestle.operators import items as IT
 from trestle.operators import joins as J
 from trestle.operators import ranking as R
 from trestle.operators.scoreboard import SORT_COLUMNS, scoreboard
-from trestle.sources import dims
+from trestle.sources import dims, staging
 from trestle.sources.model import Model
 
 def _card(df: DataFrame, section, name, rank, value, detail=None) -> DataFrame:
@@ -49,6 +49,11 @@ def project_meta_of(model: Model, with_end: bool = True) -> DataFrame | None:
     needed = {"projectId", "ProjValue", "startDate"} | ({"endDate"} if with_end else set())
     if not needed.issubset(model.kpis.columns):
         return None
+    if model.meta_path is not None and "endDate" in model.kpis.columns:
+        # staged once per profile: one row per project, parsed
+        source = A.project_meta(model.phase_kpis("construction"), model.order_cols)
+        staged = staging.stage_table(model.kpis.sparkSession, source, model.meta_path, sort_by="projectId")
+        return staged if with_end else staged.drop("endDate")
     return A.project_meta(model.phase_kpis("construction"), model.order_cols, end_col="endDate" if with_end else None)
 
 
@@ -106,7 +111,9 @@ def _summary_card(summary: DataFrame, phase_columns: dict[str, str], with_overal
     )
 
 
-def _top_lists(spark: SparkSession, metrics: DataFrame, group_cols: tuple[str, ...] = ()) -> DataFrame:
+def _top_lists(
+    spark: SparkSession, metrics: DataFrame, group_cols: tuple[str, ...] = (), own: DataFrame | None = None
+) -> DataFrame:
     """Both top-5 KPI lists of a page (A8 with strength text, A9 with
     guidance) from ONE metrics aggregate: the two metrics are unpivoted into
     (list, KPI, value) rows and ranked by one window partitioned by list (and
@@ -121,7 +128,7 @@ def _top_lists(spark: SparkSession, metrics: DataFrame, group_cols: tuple[str, .
         F.explode(F.array(*[F.struct(F.lit(s).alias("section"), F.col(m).alias("value")) for s, m in lists])).alias("x"),
     ).select(*group_cols, "kpi_name", "x.section", "x.value")
     top = R.top_of(rows.withColumnRenamed("value", "metric"), "metric", (*group_cols, "section"))
-    texts = J.attach_guidance(spark, J.attach_strength(spark, top))
+    texts = J.attach_guidance(spark, J.attach_strength(spark, top, texts=own), texts=own)
     name = F.concat_ws("|", *group_cols, "kpi_name") if group_cols else F.col("kpi_name")
     detail = F.when(F.col("section") == "top_performing", F.col("strength")).otherwise(F.col("guidance"))
     return _card(texts, F.col("section"), name, "rank", "metric", detail)
@@ -136,7 +143,7 @@ def executive_summary(spark: SparkSession, model: Model, profile: Profile, sel:
     with the selected project ids) for both top-5 lists."""
     _, summary = selections(model, sel)
     kpis = FL.filter_category(all_kpis(model, summary, profile), sel.category)
-    return _union([_summary_card(summary, profile.phase_score_columns), _top_lists(spark, R.kpi_metrics(kpis))])
+    return _union([_summary_card(summary, profile.phase_score_columns), _top_lists(spark, R.kpi_metrics(kpis), own=model.kpi_texts)])
 
 
 # --- Q2 -------------------------------------------------------------------
@@ -190,7 +197,7 @@ def phase_summary(spark: SparkSession, model: Model, profile: Profile, sel: Sele
             listed, "process", F.concat_ws("|", "phase", "process_name"), "position", "process_score",
             F.concat(display.process_display_name("process_name"), F.lit("|"), scoring.bar_score("process_score").cast("string")),
         ),
-        _top_lists(spark, R.kpi_metrics(kpis, ("phase",)), ("phase",)),
+        _top_lists(spark, R.kpi_metrics(kpis, ("phase",)), ("phase",), model.kpi_texts),
     ]
     return _union(parts)
 
@@ -213,7 +220,7 @@ def process_kpi_table(spark: SparkSession, model: Model, profile: Profile, sel:
     groups = ("phase", "process_name")
     rolled = A.kpi_rollup(kpis, groups, model.order_cols)
     labelled = R.priority_label(rolled, groups)
-    with_def = J.attach_definition(spark, labelled)
+    with_def = J.attach_definition(spark, labelled, texts=model.kpi_texts)
     return with_def.select(
         "phase",
         "process_name",
@@ -287,17 +294,29 @@ def _gap_lists(model: Model, profile: Profile, summary: DataFrame, category: str
 
 # --- Q7 -------------------------------------------------------------------
 
+def improvements(summary: DataFrame, cols: dict[str, str], model: str) -> tuple[DataFrame, dict]:
+    """Every phase's mean score in one aggregate row (``_n`` rows in all), and X4 of each as an expression over it."""
+    wide = summary.agg(*[F.avg(c).alias(p) for p, c in cols.items()], F.count(F.lit(1)).alias("_n"))
+    return wide, {p: scoring.phase_improvement(F.col(p), p, model) for p in cols}
+
+
+def phase_improvements(summary: DataFrame, cols: dict[str, str], model: str) -> DataFrame:
+    """(phase, position, phase_score, improvement), one scan of the selection."""
+    wide, imps = improvements(summary, cols, model)
+    rows = [
+        F.struct(F.lit(p).alias("phase"), F.lit(i).alias("position"), F.col(p).alias("phase_score"), imps[p].alias("improvement"))
+        for i, p in enumerate(cols, start=1)
+    ]
+    return wide.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
 def cost_improvement_card(spark: SparkSession, model: Model, profile: Profile, sel: Selection) -> DataFrame:
     """Q7 (cloud variants): per phase mean score and cost improvement (the
     profile's model), and their total (0 when nothing is selected) -- one
     aggregation over the selected scorecard rows, one explode."""
     _, summary = selections(model, sel)
     cols = profile.phase_score_columns
-    wide = summary.agg(
-        *[F.avg(c).alias(p) for p, c in cols.items()],
-        F.count(F.lit(1)).alias("_n"),
-    )
-    imps = {p: scoring.phase_improvement(F.col(p), p, profile.improvement_model) for p in cols}
+    wide, imps = improvements(summary, cols, profile.improvement_model)
     total = None
     for v in imps.values():
         total = v if total is None else total + v

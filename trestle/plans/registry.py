@@ -12,11 +12,13 @@ the feature (top-5 lists, one scoreboard page).
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trestle.config import (
     CATEGORY_MULTIPLIERS,
@@ -41,7 +43,7 @@ from trestle.operators import ranking as R
 from trestle.operators.scoreboard import scoreboard
 from trestle.plans import composites as Q
 from trestle.plans import sqlparts as S
-from trestle.sources import dims, files
+from trestle.sources import dims, files, staging
 from trestle.sources.model import Model, cloud_layout, for_profile, from_tpch
 from trestle.sources.tpch_sql import ADAPTER_CTES
 
@@ -197,15 +199,39 @@ SCORECARD_COLS = (
 SC_DBL = ("score", "phaseScore_bidding", "phaseScore_precon", "phaseScore_construction", "phaseScore_closeout")
 
 
+def _through_csv(spark, df, schema):
+    """``df`` written as CSV files and read by the library's reader."""
+    path = f"{staging.staging_root(spark)}/csv-{uuid.uuid4().hex}"
+    df.write.options(header=True, quote='"', escape='"').csv(path)
+    return files.read_csv(spark, path, schema, multi_line=False)
+
+
 @reg("scan_scorecard", f"SELECT {SCORECARD_COLS} FROM scorecard", dbl=SC_DBL, ints=("name_flag",))
 def scan_scorecard(spark, d):
-    return raw_model(spark, d).scorecard
+    return _through_csv(spark, raw_model(spark, d).scorecard, files.SCORECARD_SCHEMA).withColumn("name_flag", F.col("name_flag").cast("long"))
+
 
+NULL_ACTUAL = "nullif(actual, 'n/a') AS actual"
+PHASE_TABLE_COLS = "phase, projectId, impact_category, process_name, kpi_name, actual, score, unrealized_value, ProjValue, startDate"
 
-@reg("scan_phase_tables", "SELECT projectId, phase, process_name, impact_category, name_flag, score FROM processes",
-     dbl=("score",), ints=("name_flag",))
+
+@reg("scan_phase_tables",
+     f"SELECT 'kpis' AS file, {PHASE_TABLE_COLS.replace('actual', NULL_ACTUAL)} FROM kpis UNION ALL "
+     "SELECT 'processes', phase, projectId, impact_category, process_name, NULL, NULL, score, NULL, NULL, NULL FROM processes",
+     dbl=("score", "unrealized_value"))
 def scan_phase_tables(spark, d):
-    return raw_model(spark, d).processes.select("projectId", "phase", "process_name", "impact_category", "name_flag", "score")
+    """The process and the KPI file of every phase through the reader; a phase counts only with both."""
+    m = raw_model(spark, d)
+    cols = PHASE_TABLE_COLS.split(", ")
+    out = []
+    for kind, df, schema in (("kpis", m.kpis, files.KPI_SCHEMA), ("processes", m.processes, files.PROCESS_SCHEMA)):
+        # rows whose actual is a missing-value word come back as null
+        read = _through_csv(spark, df.select(*[c for c in cols if c in df.columns]), schema)
+        full = read.select(*[F.col(c) if c in read.columns else F.lit(None).cast("string").alias(c) for c in cols])
+        typed = full.withColumns({c: F.col(c).cast("double") for c in ("score", "unrealized_value")})
+        out.append(typed.select(F.lit(kind).alias("file"), *cols))
+    both = out[0].select("phase").distinct().join(out[1].select("phase").distinct(), "phase")
+    return out[0].unionByName(out[1]).join(F.broadcast(both), "phase", "left_semi").select("file", *cols)
 
 
 ITEM_COLS = ("event_id, projectId, region, projectManager, office_name, program_manager, project_stage, "
@@ -215,30 +241,26 @@ ITEM_COLS = ("event_id, projectId, region, projectManager, office_name, program_
 
 @reg("scan_action_items", f"SELECT {ITEM_COLS} FROM action_items", dbl=("risk_value", "weight"), ints=("event_id", "name_flag"))
 def scan_action_items(spark, d):
-    return raw_model(spark, d).action_items
+    read = _through_csv(spark, raw_model(spark, d).action_items, files.ACTION_ITEM_SCHEMA)
+    return read.withColumns({c: F.col(c).cast("long") for c in ("event_id", "name_flag")})
 
 
-@reg("scan_object_store",
-     "SELECT event_type, count(*) AS n_items, sum(value) AS total_value FROM events GROUP BY event_type",
-     dbl=("total_value",), ints=("n_items",))
+@reg("scan_object_store", "SELECT event_id, ts, user_id, event_type, value FROM events",
+     dbl=("value",), ints=("event_id", "user_id"))
 def scan_object_store(spark, d):
-    # The same reader on a bucket URI; a missing object gives an empty
-    # frame, so the union below adds nothing.
-    schema = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
-    from pyspark.sql import types as T
-
-    sch = T._parse_datatype_string(schema)
+    """The rows of an object by bucket URI; a missing object adds none."""
+    sch = T._parse_datatype_string("event_id bigint, ts timestamp, user_id bigint, event_type string, value double")
     got = files.read_or_empty(spark, files.object_uri(d, "", "events.parquet"), sch, fmt="parquet")
     missing = files.read_or_empty(spark, files.object_uri(d, "absent-prefix", "events.parquet"), sch, fmt="parquet")
-    ev = got.select(*sch.names).unionByName(missing.select(*sch.names))
-    return ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("n_items"), F.sum("value").alias("total_value"))
+    return got.select(*sch.names).unionByName(missing.select(*sch.names))
 
 
-@reg("drop_dup_rows",
-     "SELECT DISTINCT projectId, phase, process_name, impact_category, kpi_name, actual FROM kpis")
+@reg("drop_dup_rows", f"SELECT DISTINCT * EXCLUDE ({DATA_COLS_EXCLUDE}) FROM kpis",
+     dbl=("score", "unrealized_value", "process_level_unrealized_value", "phase_level_unrealized_value"),
+     ints=("kpi_wt", "name_flag"))
 def drop_dup_rows(spark, d):
-    k = raw_model(spark, d).kpis.select("projectId", "phase", "process_name", "impact_category", "kpi_name", "actual")
-    return C.drop_dup_rows(k)
+    m = raw_model(spark, d)
+    return C.drop_dup_rows(m.kpis.select(*m.data_columns(m.kpis)))
 
 
 @reg("tag_phase",
@@ -417,13 +439,31 @@ def filter_process(spark, d):
 
 
 @reg("filter_action_items",
-     f"""SELECT event_id, projectId, risk_value FROM action_items
-         WHERE CAST(office_name AS VARCHAR) = '{OFFICE}' AND CAST(project_stage AS VARCHAR) = '{STAGE}'""",
+     f"""SELECT 'columns' AS form, event_id, projectId, risk_value FROM action_items
+         WHERE CAST(office_name AS VARCHAR) = '{OFFICE}' AND CAST(project_stage AS VARCHAR) = '{STAGE}'
+         UNION ALL SELECT 'person', event_id, projectId, risk_value FROM action_items
+         WHERE list_contains({S.people('project_managers')}, '{PERSON}') AND name_flag = 1
+         UNION ALL SELECT 'main', event_id, projectId, risk_value FROM action_items
+         WHERE region = '{REGION}' AND impact_category = 'Schedule'""",
      dbl=("risk_value",), ints=("event_id",))
 def filter_action_items(spark, d):
-    sel = Selection(office=OFFICE, stage=STAGE)
-    it = IT.filter_items_optional(raw_model(spark, d).action_items, sel)
-    return it.select("event_id", "projectId", "risk_value")
+    """filters on the columns that exist, the person and flag filters, and the main form."""
+    it = raw_model(spark, d).action_items
+    forms = {
+        "columns": IT.filter_items_optional(it, Selection(office=OFFICE, stage=STAGE)),
+        "person": IT.filter_items_optional(it, Selection(person=PERSON, name_flag="only")),
+        "main": IT.filter_items_main(it, Selection(region=REGION), "Schedule"),
+    }
+    parts = [df.select(F.lit(k).alias("form"), "event_id", "projectId", "risk_value") for k, df in forms.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@reg("action_item_counts",
+     f"""SELECT count(*) AS original_count, count(*) FILTER (WHERE region = '{REGION}' AND impact_category = 'Schedule') AS filtered_count
+         FROM action_items""", ints=("original_count", "filtered_count"))
+def action_item_counts(spark, d):
+    """F10's note: items before and after the filters."""
+    return Q.action_item_counts(spark, main_model(spark, d), MAIN, Selection(region=REGION, category="Schedule"))
 
 
 @reg("filter_item_phase",
@@ -481,28 +521,26 @@ def propagate_projects(spark, d):
         JOIN meta m USING (projectId)""", dbl=("projValue",))
 def segment_to_meta(spark, d):
     m = main_model(spark, d)
-    pairs = m.scorecard.select("region", "projectId").distinct()
-    return pairs.join(Q.project_meta_of(m), "projectId").select("region", "projectId", "projValue", "startDate")
+    return J.segment_meta(m.scorecard, Q.project_meta_of(m), "region").select("region", "projectId", "projValue", "startDate")
 
 
 def _rollup_sql(src: str, coverage: bool, scale: str = "1") -> str:
     """A5 (+A6): averaged rows for groups with more than one project, the
     rows themselves otherwise."""
     cov = ", count(actual_numeric) * 100.0 / max(n_projects) AS percent_of_projects" if coverage else ""
-    cov1 = (", count(actual_numeric) OVER (PARTITION BY phase, process_name, kpi_name) * 100.0 / n_projects "
-            "AS percent_of_projects") if coverage else ""
+    cov1 = (", CASE WHEN kpi_name IS NOT NULL THEN count(actual_numeric) OVER (PARTITION BY phase, process_name, kpi_name) "
+            "* 100.0 / n_projects END AS percent_of_projects") if coverage else ""
     return f"""
 src AS (SELECT *, {S.parse_value('actual')} AS actual_numeric FROM {src} WHERE process_name IS NOT NULL),
 np AS (SELECT phase, process_name, count(DISTINCT projectId) AS n_projects FROM src
        WHERE projectId IS NOT NULL GROUP BY phase, process_name),
-j AS (SELECT src.*, coalesce(np.n_projects, 0) AS n_projects FROM src LEFT JOIN np USING (phase, process_name)
-      WHERE kpi_name IS NOT NULL),
+j AS (SELECT src.*, coalesce(np.n_projects, 0) AS n_projects FROM src LEFT JOIN np USING (phase, process_name)),
 rolled AS (
   SELECT phase, process_name, kpi_name, avg(actual_numeric) AS actual_numeric, avg(score) * {scale} AS score,
          avg(unrealized_value) AS unrealized_value,
          {S.first_by('bp_range_display', S.ROW_ORDER)} AS bp_range_display,
          {S.first_by('unit', S.ROW_ORDER)} AS unit{cov}, true AS is_averaged
-  FROM j WHERE n_projects > 1 GROUP BY phase, process_name, kpi_name
+  FROM j WHERE n_projects > 1 AND kpi_name IS NOT NULL GROUP BY phase, process_name, kpi_name
   UNION ALL
   SELECT phase, process_name, kpi_name, actual_numeric, score * {scale}, unrealized_value, bp_range_display,
          unit{cov1}, false FROM j WHERE n_projects <= 1)
@@ -525,14 +563,42 @@ def _rolled_main(spark, d, coverage=False, basis="rows", scale=1.0):
     return r.withColumn("score", F.col("score") * scale)
 
 
+# three projects: groups with several projects, with one, and KPI rows without a name
+FEW = "projectId IN (SELECT projectId FROM kpis GROUP BY projectId ORDER BY projectId LIMIT 3)"
+FEW_KPIS = f"(SELECT * REPLACE (CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE kpi_name END AS kpi_name) FROM kpis WHERE {FEW} AND impact_category = 'Cost')"
+
+
+def _few_kpis(spark, d):
+    k = raw_model(spark, d).kpis
+    few = k.select("projectId").distinct().orderBy("projectId").limit(3)
+    named = F.when(F.col("l_partkey") % 7 != 0, F.col("kpi_name"))
+    return k.join(F.broadcast(few), "projectId", "left_semi").where("impact_category = 'Cost'").withColumn("kpi_name", named)
+
+
 @reg("attach_coverage",
-     "SELECT phase, process_name, kpi_name, score, percent_of_projects FROM rolled",
-     ctes=_rollup_sql(SEL_KPIS, True), dbl=("score", "percent_of_projects"))
+     "SELECT phase, process_name, kpi_name, actual_numeric, score, percent_of_projects FROM rolled",
+     ctes=_rollup_sql(SEL_KPIS, True), dbl=("actual_numeric", "score", "percent_of_projects"))
 def attach_coverage(spark, d):
-    rolled = _rolled_main(spark, d).drop("is_averaged")
-    cov = _rolled_main(spark, d, coverage=True).select("phase", "process_name", "kpi_name", "percent_of_projects")
-    return J.attach_coverage(rolled, cov, ("phase", "process_name", "kpi_name")).select(
-        "phase", "process_name", "kpi_name", "score", "percent_of_projects"
+    m = main_model(spark, d)
+    _, summary = Q.selections(m, SEL)
+    k = FL.filter_category(FL.propagate_projects(m.kpis, summary), "Schedule").where(F.col("process_name").isNotNull())
+    groups = ("phase", "process_name")
+    rolled = A.kpi_rollup(k, groups, m.order_cols)
+    return J.attach_coverage(rolled, A.coverage(k, groups), (*groups, "kpi_name")).select(
+        *groups, "kpi_name", "actual_numeric", "score", "percent_of_projects"
+    )
+
+
+@reg("kpi_rollup_single",
+     "SELECT phase, process_name, kpi_name, actual_numeric, score, percent_of_projects, is_averaged FROM rolled",
+     ctes=_rollup_sql(FEW_KPIS, True), dbl=("actual_numeric", "score", "percent_of_projects"))
+def kpi_rollup_single(spark, d):
+    """A5 + J3 where most groups have a single project and some KPI names are missing."""
+    k = _few_kpis(spark, d)
+    groups = ("phase", "process_name")
+    rolled = A.kpi_rollup(k, groups, raw_model(spark, d).order_cols)
+    return J.attach_coverage(rolled, A.coverage(k, groups), (*groups, "kpi_name")).select(
+        *groups, "kpi_name", "actual_numeric", "score", "percent_of_projects", "is_averaged"
     )
 
 
@@ -756,15 +822,14 @@ def scoreboard_q(spark, d):
     return scoreboard(m.scorecard, Q.project_meta_of(m), "Region")
 
 
+FACETS = {"project": "projectId", "region": "region", "manager": "projectManager", "category": "impact_category",
+          "office": "office_name", "program_manager": "program_manager", "stage": "project_stage"}
+
+
 @reg("facet_values",
-     "SELECT 'region' AS facet, CAST(region AS VARCHAR) AS value FROM sc WHERE region IS NOT NULL "
-     "UNION SELECT 'office', CAST(office_name AS VARCHAR) FROM sc WHERE office_name IS NOT NULL "
-     "UNION SELECT 'stage', CAST(project_stage AS VARCHAR) FROM sc WHERE project_stage IS NOT NULL")
+     " UNION ".join(f"SELECT '{n}' AS facet, CAST({c} AS VARCHAR) AS value FROM sc WHERE {c} IS NOT NULL" for n, c in FACETS.items()))
 def facet_values(spark, d):
-    sc = main_model(spark, d).scorecard
-    parts = [A.facet_values(sc, c).select(F.lit(n).alias("facet"), "value")
-             for n, c in (("region", "region"), ("office", "office_name"), ("stage", "project_stage"))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return A.facet_table(main_model(spark, d).scorecard, FACETS)
 
 
 @reg("facet_people",
@@ -821,15 +886,18 @@ def display_rank(spark, d):
      "SELECT Segment, est_project_value, row_number() OVER (ORDER BY est_project_value ASC NULLS LAST, Segment) AS pos FROM board",
      ctes=BOARD_SQL.format(seg="projectManager", src="sc"), dbl=("est_project_value",), ints=("pos",))
 def scoreboard_sort(spark, d):
-    from pyspark.sql import Window
-
     m = main_model(spark, d)
     board = scoreboard(m.scorecard, Q.project_meta_of(m), "Project Manager")
-    # the position of every row in the sorted board (board rows: one per manager)
-    w = Window.orderBy(F.col("est_project_value").asc_nulls_last(), F.col("Segment").asc_nulls_last())
-    return R.sort_scoreboard(board, "est_project_value", True).withColumn("pos", F.row_number().over(w)).select(
-        "Segment", "est_project_value", "pos"
-    )
+    return _positions(R.sort_scoreboard(board, "est_project_value", True)).select("Segment", "est_project_value", "pos")
+
+
+def _positions(ordered: DataFrame, group_cols: tuple[str, ...] = ()) -> DataFrame:
+    """``pos``: the place of each row of an ordered frame, as it comes (the frame is a page's table, not facts)."""
+    from pyspark.sql import Window
+
+    numbered = ordered.withColumn("_at", F.monotonically_increasing_id())
+    w = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))
+    return numbered.withColumn("pos", F.row_number().over(w.orderBy("_at"))).drop("_at")
 
 
 @reg("kpi_sort",
@@ -838,11 +906,8 @@ def scoreboard_sort(spark, d):
      ctes=_rollup_sql(SEL_KPIS, False), dbl=("unrealized_value",), ints=("pos",))
 def kpi_sort(spark, d):
     # O2: every process's KPI table in sorted order (position per table).
-    from pyspark.sql import Window
-
-    r = _rolled_main(spark, d)
-    w = Window.partitionBy("phase", "process_name").orderBy(F.col("unrealized_value").desc_nulls_last(), "kpi_name")
-    return r.withColumn("pos", F.row_number().over(w)).select("phase", "process_name", "kpi_name", "unrealized_value", "pos")
+    groups = ("phase", "process_name")
+    return _positions(R.sort_kpis(_rolled_main(spark, d), groups), groups).select(*groups, "kpi_name", "unrealized_value", "pos")
 
 
 @reg("page",
@@ -968,17 +1033,7 @@ def _improvement_rows_sql(model: str) -> str:
 def _improvement_q(spark, d, model: str):
     m = cloud_model(spark, d, MIXED if model == "mixed" else POWER)
     _, summary = Q.selections(m, CLOUD_SEL)
-    cols = POWER.phase_score_columns
-    wide = summary.agg(*[F.avg(c).alias(p) for p, c in cols.items()])
-    parts = [
-        wide.select(F.lit(p).alias("phase"), F.lit(i).alias("position"), F.col(p).alias("phase_score"),
-                    scoring.phase_improvement(F.col(p), p, model).alias("improvement"))
-        for i, p in enumerate(cols, start=1)
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return Q.phase_improvements(summary, POWER.phase_score_columns, model)
 
 
 CS_POWER = "cs AS (SELECT * FROM scorecard_c WHERE impact_category = 'cost')"
@@ -1019,14 +1074,16 @@ def grade_q(spark, d):
 
 
 @reg("ratio_band",
-     """SELECT kpi_name, CASE WHEN r < 0.2 THEN 1 WHEN r < 0.4 THEN 2 WHEN r < 0.6 THEN 3 WHEN r < 0.8 THEN 4 ELSE 5 END AS band
-        FROM (SELECT kpi_name, CASE WHEN p IS NULL OR p = 0 THEN 0.0 ELSE a / p END AS r
-              FROM (SELECT kpi_name, avg(score) AS a, 100.0 AS p FROM kpis WHERE kpi_name IS NOT NULL GROUP BY kpi_name))""",
-     ints=("band",))
+     """SELECT score, possible, CASE WHEN r < 0.2 THEN 1 WHEN r < 0.4 THEN 2 WHEN r < 0.6 THEN 3 WHEN r < 0.8 THEN 4 ELSE 5 END AS band
+        FROM (SELECT score, possible, CASE WHEN possible IS NULL OR possible = 0 THEN 0.0 ELSE score / possible END AS r
+              FROM (SELECT DISTINCT score, CASE WHEN kpi_wt = 1 THEN 0.0 WHEN kpi_wt > 1 THEN 100.0 END AS possible FROM kpis))""",
+     dbl=("score", "possible"), ints=("band",))
 def ratio_band(spark, d):
-    k = raw_model(spark, d).kpis.where(F.col("kpi_name").isNotNull())
-    agg = k.groupBy("kpi_name").agg(F.avg("score").alias("a"), F.lit(100.0).alias("p"))
-    return agg.select("kpi_name", scoring.ratio_band("a", "p").alias("band"))
+    """X7 of every score there is, against 100, against 0 and against a missing value."""
+    k = raw_model(spark, d).kpis
+    possible = F.when(F.col("kpi_wt") == 1, F.lit(0.0)).when(F.col("kpi_wt") > 1, F.lit(100.0))
+    pairs = k.select("score", possible.alias("possible")).distinct()
+    return pairs.select("score", "possible", scoring.ratio_band("score", "possible").alias("band"))
 
 
 @reg("bar_score",
@@ -1233,18 +1290,32 @@ def cost_improvement_card(spark, d):
     return Q.cost_improvement_card(spark, cloud_model(spark, d, MIXED), MIXED, CLOUD_SEL)
 
 
+ITEM_SEL = Selection(category="cost", stage=STAGE, name_flag="exclude")
+
+
 @reg("action_item_list",
      f"""SELECT 'all' AS scope, rank, projectId, {ITEM_TITLE_SQL} AS item_type_display, item_display, required_action,
                 risk_value, event_id
-         FROM (SELECT *, row_number() OVER (ORDER BY risk_value DESC, event_id) AS rank FROM it) WHERE rank <= 5
+         FROM (SELECT *, row_number() OVER (ORDER BY risk_value DESC, event_id) AS rank FROM chosen) WHERE rank <= 5
          UNION ALL
          SELECT phase, rank, projectId, {ITEM_TITLE_SQL}, item_display, required_action, risk_value, event_id
-         FROM (SELECT *, row_number() OVER (PARTITION BY phase ORDER BY risk_value DESC, event_id) AS rank FROM it)
+         FROM (SELECT *, row_number() OVER (PARTITION BY phase ORDER BY risk_value DESC, event_id) AS rank FROM chosen)
          WHERE rank <= 5""",
-     ctes=ITEMS_SHAPED_SQL, dbl=("risk_value",), ints=("rank", "event_id"))
+     ctes=ITEMS_SHAPED_SQL.rstrip() + f",\nchosen AS (SELECT * FROM it WHERE project_stage = '{STAGE}' AND name_flag = 0)",
+     dbl=("risk_value",), ints=("rank", "event_id"))
 def action_item_list(spark, d):
-    """Q8 top action items, overall and per phase (cloud variant)."""
-    return Q.action_item_list(spark, cloud_model(spark, d, MIXED), MIXED, CLOUD_SEL)
+    """Q8 top action items of a stage without flagged projects, overall and per phase (cloud variant)."""
+    return Q.action_item_list(spark, cloud_model(spark, d, MIXED), MIXED, ITEM_SEL)
+
+
+@reg("action_item_list_main",
+     f"""SELECT 'all' AS scope, rank, projectId, {ITEM_TITLE_SQL} AS item_type_display, item_display, required_action, weight, event_id
+         FROM (SELECT *, row_number() OVER (ORDER BY weight DESC, event_id) AS rank FROM it
+               WHERE region = '{REGION}' AND impact_category = 'Schedule' AND weight IS NOT NULL) WHERE rank <= 5""",
+     ctes=ITEMS_SHAPED_SQL, dbl=("weight",), ints=("rank", "event_id"))
+def action_item_list_main(spark, d):
+    """Q8 of the main variant: equality filters, largest weights."""
+    return Q.action_item_list(spark, main_model(spark, d), MAIN, Selection(region=REGION, category="Schedule"))
 
 
 # =============================================================================
@@ -1261,7 +1332,7 @@ def dim_tables(spark, d):
     process has in the data (0 for processes the data lacks)."""
     counts = raw_model(spark, d).processes.groupBy("phase", "process_name").agg(F.count(F.lit(1)).alias("n"))
     dim = dims.process_dim(spark)
-    return F.broadcast(dim).join(counts, ["phase", "process_name"], "left").select(
+    return dim.join(counts, ["phase", "process_name"], "left").select(
         "phase", "process_name", "position", F.coalesce(F.col("n"), F.lit(0)).alias("n_score_rows")
     )
 

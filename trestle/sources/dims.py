@@ -2,9 +2,9 @@
 
 Dimensions are tiny and fixed by configuration; they are created with
 ``createDataFrame`` and joined with a ``broadcast`` hint (their size is
-bounded by the configuration, not by the data).  The KPI texts are our own
-wording; a deployment can load its own from a CSV with the same columns via
-``kpi_text_from_csv``.
+bounded by the configuration, not by the data).  The KPI texts are neutral
+defaults; a deployment's own, from a CSV with the same columns
+(``kpi_text_from_csv``), take their place where a model has them.
 """
 
 from __future__ import annotations
@@ -26,56 +26,78 @@ KPI_TEXT_SCHEMA = T.StructType(
     ]
 )
 
-# Our own short texts for a few common KPI names (keys are lower-case names).
-KPI_TEXTS = [
-    ("rfi lead time", "Average days from RFI creation to answer.",
-     "Answers arrive fast enough that field work rarely waits on design.",
-     "Give each trade an RFI owner and review open questions daily."),
-    ("rfis closed on time", "Share of RFIs answered by their due date.",
-     "Due dates are met, so open questions do not pile up.",
-     "Report overdue RFIs by age every week and escalate the oldest."),
-    ("submittal lead time", "Average days from submittal to approval.",
-     "Approvals come back within plan, protecting procurement dates.",
-     "Send long-lead packages first and agree review windows up front."),
-    ("change order cycle time", "Days from change request to approved change order.",
-     "Changes are priced and approved quickly, limiting disputes.",
-     "Use one change template and set approval deadlines with the owner."),
-    ("punch list closure rate", "Share of punch items closed by the target date.",
-     "Punch work is closed steadily, which shortens closeout.",
-     "Walk the site by zone and give every item a trade and a date."),
-    ("incident rate", "Recordable incidents per 200,000 hours worked.",
-     "Few incidents show that hazards are caught before they hurt anyone.",
-     "Track near misses and close corrective actions within two days."),
-    ("budget variance", "Forecast cost against budget, in percent.",
-     "Costs track the budget, so margin is protected.",
-     "Review variance weekly and act as soon as a threshold is crossed."),
-    ("schedule performance index", "Earned value over planned value.",
-     "Work is delivered at or ahead of plan.",
-     "Plan three weeks ahead and clear blockers before crews arrive."),
+# FIXED VALUES: the KPI names (lower case) that have texts of their own.
+KPI_NAMES = (
+    "% of bids targeted", "as-built drawing accuracy", "avg days to submit bid", "avg insurance acquired cycle",
+    "avg number of sub quotes per trade", "avg permit approval cycle", "avg selected sub emr",
+    "avg sub coi received time", "avg sub quote variance", "avg sub response rate", "avg time to close punch item",
+    "avg time to submit bid", "bid package completeness rate", "bid rate per $1m of acv", "bid win rate",
+    "budget to bid variance", "budgets create date", "budgets usage rate", "change order time to close",
+    "change order to budget ratio", "clash detection rate", "client satisfaction score",
+    "client training completion", "compliance matrix completion rate", "contingency adequacy",
+    "contract to budget ratio (deviation)", "cost variance", "daily logs delay", "daily logs rate",
+    "days until sub contracts executed", "drawings usage", "equipment cost variance", "final payment received time",
+    "gantt chart completion rate", "incident detail quality", "incident rate",
+    "invoice to contract ratio (deviation)", "labor cost variance", "licensing & certification compliance rate",
+    "materials cost variance", "meetings documentation", "meetings rate", "near miss detail quality",
+    "near miss rate", "o&m manuals submitted timely", "observation rate", "observations closed on time",
+    "payments to invoices ratio (deviation)", "permit submission timeliness", "photos usage",
+    "prime contract to budget variance", "profit variance", "punch list items closed rate",
+    "quality insp. attach. rate", "quality inspection rate", "rfis closed on time", "rfis lead time", "rfis rate",
+    "safety insp. attach. rate", "safety inspection rate", "safety training", "schedule to bid variance",
+    "schedule variance", "specifications usage", "sub prequal rate", "subcontractor final payments",
+    "submittals closed on time", "submittals lead time", "submittals rate",
+)
+
+# What kind of measure a name speaks of: the first kind with one of its words
+# in the name.  The texts are neutral defaults; a deployment brings its own
+# (``kpi_text_from_csv``).
+MEASURE_KINDS = [
+    (("variance", "deviation"), "Distance between what was agreed and what came out: {}.",
+     "Agreement and outcome hardly differ here.", "Take the project that differs most and find out when it began to."),
+    (("time", "days", "cycle", "delay", "date", "timel"), "How long it takes, or how late it is: {}.",
+     "Little waiting shows up here.", "Write down where the days go, from the first to the last hand, and begin with the longest."),
+    (("rate", "%", "ratio", "number"), "How often, or how large a part: {}.",
+     "The count is where it ought to be.", "Compare the project with the best count to the one with the worst."),
+    (("usage", "documentation", "training", "completion"), "How far it is put to use: {}.",
+     "People do use it.", "Ask those who do without it what keeps them."),
+    ((), "How well it is done: {}.", "It is done well.", "Pick one recent case and go through it together."),
 ]
 
-DEFAULT_DEFINITION_PREFIX = "Operational measure tracking "
-DEFAULT_DEFINITION_SUFFIX = " across projects."
-DEFAULT_STRENGTH = "A strong value here points to steady execution and lower risk in this process."
-DEFAULT_GUIDANCE = "Name an owner, set a weekly target and review the gap to target until it holds."
-NO_DEFINITION = "No definition available for this KPI."
+
+def _kpi_texts() -> list[tuple[str, str, str, str]]:
+    """(key, definition, strength, guidance) of every name, by its kind of measure."""
+    rows = []
+    for name in KPI_NAMES:
+        _, definition, strength, guidance = next(k for k in MEASURE_KINDS if not k[0] or any(w in name for w in k[0]))
+        rows.append((name, definition.format(name), f"{name}: {strength}", f"{name}: {guidance}"))
+    return rows
+
+
+KPI_TEXTS = _kpi_texts()
+
+DEFAULT_DEFINITION_PREFIX = "No text is on record for "
+DEFAULT_DEFINITION_SUFFIX = "."
+DEFAULT_STRENGTH = "One of the best values in this selection."
+DEFAULT_GUIDANCE = "Look at the projects with the lowest value of this KPI one by one."
+NO_DEFINITION = "This KPI has no text."
 
 # FIXED VALUES: the guidance keyword rules, in the dashboards' order (first
 # match wins), checked on the lower-cased name; each rule is (all-of words,
-# any-of words).  The advice texts after them are our own wording.
+# any-of words).  The texts are neutral defaults of this library.
 GUIDANCE_RULES = [
-    (("rfi", "lead time"), (), "Answer RFIs within two days and sort the open ones by impact each morning."),
-    (("rfi", "closed on time"), (), "Age overdue RFIs by bucket and escalate those older than a week."),
-    (("rfi", "rate"), (), "Cut avoidable RFIs with design coordination before work is released."),
-    (("submittal", "lead time"), (), "Submit long-lead packages first and fix reviewer turnaround times."),
-    (("submittal", "rate"), (), "Check packages against a list before submitting to pass on the first try."),
-    (("submittal", "closed on time"), (), "Publish an aging list weekly and escalate stalled approvals."),
-    ((), ("incident", "safety"), "Work on leading indicators: weekly hazard walks and quick corrective actions."),
-    (("change order",), (), "Price changes early, document them one way and agree approval deadlines."),
-    (("punch",), (), "Walk punch lists by zone and confirm each closed item with a photo."),
-    (("quality",), (), "Add hold-point inspections and train the trades with the most defects."),
-    ((), ("cost", "budget"), "Review cost variance weekly and lock buying assumptions early."),
-    ((), ("schedule", "timeline"), "Protect the critical path with look-ahead plans and track weekly commitments."),
+    (("rfi", "lead time"), (), "Find out with whom unanswered RFIs lie."),
+    (("rfi", "closed on time"), (), "Go through the late RFIs and ask what each one lacks."),
+    (("rfi", "rate"), (), "See which drawings the most RFIs are about."),
+    (("submittal", "lead time"), (), "Find out with whom pending submittals lie."),
+    (("submittal", "rate"), (), "Read the returned submittals for what they have in common."),
+    (("submittal", "closed on time"), (), "Go through the late submittals and ask what each one lacks."),
+    ((), ("incident", "safety"), "Talk about the last reports with the crews they came from."),
+    (("change order",), (), "See which kind of change order stays open longest."),
+    (("punch",), (), "See which rooms and which trades the open entries belong to."),
+    (("quality",), (), "Visit the place that most findings come from."),
+    ((), ("cost", "budget"), "Split the figure by account and start with the largest share."),
+    ((), ("schedule", "timeline"), "See which late activity holds up the most others."),
 ]
 
 
@@ -103,8 +125,12 @@ def kpi_text_dim(spark: SparkSession) -> DataFrame:
 
 
 def kpi_text_from_csv(spark: SparkSession, path: str) -> DataFrame:
-    """S6 from a deployment's own CSV (columns as ``KPI_TEXT_SCHEMA``)."""
-    return spark.read.schema(KPI_TEXT_SCHEMA).option("header", True).csv(path)
+    """S6 from a deployment's own CSV (columns as ``KPI_TEXT_SCHEMA``), one row per key."""
+    from trestle.sources.files import read_csv
+
+    texts = read_csv(spark, path, KPI_TEXT_SCHEMA)
+    columns = [F.col(f.name) if f.name in texts.columns else F.lit(None).cast("string").alias(f.name) for f in KPI_TEXT_SCHEMA]
+    return texts.select(*columns).withColumn("kpi_key", kpi_key("kpi_key")).dropDuplicates(["kpi_key"])
 
 
 @plain_args_cache
@@ -150,8 +176,3 @@ def phase_multiplier_dim(spark: SparkSession) -> DataFrame:
     return _per_session(
         spark, "phase_mult", lambda: spark.createDataFrame(rows, "phase string, impact_category string, multiplier double")
     )
-
-
-def item_phase_dim(spark: SparkSession, mapping: dict[str, str]) -> DataFrame:
-    """Action-item type -> phase."""
-    return spark.createDataFrame(list(mapping.items()), "item_type string, item_phase string")

@@ -34,7 +34,7 @@ from trestle.operators.cleaning import (
 )
 from trestle.operators.filters import allow_categories
 from trestle.session import session_key
-from trestle.sources import files
+from trestle.sources import dims, files
 
 
 @dataclass(frozen=True)
@@ -49,6 +49,10 @@ class Model:
     # KPI facts after the whole-row dedup (U1), narrowed to the columns its
     # consumers read; set by staging, else U1 deduplicates at query time.
     kpis_unique: DataFrame | None = None
+    # where the project meta of this model (as filtered by its profile) is staged
+    meta_path: str | None = None
+    # KPI texts of the deployment (S6); None: the built-in ones
+    kpi_texts: DataFrame | None = None
 
     def replace(self, **kw) -> "Model":
         return replace(self, **kw)
@@ -89,12 +93,14 @@ def load_csv_model(
     profile: Profile,
     scorecard_file: str = "executive_summary.csv",
     items_file: str = "action_items.csv",
+    texts_file: str = "kpi_texts.csv",
     multi_line: bool = True,
 ) -> Model:
     """S1-S3 + C1-C7 + F1: the dashboard's ``load_data``.
 
     A phase is loaded only when both of its files exist (S2).  The optional
-    action-item file name is a parameter (``items_file``).  Category cut
+    action-item file name is a parameter (``items_file``), and so is that of
+    the deployment's own KPI texts (``texts_file``).  Category cut
     (F1, also of the items where the profile has it), dedup of every table
     (C2), KPI exclusion inside a process (C5) and everywhere (C6), and flag
     exclusion (C7) follow the profile.  KPI and item rows carry their file order
@@ -146,6 +152,7 @@ def load_csv_model(
         order_cols=ORDER_COLS,
         item_key="_row",
         phases=tuple(loaded),
+        kpi_texts=dims.kpi_text_from_csv(spark, f"{b}/{texts_file}") if _exists(spark, f"{b}/{texts_file}") else None,
     )
 
 
@@ -287,7 +294,7 @@ def stage_model(spark: SparkSession, model: Model, root: str) -> Model:
         name: staging.stage_table(spark, df, f"{root}/{name}", PARTITIONED.get(name), "projectId")
         for name, df in tables.items()
     }
-    return model.replace(**frames)
+    return model.replace(**frames, meta_path=f"{root}/meta")
 
 
 # FIXED VALUES: the cloud dashboards' layout differs from the main one only
@@ -325,8 +332,9 @@ def cloud_layout(model: Model) -> Model:
     if "impact_category" in items.columns:
         items = lower_cat(items)
     phases = tuple(CLOUD_PHASE_RENAMES.get(p, p) for p in model.phases)
+    meta_path = f"{model.meta_path}-cloud" if model.meta_path else None
     return model.replace(scorecard=sc, kpis=kpis, processes=procs, action_items=items, phases=phases,
-                         kpis_unique=uniq)
+                         kpis_unique=uniq, meta_path=meta_path)
 
 
 def for_profile(model: Model, profile: Profile) -> Model:
@@ -344,4 +352,8 @@ def for_profile(model: Model, profile: Profile) -> Model:
         sc, kpis, procs = exclude_flagged(sc), exclude_flagged(kpis), exclude_flagged(procs)
         if uniq is not None:
             uniq = exclude_flagged(uniq)
-    return model.replace(scorecard=sc, kpis=kpis, processes=procs, kpis_unique=uniq, action_items=items)
+    # the meta takes each project's first values among the rows that stay, so a profile has its own
+    meta_path = f"{model.meta_path}-{profile.name}" if model.meta_path else None
+    return model.replace(
+        scorecard=sc, kpis=kpis, processes=procs, kpis_unique=uniq, action_items=items, meta_path=meta_path
+    )

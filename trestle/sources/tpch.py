@@ -47,6 +47,26 @@ ITEM_CATEGORY_LAST = "Safety"
 STAGE_BY_BALANCE = ((0.0, "Closeout"), (3000.0, "Construction"), (6000.0, "Preconstruction"))
 STAGE_LAST = "Bidding"
 
+# KPI name by brand (else the brand): names with texts of their own, one for
+# each guidance rule, and the rest without any
+KPI_BY_BRAND = (
+    ("Brand#1", "RFIs Lead Time"),
+    ("Brand#2", "Cost Variance"),
+    ("Brand#3", "Incident Rate"),
+    ("Brand#4", "RFI Lead Time (days)"),
+    ("Brand#5", "RFI Items Closed On Time"),
+    ("Brand#6", "RFI Reopen Rate"),
+    ("Brand#7", "Submittal Lead Time (days)"),
+    ("Brand#8", "Submittal Return Rate"),
+    ("Brand#9", "Submittal Items Closed On Time"),
+    ("Brand#10", "Safety Walks"),
+    ("Brand#11", "Change Order Count"),
+    ("Brand#12", "Punch Backlog"),
+    ("Brand#14", "Quality Holds"),
+    ("Brand#15", "Budget Movements"),
+    ("Brand#16", "Schedule Slips"),
+)
+
 # Test tables the adapter reads.
 SOURCE_TABLES = ("region", "nation", "customer", "orders", "lineitem", "part", "events")
 
@@ -88,6 +108,11 @@ def _process_name(line: Column, flag: Column) -> Column:
     return expr
 
 
+def _kpi_name(brand: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for pair in KPI_BY_BRAND for x in pair])
+    return F.coalesce(F.try_element_at(names, brand), brand)
+
+
 def _people(nationkey: Column, custkey: Column, regionkey: Column) -> Column:
     return F.concat(
         F.lit("Lead"), nationkey.cast("string"), F.lit(" (7-"), (custkey % 9).cast("string"),
@@ -147,7 +172,7 @@ def kpi_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         _phase(F.col("l_linenumber")).alias("phase"),
         F.col("l_returnflag").alias("process_code"),
         _process_name(F.col("l_linenumber"), F.col("l_returnflag")).alias("process_name"),
-        F.col("p_brand").alias("kpi_name"),
+        _kpi_name(F.col("p_brand")).alias("kpi_name"),
         F.when(F.col("l_discount") == 0, F.lit("n/a"))
         .otherwise(F.concat(F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit(" %")))
         .alias("actual"),

@@ -6,6 +6,8 @@ these CTEs.  The text runs unchanged in DuckDB and Spark SQL.
 
 from __future__ import annotations
 
+from trestle.sources.tpch import KPI_BY_BRAND
+
 ADAPTER_CTES = """
 ctx AS (
   SELECT c.c_custkey, c.c_acctbal, r.r_name AS region, n.n_name AS projectManager,
@@ -38,7 +40,7 @@ kpis AS (
                 CASE l.l_returnflag WHEN 'A' THEN 'finalDocumentation' WHEN 'N' THEN 'punchlistCompletion'
                      WHEN 'R' THEN 'financialReconciliation' END
          END AS process_name,
-         p.p_brand AS kpi_name,
+         CASE p.p_brand @KPI_BY_BRAND@ ELSE p.p_brand END AS kpi_name,
          CASE WHEN l.l_discount = 0 THEN 'n/a'
               ELSE concat(CAST(CAST(round(l.l_discount * 100) AS int) AS string), ' %') END AS actual,
          CASE WHEN p.p_brand < 'Brand#2' THEN '%' ELSE 'days' END AS unit,
@@ -87,6 +89,9 @@ action_items AS (
 """
 
 
+ADAPTER_CTES = ADAPTER_CTES.replace("@KPI_BY_BRAND@", " ".join(f"WHEN '{b}' THEN '{n}'" for b, n in KPI_BY_BRAND))
+
+
 def with_adapter(body: str) -> str:
     """Prefix a query body (which may start with more CTEs) with the adapter.
 
