@@ -37,9 +37,16 @@ def uniform(seed: str, *cols: Column) -> Column:
 def tempered_rates(docs: DataFrame, source_col: str = "source", exponent: float = 0.5, epochs: float = 1.0) -> DataFrame:
     """(source, rate) for target shares in proportion to count ** exponent; ``epochs`` times the input in all."""
     counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("n"))
-    sums = counts.agg(F.sum("n").alias("all_n"), F.sum(F.pow("n", F.lit(exponent))).alias("all_w"))  # one row
-    rate = F.pow("n", F.lit(exponent)) / F.col("all_w") * F.col("all_n") * F.lit(epochs) / F.col("n")
-    return counts.join(F.broadcast(sums)).select("source", rate.alias("rate"))
+    return _rates(counts.withColumn("w", F.pow("n", F.lit(exponent))), epochs)
+
+
+def _rates(weighed: DataFrame, epochs: float) -> DataFrame:
+    """(source, rate) of (source, n, w): w over all weights, times all documents, over n."""
+    sums = weighed.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()  # two numbers
+    if not sums["w"]:
+        return weighed.select("source", F.lit(0.0).alias("rate"))
+    rate = F.col("w") / F.lit(float(sums["w"])) * F.lit(sums["n"]) * F.lit(epochs) / F.col("n")
+    return weighed.select("source", rate.alias("rate"))
 
 
 def weighted_rates(docs: DataFrame, weights: dict[str, float], source_col: str = "source", epochs: float = 1.0) -> DataFrame:
@@ -49,10 +56,7 @@ def weighted_rates(docs: DataFrame, weights: dict[str, float], source_col: str =
     counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("n"))
     pairs = [x for k, w in weights.items() for x in (F.lit(k), F.lit(float(w)))]
     weight = F.coalesce(F.create_map(*pairs)[F.coalesce("source", F.lit(""))], F.lit(0.0)) if pairs else F.lit(0.0)
-    weighed = counts.withColumn("w", weight)
-    sums = weighed.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
-    rate = F.when(F.col("all_w") > 0, F.col("w") / F.col("all_w") * F.col("all_n") * F.lit(epochs) / F.col("n")).otherwise(0.0)
-    return weighed.join(F.broadcast(sums)).select("source", rate.alias("rate"))
+    return _rates(counts.withColumn("w", weight), epochs)
 
 
 def poisson_quantiles(rate: str) -> Column:
