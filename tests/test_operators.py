@@ -217,7 +217,7 @@ def test_filters_and_selection(spark):
     assert FL.apply_selection(sc, Selection(person="Bo Reed", region="N")).count() == 1
     assert FL.apply_selection(sc, Selection(name_flag="exclude")).count() == 2
     assert FL.apply_selection(sc, Selection(name_flag="only")).count() == 1
-    assert FL.category_selection(sc, Selection(category="Cost")).count() == 2
+    assert FL.filter_category(FL.apply_selection(sc, Selection()), "Cost").count() == 2
     # value filter without meta keeps nothing (the newest dashboard's behaviour)
     assert FL.apply_selection(sc, Selection(strict_value_range=True)).count() == 0
     meta = spark.createDataFrame([("P1", 5.0e6, dt.date(2020, 1, 1)), ("P2", None, dt.date(2021, 1, 1))],
@@ -340,3 +340,15 @@ def test_a5_coverage_without_projects_is_null_not_an_error(spark):
     rows = [(None, "p", "a", "K1", "1", "", "", 1.0, 1.0, 1)]
     r = A.kpi_rollup(kpis(spark, rows), ("phase", "process_name"), ("rk",), with_coverage=True).first()
     assert r.percent_of_projects is None and not r.is_averaged
+
+
+def test_l1_pages_in_one_plan(spark):
+    df = spark.range(123).withColumn("id", F.col("id")).orderBy(F.col("id").desc())
+
+    def ids(n):
+        return [r.id for r in R.page(df, n, rows_per_page=50).collect()]
+
+    assert ids(0) == list(range(122, 72, -1)) and ids(1) == list(range(72, 22, -1))
+    assert ids(2) == ids(9) == list(range(22, -1, -1))  # clamped to the last page
+    assert [r.id for r in R.page(spark.range(100).orderBy("id"), 7, rows_per_page=50).collect()] == list(range(50, 100))
+    assert R.page(df.where("id < 0"), 3).collect() == []

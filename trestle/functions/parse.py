@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from trestle.functions.memo import plain_args_cache
 
-from trestle.config import NA_WORDS
-
 # A plain decimal number with optional sign and exponent.
 NUMERIC_PATTERN = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -36,13 +34,6 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-@plain_args_cache
-def na_to_null(col: Column | str) -> Column:
-    """Missing-value words (``'NA'``, ``'n/a'``, ``''`` ...) become null."""
-    c = _c(col)
-    return F.when(c.isin(*NA_WORDS), F.lit(None)).otherwise(c)
-
-
 @plain_args_cache
 def nan_to_null(col: Column | str) -> Column:
     """Floating NaN becomes null, so aggregates skip it like pandas does."""
@@ -83,14 +74,9 @@ def zero_fill(col: Column | str) -> Column:
     return F.coalesce(to_number(col), F.lit(0.0))
 
 
-def zero_fill_double(col: Column | str) -> Column:
-    """C15 for a column that is already numeric."""
-    return F.coalesce(nan_to_null(_c(col).cast("double")), F.lit(0.0))
-
-
 # FIXED VALUE (C11, the dashboards' pattern): "<number> - <title>" at the
 # start of the first match, up to the next " - <letter>" or the end.
-ITEM_DISPLAY_PATTERN = r"([0-9]+\s*-\s*.+?)(?:\s*-\s*[A-Za-z]|$)"
+ITEM_DISPLAY_PATTERN = r"(\d+\s*-\s*.+?)(?:\s*-\s*[A-Za-z]|$)"
 
 
 @plain_args_cache

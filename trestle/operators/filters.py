@@ -141,9 +141,3 @@ def apply_selection(
     if sel.start_range is not None and meta is not None:
         df = df.join(start_date_ids(meta, *sel.start_range), "projectId", "left_semi")
     return df
-
-
-def category_selection(scorecard: DataFrame, sel: Selection, meta: DataFrame | None = None) -> DataFrame:
-    """Selection plus the F6 category cut: the executive summary's rows."""
-    return filter_category(apply_selection(scorecard, sel, meta), sel.category)
-

@@ -191,18 +191,23 @@ def page_bounds(total_rows: int, page: int, rows_per_page: int = ROWS_PER_PAGE)
 
 
 def page(sorted_df: DataFrame, page_no: int, total_rows: int | None = None, rows_per_page: int = ROWS_PER_PAGE) -> DataFrame:
-    """L1: one page of an ordered frame, page clamped to the last one.
+    """L1: one page of an ordered frame, page clamped to the last one, in one plan.
 
-    Page 0 always exists, so it needs no count.  For a later page the row
-    count is needed to clamp: pass ``total_rows`` if known, otherwise one
-    scalar ``count()`` job runs.  Spark plans ``offset + limit`` over a sort
-    as a top-(offset+limit) selection, never a full sort of the frame.
+    The rows up to the page's end are taken as a top-n selection (never a full
+    sort of the frame); if there are fewer, they are all there is, so their
+    number tells the last page and no count runs beside it.
     """
     if page_no <= 0:
         return sorted_df.limit(rows_per_page)
-    n = sorted_df.count() if total_rows is None else total_rows
-    p, _ = page_bounds(n, page_no, rows_per_page)
-    return sorted_df.offset(p * rows_per_page).limit(rows_per_page)
+    if total_rows is not None:
+        p, _ = page_bounds(total_rows, page_no, rows_per_page)
+        return sorted_df.offset(p * rows_per_page).limit(rows_per_page)
+    top = sorted_df.limit((page_no + 1) * rows_per_page).withColumn("_at", F.monotonically_increasing_id())
+    taken = Window.partitionBy(F.lit(0))  # the rows taken, in one task as any top-n result
+    place = F.floor((F.row_number().over(taken.orderBy("_at")) - 1) / rows_per_page)
+    last = F.floor((F.count(F.lit(1)).over(taken) - 1) / rows_per_page)
+    numbered = top.withColumns({"_page": place, "_last": F.least(F.lit(page_no), last)})
+    return numbered.where("_page = _last").orderBy("_at").drop("_at", "_page", "_last")
 
 
 def top_items(items: DataFrame, metric: str, k: int = TOP_K, tie: str = "event_id",
