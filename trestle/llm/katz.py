@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 from trestle.llm.common import WORD, quoted, utf8, written
 
 CUTOFF = 5  # counts above are not discounted
-BLOCK_TOKENS = 1_600_000  # tokens that a task holds before it sends them
+BLOCK_TOKENS = 2_000_000  # tokens that a task holds before it sends them
 PART_TOKENS = 4_000_000  # tokens per partition of the key space
 _START = np.uint64(0x9E3779B97F4A7C15)  # history of a first token
 _END = np.uint64(0xC2B2AE3D27D4EB4F)  # the end mark
@@ -74,6 +74,15 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def _steps(ascending: np.ndarray) -> np.ndarray:
+    """Differences of ascending hashes: shorter numbers, so they pack better."""
+    return np.diff(ascending, prepend=np.uint64(0))
+
+
+def _hashes(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps, dtype=np.uint64)
+
+
 def _spread(h: np.ndarray) -> np.ndarray:
     x = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
@@ -152,7 +161,7 @@ class Blocks:
     def add(self, text: bytes | None, doc: tuple) -> bool:
         words = WORD.findall(text.lower()) if text else []
         ids = self.ids
-        own = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
+        own = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int32, len(words))
         self.tokens.append(own)
         self.docs.append(doc)
         self.size += len(own) + 1
@@ -165,10 +174,10 @@ class Blocks:
         hashes = np.fromiter((digest(w) for w in self.ids), np.uint64, n)
         hashes = np.concatenate((hashes, np.array([_START, _END], np.uint64)))
         lengths = np.array([len(t) for t in self.tokens])
-        start, end = np.array([n]), np.array([n + 1])
+        start, end = np.array([n], np.int32), np.array([n + 1], np.int32)
         w = np.concatenate([x for t in self.tokens for x in (t, end)])
         h = np.concatenate([x for t in self.tokens for x in (start, t)])
-        return hashes, h, w, np.repeat(np.arange(len(lengths)), lengths + 1)
+        return hashes, h, w, np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + 1)
 
 
 def _local(hashes: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,15 +227,15 @@ def _send_counts(layout: Layout):
         seen = np.flatnonzero(counts)
         for p, at in _groups(layout.word_part(hashes[seen]), layout.parts):
             order = np.argsort(hashes[seen[at]])
-            yield "u", p, pack(hashes[seen[at]][order], counts[seen[at]][order].astype(np.uint32))
-        keys, back = np.unique(h * len(hashes) + w, return_inverse=True)
+            yield "u", p, pack(_steps(hashes[seen[at]][order]), counts[seen[at]][order].astype(np.uint32))
+        keys, back = np.unique(h.astype(np.int64) * len(hashes) + w, return_inverse=True)
         n = np.bincount(back[train], minlength=len(keys))
         h, w = keys // len(hashes), keys % len(hashes)
         for p, at in _groups(layout.bigram_part(hashes[h], hashes[w]), layout.parts):
             words, hs, ws = _local(hashes, h[at], w[at])
             order = np.lexsort((ws, hs))
             steps = np.diff(hs[order].astype(np.int64), prepend=0).astype(np.uint32)
-            yield "b", p, pack(words, steps, ws[order], n[at][order].astype(np.uint32))
+            yield "b", p, pack(_steps(words), steps, ws[order], n[at][order].astype(np.uint32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Blocks()
@@ -247,7 +256,7 @@ def _send_counts(layout: Layout):
 
 def _merge_words(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     pairs = [unpack(x) for x in blobs]
-    words, back = np.unique(np.concatenate([p[0] for p in pairs]), return_inverse=True)
+    words, back = np.unique(np.concatenate([_hashes(p[0]) for p in pairs]), return_inverse=True)
     counts = np.bincount(back, weights=np.concatenate([p[1] for p in pairs]).astype(float), minlength=len(words))
     return words, counts.astype(np.int64)
 
@@ -255,10 +264,10 @@ def _merge_words(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _merge_bigrams(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, history places, word places, counts) of a part, ascending by history and word."""
     tables = [unpack(x) for x in blobs]
-    words = np.unique(np.concatenate([t[0] for t in tables]))
+    words = np.unique(np.concatenate([_hashes(t[0]) for t in tables]))
     keys, counts = [], []
     for own, steps, ws, n in tables:
-        to = np.searchsorted(words, own)
+        to = np.searchsorted(words, _hashes(own))
         keys.append(to[np.cumsum(steps, dtype=np.int64)] * len(words) + to[ws])
         counts.append(n)
     keys, back = np.unique(np.concatenate(keys), return_inverse=True)
@@ -275,10 +284,10 @@ def _merge(layout: Layout):
             words, counts = _merge_words(list(pdf["blob"]))
             real = words != _START
             stats = [int(counts[real].sum()), int(real.sum()), *counts_of_counts(counts[real])]
-            return _frame([_row("u", p, blob=pack(words, counts), stats=stats)])
+            return _frame([_row("u", p, blob=pack(_steps(words), counts), stats=stats)])
         words, h, w, n = _merge_bigrams(list(pdf["blob"]))
         seen = n > 0
-        table = pack(words, np.diff(h[seen], prepend=0).astype(np.uint32), w[seen].astype(np.uint32), n[seen].astype(np.uint32))
+        table = pack(_steps(words), np.diff(h[seen], prepend=0).astype(np.uint32), w[seen].astype(np.uint32), n[seen].astype(np.uint32))
         rows = [_row("b", p, blob=table, stats=[0, 0, *counts_of_counts(n[seen])])]
         of = np.searchsorted(layout.heavy, words[h])
         of = np.where((of < len(layout.heavy)) & np.isin(words[h], layout.heavy), of, -1)
@@ -289,7 +298,7 @@ def _merge(layout: Layout):
         for q, at in _groups(parts, layout.parts):
             mine = pairs[parts[w[pairs]] == q]
             place = np.searchsorted(at, w[mine])  # _groups is stable: `at` ascends
-            rows.append(_row("r", q, src=p, blob=pack(words[at], of[mine].astype(np.uint32), place.astype(np.uint32))))
+            rows.append(_row("r", q, src=p, blob=pack(_steps(words[at]), of[mine].astype(np.uint32), place.astype(np.uint32))))
         return _frame(rows)
 
     return run
@@ -305,10 +314,11 @@ def _answer(discounts: Discounts):
         words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for blob in pdf["blob"][pdf["kind"] == "u"]:
             words, counts = unpack(blob)
+            words = _hashes(words)
         rows, mass = [], {}
         for r in pdf[pdf["kind"] == "r"].itertuples(index=False):
             asked, heavy, place = unpack(r.blob)
-            found = _lookup(words, counts, asked)
+            found = _lookup(words, counts, _hashes(asked))
             rows.append(_row("c", int(r.src), src=int(key[0]), blob=pack(asked, found)))
             if len(heavy):
                 p = discounts.unigram(found)[place]
@@ -347,7 +357,7 @@ def _send_tokens(layout: Layout):
             here, d = keys // len(rids), (keys % len(rids)).astype(np.uint32)
             hs, ws = bigrams // len(words), (bigrams % len(words)).astype(np.uint32)
             per = np.bincount(here, minlength=len(bigrams))
-            blob = pack(words, np.diff(hs, prepend=0).astype(np.uint32), ws, per.astype(np.uint32), d, n.astype(np.uint32), rids[:1])
+            blob = pack(_steps(words), np.diff(hs, prepend=0).astype(np.uint32), ws, per.astype(np.uint32), d, n.astype(np.uint32), rids[:1])
             yield _sent("t", p, blob)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,7 +379,7 @@ class Partition:
     def __init__(self, table: bytes | None, answers: list[bytes], layout: Layout, heavy: dict[int, tuple], discounts: Discounts) -> None:
         self.discounts = discounts
         pairs = [unpack(x) for x in answers]
-        known = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.uint64)
+        known = np.concatenate([_hashes(p[0]) for p in pairs]) if pairs else np.zeros(0, np.uint64)
         order = np.argsort(known)
         self.words = known[order]
         self.counts = (np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, np.int64))[order]
@@ -378,7 +388,7 @@ class Partition:
         hs = ws = n = np.zeros(0, np.int64)
         if table is not None:
             own, steps, ws, n = unpack(table)
-            to = np.searchsorted(self.words, own)
+            to = np.searchsorted(self.words, _hashes(own))
             hs, ws, n = to[np.cumsum(steps, dtype=np.int64)], to[ws], n.astype(np.int64)
         self.keys = hs * max(1, size) + ws
         order = np.argsort(self.keys)
@@ -424,7 +434,7 @@ def _evaluate(layout: Layout, heavy: dict[int, tuple], discounts: Discounts):
             out.append((int(unpack(blob)[0][0]), "d", blob))
         for blob in pdf["blob"][pdf["kind"] == "t"]:
             own, steps, ws, per, doc, n, first = unpack(blob)
-            to = np.searchsorted(part.words, own)
+            to = np.searchsorted(part.words, _hashes(own))
             h, w = to[np.cumsum(steps, dtype=np.int64)], to[ws]
             each = np.repeat(np.arange(len(h)), per)
             log_p = part.log_probs(h, w)[each]
