@@ -70,3 +70,14 @@ def test_phase_partition_pruning(spark, qs):
 def test_column_pruning(spark, qs):
     plan = executed(qs["parse_value"](spark, SF))
     assert "ReadSchema: struct<actual:string>" in plan
+
+
+def test_scoreboard_reads_the_staged_meta(spark, qs):
+    qs["project_meta"](spark, SF).count()  # staged at the first use
+    for name in ("portfolio_scoreboard", "project_meta", "filter_value_range", "filter_start_date"):
+        assert "SortAggregate" not in executed(qs[name](spark, SF)), name
+
+
+def test_one_scan_for_all_facets_and_improvements(spark, qs):
+    for name in ("facet_values", "phase_improvement", "phase_improvement_helper"):
+        assert executed(qs[name](spark, SF)).count("FileScan") == 1, name
