@@ -98,8 +98,13 @@ class Layout:
     def word_part(self, words: np.ndarray) -> np.ndarray:
         return (_spread(words) % np.uint64(self.parts)).astype(np.int64)
 
-    def bigram_part(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
-        return (self.word_part(h) + np.where(np.isin(h, self.heavy), self.word_part(w), 0)) % self.parts
+    def bigram_part(self, hashes: np.ndarray, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Parts of bigrams that are given as places in ``hashes``."""
+        part = self.word_part(hashes).astype(np.int32)
+        out = part[h]
+        dealt = np.isin(hashes, self.heavy)[h]
+        out[dealt] = (out[dealt] + part[w[dealt]]) % self.parts
+        return out
 
 
 @dataclass(frozen=True)
@@ -191,6 +196,12 @@ def _local(hashes: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray
     return hashes[used][order], at[h], at[w]
 
 
+def _runs(ascending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and how often each occurs."""
+    first = np.flatnonzero(np.concatenate(([True], ascending[1:] != ascending[:-1])))
+    return ascending[first], np.diff(first, append=len(ascending))
+
+
 def _row(kind: str, part: int, src: int = -1, blob: bytes = b"", heavy: int = -1, stats=(), value: float = 0.0) -> tuple:
     return kind, part, src, blob, heavy, list(stats), value
 
@@ -228,10 +239,15 @@ def _send_counts(layout: Layout):
         for p, at in _groups(layout.word_part(hashes[seen]), layout.parts):
             order = np.argsort(hashes[seen[at]])
             yield "u", p, pack(_steps(hashes[seen[at]][order]), counts[seen[at]][order].astype(np.uint32))
-        keys, back = np.unique(h.astype(np.int64) * len(hashes) + w, return_inverse=True)
-        n = np.bincount(back[train], minlength=len(keys))
+        keys = (h.astype(np.int64) * len(hashes) + w) * 2 + train
+        del h, w, doc, train
+        keys.sort()
+        first = np.flatnonzero(np.diff(keys >> 1, prepend=-1))
+        n = np.add.reduceat(keys & 1, first)
+        keys = keys[first] >> 1
         h, w = keys // len(hashes), keys % len(hashes)
-        for p, at in _groups(layout.bigram_part(hashes[h], hashes[w]), layout.parts):
+        del keys
+        for p, at in _groups(layout.bigram_part(hashes, h, w), layout.parts):
             words, hs, ws = _local(hashes, h[at], w[at])
             order = np.lexsort((ws, hs))
             steps = np.diff(hs[order].astype(np.int64), prepend=0).astype(np.uint32)
@@ -350,13 +366,14 @@ def _send_tokens(layout: Layout):
         names = pa.array([d[1] for d in block.docs], pa.int64())
         own = pack(rids, names.fill_null(0).to_numpy(), names.is_null().to_numpy(False), np.array([d[2] for d in block.docs], bool))
         yield _sent("d", int(rids[0]) % layout.parts, own)
-        for p, at in _groups(layout.bigram_part(hashes[h], hashes[w]), layout.parts):
+        for p, at in _groups(layout.bigram_part(hashes, h, w), layout.parts):
             words, hs, ws = _local(hashes, h[at], w[at])
-            bigrams, back = np.unique(hs.astype(np.int64) * len(words) + ws, return_inverse=True)
-            keys, n = np.unique(back.astype(np.int64) * len(rids) + doc[at], return_counts=True)
-            here, d = keys // len(rids), (keys % len(rids)).astype(np.uint32)
+            keys = (hs.astype(np.int64) * len(words) + ws) * len(rids) + doc[at]
+            keys.sort()
+            keys, n = _runs(keys)
+            d = (keys % len(rids)).astype(np.uint32)
+            bigrams, per = _runs(keys // len(rids))
             hs, ws = bigrams // len(words), (bigrams % len(words)).astype(np.uint32)
-            per = np.bincount(here, minlength=len(bigrams))
             blob = pack(_steps(words), np.diff(hs, prepend=0).astype(np.uint32), ws, per.astype(np.uint32), d, n.astype(np.uint32), rids[:1])
             yield _sent("t", p, blob)
 
