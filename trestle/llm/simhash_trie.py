@@ -10,7 +10,8 @@ to the pairs of p-bit prefixes that its own prefix forms within the error
 budget, and each pair of prefixes is one task's group, where the walk goes on
 over sorted arrays (a node is a range).  p grows with the number of distinct
 fingerprints such that a prefix holds about ``leaf_prints`` of them.  Inside a
-group the frontier is cut into blocks of at most ``_BLOCK`` node pairs, and of
+group the frontier is cut into blocks of at most ``_BLOCK`` node pairs, which
+are walked depth first, and of
 the links found only a spanning forest leaves the task: all links count, but a
 dense cluster doesn't write all its pairs.  Components are found by label
 propagation with pointer jumping over the forests.
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from trestle.llm.common import WORD, quoted, utf8, written
 
-_BLOCK = 1 << 20
+_BLOCK = 1 << 16  # node pairs walked at a time: what bounds a task's memory, about 100 MB with their leaves
 _EXPAND = 32  # node pairs with at most so many pairs of leaves are compared leaf by leaf
 _SHINGLES = 1 << 16  # shingles hashed at a time
 
@@ -97,8 +98,8 @@ class _Labels:
 def _ranges(lo: np.ndarray, size: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For ranges paired with counts: the pair's number and the offset of each of size * other combinations."""
     total = size * other
-    which = np.repeat(np.arange(len(lo)), total)
-    return which, np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
+    which = np.repeat(np.arange(len(lo), dtype=np.int32), total)
+    return which, np.arange(total.sum(), dtype=np.int32) - np.repeat(np.cumsum(total, dtype=np.int32) - total, total)
 
 
 def walk(prints: np.ndarray, left: tuple[int, int], right: tuple[int, int], depth: int, budget: int, max_bits: int, link) -> int:
@@ -106,7 +107,7 @@ def walk(prints: np.ndarray, left: tuple[int, int], right: tuple[int, int], dept
 
     Calls ``link(a, b)`` with the places of linked leaves; returns the number of node pairs looked at.
     """
-    start = [np.array([x]) for x in (*left, *right)] + [np.array([budget], np.int8)]
+    start = [np.array([x], np.int32) for x in (*left, *right)] + [np.array([budget], np.int8)]
     stack, visited = [(depth, start)], 0
     while stack:
         depth, (alo, ahi, blo, bhi, left_over) = stack.pop()
@@ -123,8 +124,8 @@ def walk(prints: np.ndarray, left: tuple[int, int], right: tuple[int, int], dept
             continue
         bit = np.uint64(1 << (63 - depth))
         path = ~np.uint64((1 << (64 - depth)) - 1)
-        amid = np.searchsorted(prints, (prints[alo] & path) | bit)
-        bmid = np.searchsorted(prints, (prints[blo] & path) | bit)
+        amid = np.searchsorted(prints, (prints[alo] & path) | bit).astype(np.int32)
+        bmid = np.searchsorted(prints, (prints[blo] & path) | bit).astype(np.int32)
         own = alo == blo  # a node with itself: (0, 1) and (1, 0) are the same pair
         children = []
         for a0, a1, b0, b1, cost, keep in (
