@@ -75,6 +75,16 @@ def test_classes_of_documents(spark, documents, leaf):
     assert all(simhash(texts[r["id"]]) == p for r, p in list(zip(rows, prints, strict=True))[:40])
 
 
+def test_walk_over_many_prints():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 50_000, dtype=np.uint64)
+    near = base[:100] ^ np.uint64(0b1011 << 20)
+    p = np.unique(np.concatenate([base, near]))
+    found = []
+    simhash_trie.walk(p, (0, len(p)), (0, len(p)), 0, 3, 3, lambda a, b: found.extend(zip(p[a].tolist(), p[b].tolist(), strict=True)))
+    assert {frozenset(x) for x in found} >= {frozenset(x) for x in zip(base[:100].tolist(), near.tolist(), strict=True)}
+
+
 def test_chains_are_one_class(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 99), (99, 98), (200, 201)]
     got = {r["node"]: r["label"] for r in simhash_trie.components(spark.createDataFrame(edges, "a long, b long")).collect()}

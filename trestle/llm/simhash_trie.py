@@ -112,7 +112,7 @@ def walk(prints: np.ndarray, left: tuple[int, int], right: tuple[int, int], dept
     while stack:
         depth, (alo, ahi, blo, bhi, left_over) = stack.pop()
         visited += len(alo)
-        na, nb = ahi - alo, bhi - blo
+        na, nb = (ahi - alo).astype(np.int64), (bhi - blo).astype(np.int64)
         small = (na * nb <= _EXPAND) | (depth >= 64)
         if small.any():
             which, at = _ranges(alo[small], na[small], nb[small])
