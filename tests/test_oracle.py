@@ -73,3 +73,10 @@ def test_matches_oracle_with_shuffle_joins(no_broadcast, con, name):
     plan = E.queries()[name](no_broadcast, SF)._jdf.queryExecution().executedPlan().toString()
     if name == "propagate_projects":
         assert "SortMergeJoin" in plan and "LeftSemi" in plan
+
+
+def test_the_rollup_by_part_leaves_no_project_out(spark):
+    kpis = registry.raw_model(spark, SF).kpis
+    out = E.queries()["kpi_rollup_by_part"](spark, SF)
+    assert out.select("l_partkey").distinct().count() == kpis.where("process_name is not null").select("l_partkey").distinct().count()
+    assert {r["is_averaged"] for r in out.select("is_averaged").distinct().collect()} == {True, False}

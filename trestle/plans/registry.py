@@ -602,6 +602,38 @@ def kpi_rollup_single(spark, d):
     )
 
 
+def _rollup_by_sql(key: str) -> str:
+    """A5 + A6 over all KPI rows: groups of phase, process and ``key``; J3 gives their KPIs' coverage."""
+    by = f"phase, process_name, {key}"
+    return f"""
+src AS (SELECT *, {S.parse_value('actual')} AS actual_numeric FROM kpis WHERE process_name IS NOT NULL),
+np AS (SELECT {by}, count(DISTINCT projectId) AS n_projects FROM src WHERE projectId IS NOT NULL GROUP BY {by}),
+j AS (SELECT src.*, coalesce(np.n_projects, 0) AS n_projects FROM src LEFT JOIN np USING ({by})),
+rolled AS (
+  SELECT {by}, kpi_name, avg(actual_numeric) AS actual_numeric, avg(score) AS score,
+         count(actual_numeric) * 100.0 / max(n_projects) AS percent_of_projects, true AS is_averaged
+  FROM j WHERE n_projects > 1 AND kpi_name IS NOT NULL GROUP BY {by}, kpi_name
+  UNION ALL
+  SELECT {by}, kpi_name, actual_numeric, score,
+         CASE WHEN kpi_name IS NOT NULL THEN count(actual_numeric) OVER (PARTITION BY {by}, kpi_name) * 100.0 / n_projects END,
+         false FROM j WHERE n_projects <= 1)
+"""
+
+
+@reg("kpi_rollup_by_part",
+     "SELECT phase, process_name, l_partkey, kpi_name, actual_numeric, score, percent_of_projects, is_averaged FROM rolled",
+     ctes=_rollup_by_sql("l_partkey"), dbl=("actual_numeric", "score", "percent_of_projects"))
+def kpi_rollup_by_part(spark, d):
+    """A5 + J3 over all KPI rows by phase, process and part: many parts have a single project, the others several."""
+    m = raw_model(spark, d)
+    k = m.kpis.where(F.col("process_name").isNotNull())
+    groups = ("phase", "process_name", "l_partkey")
+    rolled = A.kpi_rollup(k, groups, m.order_cols)
+    return J.attach_coverage(rolled, A.coverage(k, groups), (*groups, "kpi_name")).select(
+        *groups, "kpi_name", "actual_numeric", "score", "percent_of_projects", "is_averaged"
+    )
+
+
 def _text_sql(col: str, default: str) -> str:
     return f"coalesce((SELECT t.{col} FROM kpi_text t WHERE t.kpi_key = {KEY}), {default})"
 
