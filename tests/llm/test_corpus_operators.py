@@ -289,6 +289,25 @@ def test_neighbours_give_the_template_away(spark):
     assert html_diff.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def texts(spark, rows):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    return {r["page_id"]: r["text"] for r in html_diff.extract(pages).collect()}
+
+
+def test_article_tags_that_mark_nothing_and_notices_in_marked_articles(spark):
+    card = "<!-- <article> --><div hidden><article>x</article></div>"
+    rows = [(i, f"http://d.com/{i}", f"{card}<p>Menu of d</p><p>Text number {i} of the host</p><p>Imprint</p>") for i in range(6)]
+    quote = "<p>A passage that two pages quote.</p>"
+    rows += [
+        (100 + i, f"http://e.com/{i}", f"<article><p>Story {i} has words.</p>{quote if i in (2, 3) else ''}<p>Buy our things</p></article>")
+        for i in range(6)
+    ]
+    got = texts(spark, rows)
+    assert all(got[i] == f"Text number {i} of the host" for i in range(6))
+    stories = {100 + i: f"Story {i} has words." + "\nA passage that two pages quote." * (i in (2, 3)) for i in range(6)}
+    assert {i: got[i] for i in stories} == stories
+
+
 def test_url_parts():
     assert html_diff.url_parts("HTTP://user@Host.com:80/a%20b/?q#f") == ("host.com", "/a b")
     assert html_diff.url_parts(None) == ("", "") and html_diff.url_parts("x/y?z") == ("", "x/y")

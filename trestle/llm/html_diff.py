@@ -11,8 +11,10 @@ Markup says more than a neighbour does, so it goes first: scripts, styles,
 menus, headers, footers, sidebars, adverts, notices, forms and reader comments
 that are marked as such (by element, role, class or id) are dropped, and where a
 page marks its article (``article``, ``main``, role or class), only that is
-read and shared lines in it stay: neighbours that quote the same passage, or
-carry the same article, share it rightly.  Differencing decides on the rest.  A
+read.  Differencing decides on the rest.  Neighbours that quote the same passage,
+or carry the same article, share it rightly, so a line of a marked article goes
+only where all neighbours, and at least three, share it: that is a notice or
+advert of the host, or a passage in four pages on end, which can't be told apart.  A
 neighbour that shares almost all text is a copy of the page, not a template
 mate, and deletes nothing.
 
@@ -81,7 +83,6 @@ _ARTICLE_BODY = {"article-body", "article-content", "post-content", "post-body",
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S
 )
-_ARTICLE_TAG = re.compile(rb"<(?:article|main)[\s>]", re.I)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WHITE = re.compile(r"\s+")
 _SPLIT_NAMES = re.compile(r"[\s_\-]+|(?<=[a-z])(?=[A-Z])")
@@ -273,17 +274,24 @@ def _hashes(lines: list[str]) -> list[int]:
     return [xxhash.xxh64_intdigest(x) - (1 << 63) for x in lines]
 
 
-def deletions(hashes: np.ndarray, sizes: np.ndarray, neighbours: list[np.ndarray], copy_share: float = 0.9) -> list[int]:
-    """Lines of a page that are shared with a neighbour, the nearest ones first; copies of the page don't count."""
-    gone = np.zeros(len(hashes), bool)
+def deletions(hashes: np.ndarray, sizes: np.ndarray, neighbours: list[np.ndarray], copy_share: float = 0.9, marked: bool = False) -> list[int]:
+    """Lines of a page that are shared with a neighbour, the nearest ones first; copies of the page don't count.
+
+    Of a marked article, only lines that all of at least ``MARKED_VOTES``
+    neighbours share go: fewer quote the same passage.
+    """
+    votes, voters = np.zeros(len(hashes), np.int32), 0
     for other in neighbours:
         if other is None or not len(other) or not len(hashes):
             continue
         shared = shared_lines(hashes, other)
         if sizes[shared].sum() < copy_share * sizes.sum():
-            gone |= shared
-    return np.flatnonzero(gone).tolist()
+            votes += shared
+            voters += 1
+    return np.flatnonzero(votes >= (max(MARKED_VOTES, voters) if marked else 1)).tolist()
+
 
+MARKED_VOTES = 3  # neighbours that must share a line of a marked article before it goes
 
 _PARSED = T.StructType(
     [
@@ -291,6 +299,7 @@ _PARSED = T.StructType(
         T.StructField("page", T.LongType()),
         T.StructField("host", T.StringType()),
         T.StructField("path", T.StringType()),
+        T.StructField("marked", T.BooleanType()),
         T.StructField("hashes", T.ArrayType(T.LongType())),
         T.StructField("sizes", T.ArrayType(T.IntegerType())),
     ]
@@ -298,22 +307,20 @@ _PARSED = T.StructType(
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
-    """Host, path and line hashes of each page that doesn't mark its article; ``page`` is a hash of URL and html."""
+    """Host, path and line hashes of each page, and whether it marks its article; ``page`` is a hash of URL and html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[list] = [[] for _ in range(4)]
+            rows: list[list] = [[] for _ in range(5)]
             taken = []
             for i, (url, raw) in enumerate(zip(b.column(2).to_pylist(), utf8(b.column(3)), strict=True)):
-                # lines of a marked article stay, and so the page needs no neighbours and gives none
-                if raw is None or _ARTICLE_TAG.search(raw):
+                if raw is None:
                     continue
                 lines, marked = lines_of(raw.decode("utf-8", "replace"))
-                if not marked:
-                    taken.append(i)
-                    for column, value in zip(rows, (*url_parts(url), _hashes(lines), [len(x) for x in lines]), strict=True):
-                        column.append(value)
-            kinds = (pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+                taken.append(i)
+                for column, value in zip(rows, (*url_parts(url), marked, _hashes(lines), [len(x) for x in lines]), strict=True):
+                    column.append(value)
+            kinds = (pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()))
             made = [pa.array(c, k) for c, k in zip(rows, kinds, strict=True)]
             at = pa.array(taken, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *made], names=_PARSED.fieldNames())
@@ -369,21 +376,22 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             rows = []
             for r in pdf.itertuples(index=False):
                 near = []
-                for n in r[6:]:
-                    if n is not None and n["host"] == r.host:
+                for i, n in enumerate(r[len(_PARSED.fields) :]):
+                    if n is not None and n["host"] == r.host and (r.marked or i < 2 * distance):
                         common = _common_prefix(r.path, n["path"])
                         near.append((-common, len(near), np.asarray(n["hashes"], np.int64)))
+                near = near[: 2 * max(distance, 2)]  # at the end of a host, a marked page looks further on the other side
                 own = np.asarray(r.hashes, np.int64)
-                gone = deletions(own, np.asarray(r.sizes, np.int64), [h for _, _, h in sorted(near, key=lambda x: x[:2])])
+                gone = deletions(own, np.asarray(r.sizes, np.int64), [h for _, _, h in sorted(near, key=lambda x: x[:2])], marked=r.marked)
                 if gone:
                     rows.append((r.id, r.page, gone))
             yield pd.DataFrame(rows, columns=["__gone_id", "__gone_page", "__gone"])
 
-    unmarked = written(parsed)
-    if unmarked.isEmpty():
+    compared = written(parsed)
+    if compared.isEmpty():
         joined = keyed.withColumn("__gone", F.lit(None).cast("array<int>"))
     else:
-        found = _neighbours(unmarked, distance).mapInPandas(align, "__gone_id long, __gone_page long, __gone array<int>")
+        found = _neighbours(compared, max(distance, MARKED_VOTES)).mapInPandas(align, "__gone_id long, __gone_page long, __gone array<int>")
         found = found.dropDuplicates(["__gone_id", "__gone_page"])
         same = F.col("__id").eqNullSafe(F.col("__gone_id")) & (F.col("__page") == F.col("__gone_page"))
         joined = keyed.join(found, same, "left").drop("__gone_id", "__gone_page")
