@@ -308,6 +308,18 @@ def test_article_tags_that_mark_nothing_and_notices_in_marked_articles(spark):
     assert {i: got[i] for i in stories} == stories
 
 
+def test_copies_and_short_articles_lose_the_template(spark):
+    template = "<div>{}</div>".format("</div><div>".join(f"Long line {k} of the template, on every page" for k in range(30)))
+    rows = [(i, f"http://f.com/{i:02d}", f"{template}<p>News {i}</p>") for i in range(8)]
+    rows += [(100 + k, f"http://f.com/03?crawl={k}", rows[3][2]) for k in range(12)]
+    revised = [(200 + i, f"http://g.com/{i}", f"<div>Menu of g</div><p>{'An article, word for word. ' * 9 * (1 + i // 2)}</p><p>at {i}</p>") for i in range(6)]
+    got = texts(spark, rows + revised)
+    assert {i: got[i] for i in range(8)} == {i: f"News {i}" for i in range(8)}
+    assert all(got[100 + k] == "News 3" for k in range(12))
+    # two versions each of three articles: what only the other version has stays
+    assert all(got[200 + i].startswith("An article") and got[200 + i].endswith(f"at {i}") for i in range(6))
+
+
 def test_url_parts():
     assert html_diff.url_parts("HTTP://user@Host.com:80/a%20b/?q#f") == ("host.com", "/a b")
     assert html_diff.url_parts(None) == ("", "") and html_diff.url_parts("x/y?z") == ("", "x/y")

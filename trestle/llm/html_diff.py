@@ -15,19 +15,21 @@ read.  Differencing decides on the rest.  Neighbours that quote the same passage
 or carry the same article, share it rightly, so a line of a marked article goes
 only where all neighbours, and at least three, share it: that is a notice or
 advert of the host, or a passage in four pages on end, which can't be told apart.  A
-neighbour that shares almost all text is a copy of the page, not a template
-mate, and deletes nothing.
+neighbour that holds all lines of a page is a copy of it, not a template mate,
+and deletes nothing; what one neighbour shares with almost all the page's text
+goes only where a second one shares it.
 
 On Spark: (1) one narrow pass parses pages into line hashes; only these, with
-host and path, are range-partitioned by (host, path, id), so a host with a third
-of all pages spreads over many tasks.  (2) ``lag``/``lead`` inside the ranges,
+host and path, go on.  Pages of a host with the same lines become one row, so that
+copies are no neighbours of each other; the rows are range-partitioned by (host,
+path, id), so a host with a third of all pages spreads over many tasks.  (2) ``lag``/``lead`` inside the ranges,
 with one row per range carried over, give each page its neighbours; a pandas
-function aligns them.  (3) Pages with deletions join their pages again; the
+function aligns them.  (3) Deletions join all pages of the same lines, and those their pages again; the
 text is built in a second parse, so no text is written or shuffled twice.
 
 Defined results: null html has an empty text; null or odd URLs have an empty
 host and are compared among themselves; pages without neighbours keep all lines
-that markup doesn't drop; repeated rows are copies of each other; an empty table
+that markup doesn't drop; repeated rows and pages with the same lines are copies and get the same text; an empty table
 gives an empty result.
 """
 
@@ -277,18 +279,23 @@ def _hashes(lines: list[str]) -> list[int]:
 def deletions(hashes: np.ndarray, sizes: np.ndarray, neighbours: list[np.ndarray], copy_share: float = 0.9, marked: bool = False) -> list[int]:
     """Lines of a page that are shared with a neighbour, the nearest ones first; copies of the page don't count.
 
-    Of a marked article, only lines that all of at least ``MARKED_VOTES``
+    A neighbour that holds all lines of the page is a copy.  One that shares
+    ``copy_share`` of its text may be an edited copy or a short article in the
+    same long template, so what only this one shares stays.  Of a marked article, only lines that all of at least ``MARKED_VOTES``
     neighbours share go: fewer quote the same passage.
     """
     votes, voters = np.zeros(len(hashes), np.int32), 0
+    sure = np.zeros(len(hashes), bool)
     for other in neighbours:
         if other is None or not len(other) or not len(hashes):
             continue
         shared = shared_lines(hashes, other)
-        if sizes[shared].sum() < copy_share * sizes.sum():
+        if not shared.all():
             votes += shared
             voters += 1
-    return np.flatnonzero(votes >= (max(MARKED_VOTES, voters) if marked else 1)).tolist()
+            if sizes[shared].sum() < copy_share * sizes.sum():
+                sure |= shared
+    return np.flatnonzero(votes >= max(MARKED_VOTES, voters) if marked else sure | (votes > 1)).tolist()
 
 
 MARKED_VOTES = 3  # neighbours that must share a line of a marked article before it goes
@@ -328,6 +335,13 @@ def _parsed(pages: DataFrame) -> DataFrame:
     return pages.select("id", "page", "url", "html").mapInArrow(run, _PARSED)
 
 
+def _distinct(parsed: DataFrame) -> DataFrame:
+    """One row for all pages of a host with the same lines, where the first of them lies; ``lines`` is their key."""
+    rest = [F.first(c).alias(c) for c in ("marked", "hashes", "sizes")]
+    one = parsed.groupBy("host", "lines").agg(F.min(F.struct("path", "id", "page")).alias("at"), *rest)
+    return one.select("at.id", "at.page", "host", "at.path", "marked", "hashes", "sizes", "lines")
+
+
 def _neighbours(parsed: DataFrame, distance: int) -> DataFrame:
     """``parsed`` with the hashes of up to ``distance`` pages before and after it in (host, path, id) order."""
     spark = parsed.sparkSession
@@ -376,7 +390,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             rows = []
             for r in pdf.itertuples(index=False):
                 near = []
-                for i, n in enumerate(r[len(_PARSED.fields) :]):
+                for i, n in enumerate(r[len(_PARSED.fields) + 1 :]):
                     if n is not None and n["host"] == r.host and (r.marked or i < 2 * distance):
                         common = _common_prefix(r.path, n["path"])
                         near.append((-common, len(near), np.asarray(n["hashes"], np.int64)))
@@ -384,15 +398,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 own = np.asarray(r.hashes, np.int64)
                 gone = deletions(own, np.asarray(r.sizes, np.int64), [h for _, _, h in sorted(near, key=lambda x: x[:2])], marked=r.marked)
                 if gone:
-                    rows.append((r.id, r.page, gone))
-            yield pd.DataFrame(rows, columns=["__gone_id", "__gone_page", "__gone"])
+                    rows.append((r.host, r.lines, gone))
+            yield pd.DataFrame(rows, columns=["host", "lines", "__gone"])
 
-    compared = written(parsed)
+    compared = written(parsed.withColumn("lines", F.xxhash64("marked", "hashes")))
     if compared.isEmpty():
         joined = keyed.withColumn("__gone", F.lit(None).cast("array<int>"))
     else:
-        found = _neighbours(compared, max(distance, MARKED_VOTES)).mapInPandas(align, "__gone_id long, __gone_page long, __gone array<int>")
-        found = found.dropDuplicates(["__gone_id", "__gone_page"])
+        near = _neighbours(written(_distinct(compared)), max(distance, MARKED_VOTES))
+        found = near.mapInPandas(align, "host string, lines long, __gone array<int>")
+        each = compared.select(F.col("id").alias("__gone_id"), F.col("page").alias("__gone_page"), "host", "lines")
+        found = each.join(found, ["host", "lines"]).drop("host", "lines").dropDuplicates(["__gone_id", "__gone_page"])
         same = F.col("__id").eqNullSafe(F.col("__gone_id")) & (F.col("__page") == F.col("__gone_page"))
         joined = keyed.join(found, same, "left").drop("__gone_id", "__gone_page")
     source = joined.select(*[F.col(quoted(c)) for c in kept], "__gone")
