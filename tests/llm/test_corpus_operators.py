@@ -247,6 +247,15 @@ def test_lines_of_a_page(page, lines):
     assert html_diff.lines_of(page)[0] == lines
 
 
+def test_marked_parts_are_read_as_a_whole_where_they_hold_the_text():
+    main = "<main><h1>Title</h1><p>Lead of the text.</p><article><p>Middle part.</p></article><p>Last section.</p></main>"
+    assert html_diff.lines_of(f"<p>menu</p>{main}") == (["Title", "Lead of the text.", "Middle part.", "Last section."], True)
+    cards = "".join(f"<article><a href=x>Teaser {i}</a></article>" for i in range(3))
+    text = "A long main text in a block that nothing marks as the article of its page."
+    teasers = [f"Teaser {i}" for i in range(3)]
+    assert html_diff.lines_of(f"<div><p>{text}</p></div>{cards}") == ([text, *teasers], False)
+
+
 def test_longest_common_subsequence():
     def length(a, b):
         d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

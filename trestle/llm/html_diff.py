@@ -10,8 +10,8 @@ deleted.
 Markup says more than a neighbour does, so it goes first: scripts, styles,
 menus, headers, footers, sidebars, adverts, notices, forms and reader comments
 that are marked as such (by element, role, class or id) are dropped, and where a
-page marks its article (``article``, ``main``, role or class), only that is
-read.  Differencing decides on the rest.  Neighbours that quote the same passage,
+page marks its article (``article``, ``main``, role or class) and the marked parts
+hold most of its text, only they are read, each as a whole.  Differencing decides on the rest.  Neighbours that quote the same passage,
 or carry the same article, share it rightly, so a line of a marked article goes
 only where all neighbours, and at least three, share it: that is a notice or
 advert of the host, or a passage in four pages on end, which can't be told apart.  A
@@ -129,27 +129,28 @@ def lines_of(page: str | None) -> tuple[list[str], bool]:
     """The text lines of a page that markup doesn't drop, and whether the page marks its article.
 
     One line per block; white space inside a block is one space.  If the page
-    marks an article, only lines inside of it are returned.
+    marks an article or main part that holds more than half of the text, all
+    lines inside the outermost marks are returned, else all lines of the page.
     """
-    lines: list[tuple[str, int]] = []
+    lines: list[tuple[str, bool]] = []
     buffer: list[str] = []
-    stack: list[tuple[str, bool, int]] = []  # open elements: name, dropped, level (own or inherited)
-    dropped, level = False, 0  # level 2 inside an article, 1 inside the page's main part
+    stack: list[tuple[str, bool, bool]] = []  # open elements: name, dropped, inside (own or inherited)
+    dropped, inside = False, False  # inside an article or the page's main part
     at, text = 0, page or ""
 
     def flush() -> None:
         if buffer:
             line = _WHITE.sub(" ", entities.unescape("".join(buffer))).strip()
             if line:
-                lines.append((line, level))
+                lines.append((line, inside))
             buffer.clear()
 
     def close(k: int) -> None:
-        nonlocal dropped, level
+        nonlocal dropped, inside
         if any(e[0] in _BLOCKS for e in stack[k:]):
             flush()
         del stack[k:]
-        dropped, level = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
 
     last = text.rfind(">") + 1  # no tag ends behind it
     for m in iter(lambda: _TAG.search(text, at, last), None):
@@ -188,20 +189,20 @@ def lines_of(page: str | None) -> tuple[list[str], bool]:
             end = re.compile(rf"</{re.escape(name)}\s*/?>", re.I).search(text, at)
             at = end.end() if end else len(text)
             continue
-        if name == "header" and level:  # the article's own heading
+        if name == "header" and inside:  # the article's own heading
             drops = re.search(r"<nav|<form", text[at : _end(text, at, "header")], re.I) is not None
         if marks and not dropped:
             flush()
-        own = (1 if name == "main" else 2) if marks else 0
-        stack.append((name, dropped or drops, max(level, own)))
-        dropped, level = stack[-1][1], stack[-1][2]
+        stack.append((name, dropped or drops, inside or marks))
+        dropped, inside = stack[-1][1], stack[-1][2]
     if at < len(text) and not dropped:
         rest = text[at:]
         cut = re.search(r"<[a-zA-Z/!?][^>]*\Z", rest)  # a tag that the page's end cuts off
         buffer.append(rest[: cut.start()] if cut else rest)
     flush()
-    best = max((k for _, k in lines), default=0)
-    return [x for x, k in lines if k == best], best > 0
+    own = [x for x, k in lines if k]
+    marked = 2 * sum(map(len, own)) > sum(len(x) for x, _ in lines)
+    return own if marked else [x for x, _ in lines], marked
 
 
 def _end(text: str, at: int, name: str) -> int:
