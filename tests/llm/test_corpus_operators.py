@@ -210,6 +210,48 @@ def test_katz_by_definition(spark, documents, monkeypatch, part_tokens):
     assert scored(df, part_tokens=part_tokens) == katz_by_definition(rows, trained)
 
 
+def katz_scores(rows, train, order):
+    """log10 probabilities by the recursion, one n-gram table per length."""
+
+    def grams(t, k):
+        words = ["<s>"] * (k - 1) + [*katz.WORD.findall((t or "").encode().lower()), "</s>"]
+        return [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
+
+    seen = [collections.Counter(g for i, t in rows if train(i) for g in grams(t, k)) for k in range(1, order + 1)]
+    d = [katz.good_turing([sum(x == r for x in c.values()) for r in range(1, 7)]) for c in seen]
+    after = collections.defaultdict(list)
+    for c in seen[1:]:
+        for g, n in c.items():
+            after[g[:-1]].append((g[-1], n))
+    n1 = sum(seen[0].values())
+    kept1 = sum(d[0][min(c, 6)] * c for c in seen[0].values())
+    total1 = n1 + 1 if kept1 >= n1 - 1e-9 else n1
+    weights = {}
+
+    def p(h, w):
+        c = seen[len(h)][*h, w]
+        if not h:
+            return d[0][min(c, 6)] * c / total1 if c else 1 - kept1 / total1
+        if h not in after:
+            return p(h[1:], w)
+        if h not in weights:
+            t, kept = sum(x for _, x in after[h]), sum(d[len(h)][min(x, 6)] * x for _, x in after[h])
+            t += kept >= t - 1e-9 * t
+            weights[h] = t, (1 - kept / t) / (1 - sum(p(h[1:], x) for x, _ in after[h]))
+        t, alpha = weights[h]
+        return d[len(h)][min(c, 6)] * c / t if c else alpha * p(h[1:], w)
+
+    return collections.Counter((i, round(sum(math.log10(p(g[:-1], g[-1])) for g in grams(t, order)), 5)) for i, t in rows)
+
+
+@pytest.mark.parametrize(("order", "part_tokens"), [(2, 3_000), (3, 5_000_000), (3, 3_000), (4, 6_000)])
+def test_katz_of_any_order(spark, documents, order, part_tokens):
+    rows = [(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").limit(60).collect()] + [r[:2] for r in ODD]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = katz.score(df, fold(F.col("doc_id"), 10) != 0, part_tokens=part_tokens, order=order).collect()
+    assert collections.Counter((r["id"], round(r["score"], 5)) for r in out) == katz_scores(rows, trained, order)
+
+
 def test_katz_odd_and_empty(spark, odd, none):
     assert scored(odd) == katz_by_definition([r[:2] for r in ODD], trained)
     assert scored(none) == {}

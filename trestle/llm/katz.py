@@ -25,6 +25,12 @@ of one per n-gram.
    which look up c(h, w), T(h) and c(w), back off where needed, and return the
    documents' partial sums as one packed row per block; a block adds them up.
 
+With an ``order`` above 2 the recursion goes on: ``P(w | h)`` of a longer history
+is discounted in the same way and backs off to the history without its first
+word.  N-grams of each length are dealt by their whole history, so its total and
+weight are found in one partition; partitions ask those of the next shorter
+n-grams for the probabilities to back off to, and tokens go to the longest.
+
 A history that is frequent enough to fill a partition by itself (found in a
 sample of documents, which decides on balance only) is dealt over all partitions
 by its following words; what its backoff weight needs from all of them (counts
@@ -106,6 +112,15 @@ class Layout:
         out[dealt] = (out[dealt] + part[w[dealt]]) % self.parts
         return out
 
+    def gram_part(self, hashes: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+        """Parts of n-grams: of bigrams as above, of longer ones by the whole history."""
+        if len(columns) == 2:
+            return self.bigram_part(hashes, *columns)
+        mixed = np.zeros(len(columns[0]), np.uint64)
+        for c in columns[:-1]:
+            mixed = _spread(mixed * np.uint64(0x94D049BB133111EB) + hashes[c])
+        return (mixed % np.uint64(self.parts)).astype(np.int32)
+
 
 @dataclass(frozen=True)
 class Discounts:
@@ -117,13 +132,14 @@ class Discounts:
     two: np.ndarray  # of bigrams
     free: float  # unigram mass of all unknown words together
     total: float  # denominator of the unigrams
+    longer: tuple[np.ndarray, ...] = ()  # of trigrams and so on
 
     @classmethod
-    def of(cls, tokens: int, types: int, n1: list[int], n2: list[int]) -> Discounts:
+    def of(cls, tokens: int, types: int, n1: list[int], n2: list[int], *more: list[int]) -> Discounts:
         one, two = good_turing(n1), good_turing(n2)
         kept = tokens - sum((1 - one[r]) * r * n1[r - 1] for r in range(1, CUTOFF + 1))
         total = tokens + 1.0 if kept >= tokens else float(tokens)
-        return cls(tokens, types, one, two, 1.0 - kept / total, total)
+        return cls(tokens, types, one, two, 1.0 - kept / total, total, tuple(good_turing(n) for n in more))
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         """P(w) by count; 0 counts get the mass of all unknown words."""
@@ -196,6 +212,47 @@ def _local(hashes: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray
     return hashes[used][order], at[h], at[w]
 
 
+def _histories(h: np.ndarray, doc: np.ndarray, start: int, order: int) -> list[np.ndarray]:
+    """The last ``order - 1`` words before each token, the farthest first; the start mark stands in front of a text."""
+    columns = [h]
+    first = np.flatnonzero(np.diff(doc, prepend=-1))
+    for _ in range(order - 2):
+        before = np.roll(columns[0], 1)
+        before[first] = start
+        columns.insert(0, before)
+    return columns
+
+
+def _local_grams(hashes: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """As ``_local``, for any number of columns."""
+    words, flat, _ = _local(hashes, np.concatenate(columns), columns[0][:0])
+    return words, np.split(flat, len(columns))
+
+
+def _changes(columns: list[np.ndarray]) -> np.ndarray:
+    """Where a row of sorted columns differs from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return new
+
+
+def _tuples(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of the columns in ascending order, and the sum of ``n`` of each."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    first = np.flatnonzero(_changes(columns))
+    return [c[first] for c in columns], np.add.reduceat(n[order].astype(np.int64), first)
+
+
+def _places(table: list[np.ndarray], asked: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the rows of ``table`` and of ``asked`` (rows of it), in ascending order and equal for equal rows."""
+    t, a = table[0].astype(np.int64), asked[0].astype(np.int64)
+    for x, y in zip(table[1:], asked[1:], strict=True):
+        keys = np.unique(t * size + x)
+        t, a = np.searchsorted(keys, t * size + x), np.searchsorted(keys, a * size + y)
+    return t, a
+
+
 def _runs(ascending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values and how often each occurs."""
     first = np.flatnonzero(np.concatenate(([True], ascending[1:] != ascending[:-1])))
@@ -227,8 +284,8 @@ def _groups(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
 # ------------------------------------------------------------ 1. counting
 
 
-def _send_counts(layout: Layout):
-    """Map side of the counting scan: rows of kind 'u' (words) and 'b' (bigrams) per block and part."""
+def _send_counts(layout: Layout, longest: int = 2):
+    """Map side of the counting scan: rows of kind 'u' (words), 'b' (bigrams) and 'g3' (trigrams) and so on per block and part."""
 
     def rows_of(block: Blocks) -> Iterator[tuple]:
         hashes, h, w, doc = block.arrays()
@@ -239,6 +296,12 @@ def _send_counts(layout: Layout):
         for p, at in _groups(layout.word_part(hashes[seen]), layout.parts):
             order = np.argsort(hashes[seen[at]])
             yield "u", p, pack(_steps(hashes[seen[at]][order]), counts[seen[at]][order].astype(np.uint32))
+        for k in range(3, longest + 1):
+            grams, n = _tuples([*_histories(h, doc, len(hashes) - 2, k), w], train)
+            for p, at in _groups(layout.gram_part(hashes, grams), layout.parts):
+                words, own = _local_grams(hashes, [c[at] for c in grams])
+                yield f"g{k}", p, pack(_steps(words), *own, n[at].astype(np.uint32))
+            del grams, n
         keys = (h.astype(np.int64) * len(hashes) + w) * 2 + train
         del h, w, doc, train
         keys.sort()
@@ -291,6 +354,15 @@ def _merge_bigrams(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return words, keys // len(words), keys % len(words), n
 
 
+def _merge_grams(blobs: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(word hashes, columns of word places, counts) of a part, ascending; n-grams that only held-out rows have count 0."""
+    tables = [unpack(x) for x in blobs]
+    words = np.unique(np.concatenate([_hashes(t[0]) for t in tables]))
+    placed = [[np.searchsorted(words, _hashes(t[0]))[c] for c in t[1:-1]] for t in tables]
+    columns = [np.concatenate(c) for c in zip(*placed, strict=True)]
+    return words, *_tuples(columns, np.concatenate([t[-1] for t in tables]))
+
+
 def _merge(layout: Layout):
     """Reduce side of the counting scan: stored partitions, counts of counts, requests, and sums of heavy histories."""
 
@@ -301,6 +373,15 @@ def _merge(layout: Layout):
             real = words != _START
             stats = [int(counts[real].sum()), int(real.sum()), *counts_of_counts(counts[real])]
             return _frame([_row("u", p, blob=pack(_steps(words), counts), stats=stats)])
+        if kind != "b":
+            words, grams, n = _merge_grams(list(pdf["blob"]))
+            table = pack(_steps(words), *[c.astype(np.uint32) for c in grams], n)
+            rows = [_row(kind, p, blob=table, stats=[0, 0, *counts_of_counts(n[n > 0])])]
+            shorter, _ = _tuples(grams[1:], n)
+            for q, at in _groups(layout.gram_part(words, shorter), layout.parts):
+                own, columns = _local_grams(words, [c[at] for c in shorter])
+                rows.append(_row(f"q{len(shorter)}", q, src=p, blob=pack(_steps(own), *columns)))
+            return _frame(rows)
         words, h, w, n = _merge_bigrams(list(pdf["blob"]))
         seen = n > 0
         table = pack(_steps(words), np.diff(h[seen], prepend=0).astype(np.uint32), w[seen].astype(np.uint32), n[seen].astype(np.uint32))
@@ -357,7 +438,18 @@ def _lookup(words: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> np.ndar
 # ------------------------------------------------------------ 3. evaluation
 
 
-def _send_tokens(layout: Layout):
+def _by_document(columns: list[np.ndarray], doc: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams, the number of documents of each, and these documents with counts."""
+    order = np.lexsort((doc, *columns[::-1]))
+    columns, doc = [c[order] for c in columns], doc[order]
+    grams = _changes(columns)
+    pairs = np.flatnonzero(grams | _changes([doc]))
+    first = np.flatnonzero(grams)
+    per = np.diff(np.searchsorted(pairs, first), append=len(pairs))
+    return [c[first] for c in columns], per, doc[pairs], np.diff(pairs, append=len(doc))
+
+
+def _send_tokens(layout: Layout, order: int = 2):
     """Map side of the scoring scan: per block and part, (history, word, document) with counts, and the documents."""
 
     def rows_of(block: Blocks) -> Iterator[pa.RecordBatch]:
@@ -366,6 +458,13 @@ def _send_tokens(layout: Layout):
         names = pa.array([d[1] for d in block.docs], pa.int64())
         own = pack(rids, names.fill_null(0).to_numpy(), names.is_null().to_numpy(False), np.array([d[2] for d in block.docs], bool))
         yield _sent("d", int(rids[0]) % layout.parts, own)
+        if order > 2:
+            grams = [*_histories(h, doc, len(hashes) - 2, order), w]
+            for p, at in _groups(layout.gram_part(hashes, grams), layout.parts):
+                words, columns = _local_grams(hashes, [c[at] for c in grams])
+                columns, per, d, n = _by_document(columns, doc[at])
+                yield _sent("t", p, pack(_steps(words), *columns, *[x.astype(np.uint32) for x in (per, d, n)], rids[:1]))
+            return
         for p, at in _groups(layout.bigram_part(hashes, h, w), layout.parts):
             words, hs, ws = _local(hashes, h[at], w[at])
             keys = (hs.astype(np.int64) * len(words) + ws) * len(rids) + doc[at]
@@ -427,6 +526,9 @@ class Partition:
 
     def log_probs(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
         """log10 P(w | h) for places of ``words``."""
+        return np.log10(self.probs(h, w))
+
+    def probs(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
         keys = h * max(1, len(self.words)) + w
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
@@ -434,30 +536,91 @@ class Partition:
         else:
             n = np.zeros(len(keys), np.int64)
         seen = self.discounts.two[np.minimum(n, CUTOFF + 1)] * n / self.total[h]
-        return np.log10(np.where(n > 0, seen, self.alpha[h] * self.p1[w]))
+        return np.where(n > 0, seen, self.alpha[h] * self.p1[w])
+
+    def answer(self, words: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(P(w | h), training count of w) of bigrams that are given as places in ``words``."""
+        to = np.searchsorted(self.words, words)
+        h, w = (to[c] for c in columns)
+        return self.probs(h, w), self.counts[w]
+
+
+class Longer:
+    """A partition of n-grams of more than two words, with the probabilities of the shorter ones that they back off to."""
+
+    def __init__(self, table: bytes, answers: list[bytes], discount: np.ndarray) -> None:
+        steps, *columns, n = unpack(table)
+        self.words, self.columns = _hashes(steps), columns
+        size = len(self.words)
+        found: list[list[np.ndarray]] = [[] for _ in range(len(columns) + 1)]
+        for blob in answers:
+            own, *shorter, p, count = unpack(blob)
+            to = np.searchsorted(self.words, _hashes(own))
+            for out, x in zip(found, (*[to[c] for c in shorter], p, count), strict=True):
+                out.append(x)
+        *shorter, p, count = (np.concatenate(x) for x in found)
+        there, asked = _places(shorter, columns[1:], size)
+        order = np.argsort(there)
+        at = order[np.searchsorted(there[order], asked)]
+        lower, self.counts = p[at], count[at]
+        h, _ = _places(columns[:-1], columns[:-1], size)
+        total = np.bincount(h, weights=n)
+        own = discount[np.minimum(n, CUTOFF + 1)] * n
+        kept, mass = np.bincount(h, weights=own), np.bincount(h, weights=np.where(n > 0, lower, 0.0))
+        full = kept >= total - 1e-9 * np.maximum(1.0, total)
+        divisor = np.where(full, total + 1, total)
+        alpha = np.where(total > 0, (1 - kept / divisor) / np.maximum(1 - mass, 1e-300), 1.0)
+        self.p = np.where(n > 0, own / divisor[h], alpha[h] * lower)
+
+    def answer(self, words: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(P(w | h), training count of w) of n-grams of the table that are given as places in ``words``."""
+        to = np.searchsorted(self.words, words)
+        _, at = _places(self.columns, [to[c] for c in columns], len(self.words))
+        return self.p[at], self.counts[at]
+
+
+def _opened(pdf: pd.DataFrame, k: int, layout: Layout, heavy: dict[int, tuple], discounts: Discounts) -> Partition | Longer | None:
+    """The part of n-grams of ``k`` words that a group of rows holds."""
+    tables = list(pdf["blob"][pdf["kind"] == ("b" if k == 2 else f"g{k}")])
+    answers = list(pdf["blob"][pdf["kind"] == ("c" if k == 2 else f"a{k}")])
+    if k == 2:
+        return Partition(tables[0] if tables else None, answers, layout, heavy, discounts)
+    return Longer(tables[0], answers, discounts.longer[k - 3]) if tables else None
+
+
+def _give(k: int, layout: Layout, heavy: dict[int, tuple], discounts: Discounts):
+    """Parts of n-grams of ``k`` words answer those of one word more."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        part = _opened(pdf, k, layout, heavy, discounts)
+        rows = []
+        for r in pdf[pdf["kind"] == f"q{k}"].itertuples(index=False):
+            steps, *columns = unpack(r.blob)
+            rows.append(_row(f"a{k + 1}", int(r.src), src=int(key[0]), blob=pack(steps, *columns, *part.answer(_hashes(steps), columns))))
+        return _frame(rows)
+
+    return run
 
 
 _PARTIAL = "block long, kind string, blob binary"
 _SUMS = "id long, train boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _evaluate(layout: Layout, heavy: dict[int, tuple], discounts: Discounts):
+def _evaluate(layout: Layout, heavy: dict[int, tuple], discounts: Discounts, order: int = 2):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tables = list(pdf["blob"][pdf["kind"] == "b"])
-        part = Partition(tables[0] if tables else None, list(pdf["blob"][pdf["kind"] == "c"]), layout, heavy, discounts)
-        base = discounts.base(part.counts)
+        part = _opened(pdf, order, layout, heavy, discounts)
         out = []
         for blob in pdf["blob"][pdf["kind"] == "d"]:  # a block's documents go on to its sums
             out.append((int(unpack(blob)[0][0]), "d", blob))
         for blob in pdf["blob"][pdf["kind"] == "t"]:
-            own, steps, ws, per, doc, n, first = unpack(blob)
-            to = np.searchsorted(part.words, _hashes(own))
-            h, w = to[np.cumsum(steps, dtype=np.int64)], to[ws]
-            each = np.repeat(np.arange(len(h)), per)
-            log_p = part.log_probs(h, w)[each]
-            of = w[each]
+            own, *columns, per, doc, n, first = unpack(blob)
+            if order == 2:
+                columns[0] = np.cumsum(columns[0], dtype=np.int64)
+            p, known = part.answer(_hashes(own), columns)
+            each = np.repeat(np.arange(len(p)), per)
+            log_p, known, base = np.log10(p)[each], known[each], discounts.base(known)[each]
             here = np.flatnonzero(np.bincount(doc))
-            sums = [np.bincount(doc, weights=x)[here] for x in (n, n * (part.counts[of] > 0), n * base[of], n * log_p)]
+            sums = [np.bincount(doc, weights=x)[here] for x in (n, n * (known > 0), n * base, n * log_p)]
             counts = [x.astype(np.uint32) for x in sums[:2]]
             out.append((int(first[0]), "p", pack(here.astype(np.uint32), *counts, *sums[2:])))
         return pd.DataFrame(out, columns=["block", "kind", "blob"])
@@ -497,8 +660,15 @@ def heavy_histories(docs: DataFrame, text_col: str, parts: int, rows: int, sampl
     return np.unique(np.array([*found, int(_START)], np.uint64))
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", part_tokens: int = PART_TOKENS) -> DataFrame:
-    """(id, train, n_tokens, n_known, train_tokens, base_score, score) per row; learned from the rows where ``train``."""
+def score(
+    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", part_tokens: int = PART_TOKENS, order: int = 2
+) -> DataFrame:
+    """(id, train, n_tokens, n_known, train_tokens, base_score, score) per row; learned from the rows where ``train``.
+
+    ``order`` is the length of the longest n-grams, 2 at least.
+    """
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     spark = docs.sparkSession
     rows = docs.select(
         F.col(quoted(id_col)).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(quoted(text_col)).alias("text")
@@ -507,17 +677,18 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     parts = max(1, math.ceil(((size["bytes"] or 0) / 6 + size["n"]) / part_tokens))
     layout = Layout(parts, heavy_histories(rows, "text", parts, size["n"]) if parts > 1 else np.zeros(0, np.uint64))
 
-    sent = rows.select("text", "train").mapInArrow(_send_counts(layout), "kind string, part int, blob binary")
+    sent = rows.select("text", "train").mapInArrow(_send_counts(layout, order), "kind string, part int, blob binary")
     model = written(sent.groupBy("kind", "part").applyInPandas(_merge(layout), _ROWS))
     sums = {
         r["kind"]: [r[f"s{i}"] or 0 for i in range(CUTOFF + 3)]
-        for r in model.where("kind in ('u', 'b')")
+        for r in model.where("kind in ('u', 'b') or kind like 'g%'")
         .groupBy("kind")
         .agg(*[F.sum(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(CUTOFF + 3)])
         .collect()
     }
     one, two = sums.get("u", [0] * (CUTOFF + 3)), sums.get("b", [0] * (CUTOFF + 3))
-    discounts = Discounts.of(one[0], one[1], one[2:], two[2:])
+    more = [sums.get(f"g{k}", [0] * (CUTOFF + 3))[2:] for k in range(3, order + 1)]
+    discounts = Discounts.of(one[0], one[1], one[2:], two[2:], *more)
     answers = written(model.where("kind in ('u', 'r')").select("kind", "part", "src", "blob").groupBy("part").applyInPandas(_answer(discounts), _ROWS))
     # at most one row per heavy history: a bounded list
     of_counts = model.where("kind = 'h'").groupBy("heavy").agg(*[F.sum(F.get("stats", F.lit(i))).alias(f"n{i}") for i in range(CUTOFF + 1)])
@@ -526,8 +697,13 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     # numbers tell the rows of one scan apart; they go no further than its own sums
     numbered = rows.withColumn("rid", F.monotonically_increasing_id())
-    tokens = numbered.select("text", "rid", F.col("id").cast("long"), "train").mapInArrow(_send_tokens(layout), "kind string, part int, blob binary")
+    tokens = numbered.select("text", "rid", F.col("id").cast("long"), "train").mapInArrow(_send_tokens(layout, order), "kind string, part int, blob binary")
     stored = model.where("kind = 'b'").select("kind", "part", "blob").union(answers.where("kind = 'c'").select("kind", "part", "blob"))
-    partial = tokens.union(stored).groupBy("part").applyInPandas(_evaluate(layout, heavy, discounts), _PARTIAL)
+    for k in range(2, order):
+        asked = model.where(F.col("kind") == f"q{k}").select("kind", "part", "src", "blob")
+        there = stored.select("kind", "part", F.lit(-1).alias("src"), "blob")
+        given = written(there.union(asked).groupBy("part").applyInPandas(_give(k, layout, heavy, discounts), _ROWS))
+        stored = model.where(F.col("kind") == f"g{k + 1}").select("kind", "part", "blob").union(given.select("kind", "part", "blob"))
+    partial = tokens.union(stored).groupBy("part").applyInPandas(_evaluate(layout, heavy, discounts, order), _PARTIAL)
     sums = partial.groupBy("block").applyInPandas(_add_up, _SUMS)
     return sums.select("id", "train", "n_tokens", "n_known", F.lit(discounts.tokens).cast("long").alias("train_tokens"), "base_score", "score")
