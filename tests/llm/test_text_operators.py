@@ -143,6 +143,16 @@ def test_languages_of_held_out_documents(documents):
     assert np.mean([r["rejected"] for r in rows]) < 0.1
 
 
+def test_long_training_texts_teach_from_all_their_length(spark):
+    long = "boilerplate head " * 2000 + "middle words " * 2000 + "closing part " * 2000
+    accents = "déjà été " * 1500 + "où ça " * 1500
+    df = spark.createDataFrame([(1, long, "en"), (2, accents, "fr"), (3, "short text", "en")], "doc_id long, text string, lang string")
+    content = dict(zstd_langid.learn(df).content)
+    assert all(x in content["en"] for x in (b"boilerplate head", b"middle words", b"closing part", b"short text"))
+    assert "déjà".encode() in content["fr"] and "où ça".encode() in content["fr"]
+    assert len(content["en"]) <= (128 << 10) // 8 + len(b" short text") and len(content["fr"]) <= (128 << 10) // 8
+
+
 def test_language_odd_and_empty(spark, odd, none, documents):
     model = zstd_langid.learn(documents)
     out = zstd_langid.identify(odd, model)

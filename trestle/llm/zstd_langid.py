@@ -8,7 +8,8 @@ letters to single spaces, so that shouting, tables and symbols don't decide.
 
 The dictionaries are a bounded sample of the labelled rows: about
 ``sample_docs`` texts a language, chosen by a hash of the id, at most an eighth
-of the dictionary each, up to ``dict_bytes`` a language.  The broadcast model is
+of the dictionary each, up to ``dict_bytes`` a language.  Of a longer text,
+pieces that are spread over its whole length count, the first to the last.  The broadcast model is
 at most ``dict_bytes`` times the number of languages.
 
 Defined results: null texts and texts without letters are ``und`` with score 0,
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +39,7 @@ FIELDS = [
     ("margin", T.DoubleType()),
     ("rejected", T.BooleanType()),
 ]
+_PIECES = 8  # of a long training text
 _LETTER = re.compile(r"[^\W\d_]")
 #: ASCII letters stay (folded), other ASCII becomes a space, bytes of non-ASCII characters stay.
 _FOLD = bytes(ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(128)) + bytes(range(128, 256))
@@ -56,6 +58,15 @@ def folded(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "replace").translate(_FOLD).split())
 
 
+def _pieces(text: Column, size: int) -> Column:
+    """The text as one piece, or ``_PIECES`` pieces at even distances where it has more than ``size`` bytes."""
+    length = max(1, size // _PIECES - 1)
+    room = F.greatest(F.char_length(text) - length, F.lit(0))
+    starts = [F.floor(room * k / (_PIECES - 1)).cast("int") + 1 for k in range(_PIECES)]
+    spread = F.array(*[F.substr(text, start, F.lit(length)) for start in starts])
+    return F.when(F.octet_length(text) > size, spread).otherwise(F.array(text))
+
+
 def learn(
     labelled: DataFrame,
     id_col: str = "doc_id",
@@ -76,11 +87,12 @@ def learn(
         return Model(())
     cut = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, sample_docs / n)))])
     sample = rows.where(F.pmod("h", F.lit(1 << 30)) < cut[F.col("lang")] * (1 << 30)).select(
-        "lang", "h", F.substring("text", 1, dict_bytes // 8).alias("text")
+        "lang", "h", _pieces(F.col("text"), dict_bytes // 8).alias("pieces")
     )
     texts: dict[str, list[bytes]] = {}
-    for r in sample.orderBy("h", "text").toLocalIterator():
-        texts.setdefault(r["lang"], []).append(folded(r["text"])[: dict_bytes // 8])
+    for r in sample.orderBy("h", "pieces").toLocalIterator():
+        most = dict_bytes // 8 if len(r["pieces"]) == 1 else max(1, dict_bytes // 8 // _PIECES - 1)
+        texts.setdefault(r["lang"], []).append(b" ".join(folded(p)[:most] for p in r["pieces"])[: dict_bytes // 8])
     content = []
     for lang in sorted(texts, key=lambda k: (-counts[k], k)):
         own, room = [], dict_bytes
