@@ -91,6 +91,15 @@ def test_chains_are_one_class(spark):
     assert got == {**{i: 0 for i in range(61)}, **{i: 98 for i in (98, 99, 100)}, 200: 200, 201: 200}
 
 
+def test_one_row_of_a_class_stays_without_ids_and_with_equal_ids(spark):
+    same = "one two three four five six seven eight nine ten"
+    rows = [(None, same), (None, same), (4, same), (3, same + " "), (3, same), (None, "apart " * 9 + "from it"), (7, "a lone text of its own")]
+    rows += [(None, "no id here at all, but a text"), (None, "no id here at all, but a  text")]
+    kept = simhash_trie.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), max_bits=0).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["3", "7", "None", "None"]
+    assert {r["text"].split()[0] for r in kept if r["doc_id"] is None} == {"apart", "no"}
+
+
 def test_simhash_odd_and_empty(odd, none):
     rows = simhash_trie.cluster(odd).collect()
     assert len(rows) == len(ODD)

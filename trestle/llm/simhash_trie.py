@@ -36,7 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trestle.llm.common import WORD, quoted, utf8, written
@@ -63,16 +63,17 @@ def simhash(text: bytes | None, shingle: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, print): the fingerprint of each row as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, *others: Column) -> DataFrame:
+    """(id, print): the fingerprint of each row as a signed long; ``others`` are further columns of longs."""
+    names = ["id", *[f"key{i}" for i in range(len(others))], "print"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = np.array([simhash(t, shingle) for t in utf8(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints)], names=["id", "print"])
+            prints = np.array([simhash(t, shingle) for t in utf8(b.columns[-1])], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(prints)], names=names)
 
-    rows = docs.select(F.col(quoted(id_col)).cast("long"), F.col(quoted(text_col)))
-    return rows.mapInArrow(run, "id long, print long")
+    rows = docs.select(F.col(quoted(id_col)).cast("long"), *others, F.col(quoted(text_col)))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 class _Labels:
@@ -208,24 +209,31 @@ def cluster(
 ) -> DataFrame:
     """(id, print, component): one row per row of ``docs``; the component is the least id reachable by links."""
     marked = written(fingerprints(docs, id_col, text_col, shingle))
-    distinct = written(marked.groupBy("print").agg(F.min("id").alias("first")))
-    labels = components(links(distinct, distinct.count(), max_bits, leaf_prints))
-    rooted = distinct.join(labels, F.col("print") == F.col("node"), "left").select(
-        "print", "first", F.coalesce("label", "print").alias("root")
-    )
+    rooted = _rooted(marked.groupBy("print").agg(F.min("id").alias("first")), max_bits, leaf_prints)
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
     classes = rooted.join(least, "root").select(F.col("print").alias("of"), "component")
     return marked.join(classes, F.col("print") == F.col("of")).select("id", "print", "component")
 
 
+def _rooted(distinct: DataFrame, max_bits: int, leaf_prints: int = 1 << 17) -> DataFrame:
+    """(print, first, root): ``distinct`` with the component of each fingerprint."""
+    distinct = written(distinct)
+    labels = components(links(distinct, distinct.count(), max_bits, leaf_prints))
+    return distinct.join(labels, F.col("print") == F.col("node"), "left").select(
+        "print", "first", F.coalesce("label", "print").alias("root")
+    )
+
+
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """``docs`` with one document of each class: the one with the least ``doc_id``; the columns of ``docs``.
 
-    Rows with the same id and text count as one document; rows without an id
-    can't be told apart by it and stay, one for each distinct text.
+    Rows with the same id and text count as one document; of equal ids the
+    least hash of id and text stays, and a row without an id only where its
+    class has no other.
     """
-    found = cluster(docs, "doc_id", "text", shingle, max_bits)
-    stay = found.where("id = component").select(F.col("id").alias("__stay")).distinct()
-    kept = docs.join(stay, F.col("doc_id") == F.col("__stay"), "left_semi")
-    nameless = docs.where("doc_id is null").dropDuplicates(["text"])
-    return kept.dropDuplicates(["doc_id", "text"]).union(nameless)
+    key = F.xxhash64("doc_id", "text")
+    marked = written(fingerprints(docs, "doc_id", "text", shingle, key))
+    first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "key0"))
+    rooted = _rooted(marked.groupBy("print").agg(first.alias("first")), max_bits)
+    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key0").alias("__stay"))
+    return docs.join(stay, key == F.col("__stay"), "left_semi").dropDuplicates(["doc_id", "text"])
