@@ -199,6 +199,20 @@ def test_decontamination(spark, bench, max_windows):
     assert got == {c[0]: (c[2], c[3]) for c in CASES}
 
 
+def test_a_window_of_many_items_goes_to_shards(spark, monkeypatch):
+    tables = []
+    real = decontaminate._scan
+    monkeypatch.setattr(decontaminate, "_scan", lambda docs, col, table: (tables.append(table), real(docs, col, table))[1])
+    items = spark.createDataFrame([(i, ITEM[:48]) for i in range(1000)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {ITEM}"), (2, "clean")], "doc_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in decontaminate.scan(docs, items, max_bytes=20_000).collect()}
+    assert got == {1: sorted(str(i) for i in range(1000)), 2: []}
+    assert len(tables) > 1 and all(sum(len(w) + len(i) for w, of in t.items() for i in of) < 30_000 for t in tables)
+    tables.clear()
+    assert [r["doc_id"] for r in decontaminate.remove_documents(docs, items).collect()] == [2]
+    assert [len(of) for t in tables for of in t.values()] == [1]
+
+
 def test_decontamination_removes(spark, bench):
     docs = spark.createDataFrame([c[:2] for c in CASES], "doc_id long, text string")
     assert {r[0] for r in decontaminate.remove_documents(docs, bench).collect()} == {1, 4, 7, 8}

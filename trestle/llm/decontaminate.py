@@ -8,9 +8,10 @@ that all occur in the benchmark, and each candidate window in such a run is
 verified in the hash set by its words.  The scan is a narrow map; the text is
 never shuffled.
 
-Size of the broadcast: the distinct windows are counted first.  Up to
-``max_windows`` they go out in one broadcast; beyond that they are dealt into
-shards of at most that many by hash, the documents are scanned once per shard,
+Size of the broadcast: the distinct pairs of window and item are counted first,
+with their bytes.  Up to ``max_windows`` and ``max_bytes`` they go out in one
+broadcast; beyond that the pairs are dealt into shards of about that size by
+hash (so that a window of many items is in many shards), the documents are scanned once per shard,
 and the spans of a document are united.  The result is the same.
 
 Defined results: null and empty texts have no words (``n_words`` 0, no hit);
@@ -135,18 +136,23 @@ def scan(
     n: int = 10,
     text_col: str = "text",
     max_windows: int = 500_000,
+    max_bytes: int = 64 << 20,
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``hit_spans`` (first and last word of each) and ``items``."""
-    grams = windows(benchmark, n).groupBy("window").agg(F.collect_set("item").alias("items"))
-    count = grams.count()
-    shards = max(1, -(-count // max_windows))
+    pairs = windows(benchmark, n)
+    size = pairs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("window") + F.octet_length("item")).alias("bytes")).first()
+    shards = max(1, -(-size["n"] // max_windows), -(-(size["bytes"] or 0) // max_bytes))
+
+    def table(rows: DataFrame) -> dict[bytes, list[str]]:
+        return {bytes(r[0]): r[1] for r in rows.groupBy("window").agg(F.collect_set("item")).toLocalIterator()}
+
     if shards == 1:
-        return _scan(docs, text_col, {bytes(r[0]): r[1] for r in grams.toLocalIterator()})
-    shard = F.pmod(F.xxhash64("window"), F.lit(shards))
+        return _scan(docs, text_col, table(pairs))
+    shard = F.pmod(F.xxhash64("window", "item"), F.lit(shards))
     span_cols = [name for name, _ in FIELDS]
     out = docs.select(*[c for c in docs.columns if c not in span_cols or c == text_col])
     for k in range(shards):  # each pass holds one shard; a pass adds its hits to those of the passes before
-        part = {bytes(r[0]): r[1] for r in grams.where(shard == k).toLocalIterator()}
+        part = table(pairs.where(shard == k))
         before = [F.col(c).alias(f"__before_{c}") for c in span_cols if k]
         found = _scan(out.select("*", *before).drop(*span_cols) if k else out, text_col, part)
         if k:
@@ -187,7 +193,8 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> Data
     original = docs.columns
     keyed = docs.withColumnsRenamed({c: f"__in_{i}" for i, c in enumerate(original)})
     at = f"__in_{original.index('text')}"
-    clean = scan(keyed, benchmark, n, text_col=at).where(F.size("hit_spans") == 0)
+    nameless = benchmark.select(F.lit("").alias("item_id"), "text")  # which items were hit doesn't matter
+    clean = scan(keyed, nameless, n, text_col=at).where(F.size("hit_spans") == 0)
     return clean.select(*[F.col(f"__in_{i}").alias(c) for i, c in enumerate(original)])
 
 
