@@ -121,6 +121,26 @@ def test_mixture_meets_its_targets(spark):
     assert keys == sorted(keys) and len(set(keys)) == len(keys)
 
 
+def test_text_hashed_once_below_the_join(spark, documents):
+    mixed = poisson_mix.mix(documents, poisson_mix.tempered_rates(documents))
+    plan = mixed._jdf.queryExecution().optimizedPlan().toString()
+    lines = [line.lower() for line in plan.splitlines()]
+    join = next(i for i, line in enumerate(lines) if "join" in line)
+    assert "md5(" not in lines[join]
+    assert sum(line.count("md5(cast(coalesce(text") for line in lines) == 1
+    assert all("md5(" not in line[line.index("lambdafunction") :] for line in lines if "lambdafunction" in line)
+    assert not any("rangepartitioning" in line for line in lines)
+
+
+def test_mixing_without_broadcast(spark, documents, monkeypatch):
+    def rows():
+        return sorted(map(tuple, poisson_mix.mix(documents, poisson_mix.tempered_rates(documents), partition_bytes=100_000).collect()), key=repr)
+
+    wanted = rows()
+    monkeypatch.setattr(poisson_mix, "MAX_STEPS", 0)
+    assert rows() == wanted
+
+
 def test_mixing_odd_and_empty(spark, odd, none):
     assert poisson_mix.mix(none, poisson_mix.tempered_rates(none)).count() == 0
     out = poisson_mix.mix(odd, poisson_mix.tempered_rates(odd, epochs=20.0))

@@ -8,10 +8,14 @@ quantile function of that distribution at a uniform number that comes from a
 hash of seed, id and text: the same on every run and every cluster.  Documents
 are exploded by their count and put into a global random order by another hash.
 
-DataFrame functions only.  Sources are counted with a partial aggregate; the
-join with the per-source table (one row per source) is left to the optimizer,
-and so is a hot source: its rows are a third of the input or less, narrow until
-the final shuffle, which is by a random key.
+DataFrame functions only.  One pass counts rows and text bytes per source (a
+partial aggregate) into a small written table.  The MD5 of a text is taken once,
+in a projection below the join with that table, and both hashes derive from it.
+The join is a broadcast where the table's quantile arrays are counted to at most
+``MAX_STEPS`` numbers, else a shuffle join, whose skewed sources AQE splits.  The
+copies cross the network once: keys are uniform, so the key itself names the range
+partition it belongs to, and no sampling pass draws a second time.  The number of
+partitions comes from the counted bytes.
 
 Defined results: a null source is a source of its own; a null text is repeated
 as it is; repeated rows have the same hash, hence the same count, each of them;
@@ -26,7 +30,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trestle.llm.common import key_text
+from trestle.llm.common import key_text, quoted, written
+
+#: Numbers in all quantile arrays together up to which they are broadcast (8 bytes each).
+MAX_STEPS = 1_000_000
+
 
 def uniform(seed: str, *cols: Column) -> Column:
     """A number in [0, 1) from the MD5 of seed and values: 52 bits, the same in any SQL engine."""
@@ -34,29 +42,36 @@ def uniform(seed: str, *cols: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def tempered_rates(docs: DataFrame, source_col: str = "source", exponent: float = 0.5, epochs: float = 1.0) -> DataFrame:
-    """(source, rate) for target shares in proportion to count ** exponent; ``epochs`` times the input in all."""
-    counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("n"))
-    return _rates(counts.withColumn("w", F.pow("n", F.lit(exponent))), epochs)
+def _counted(docs: DataFrame, source_col: str, text_col: str | None) -> DataFrame:
+    """(source, n, bytes): rows and text bytes of each source."""
+    size = F.coalesce(F.octet_length(F.col(quoted(text_col))).cast("long"), F.lit(0)) if text_col in docs.columns else F.lit(0)
+    return docs.groupBy(F.col(quoted(source_col)).alias("source")).agg(F.count(F.lit(1)).alias("n"), F.sum(size + 64).alias("bytes"))
+
+
+def tempered_rates(
+    docs: DataFrame, source_col: str = "source", exponent: float = 0.5, epochs: float = 1.0, text_col: str = "text"
+) -> DataFrame:
+    """(source, rate, bytes) for target shares in proportion to count ** exponent; ``epochs`` times the input in all."""
+    return _rates(_counted(docs, source_col, text_col).withColumn("w", F.pow("n", F.lit(exponent))), epochs)
 
 
 def _rates(weighed: DataFrame, epochs: float) -> DataFrame:
-    """(source, rate) of (source, n, w): w over all weights, times all documents, over n."""
+    """(source, rate, expected output bytes) of (source, n, bytes, w): w over all weights, times all documents, over n."""
+    weighed = written(weighed)  # one row per source; later reads don't count again
     sums = weighed.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()  # two numbers
-    if not sums["w"]:
-        return weighed.select("source", F.lit(0.0).alias("rate"))
-    rate = F.col("w") / F.lit(float(sums["w"])) * F.lit(sums["n"]) * F.lit(epochs) / F.col("n")
-    return weighed.select("source", rate.alias("rate"))
+    rate = F.col("w") / F.lit(float(sums["w"])) * F.lit(sums["n"]) * F.lit(epochs) / F.col("n") if sums["w"] else F.lit(0.0)
+    return weighed.select("source", rate.alias("rate"), (rate * F.col("bytes")).alias("bytes"))
 
 
-def weighted_rates(docs: DataFrame, weights: dict[str, float], source_col: str = "source", epochs: float = 1.0) -> DataFrame:
-    """(source, rate) for given target shares by source name (any positive scale)."""
+def weighted_rates(
+    docs: DataFrame, weights: dict[str, float], source_col: str = "source", epochs: float = 1.0, text_col: str = "text"
+) -> DataFrame:
+    """(source, rate, bytes) for given target shares by source name (any positive scale)."""
     if any(w < 0 for w in weights.values()):
         raise ValueError("weights must not be negative")
-    counts = docs.groupBy(F.col(source_col).alias("source")).agg(F.count(F.lit(1)).alias("n"))
     pairs = [x for k, w in weights.items() for x in (F.lit(k), F.lit(float(w)))]
     weight = F.coalesce(F.create_map(*pairs)[F.coalesce("source", F.lit(""))], F.lit(0.0)) if pairs else F.lit(0.0)
-    return _rates(counts.withColumn("w", weight), epochs)
+    return _rates(_counted(docs, source_col, text_col).withColumn("w", weight), epochs)
 
 
 def poisson_quantiles(rate: str) -> Column:
@@ -64,7 +79,7 @@ def poisson_quantiles(rate: str) -> Column:
 
     Terms are taken by logarithm, so that large rates don't underflow.
     """
-    last = f"cast(ceil({rate} + 12 * sqrt({rate}) + 30) as int)"
+    last = f"cast({_last(rate)} as int)"
     # running (log term, sum) pairs; one short array per source
     return F.expr(
         f"aggregate(sequence(0, {last}), "
@@ -77,18 +92,23 @@ def poisson_quantiles(rate: str) -> Column:
     )
 
 
+def _last(rate: str) -> str:
+    """How far ``poisson_quantiles`` goes."""
+    return f"ceil({rate} + 12 * sqrt({rate}) + 30)"
+
+
 def copies(docs: DataFrame, rates: DataFrame, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """``docs`` with ``__copies``: the Poisson count of each document."""
-    steps = (
-        rates.where("rate > 0")
-        .select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
-        .withColumn("__cdf", poisson_quantiles("__rate"))
-        .drop("__rate")
-    )
-    joined = docs.join(steps, F.col(source_col).eqNullSafe(F.col("__source")))
-    u = uniform(seed, F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    """``docs`` with ``__copies``, the Poisson count of each document, and ``__md5`` of its text."""
+    some = rates.where("rate > 0")
+    numbers = some.agg(F.sum(F.expr(_last("rate")))).first()[0]
+    steps = some.select(F.col("source").alias("__source"), poisson_quantiles("rate").alias("__cdf"))
+    if (numbers or 0) <= MAX_STEPS:
+        steps = F.broadcast(steps)
+    hashed = docs.withColumn("__md5", F.md5(F.coalesce(F.col(quoted(text_col)), F.lit("")).cast("binary")))
+    hashed = hashed.withColumn("__u", uniform(seed, F.col(quoted(id_col)), F.col("__md5")))
+    joined = hashed.join(steps, F.col(quoted(source_col)).eqNullSafe(F.col("__source")))
     count = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
-    return joined.withColumn("__u", u).withColumn("__copies", count).drop("__source", "__cdf", "__u")
+    return joined.withColumn("__copies", count).drop("__source", "__cdf", "__u")
 
 
 def mix(
@@ -98,13 +118,16 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    partition_bytes: int = 64 << 20,
 ) -> DataFrame:
     """``docs`` repeated to the target mixture, with ``copy`` (from 1) and ``shuffle_key``, in the order of that key."""
     own = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    drawn = copies(docs.select(*own), rates, seed, id_col, text_col, source_col).where("__copies > 0")
-    exploded = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies")
-    key = uniform(seed + "/order", F.col(id_col), F.col("copy"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    return exploded.withColumn("shuffle_key", key).orderBy("shuffle_key")
+    drawn = copies(docs.select(*[F.col(quoted(c)) for c in own]), rates, seed, id_col, text_col, source_col).where("__copies > 0")
+    exploded = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    key = uniform(seed + "/order", F.col(quoted(id_col)), F.col("copy"), F.col("__md5"))
+    keyed = exploded.withColumn("shuffle_key", key).drop("__copies", "__md5")
+    parts = max(1, math.ceil((rates.agg(F.sum("bytes")).first()[0] or 0) / partition_bytes))
+    return keyed.repartitionById(parts, F.floor(F.col("shuffle_key") * parts).cast("int")).sortWithinPartitions("shuffle_key")
 
 
 def poisson_count(u: float, rate: float) -> int:
