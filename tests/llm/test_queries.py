@@ -17,12 +17,13 @@ COLUMNS = {
     8: "doc_id held_out n_tokens n_known train_tokens base_score score",
     9: "page_id payload_bytes payload_digest record_type refers_to",
     10: "doc_id n_lines n_dropped kept_sha256",
+    11: "item_id rank doc_id score",
 }
 
 
 def test_one_query_per_operator():
     numbers = sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 12))
     assert set(queries.QUERIES) | {"pipeline"} <= set(E.queries())
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trestle.llm import arc_convert, decontaminate, html_diff, katz, line_mph, nbsvm, order_minhash, poisson_mix, simhash_trie, zstd_langid
+from trestle.llm import arc_convert, decontaminate, html_diff, katz, line_mph, max_sketch, nbsvm, order_minhash, poisson_mix, simhash_trie, zstd_langid
 from trestle.llm.common import fold, table
 
 
@@ -106,6 +106,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", line_mph.digest().alias("kept_sha256"))
 
 
+def op11_max_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of every benchmark item."""
+    index = max_sketch.build_index(table(spark, sf_dir, "documents"))
+    found = max_sketch.search(index, table(spark, sf_dir, "benchmark").select("item_id", "text"), k=10)
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -119,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_katz_backoff,
         op9_arc_to_warc,
         op10_line_dedup,
+        op11_max_sketch_search,
     )
 }
 
@@ -184,5 +192,27 @@ WITH l AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT kept) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (kept), '')) AS kept_sha256
 FROM m GROUP BY doc_id
+""",
+    "op11_max_sketch_search": rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({_TEXT}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), s AS (
+  SELECT count(*) AS docs, cast(sum(len(w)) AS bigint) AS total FROM d WHERE len(w) > 0
+), tf AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) GROUP BY doc_id, term
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({_TEXT}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), wt AS (
+  SELECT term, cast(floor(1000 * ln(cast(2 * docs + 2 AS double) / (2 * df + 1))) AS bigint) AS w
+  FROM (SELECT term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM q) GROUP BY term), s
+), m AS (
+  SELECT doc_id, 100 - 90 + (90 * len(w) * docs) // total AS m FROM d, s WHERE len(w) > 0
+), scored AS (
+  SELECT item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS bigint) AS score
+  FROM q JOIN tf USING (term) JOIN wt USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id
+)
+SELECT item_id, cast(pos AS int) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS pos FROM scored WHERE score > 0)
+WHERE pos <= 10
 """,
 }
