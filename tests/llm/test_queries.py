@@ -18,12 +18,13 @@ COLUMNS = {
     9: "page_id payload_bytes payload_digest record_type refers_to",
     10: "doc_id n_lines n_dropped kept_sha256",
     11: "item_id rank doc_id score",
+    12: "page_id host path rule verdict",
 }
 
 
 def test_one_query_per_operator():
     numbers = sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES)
-    assert numbers == list(range(1, 12))
+    assert numbers == list(range(1, 13))
     assert set(queries.QUERIES) | {"pipeline"} <= set(E.queries())
 
 
@@ -51,7 +52,7 @@ def test_shape(spark, con, number):
         assert all(0 <= r[c] <= 1 for r in rows)
 
 
-@pytest.mark.parametrize("number", [2, 3])
+@pytest.mark.parametrize("number", [2, 3, 12])
 def test_native_queries_run_no_python(spark, number):
     name = next(k for k in queries.QUERIES if k.startswith(f"op{number}_"))
     plan = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

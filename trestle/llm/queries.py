@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trestle.llm import arc_convert, decontaminate, html_diff, katz, line_mph, max_sketch, nbsvm, order_minhash, poisson_mix, simhash_trie, zstd_langid
+from trestle.llm import arc_convert, decontaminate, html_diff, katz, line_mph, max_sketch, nbsvm, order_minhash, poisson_mix, simhash_trie, url_rules, zstd_langid
 from trestle.llm.common import fold, table
 
 
@@ -113,6 +113,12 @@ def op11_max_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", "rank", "doc_id", "score")
 
 
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all page urls by the given rules, and by rules mined from the urls that these judge."""
+    judged = url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "confidence")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -127,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_arc_to_warc,
         op10_line_dedup,
         op11_max_sketch_search,
+        op12_url_rules,
     )
 }
 
@@ -214,5 +221,60 @@ WITH d AS (
 SELECT item_id, cast(pos AS int) AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS pos FROM scored WHERE score > 0)
 WHERE pos <= 10
+""",
+    "op12_url_rules": f"""
+WITH a AS (
+  SELECT page_id, url, position('://' IN url) > 0 AS told, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest
+  FROM pages
+), b AS (
+  SELECT page_id, told, url, {_LOWER.format("regexp_extract(coalesce(rest, ''), '^[^/?#]*')")} AS host,
+         regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path, {_LOWER.format("regexp_extract(rest, '^[^?#]*[?]([^#]*)', 1)")} AS query
+  FROM a
+), c AS (
+  SELECT page_id, host, path,
+         CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+              WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+              WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+              WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule,
+         CASE WHEN coalesce(told, false) THEN list_distinct(list_concat(list_concat(
+           ['scheme:' || {_LOWER.format("substr(url, 1, position('://' IN url) - 1)")}],
+           list_transform(regexp_extract_all(host, '[^.-]+'), lambda x: 'host:' || x)), list_concat(
+           list_transform(regexp_extract_all(regexp_replace({_LOWER.format("path")}, '[0-9]+', '0', 'g'), '[^/._-]+'), lambda x: 'path:' || x),
+           list_transform(regexp_extract_all(query, '([^&=]+)=', 1), lambda x: 'key:' || x)))) ELSE [] END AS toks
+  FROM b
+), lab AS (
+  SELECT page_id, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS given, toks FROM c WHERE rule IS NOT NULL
+), size AS (
+  SELECT count(*) AS n, count(*) FILTER (given = 'block') AS nb, greatest(ceil(0.01 * count(*)), 5) AS least FROM lab
+), each AS (SELECT page_id, given, unnest(toks) AS tok FROM lab), freq AS (
+  SELECT tok, tn, abs(tb * n - tn * nb) AS parts FROM (SELECT tok, count(*) AS tn, count(*) FILTER (given = 'block') AS tb FROM each GROUP BY tok), size
+  WHERE tn >= least
+), picked AS (
+  SELECT page_id, given, tok, row_number() OVER (PARTITION BY page_id ORDER BY parts DESC, tok) AS k FROM each JOIN freq USING (tok)
+), items AS (
+  SELECT page_id, given, list(tok ORDER BY tok) AS its FROM picked WHERE k <= 8 GROUP BY page_id, given
+), subsets AS (
+  SELECT given, list_filter(its, lambda x, i: (mask >> (i - 1)) % 2 = 1) AS s
+  FROM (SELECT given, its, unnest(range(1, cast(pow(2, len(its)) AS int))) AS mask FROM items)
+), counted AS (
+  SELECT s, count(*) AS n, count(*) FILTER (given = 'block') AS nb, count(*) FILTER (given = 'allow') AS na FROM subsets GROUP BY s
+), rules AS (
+  SELECT s, v, cast(nv AS double) / n AS conf, nv
+  FROM (SELECT s, n, 'block' AS v, nb AS nv FROM counted UNION ALL SELECT s, n, 'allow', na FROM counted), (SELECT least FROM size)
+  WHERE nv >= least AND cast(nv AS double) / n >= 0.8
+), shorter AS (
+  SELECT s, v, conf, list_filter(s, lambda x: x <> gone) AS rest FROM (SELECT s, v, conf, unnest(s) AS gone FROM rules WHERE len(s) > 1)
+), idle AS (
+  SELECT DISTINCT x.s, x.v FROM shorter x JOIN rules r ON r.s = x.rest AND r.v = x.v AND r.conf >= x.conf
+), placed AS (
+  SELECT s, r.v, conf, row_number() OVER (ORDER BY conf DESC, nv DESC, len(s), array_to_string(s, ' ')) AS place
+  FROM rules r WHERE NOT EXISTS (SELECT 1 FROM idle WHERE idle.s = r.s AND idle.v = r.v)
+), best AS (
+  SELECT page_id, min(place) AS place FROM c JOIN placed ON list_has_all(c.toks, placed.s) WHERE rule IS NULL GROUP BY page_id
+)
+SELECT c.page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' ELSE coalesce(v, 'allow') END AS verdict,
+       conf AS confidence
+FROM c LEFT JOIN best USING (page_id) LEFT JOIN placed ON placed.place = best.place
 """,
 }
