@@ -19,12 +19,13 @@ COLUMNS = {
     10: "doc_id n_lines n_dropped kept_sha256",
     11: "item_id rank doc_id score",
     12: "page_id host path rule verdict",
+    13: "lang rank phrase a l r n score",
 }
 
 
 def test_one_query_per_operator():
     numbers = sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES)
-    assert numbers == list(range(1, 13))
+    assert numbers == list(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(E.queries())
 
 

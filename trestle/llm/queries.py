@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trestle.llm import arc_convert, decontaminate, html_diff, katz, line_mph, max_sketch, nbsvm, order_minhash, poisson_mix, simhash_trie, url_rules, zstd_langid
+from trestle.llm import arc_convert, decontaminate, html_diff, katz, line_mph, max_sketch, nbsvm, order_minhash, phrase_trie, poisson_mix, simhash_trie, url_rules, zstd_langid
 from trestle.llm.common import fold, table
 
 
@@ -119,6 +119,11 @@ def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "confidence")
 
 
+def op13_phrase_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of two and three words of each language."""
+    return phrase_trie.mine(table(spark, sf_dir, "documents").select("lang", "text"), min_count=10, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -134,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_line_dedup,
         op11_max_sketch_search,
         op12_url_rules,
+        op13_phrase_trie,
     )
 }
 
@@ -276,5 +282,35 @@ SELECT c.page_id, host, path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' ELSE coalesce(v, 'allow') END AS verdict,
        conf AS confidence
 FROM c LEFT JOIN best USING (page_id) LEFT JOIN placed ON placed.place = best.place
+""",
+    "op13_phrase_trie": rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array({_TEXT}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w
+  FROM documents
+), one AS (
+  SELECT lang, w, count(*) AS f FROM (SELECT lang, unnest(w) AS w FROM p) GROUP BY lang, w
+), total AS (SELECT lang, cast(sum(f) AS bigint) AS n FROM one GROUP BY lang), two AS (
+  SELECT lang, u, v, count(*) AS a
+  FROM (SELECT lang, w[i] AS u, w[i + 1] AS v FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM p)) GROUP BY lang, u, v HAVING count(*) >= 10
+), three AS (
+  SELECT lang, u, v, x, count(*) AS a
+  FROM (SELECT lang, w[i] AS u, w[i + 1] AS v, w[i + 2] AS x FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM p))
+  GROUP BY lang, u, v, x HAVING count(*) >= 10
+), longer AS (
+  SELECT lang, u, v, max(a) AS most FROM (SELECT lang, u, v, a FROM three UNION ALL SELECT lang, v, x, a FROM three) GROUP BY lang, u, v
+), scored AS (
+  SELECT two.lang, u || ' ' || v AS phrase, a, l.f AS l, r.f AS r, (1000000::hugeint * a * a) // (l.f::hugeint * r.f) AS score
+  FROM two JOIN one l ON l.lang = two.lang AND l.w = u JOIN one r ON r.lang = two.lang AND r.w = v LEFT JOIN longer USING (lang, u, v)
+  WHERE most IS NULL OR 100 * most < 50 * a
+  UNION ALL
+  SELECT lang, u || ' ' || v || ' ' || x, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2)
+  FROM (SELECT t.lang, t.u, t.v, t.x, t.a, l.f AS l1, q.a AS r1, h.a AS l2, r.f AS r2,
+               (1000000::hugeint * t.a * t.a) // (l.f::hugeint * q.a) AS s1, (1000000::hugeint * t.a * t.a) // (h.a::hugeint * r.f) AS s2
+        FROM three t JOIN one l ON l.lang = t.lang AND l.w = t.u JOIN one r ON r.lang = t.lang AND r.w = t.x
+        JOIN two h ON h.lang = t.lang AND h.u = t.u AND h.v = t.v JOIN two q ON q.lang = t.lang AND q.u = t.v AND q.v = t.x)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM scored
+)
+SELECT lang, rank, phrase, a, l, r, n, cast(score AS bigint) AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
 """,
 }
