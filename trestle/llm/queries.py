@@ -299,9 +299,10 @@ WITH p AS (
 ), longer AS (
   SELECT lang, u, v, max(a) AS most FROM (SELECT lang, u, v, a FROM three UNION ALL SELECT lang, v, x, a FROM three) GROUP BY lang, u, v
 ), scored AS (
-  SELECT two.lang, u || ' ' || v AS phrase, a, l.f AS l, r.f AS r, (1000000::hugeint * a * a) // (l.f::hugeint * r.f) AS score
-  FROM two JOIN one l ON l.lang = two.lang AND l.w = u JOIN one r ON r.lang = two.lang AND r.w = v LEFT JOIN longer USING (lang, u, v)
-  WHERE most IS NULL OR 100 * most < 50 * a
+  SELECT two.lang, two.u || ' ' || two.v AS phrase, two.a, l.f AS l, r.f AS r, (1000000::hugeint * two.a * two.a) // (l.f::hugeint * r.f) AS score
+  FROM two JOIN one l ON l.lang = two.lang AND l.w = two.u JOIN one r ON r.lang = two.lang AND r.w = two.v
+  LEFT JOIN longer g ON g.lang = two.lang AND g.u = two.u AND g.v = two.v
+  WHERE most IS NULL OR 100 * most < 50 * two.a
   UNION ALL
   SELECT lang, u || ' ' || v || ' ' || x, a, CASE WHEN s1 <= s2 THEN l1 ELSE l2 END, CASE WHEN s1 <= s2 THEN r1 ELSE r2 END, least(s1, s2)
   FROM (SELECT t.lang, t.u, t.v, t.x, t.a, l.f AS l1, q.a AS r1, h.a AS l2, r.f AS r2,
