@@ -162,6 +162,21 @@ def test_a5_single_project_keeps_rows(spark):
     assert sorted(r.actual_numeric for r in out) == [10.0, 20.0]
 
 
+def test_a5_three_projects_some_without_names(spark):
+    rows = [("P1", "p", "a", "K1", "1", "%", "A", 1.0, 1.0, 1), ("P2", "p", "a", "K1", "3", None, "B", 2.0, 1.0, 2),
+            ("P2", "p", "a", None, "9", "%", "C", 3.0, 1.0, 3), ("P3", "p", "b", "K1", "4", "d", "D", 4.0, 1.0, 4),
+            ("P3", "p", "b", None, "5", None, None, 5.0, 1.0, 5), ("P3", "p", "b", "K1", "6", "d", "D", 6.0, 1.0, 6)]
+    df = kpis(spark, rows)
+    wanted = [("a", "K1", 2.0, 1.5, "%", "A", True), ("b", "K1", 4.0, 4.0, "d", "D", False),
+              ("b", "K1", 6.0, 6.0, "d", "D", False), ("b", None, 5.0, 5.0, None, None, False)]
+    for words in (None, A.text_words(df, ("bp_range_display", "unit"))):
+        out = A.kpi_rollup(df, ("phase", "process_name"), ("rk",), words=words).collect()
+        got = [(r.process_name, r.kpi_name, r.actual_numeric, r.score, r.unit, r.bp_range_display, r.is_averaged) for r in out]
+        assert sorted(got, key=repr) == sorted(wanted, key=repr)
+        alone = A.kpi_rollup(df.where("projectId = 'P2'"), (), ("rk",), words=words).collect()
+        assert [(r.kpi_name, r.is_averaged) for r in sorted(alone, key=lambda r: r.score)] == [("K1", False), (None, False)]
+
+
 def test_a5_first_unit_in_row_order(spark):
     rows = [("P1", "p", "a", "K1", "1", None, "B", 1.0, 1.0, 5), ("P2", "p", "a", "K1", "2", "days", "A", 3.0, 1.0, 9),
             ("P2", "p", "a", "K1", "2", "%", "C", 3.0, 1.0, 7)]

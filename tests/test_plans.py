@@ -1,9 +1,14 @@
 """Physical plan properties and the driver contract."""
 
+import re
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as E
+from trestle.operators import aggregates as A
 from trestle.plans import registry
+from trestle.sources import staging
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,9 +67,53 @@ def test_filters_reach_the_scan(spark, qs):
     assert "PushedFilters: [IsNotNull(process_name), EqualTo(process_name,quality)]" in plan
 
 
-def test_phase_partition_pruning(spark, qs):
-    plan = executed(qs["project_meta"](spark, SF))
+def test_phase_partition_pruning(spark):
+    facts = registry.raw_model(spark, SF)
+    meta = A.project_meta(facts.phase_kpis("construction"), facts.row_order)  # as it is staged
+    plan = executed(meta)
     assert "PartitionFilters: [isnotnull(phase" in plan and "(phase" in plan and "= construction)" in plan
+    assert "SortAggregate" not in plan
+
+
+def test_building_a_page_writes_nothing(spark, qs):
+    root = staging.staging_root(spark)
+    qs["project_meta"](spark, SF)  # loads the model
+
+    def files():
+        return sorted(str(p) for p in Path(root.removeprefix("file:")).rglob("*"))
+
+    before = files()
+    for name in ("portfolio_scoreboard", "project_meta", "process_kpi_table", "filter_value_range"):
+        qs[name](spark, SF)
+    assert files() == before
+
+
+ROLLUPS = ("kpi_rollup", "kpi_coverage", "attach_coverage", "process_kpi_table", "process_kpi_report_card")
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+@pytest.mark.parametrize("name", ROLLUPS)
+def test_rollups_read_the_facts_twice_and_hash(spark, qs, name, broadcast):
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for k in () if broadcast else keys:
+        spark.conf.set(k, "-1")
+    try:
+        df = qs[name](spark, SF)
+        df.collect()
+        plan = executed(df)
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+    final = plan.split("== Initial Plan ==")[0]
+    assert len(re.findall(r"FileScan parquet \[[^\]]*process_name", final)) == 2  # of the facts
+    assert "SortAggregate" not in plan
+
+
+def test_no_query_takes_a_subset_of_projects():
+    for key in registry.ENTRIES:
+        sql = E.oracle_sql()[key]
+        for n in re.findall(r"LIMIT (\d+)", sql):
+            assert int(n) in (5, 50), (key, n)  # top-5 lists and pages
 
 
 def test_column_pruning(spark, qs):

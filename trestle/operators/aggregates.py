@@ -9,7 +9,7 @@ Null keys are dropped before grouping (pandas ``groupby`` drops them, T2).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trestle.functions.parse import nan_to_null, parse_date, parse_money, parse_value
@@ -80,12 +80,22 @@ def project_count(kpis: DataFrame, group_cols: tuple[str, ...] = ()) -> DataFram
     return src.agg(F.count_distinct("projectId").alias("n_projects"))
 
 
+def _several_projects(kpis: DataFrame, group_cols: list[str]) -> DataFrame:
+    """Per group whether its rows name more than one project: the least and the greatest hash of the
+    project ids differ.  Four numbers a group, so a hash aggregate (two hashes, as two projects may share one)."""
+    hashes = [F.when(F.col("projectId").isNotNull(), F.xxhash64("projectId", F.lit(seed))) for seed in (0, 1)]
+    ends = [f(h).alias(f"_{name}{i}") for i, h in enumerate(hashes) for name, f in (("min", F.min), ("max", F.max))]
+    differ = (F.col("_min0") != F.col("_max0")) | (F.col("_min1") != F.col("_max1"))
+    return kpis.groupBy(*group_cols).agg(*ends).select(*group_cols, F.coalesce(differ, F.lit(False)).alias("is_averaged"))
+
+
 def kpi_rollup(
     kpis: DataFrame,
     group_cols: tuple[str, ...] = (),
     order_cols: tuple[str, ...] = (),
     with_coverage: bool = False,
     coverage_basis: str = "rows",
+    words: DataFrame | None = None,
 ) -> DataFrame:
     """A5 (+A6/J3): the KPI table of one process, or of many processes at once
     when ``group_cols`` names them (e.g. ``phase, process_name``).
@@ -93,9 +103,18 @@ def kpi_rollup(
     Per group, when more than one project is present the rows are averaged
     per KPI (``actual_numeric``, ``score``, ``unrealized_value``; first
     ``bp_range_display`` and ``unit`` in row order; rows without a KPI name
-    have no group); with a single project the rows pass unchanged.  Both branches are one lazy plan: the project count
-    per group is an aggregate joined back on the group key (one row per
-    group), or a scalar subquery without groups; never a driver round trip.
+    have no group); with a single project the rows pass unchanged.
+
+    Two passes over the facts.  The first tells the groups with several
+    projects (a join partner of one row per group, or a scalar subquery
+    without groups).  The second is one aggregate for both kinds of group: by
+    KPI where rows are averaged, by row where they pass as they are.
+
+    ``order_cols`` is the row order and must tell rows apart.  With one
+    bigint (``row_order`` of a staged model) and ``words``, the table of
+    distinct texts by their hash (``text_words``), every buffer of the
+    aggregate is of fixed width, so it is a hash aggregate, and the texts are
+    looked up afterwards.  Without them the texts are carried along.
 
     Coverage (A6) = 100 x (rows with a numeric actual) / (projects in the
     group); ``basis="projects"`` counts distinct projects with a value
@@ -103,46 +122,63 @@ def kpi_rollup(
     """
     gk = list(group_cols)
     src = kpis.withColumn("actual_numeric", parse_value("actual"))
+    if with_coverage:
+        groups = project_count(src, group_cols).withColumn("is_averaged", F.col("n_projects") > 1)
+    else:
+        groups = _several_projects(src, gk)
+    facts = [c for c in groups.columns if c not in gk]
     if gk:
         # At most one row per group: AQE sees its real size and broadcasts it.
-        src = src.join(project_count(src, group_cols), gk, "left")
+        src = src.join(groups, gk, "left")
     else:
-        # Uncorrelated scalar subquery, evaluated once.
-        src = src.withColumn("n_projects", project_count(src).scalar())
-    src = src.withColumn("n_projects", F.coalesce(F.col("n_projects"), F.lit(0)))
+        # Uncorrelated scalar subqueries, evaluated once.
+        src = src.withColumns({c: groups.select(c).scalar() for c in facts})
+    if with_coverage:
+        src = src.withColumn("n_projects", F.coalesce("n_projects", F.lit(0)))
+    averaged = F.coalesce("is_averaged", F.lit(False))
+    src = src.withColumn("is_averaged", averaged).where(~F.col("is_averaged") | F.col("kpi_name").isNotNull())
     order = list(order_cols) or ["projectId"]
+    src = src.withColumn("_row", F.when(~F.col("is_averaged"), F.col(order[0]) if len(order) == 1 else F.struct(*order)))
+
+    def mean(col: str) -> Column:
+        return F.avg(F.when(F.col("is_averaged"), nan_to_null(col)).otherwise(F.col(col))).alias(col)
+
     valued = F.col("actual_numeric").isNotNull()
-    if coverage_basis == "projects":
-        cov_num = F.count_distinct(F.when(valued, F.col("projectId")))
-    else:
-        cov_num = F.count(F.when(valued, F.lit(1)))
-    averaged = (
-        src.where((F.col("n_projects") > 1) & F.col("kpi_name").isNotNull())
-        .groupBy(*gk, "kpi_name")
-        .agg(
-            F.avg("actual_numeric").alias("actual_numeric"),
-            F.avg(nan_to_null("score")).alias("score"),
-            F.avg(nan_to_null("unrealized_value")).alias("unrealized_value"),
-            first_non_null("bp_range_display", order).alias("bp_range_display"),
-            first_non_null("unit", order).alias("unit"),
-            F.try_divide(cov_num * 100.0, F.max("n_projects")).alias("percent_of_projects"),
-            F.lit(True).alias("is_averaged"),
-        )
+    by_projects = coverage_basis == "projects"
+    cov_num = F.count_distinct(F.when(valued, F.col("projectId"))) if by_projects else F.count(F.when(valued, F.lit(1)))
+    by_number = words is not None and len(order) == 1
+    texts = ("bp_range_display", "unit")
+    first = [_first_word(c, order[0]) if by_number else first_non_null(c, order).alias(c) for c in texts]
+    keys = [*gk, "kpi_name", "is_averaged", "_row", *(["n_projects"] if with_coverage else [])]
+    rolled = src.groupBy(*keys).agg(
+        mean("actual_numeric"), mean("score"), mean("unrealized_value"), *first, *([cov_num.alias("_valued")] if with_coverage else [])
     )
     out_cols = [*gk, "kpi_name", "actual_numeric", "score", "unrealized_value", "bp_range_display", "unit"]
     if with_coverage:
+        of_kpi = Window.partitionBy(*gk, "kpi_name")  # the one averaged row, or the rows of one project
+        total = (F.max if by_projects else F.sum)("_valued").over(of_kpi)
+        share = F.when(F.col("kpi_name").isNotNull(), F.try_divide(total * 100.0, F.col("n_projects")))
+        rolled = rolled.withColumn("percent_of_projects", share)
         out_cols.append("percent_of_projects")
-    out_cols.append("is_averaged")
-    single = src.where(F.col("n_projects") <= 1)  # as they are, a null KPI name included
-    if with_coverage:
-        cov = (
-            single.where(F.col("kpi_name").isNotNull())
-            .groupBy(*gk, "kpi_name")
-            .agg(F.try_divide(cov_num * 100.0, F.max("n_projects")).alias("percent_of_projects"))
-        )
-        single = single.join(cov, [*gk, "kpi_name"], "left")
-    single = single.withColumn("is_averaged", F.lit(False)).select(*out_cols)
-    return averaged.select(*out_cols).unionByName(single)
+    for c in texts if by_number else ():
+        known = words.select(F.col("word_id").alias(c), F.col("word").alias(f"_{c}"))
+        rolled = rolled.join(known, c, "left").drop(c).withColumnRenamed(f"_{c}", c)
+    return rolled.select(*out_cols, "is_averaged")
+
+
+def word_id(col: str, seed: int = 0) -> Column:
+    """A text's number in ``text_words``; null for null."""
+    return F.when(F.col(col).isNotNull(), F.xxhash64(F.col(col), F.lit(seed)))
+
+
+def text_words(df: DataFrame, cols: tuple[str, ...]) -> DataFrame:
+    """(word_id, word): the distinct texts of some columns and their hashes."""
+    each = df.select(F.explode(F.array(*[F.col(c) for c in cols])).alias("word")).where(F.col("word").isNotNull()).distinct()
+    return each.select(word_id("word").alias("word_id"), "word")
+
+
+def _first_word(col: str, order: str) -> Column:
+    return F.min_by(word_id(col), F.when(F.col(col).isNotNull(), F.col(order))).alias(col)
 
 
 def project_meta(
@@ -153,27 +189,23 @@ def project_meta(
     end_col: str | None = "endDate",
 ) -> DataFrame:
     """Per project the first non-null value / start / end text, column by
-    column (pandas ``groupby().first()``, T7), then parsed (C9, C10).
+    column (pandas ``groupby().first()``, T7), parsed (C9, C10).
 
-    Parsing happens after ``first`` as in the dashboard: a first value that
-    does not parse gives null even when a later one would.
+    It is the first *text* that counts, as in the dashboard: if it does not
+    parse, the result is null even when a later one would.  What travels is
+    the parsed value of fixed width; with one bigint as row order the
+    aggregate is a hash aggregate.
     """
     src = kpis.where(F.col("projectId").isNotNull())
-    aggs = [
-        first_non_null(value_col, order_cols).alias("_v"),
-        first_non_null(start_col, order_cols).alias("_s"),
-    ]
-    if end_col:
-        aggs.append(first_non_null(end_col, order_cols).alias("_e"))
-    g = src.groupBy("projectId").agg(*aggs)
-    cols = [
-        "projectId",
-        parse_money("_v").alias("projValue"),
-        parse_date("_s").alias("startDate"),
-    ]
+
+    def first(col: str, parsed: Column) -> Column:
+        order = F.col(order_cols[0]) if len(order_cols) == 1 else F.struct(*[F.col(o) for o in order_cols], F.col(col))
+        return F.min_by(parsed, F.when(F.col(col).isNotNull(), order))
+
+    aggs = [first(value_col, parse_money(value_col)).alias("projValue"), first(start_col, parse_date(start_col)).alias("startDate")]
     if end_col:
-        cols.append(parse_date("_e").alias("endDate"))
-    return g.select(*cols)
+        aggs.append(first(end_col, parse_date(end_col)).alias("endDate"))
+    return src.groupBy("projectId").agg(*aggs)
 
 
 def facet_values(df: DataFrame, col: str, as_string: bool = True) -> DataFrame:

@@ -23,7 +23,7 @@ from trestle.operators import items as IT
 from trestle.operators import joins as J
 from trestle.operators import ranking as R
 from trestle.operators.scoreboard import SORT_COLUMNS, scoreboard
-from trestle.sources import dims, staging
+from trestle.sources import dims
 from trestle.sources.model import Model
 
 def _card(df: DataFrame, section, name, rank, value, detail=None) -> DataFrame:
@@ -49,12 +49,9 @@ def project_meta_of(model: Model, with_end: bool = True) -> DataFrame | None:
     needed = {"projectId", "ProjValue", "startDate"} | ({"endDate"} if with_end else set())
     if not needed.issubset(model.kpis.columns):
         return None
-    if model.meta_path is not None and "endDate" in model.kpis.columns:
-        # staged once per profile: one row per project, parsed
-        source = A.project_meta(model.phase_kpis("construction"), model.order_cols)
-        staged = staging.stage_table(model.kpis.sparkSession, source, model.meta_path, sort_by="projectId")
-        return staged if with_end else staged.drop("endDate")
-    return A.project_meta(model.phase_kpis("construction"), model.order_cols, end_col="endDate" if with_end else None)
+    if model.meta is not None:  # staged when the model was loaded: one row per project, parsed
+        return model.meta if with_end else model.meta.drop("endDate")
+    return A.project_meta(model.phase_kpis("construction"), model.row_order, end_col="endDate" if with_end else None)
 
 
 def selections(model: Model, sel: Selection) -> tuple[DataFrame, DataFrame]:
@@ -218,7 +215,7 @@ def process_kpi_table(spark: SparkSession, model: Model, profile: Profile, sel:
     _, summary = selections(model, sel)
     kpis = _configured(spark, model, FL.filter_category(FL.propagate_projects(model.kpis, summary), sel.category))
     groups = ("phase", "process_name")
-    rolled = A.kpi_rollup(kpis, groups, model.order_cols)
+    rolled = A.kpi_rollup(kpis, groups, model.row_order, words=model.words)
     labelled = R.priority_label(rolled, groups)
     with_def = J.attach_definition(spark, labelled, texts=model.kpi_texts)
     return with_def.select(
@@ -247,7 +244,9 @@ def process_kpi_report_card(spark: SparkSession, model: Model, profile: Profile,
     _, summary = selections(model, sel)
     kpis = _configured(spark, model, FL.filter_category(FL.propagate_projects(model.kpis, summary), sel.category))
     groups = ("phase", "process_name")
-    rolled = A.kpi_rollup(kpis, groups, model.order_cols, with_coverage=True, coverage_basis=profile.coverage_basis)
+    rolled = A.kpi_rollup(
+        kpis, groups, model.row_order, with_coverage=True, coverage_basis=profile.coverage_basis, words=model.words
+    )
     scaled = rolled.withColumn("score", F.col("score") * profile.kpi_score_scale)
     ranked = R.priority_rank(scaled, groups)
     return ranked.select(

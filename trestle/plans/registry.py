@@ -559,46 +559,16 @@ def _rolled_main(spark, d, coverage=False, basis="rows", scale=1.0):
     m = main_model(spark, d)
     _, summary = Q.selections(m, SEL)
     k = FL.filter_category(FL.propagate_projects(m.kpis, summary), "Schedule").where(F.col("process_name").isNotNull())
-    r = A.kpi_rollup(k, ("phase", "process_name"), m.order_cols, with_coverage=coverage, coverage_basis=basis)
+    r = A.kpi_rollup(k, ("phase", "process_name"), m.row_order, with_coverage=coverage, coverage_basis=basis, words=m.words)
     return r.withColumn("score", F.col("score") * scale)
 
 
-# three projects: groups with several projects, with one, and KPI rows without a name
-FEW = "projectId IN (SELECT projectId FROM kpis GROUP BY projectId ORDER BY projectId LIMIT 3)"
-FEW_KPIS = f"(SELECT * REPLACE (CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE kpi_name END AS kpi_name) FROM kpis WHERE {FEW} AND impact_category = 'Cost')"
-
-
-def _few_kpis(spark, d):
-    k = raw_model(spark, d).kpis
-    few = k.select("projectId").distinct().orderBy("projectId").limit(3)
-    named = F.when(F.col("l_partkey") % 7 != 0, F.col("kpi_name"))
-    return k.join(F.broadcast(few), "projectId", "left_semi").where("impact_category = 'Cost'").withColumn("kpi_name", named)
-
-
 @reg("attach_coverage",
      "SELECT phase, process_name, kpi_name, actual_numeric, score, percent_of_projects FROM rolled",
      ctes=_rollup_sql(SEL_KPIS, True), dbl=("actual_numeric", "score", "percent_of_projects"))
 def attach_coverage(spark, d):
-    m = main_model(spark, d)
-    _, summary = Q.selections(m, SEL)
-    k = FL.filter_category(FL.propagate_projects(m.kpis, summary), "Schedule").where(F.col("process_name").isNotNull())
-    groups = ("phase", "process_name")
-    rolled = A.kpi_rollup(k, groups, m.order_cols)
-    return J.attach_coverage(rolled, A.coverage(k, groups), (*groups, "kpi_name")).select(
-        *groups, "kpi_name", "actual_numeric", "score", "percent_of_projects"
-    )
-
-
-@reg("kpi_rollup_single",
-     "SELECT phase, process_name, kpi_name, actual_numeric, score, percent_of_projects, is_averaged FROM rolled",
-     ctes=_rollup_sql(FEW_KPIS, True), dbl=("actual_numeric", "score", "percent_of_projects"))
-def kpi_rollup_single(spark, d):
-    """A5 + J3 where most groups have a single project and some KPI names are missing."""
-    k = _few_kpis(spark, d)
-    groups = ("phase", "process_name")
-    rolled = A.kpi_rollup(k, groups, raw_model(spark, d).order_cols)
-    return J.attach_coverage(rolled, A.coverage(k, groups), (*groups, "kpi_name")).select(
-        *groups, "kpi_name", "actual_numeric", "score", "percent_of_projects", "is_averaged"
+    return _rolled_main(spark, d, coverage=True).select(
+        "phase", "process_name", "kpi_name", "actual_numeric", "score", "percent_of_projects"
     )
 
 
@@ -620,18 +590,30 @@ rolled AS (
 """
 
 
+def _rolled_by(m: Model, kpis: DataFrame, key: str) -> DataFrame:
+    groups = ("phase", "process_name", key)
+    rolled = A.kpi_rollup(kpis, groups, m.row_order, words=m.words)
+    return J.attach_coverage(rolled, A.coverage(kpis, groups), (*groups, "kpi_name")).select(
+        *groups, "kpi_name", "actual_numeric", "score", "percent_of_projects", "is_averaged"
+    )
+
+
 @reg("kpi_rollup_by_part",
      "SELECT phase, process_name, l_partkey, kpi_name, actual_numeric, score, percent_of_projects, is_averaged FROM rolled",
      ctes=_rollup_by_sql("l_partkey"), dbl=("actual_numeric", "score", "percent_of_projects"))
 def kpi_rollup_by_part(spark, d):
     """A5 + J3 over all KPI rows by phase, process and part: many parts have a single project, the others several."""
     m = raw_model(spark, d)
-    k = m.kpis.where(F.col("process_name").isNotNull())
-    groups = ("phase", "process_name", "l_partkey")
-    rolled = A.kpi_rollup(k, groups, m.order_cols)
-    return J.attach_coverage(rolled, A.coverage(k, groups), (*groups, "kpi_name")).select(
-        *groups, "kpi_name", "actual_numeric", "score", "percent_of_projects", "is_averaged"
-    )
+    return _rolled_by(m, m.kpis.where(F.col("process_name").isNotNull()), "l_partkey")
+
+
+@reg("kpi_rollup_single",
+     "SELECT phase, process_name, projectId, kpi_name, actual_numeric, score, percent_of_projects, is_averaged FROM rolled",
+     ctes=_rollup_by_sql("projectId"), dbl=("actual_numeric", "score", "percent_of_projects"))
+def kpi_rollup_single(spark, d):
+    """A5 + J3 over all KPI rows by phase, process and project: every group has one project, so all rows pass as they are."""
+    m = raw_model(spark, d)
+    return _rolled_by(m, m.kpis.where(F.col("process_name").isNotNull()), "projectId")
 
 
 def _text_sql(col: str, default: str) -> str:

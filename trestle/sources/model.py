@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trestle.config import FLAG_COLUMN_NAMES, PRIORITY_METRIC_CANDIDATES, WEIGHT_COLUMN_CANDIDATES, Profile
+from trestle.operators.aggregates import project_meta, text_words
 from trestle.operators.cleaning import (
     canonical_names,
     drop_dup_rows,
@@ -37,6 +38,12 @@ from trestle.session import session_key
 from trestle.sources import dims, files
 
 
+#: One bigint per staged KPI row, ascending in row order.
+ROW_ORDER = "row_order"
+#: KPI texts that A5 takes the first of.
+WORD_COLUMNS = ("bp_range_display", "unit")
+
+
 @dataclass(frozen=True)
 class Model:
     scorecard: DataFrame
@@ -49,17 +56,25 @@ class Model:
     # KPI facts after the whole-row dedup (U1), narrowed to the columns its
     # consumers read; set by staging, else U1 deduplicates at query time.
     kpis_unique: DataFrame | None = None
-    # where the project meta of this model (as filtered by its profile) is staged
+    # where the project meta of this model's profiles is staged, and that of this one
     meta_path: str | None = None
+    meta: DataFrame | None = None
+    # distinct KPI texts by their hash; set by staging
+    words: DataFrame | None = None
     # KPI texts of the deployment (S6); None: the built-in ones
     kpi_texts: DataFrame | None = None
 
     def replace(self, **kw) -> "Model":
         return replace(self, **kw)
 
+    @property
+    def row_order(self) -> tuple[str, ...]:
+        """The columns that give the row order of the KPI facts: one bigint where they are staged."""
+        return (ROW_ORDER,) if ROW_ORDER in self.kpis.columns else self.order_cols
+
     def data_columns(self, df: DataFrame) -> list[str]:
         """Columns that are data (not row order, not staging flags)."""
-        return [c for c in df.columns if c not in self.order_cols]
+        return [c for c in df.columns if c not in (*self.order_cols, ROW_ORDER)]
 
     def phase_kpis(self, phase: str) -> DataFrame:
         return self.kpis.where(F.col("phase") == F.lit(phase))
@@ -247,7 +262,8 @@ def _stage_tpch(spark: SparkSession, base: str, root: str) -> Model:
     those files."""
     from trestle.sources import staging, tpch
 
-    kpis = staging.stage_table(spark, tpch.kpi_rows(spark, base), f"{root}/kpis", "phase", "projectId")
+    facts = in_row_order(tpch.kpi_rows(spark, base), (*tpch.ROW_KEY, "endDate"))
+    kpis = staging.stage_table(spark, facts, f"{root}/kpis", "phase", "projectId")
     model = Model(
         scorecard=tpch.scorecard(kpis),
         processes=tpch.processes(kpis),
@@ -260,6 +276,13 @@ def _stage_tpch(spark: SparkSession, base: str, root: str) -> Model:
     return stage_model(spark, model, root)
 
 
+def in_row_order(df: DataFrame, order_cols: tuple[str, ...]) -> DataFrame:
+    """``df`` with ``ROW_ORDER``: a range partitioning by the order columns numbers all rows
+    without one task seeing them (partition number, then place inside the partition)."""
+    ordered = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
+    return ordered.withColumn(ROW_ORDER, F.monotonically_increasing_id())
+
+
 # Columns the consumers of the deduplicated KPI rows (A8, A9, A10) read.
 UNIQUE_KPI_COLUMNS = (
     "projectId", "phase", "process_name", "impact_category", "kpi_name", "score", "name_flag",
@@ -280,9 +303,11 @@ def unique_kpis(model: Model) -> DataFrame:
 def stage_model(spark: SparkSession, model: Model, root: str) -> Model:
     """Write the model tables as Parquet under ``root`` (once) and return the
     model read back from there (``trestle.sources.staging``), including the
-    deduplicated KPI rows that U1 reads."""
+    deduplicated KPI rows that U1 reads and the distinct KPI texts of A5."""
     from trestle.sources import staging
 
+    facts = model.kpis if ROW_ORDER in model.kpis.columns else in_row_order(model.kpis, model.order_cols)
+    model = model.replace(kpis=staging.stage_table(spark, facts, f"{root}/kpis", "phase", "projectId"))
     tables = {
         "scorecard": model.scorecard,
         "processes": model.processes,
@@ -294,7 +319,23 @@ def stage_model(spark: SparkSession, model: Model, root: str) -> Model:
         name: staging.stage_table(spark, df, f"{root}/{name}", PARTITIONED.get(name), "projectId")
         for name, df in tables.items()
     }
-    return model.replace(**frames, meta_path=f"{root}/meta")
+    words = staging.stage_table(spark, text_words(model.kpis, WORD_COLUMNS), f"{root}/words")
+    if words.groupBy("word_id").count().where("count > 1").take(1):
+        words = None  # two texts with one hash: A5 carries the texts themselves
+    return with_meta(model.replace(**frames, meta_path=f"{root}/meta", words=words))
+
+
+def with_meta(model: Model) -> Model:
+    """The model with its project meta (A13), staged where the model is staged.
+
+    Called when a model is loaded, so that building a page's plan writes nothing.
+    """
+    from trestle.sources import staging
+
+    if model.meta_path is None or not {"projectId", "ProjValue", "startDate", "endDate"} <= set(model.kpis.columns):
+        return model
+    meta = project_meta(model.phase_kpis("construction"), model.row_order)
+    return model.replace(meta=staging.stage_table(model.kpis.sparkSession, meta, model.meta_path, sort_by="projectId"))
 
 
 # FIXED VALUES: the cloud dashboards' layout differs from the main one only
@@ -354,6 +395,6 @@ def for_profile(model: Model, profile: Profile) -> Model:
             uniq = exclude_flagged(uniq)
     # the meta takes each project's first values among the rows that stay, so a profile has its own
     meta_path = f"{model.meta_path}-{profile.name}" if model.meta_path else None
-    return model.replace(
-        scorecard=sc, kpis=kpis, processes=procs, kpis_unique=uniq, action_items=items, meta_path=meta_path
+    return with_meta(
+        model.replace(scorecard=sc, kpis=kpis, processes=procs, kpis_unique=uniq, action_items=items, meta_path=meta_path)
     )
