@@ -38,6 +38,8 @@ def drop_dup_rows(df: DataFrame, order_cols: tuple[str, ...] = ()) -> DataFrame:
     if not order_cols:
         return df.dropDuplicates()
     data = [c for c in df.columns if c not in order_cols]
+    if len(order_cols) == 1:  # one number: a hash aggregate
+        return df.groupBy(*data).agg(F.min(order_cols[0]).alias(order_cols[0])).select(*df.columns)
     first = F.min(F.struct(*[F.col(c) for c in order_cols])).alias("_first")
     return df.groupBy(*data).agg(first).select(*data, *[F.col(f"_first.{c}").alias(c) for c in order_cols]).select(
         *df.columns

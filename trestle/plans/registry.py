@@ -203,7 +203,7 @@ def _through_csv(spark, df, schema):
     """``df`` written as CSV files and read by the library's reader."""
     path = f"{staging.staging_root(spark)}/csv-{uuid.uuid4().hex}"
     df.write.options(header=True, quote='"', escape='"').csv(path)
-    return files.read_csv(spark, path, schema, multi_line=False)
+    return files.read_csv(spark, path, schema)
 
 
 @reg("scan_scorecard", f"SELECT {SCORECARD_COLS} FROM scorecard", dbl=SC_DBL, ints=("name_flag",))

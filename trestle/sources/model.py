@@ -83,13 +83,13 @@ class Model:
         return self.processes.where(F.col("phase") == F.lit(phase))
 
 
-# Row order of a CSV: file, block, then position inside the block.  The id
-# is taken right after the scan, before any shuffle, where it increases with
-# the row position inside each split.
-def _with_file_order(df: DataFrame) -> DataFrame:
-    return df.withColumn("_file", F.col("_metadata.file_path")).withColumn(
-        "_block", F.col("_metadata.file_block_start")
-    ).withColumn("_row", F.monotonically_increasing_id())
+# Bits below a phase's number in a CSV model's row order: positions are sums of file sizes.
+_PHASE_SHIFT = 56
+
+
+def _numbered(df: DataFrame, place: int) -> DataFrame:
+    """Row order over all phases: the position in the files of the phase, behind the phase's place."""
+    return df.withColumn(ROW_ORDER, F.col(ROW_ORDER) + F.lit(place << _PHASE_SHIFT))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -99,9 +99,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
-ORDER_COLS = ("_file", "_block", "_row")
-
-
 def load_csv_model(
     spark: SparkSession,
     base: str,
@@ -109,7 +106,6 @@ def load_csv_model(
     scorecard_file: str = "executive_summary.csv",
     items_file: str = "action_items.csv",
     texts_file: str = "kpi_texts.csv",
-    multi_line: bool = True,
 ) -> Model:
     """S1-S3 + C1-C7 + F1: the dashboard's ``load_data``.
 
@@ -119,27 +115,27 @@ def load_csv_model(
     (F1, also of the items where the profile has it), dedup of every table
     (C2), KPI exclusion inside a process (C5) and everywhere (C6), and flag
     exclusion (C7) follow the profile.  KPI and item rows carry their file order
-    (``_file``, ``_block``, ``_row``) for pandas-``first`` semantics.
+    as one bigint (``ROW_ORDER``) for pandas-``first`` semantics.
     """
     b = base.rstrip("/")
 
     def dedup(df: DataFrame, order=()) -> DataFrame:
         return drop_dup_rows(df, order) if profile.dedup_at_load else df
 
-    sc = dedup(files.read_csv(spark, f"{b}/{scorecard_file}", files.SCORECARD_SCHEMA, multi_line))
+    sc = dedup(files.read_csv(spark, f"{b}/{scorecard_file}", files.SCORECARD_SCHEMA))
     sc = allow_categories(canonical_names(sc), profile.categories)
     if profile.exclude_flagged_at_load:
         sc = exclude_flagged(_flag_name(sc))
     procs, kpis, loaded = [], [], []
-    for phase, (p_path, k_path) in files.phase_table_paths(b, profile.phases).items():
+    for place, (phase, (p_path, k_path)) in enumerate(files.phase_table_paths(b, profile.phases).items()):
         if not (_exists(spark, p_path) and _exists(spark, k_path)):
             continue
-        p_raw = files.read_csv(spark, p_path, files.PROCESS_SCHEMA, multi_line)
-        k_raw = files.read_csv(spark, k_path, files.KPI_SCHEMA, multi_line)
+        p_raw = files.read_csv(spark, p_path, files.PROCESS_SCHEMA)
+        k_raw = _numbered(files.read_csv(spark, k_path, files.KPI_SCHEMA, position=ROW_ORDER), place)
         if profile.phase_files_nonempty and (_is_empty(p_raw) or _is_empty(k_raw)):
             continue
         p = dedup(canonical_names(p_raw))
-        k = dedup(_with_file_order(canonical_names(k_raw)), ORDER_COLS)
+        k = dedup(canonical_names(k_raw), (ROW_ORDER,))
         if profile.exclude_flagged_at_load:
             p, k = exclude_flagged(_flag_name(p)), exclude_flagged(_flag_name(k))
         procs.append(p.withColumn("phase", F.lit(phase)))
@@ -153,8 +149,8 @@ def load_csv_model(
     k_all = _without_kpis(k_all, profile)
     items_path = f"{b}/{items_file}"
     if _exists(spark, items_path):
-        items = files.read_csv(spark, items_path, files.ACTION_ITEM_SCHEMA, multi_line)
-        items = _flag_name(dedup(_with_file_order(canonical_names(items)), ORDER_COLS))
+        items = files.read_csv(spark, items_path, files.ACTION_ITEM_SCHEMA, position=ROW_ORDER)
+        items = _flag_name(dedup(canonical_names(items), (ROW_ORDER,)))
         if profile.main_items and "impact_category" in items.columns:
             items = allow_categories(items, profile.categories)
     else:  # S3: optional source
@@ -164,8 +160,8 @@ def load_csv_model(
         processes=processes,
         kpis=k_all,
         action_items=items,
-        order_cols=ORDER_COLS,
-        item_key="_row",
+        order_cols=(ROW_ORDER,),
+        item_key=ROW_ORDER,
         phases=tuple(loaded),
         kpi_texts=dims.kpi_text_from_csv(spark, f"{b}/{texts_file}") if _exists(spark, f"{b}/{texts_file}") else None,
     )
@@ -184,11 +180,7 @@ def _without_kpis(kpis: DataFrame, profile: Profile) -> DataFrame:
 
 
 def _no_order(df: DataFrame) -> DataFrame:
-    return (
-        df.withColumn("_file", F.lit(None).cast("string"))
-        .withColumn("_block", F.lit(None).cast("long"))
-        .withColumn("_row", F.lit(None).cast("long"))
-    )
+    return df.withColumn(ROW_ORDER, F.lit(None).cast("long"))
 
 
 def _flag_name(df: DataFrame) -> DataFrame:
