@@ -161,6 +161,8 @@ class Profile:
     # action items: category cut at load, plain equality filters and the
     # category filter on the page (main), or filters on the columns that exist
     main_items: bool = False
+    # definitions in the cloud dashboards' longer list of names
+    more_definitions: bool = False
     # a phase is loaded only when both its files have rows (object-store
     # variants) rather than merely exist (local variants)
     phase_files_nonempty: bool = False
@@ -185,6 +187,7 @@ PRESETS: dict[str, Profile] = {
         phase_score_columns=dict(PHASE_SCORE_COLUMNS_CLOUD),
         kpi_score_scale=100.0,
         excluded_kpis=ZERO_WEIGHT_KPIS,
+        more_definitions=True,
         dedup_at_load=True,
         phase_files_nonempty=True,
     ),

@@ -107,3 +107,9 @@ def format_whole(value: Column | str) -> Column:
     """``f"{x:.0f}"``: no decimals, half-to-even; missing -> ``nan``."""
     v = _c(value)
     return F.when(v.isNull() | F.isnan(v), F.lit("nan")).otherwise(F.format_string("%.0f", F.bround(v, 0)))
+
+
+@plain_args_cache
+def format_percent(value: Column | str) -> Column:
+    """``f"{x:.0f}%"`` of a value that is in percent already; missing -> ``nan%``."""
+    return F.concat(format_whole(value), F.lit("%"))

@@ -28,19 +28,23 @@ def segment_meta(summary: DataFrame, meta: DataFrame, segment_col: str) -> DataF
 
 
 def _text_lookup(
-    spark: SparkSession, df: DataFrame, kpi_col: str, text_col: str, exact_case: bool, own: DataFrame | None
+    spark: SparkSession, df: DataFrame, kpi_col: str, text_col: str, own: DataFrame | None
 ) -> DataFrame:
     # The built-in texts are configuration-sized; a deployment's own table is
     # left to the planner's size check.
-    texts = F.broadcast(dims.kpi_text_dim(spark)) if own is None else own
+    texts = F.broadcast(dims.kpi_text_dim(spark)) if own is None else own.dropDuplicates(["kpi_key"])
     texts = texts.select("kpi_key", text_col)
-    if exact_case:
-        # The name as written must equal the key (the cloud dashboards'
-        # dictionaries are looked up without lower-casing).
-        key = F.coalesce(F.col(kpi_col).cast("string"), F.lit(""))
-    else:
-        key = dims.kpi_key(kpi_col)
-    return df.withColumn("_kpi_key", key).join(texts, F.col("_kpi_key") == F.col("kpi_key"), "left").drop("kpi_key")
+    return df.withColumn("_kpi_key", dims.kpi_key(kpi_col)).join(texts, F.col("_kpi_key") == F.col("kpi_key"), "left").drop("kpi_key")
+
+
+def _definition_as_written(
+    spark: SparkSession, df: DataFrame, kpi_col: str, own: DataFrame | None, more: bool
+) -> DataFrame:
+    # The cloud dashboards' dictionaries are looked up without lower-casing.
+    texts = F.broadcast(dims.cloud_definition_dim(spark, more)) if own is None else own
+    texts = texts.select(F.col("kpi_name").alias("_written"), "definition")
+    name = F.coalesce(F.col(kpi_col).cast("string"), F.lit(""))
+    return df.withColumn("_kpi_key", name).join(texts, F.col("_kpi_key") == F.col("_written"), "left").drop("_written")
 
 
 def attach_definition(
@@ -50,11 +54,16 @@ def attach_definition(
     fallback: str = "sentence",
     exact_case: bool = False,
     texts: DataFrame | None = None,
+    more_names: bool = False,
 ) -> DataFrame:
     """Definition by lower-cased name (main) or by the name as written
-    (``exact_case``, cloud variants); else a sentence holding the name
-    (``fallback="sentence"``) or one fixed default text (``"fixed"``)."""
-    j = _text_lookup(spark, df, kpi_col, "definition", exact_case, texts)
+    (``exact_case``, cloud variants; ``more_names``: the longer of their two
+    lists); else a sentence holding the name (``fallback="sentence"``) or one
+    fixed default text (``"fixed"``)."""
+    if exact_case:
+        j = _definition_as_written(spark, df, kpi_col, texts, more_names)
+    else:
+        j = _text_lookup(spark, df, kpi_col, "definition", texts)
     if fallback == "sentence":
         name = F.trim(F.coalesce(F.col(kpi_col).cast("string"), F.lit("")))
         default = F.concat(F.lit(dims.DEFAULT_DEFINITION_PREFIX), name, F.lit(dims.DEFAULT_DEFINITION_SUFFIX))
@@ -67,7 +76,7 @@ def attach_guidance(
     spark: SparkSession, df: DataFrame, kpi_col: str = "kpi_name", texts: DataFrame | None = None
 ) -> DataFrame:
     """Exact lookup, else the ordered keyword rules, else the default."""
-    j = _text_lookup(spark, df, kpi_col, "guidance", False, texts)
+    j = _text_lookup(spark, df, kpi_col, "guidance", texts)
     return j.withColumn("guidance", F.coalesce(F.col("guidance"), dims.guidance_rule_text("_kpi_key"))).drop(
         "_kpi_key"
     )
@@ -77,7 +86,7 @@ def attach_strength(
     spark: SparkSession, df: DataFrame, kpi_col: str = "kpi_name", texts: DataFrame | None = None
 ) -> DataFrame:
     """Exact lookup else the default strength text."""
-    j = _text_lookup(spark, df, kpi_col, "strength", False, texts)
+    j = _text_lookup(spark, df, kpi_col, "strength", texts)
     return j.withColumn("strength", F.coalesce(F.col("strength"), F.lit(dims.DEFAULT_STRENGTH))).drop("_kpi_key")
 
 

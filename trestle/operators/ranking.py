@@ -19,6 +19,7 @@ a different order agree on the order.
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -164,16 +165,52 @@ def priority_label(rolled: DataFrame, group_cols: tuple[str, ...] = ()) -> DataF
     return out.withColumn("impact_label", label).withColumnRenamed("_pos", "position").drop("_n")
 
 
-def sort_scoreboard(board: DataFrame, column: str = "CR-Score", ascending: bool = False) -> DataFrame:
-    """O1: sort on any scoreboard column, missing values last both ways;
-    ``Segment`` breaks ties."""
+#: A sort key: its expression and whether it ascends; missing values come last both ways.
+SortKey = tuple[Column, bool]
+
+
+def scoreboard_keys(column: str = "CR-Score", ascending: bool = False) -> list[SortKey]:
+    """O1: any scoreboard column, then ``Segment``."""
     if column == "CR-Score":
         column = "cr_score"
     c = F.col(f"`{column}`")
-    if column == "cr_score":
-        c = F.round(c, RANK_DIGITS)
-    key = c.asc_nulls_last() if ascending else c.desc_nulls_last()
-    return board.orderBy(key, F.col("Segment").asc_nulls_last())
+    return [(F.round(c, RANK_DIGITS) if column == "cr_score" else c, ascending), (F.col("Segment"), True)]
+
+
+def sort_order(keys: list[SortKey]) -> list[Column]:
+    return [c.asc_nulls_last() if up else c.desc_nulls_last() for c, up in keys]
+
+
+def sort_scoreboard(board: DataFrame, column: str = "CR-Score", ascending: bool = False) -> DataFrame:
+    """O1: sort on any scoreboard column, missing values last both ways;
+    ``Segment`` breaks ties."""
+    return board.orderBy(*sort_order(scoreboard_keys(column, ascending)))
+
+
+def with_positions(df: DataFrame, order: list[Column], name: str = "pos") -> tuple[DataFrame, int]:
+    """``df`` with each row's place (from 1) in a global order, and the number of rows.
+
+    Rows are range-partitioned by the whole order and numbered inside their
+    partitions, and each partition's number is raised by the rows of those
+    before it: no task sees more than its partition, however often a key
+    repeats.  The numbered rows are written to the shared folder first, so that
+    both readings see one numbering; ``staging.clean_stages`` removes them.
+    """
+    from trestle.sources import staging
+
+    spark = df.sparkSession
+    path = f"{staging.staging_root(spark)}/positions-{uuid.uuid4().hex}"
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged.withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    kept = spark.read.parquet(path)
+    bits = 33  # of the row's place in monotonically_increasing_id; above it the partition
+    kept = kept.withColumn("_part", F.shiftright("_at", bits))
+    counts = kept.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per partition
+    before = counts.select("_part", "_n", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    total = before.agg(F.sum("_n")).first()[0] or 0
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << bits) - 1)) + 1
+    return kept.join(F.broadcast(before.drop("_n")), "_part").withColumn(name, place).drop("_at", "_part", "_before"), total
 
 
 def sort_kpis(rolled: DataFrame, group_cols: tuple[str, ...] = ()) -> DataFrame:
@@ -210,6 +247,34 @@ def page(sorted_df: DataFrame, page_no: int, total_rows: int | None = None, rows
     return numbered.where("_page = _last").orderBy("_at").drop("_at", "_page", "_last")
 
 
+#: From this page on a page is cut by positions: a top-n selection would move all rows before it into one task.
+DEEP_PAGE = 20
+
+
+def page_at(df: DataFrame, keys: list[SortKey], page_no: int, rows_per_page: int = ROWS_PER_PAGE) -> DataFrame:
+    """L1: a page at any depth, clamped to the last one, by the rows' positions."""
+    numbered, total = with_positions(df, sort_order(keys), "_pos")
+    at, _ = page_bounds(total, page_no, rows_per_page)
+    mine = numbered.where((F.col("_pos") > at * rows_per_page) & (F.col("_pos") <= (at + 1) * rows_per_page))
+    return mine.orderBy("_pos").drop("_pos")
+
+
+def page_after(df: DataFrame, keys: list[SortKey], token: tuple = (), rows_per_page: int = ROWS_PER_PAGE) -> DataFrame:
+    """L1 by key: the rows that follow the row with this ``token`` (none: the first rows), each with its own.
+
+    A filter and a top-n selection of one page, whatever the depth.
+    """
+    after = F.lit(False)
+    same = F.lit(True)
+    for (c, up), value in zip(keys, token, strict=bool(token)):
+        if value is not None:  # missing values are last, nothing follows them
+            after = after | (same & ((c > F.lit(value)) if up else (c < F.lit(value))).eqNullSafe(True)) | (same & c.isNull())
+        same = same & c.eqNullSafe(F.lit(value))
+    rest = df.where(after) if token else df
+    own = F.struct(*[c.alias(f"k{i}") for i, (c, _) in enumerate(keys)]).alias("token")
+    return rest.select("*", own).orderBy(*sort_order(keys)).limit(rows_per_page)
+
+
 def top_items(items: DataFrame, metric: str, k: int = TOP_K, tie: str = "event_id",
               group_cols: tuple[str, ...] = ()) -> DataFrame:
     """L2/L3/L4: ``nlargest(k, metric)``: missing values never win, ties go

@@ -155,15 +155,26 @@ def portfolio_scoreboard(
     ascending: bool = False,
     search: str | None = None,
     page_no: int | None = 0,
+    after: tuple | None = None,
 ) -> DataFrame:
     """Q2: scoreboard rows of the selection (all allowed categories), sorted,
-    searched, one page (``page_no=None`` gives every row), formatted."""
+    searched, one page (``page_no=None`` gives every row), formatted.
+
+    ``after`` asks for the page behind a row instead, by that row's ``token``
+    (an empty tuple: the first page); the result then has the ``token`` of each
+    row.  Such a page costs the same at any depth.
+    """
     before, _ = selections(model, sel)
-    board = scoreboard(before, project_meta_of(model), segment_by)
-    ordered = R.sort_scoreboard(board, SORT_COLUMNS[sort_by], ascending)
-    found = FL.search_segments(ordered, search)
-    if page_no is not None:
-        found = R.page(found, page_no)
+    board = FL.search_segments(scoreboard(before, project_meta_of(model), segment_by), search)
+    keys = R.scoreboard_keys(SORT_COLUMNS[sort_by], ascending)
+    token = ()
+    if after is not None:
+        found, token = R.page_after(board, keys, after), ("token",)
+    elif page_no is not None and page_no >= R.DEEP_PAGE:
+        found = R.page_at(board, keys, page_no)
+    else:
+        found = board.orderBy(*R.sort_order(keys))
+        found = found if page_no is None else R.page(found, page_no)
     return found.select(
         "Segment",
         "cr_score",
@@ -173,6 +184,7 @@ def portfolio_scoreboard(
         display.format_money("est_project_value").alias("value_display"),
         display.format_date("est_start_date").alias("start_display"),
         display.format_date("est_end_date").alias("end_display"),
+        *token,
     )
 
 
@@ -240,7 +252,8 @@ def process_kpi_table(spark: SparkSession, model: Model, profile: Profile, sel:
 
 def process_kpi_report_card(spark: SparkSession, model: Model, profile: Profile, sel: Selection) -> DataFrame:
     """Q5 (cloud variants): per process, KPI rollup with coverage, score on
-    0-100, priority rank by unrealized value, letter grade."""
+    0-100, priority rank by unrealized value, letter grade, definition by the
+    name as written, and the values as they are shown."""
     _, summary = selections(model, sel)
     kpis = _configured(spark, model, FL.filter_category(FL.propagate_projects(model.kpis, summary), sel.category))
     groups = ("phase", "process_name")
@@ -248,18 +261,24 @@ def process_kpi_report_card(spark: SparkSession, model: Model, profile: Profile,
         kpis, groups, model.row_order, with_coverage=True, coverage_basis=profile.coverage_basis, words=model.words
     )
     scaled = rolled.withColumn("score", F.col("score") * profile.kpi_score_scale)
-    ranked = R.priority_rank(scaled, groups)
+    ranked = J.attach_definition(
+        spark, R.priority_rank(scaled, groups), fallback="fixed", exact_case=True, texts=model.kpi_texts, more_names=profile.more_definitions
+    )
     return ranked.select(
         "phase",
         "process_name",
         "priority",
         "kpi_name",
+        "definition",
         "percent_of_projects",
+        display.format_percent("percent_of_projects").alias("percent_display"),
         "bp_range_display",
         "actual_numeric",
+        display.format_actual("actual_numeric", "unit").alias("actual_display"),
         "score",
         scoring.grade("score").alias("grade"),
         "unrealized_value",
+        "is_averaged",
     )
 
 

@@ -629,6 +629,23 @@ def attach_definition(spark, d):
     return J.attach_definition(spark, names).select("kpi_name", "definition")
 
 
+def _cloud_definition_values(more: bool) -> str:
+    rows = ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in r) + ")" for r in dims.cloud_definitions(more))
+    return f"cdef AS (SELECT * FROM (VALUES {rows}) t(written, definition))"
+
+
+@reg("attach_definition_as_written",
+     f"""SELECT name, coalesce(c.definition, '{dims.NO_DEFINITION}') AS definition
+         FROM (SELECT DISTINCT kpi_name AS name FROM kpis UNION SELECT lower(kpi_name) FROM kpis) k LEFT JOIN cdef c ON c.written = name""",
+     ctes=_cloud_definition_values(True))
+def attach_definition_as_written(spark, d):
+    """J4 of the cloud variants: names as written (lower-cased ones don't count), else the fixed default."""
+    names = raw_model(spark, d).kpis.select(F.col("kpi_name").alias("name"))
+    both = names.union(names.select(F.lower("name"))).distinct()
+    found = J.attach_definition(spark, both, "name", fallback="fixed", exact_case=True, more_names=True)
+    return found.select("name", "definition")
+
+
 @reg("attach_guidance",
      f"""SELECT kpi_name, coalesce(t.guidance, {_guidance_case(KEY)}) AS guidance
          FROM (SELECT DISTINCT kpi_name FROM kpis) k LEFT JOIN kpi_text t ON t.kpi_key = {KEY}""")
@@ -902,16 +919,16 @@ def display_rank(spark, d):
 def scoreboard_sort(spark, d):
     m = main_model(spark, d)
     board = scoreboard(m.scorecard, Q.project_meta_of(m), "Project Manager")
-    return _positions(R.sort_scoreboard(board, "est_project_value", True)).select("Segment", "est_project_value", "pos")
+    numbered, _ = R.with_positions(board, R.sort_order(R.scoreboard_keys("est_project_value", True)))
+    return numbered.select("Segment", "est_project_value", "pos")
 
 
-def _positions(ordered: DataFrame, group_cols: tuple[str, ...] = ()) -> DataFrame:
-    """``pos``: the place of each row of an ordered frame, as it comes (the frame is a page's table, not facts)."""
+def _positions(ordered: DataFrame, group_cols: tuple[str, ...]) -> DataFrame:
+    """``pos``: the place of each row of an ordered frame in its group, as it comes (one page's table a group)."""
     from pyspark.sql import Window
 
     numbered = ordered.withColumn("_at", F.monotonically_increasing_id())
-    w = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))
-    return numbered.withColumn("pos", F.row_number().over(w.orderBy("_at"))).drop("_at")
+    return numbered.withColumn("pos", F.row_number().over(Window.partitionBy(*group_cols).orderBy("_at"))).drop("_at")
 
 
 @reg("kpi_sort",
@@ -934,6 +951,28 @@ def page_q(spark, d):
     return R.page(ordered, 2).select("Segment", "cr_score")
 
 
+@reg("page_deep",
+     "SELECT Segment, cr_score FROM board ORDER BY Segment LIMIT 50 OFFSET (SELECT (count(*) - 1) // 50 * 50 FROM board)",
+     ctes=BOARD_SQL.format(seg="projectId", src="sc"), dbl=("cr_score",))
+def page_deep(spark, d):
+    """L1 far behind the last page: clamped to it, by positions."""
+    m = main_model(spark, d)
+    board = scoreboard(m.scorecard, Q.project_meta_of(m), "Project")
+    return R.page_at(board, R.scoreboard_keys("Segment", True), 10**6).select("Segment", "cr_score")
+
+
+@reg("page_after",
+     "SELECT Segment, cr_score FROM board ORDER BY round(cr_score, 6) DESC NULLS LAST, Segment LIMIT 50 OFFSET 50",
+     ctes=BOARD_SQL.format(seg="projectId", src="sc"), dbl=("cr_score",))
+def page_after(spark, d):
+    """L1 by key: the second page, behind the last row of the first."""
+    m = main_model(spark, d)
+    board = scoreboard(m.scorecard, Q.project_meta_of(m), "Project")
+    keys = R.scoreboard_keys("CR-Score", False)
+    rows = R.page_after(board, keys).collect()  # a page
+    return R.page_after(board, keys, tuple(rows[-1].token)).select("Segment", "cr_score")
+
+
 ITEM_TOP_SQL = (
     "SELECT event_id, risk_value, row_number() OVER (ORDER BY {m} DESC, event_id) AS rank "
     "FROM action_items WHERE {m} IS NOT NULL AND NOT isnan({m}) ORDER BY {m} DESC, event_id LIMIT 5"
@@ -1256,9 +1295,15 @@ def process_kpi_table(spark, d):
 @reg("process_kpi_report_card",
      f"""SELECT phase, process_name,
                 row_number() OVER (PARTITION BY phase, process_name ORDER BY round(unrealized_value, 6) DESC NULLS LAST, kpi_name) AS priority,
-                kpi_name, percent_of_projects, bp_range_display, actual_numeric, score, {S.grade('score')} AS grade, unrealized_value
-         FROM rolled""",
-     ctes=_process_dim_values() + ",\n" + _rollup_sql(CSEL_KPIS_CONF, True, "100.0"),
+                kpi_name, coalesce(c.definition, '{dims.NO_DEFINITION}') AS definition, percent_of_projects,
+                (CASE WHEN percent_of_projects IS NULL THEN 'nan' ELSE printf('%.0f', percent_of_projects) END) || '%' AS percent_display,
+                bp_range_display, actual_numeric,
+                CASE WHEN actual_numeric IS NULL OR isnan(actual_numeric) THEN (CASE WHEN coalesce(unit = '%', false) THEN 'nan%' ELSE 'nan' END)
+                     WHEN coalesce(unit = '%', false) THEN printf('%.0f', actual_numeric * 100) || '%'
+                     ELSE printf('%.1f', actual_numeric) END AS actual_display,
+                score, {S.grade('score')} AS grade, unrealized_value, is_averaged
+         FROM rolled LEFT JOIN cdef c ON c.written = kpi_name""",
+     ctes=_process_dim_values() + ",\n" + _cloud_definition_values(False) + ",\n" + _rollup_sql(CSEL_KPIS_CONF, True, "100.0"),
      dbl=("percent_of_projects", "actual_numeric", "score", "unrealized_value"), ints=("priority",))
 def process_kpi_report_card(spark, d):
     """Q5 KPI report card (cloud variant with coverage, rank and grade)."""

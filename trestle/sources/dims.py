@@ -49,6 +49,80 @@ KPI_NAMES = (
     "submittals closed on time", "submittals lead time", "submittals rate",
 )
 
+# FIXED VALUES: the names that the cloud dashboards have a definition for; they
+# are looked up as written, capital letters included.
+CLOUD_KPI_NAMES = (
+    "RFI Avg Create Date",
+    "RFI Avg Time to Resolution",
+    "RFI % On Time",
+    "RFI AverageLead Time",
+    "RFI Usage Rate",
+    "RFI Documentation Quality",
+    "Submittals Avg Create Date",
+    "Submittals Average Time to Resolution",
+    "Submittals % Resolved on Time",
+    "Submittals Average Lead Time",
+    "Submittals Usage Rate",
+    "Submittals Documentation Quality",
+    "Daily Logs % with Issues",
+    "Daily Logs Avg Create Date",
+    "Daily Logs Avg Days until Created",
+    "Daily Logs Rate",
+    "Meetings Rate",
+    "Meetings Documentation Quality",
+    "Photos Usage",
+    "Photos Avg Create Date",
+    "Photos Avg Documentation Score",
+    "Budgets Revision Rate",
+    "Budgets Create Date",
+    "Budgets Usage Rate",
+    "Prime Contract Change Orders Documentation Quality",
+    "Prime Contract Change Orders Project Percentage",
+    "Prime Contract Estimated Average Payment Cycle",
+    "Prime Contract Estimated Payment Ratio",
+    "Prime Contract Invoices Rate",
+    "Prime Contract Late Payment Rate",
+    "Prime Contract Payment Error Rate",
+    "Prime Contract Payment Rate",
+    "Prime Contract to Budget Ratio",
+    "Prime Contract to Invoice Ratio",
+    "Prime Contract to Underpayment Rate",
+    "Observations Average Days to Close",
+    "Observations Average Lead Time",
+    "Observations % Closed on Time",
+    "Observations Documentation Quality",
+    "Observations Rate",
+    "Quality Inspection Rate",
+    "Quality Inspections Conforming Rate",
+    "Safety Inspection Rate",
+    "Safety Inspection Conforming Rate",
+    "Incident Detail Quality",
+    "Incident Rate",
+)
+
+# FIXED VALUES: names that one of the cloud dashboards has besides.
+MORE_CLOUD_KPI_NAMES = (
+    "RFIs Avg Create Date",
+    "RFIs Avg Days to Close",
+    "RFIs Closed on Time",
+    "RFIs Lead Time",
+    "RFIs Usage Rate",
+    "Submittals Avg Days to Close",
+    "Submittals Closed on Time",
+    "Submittals Lead Time",
+    "Budget Revision Rate",
+    "Observations Avg Days to Close",
+    "Observations Avg Lead Time",
+    "Observations Closed on Time",
+    "Quality Inspections Deficiency Rate",
+    "Safety Inspection Deficiency Rate",
+    "Change Order Time to Close",
+    "Change Order to Budget Ratio",
+    "Contract to Budget Ratio (Deviation)",
+    "Invoice to Contract Ratio (Deviation)",
+    "Payments to Invoices Ratio (Deviation)",
+)
+
 # What kind of measure a name speaks of: the first kind with one of its words
 # in the name.  The texts are neutral defaults; a deployment brings its own
 # (``kpi_text_from_csv``).
@@ -76,6 +150,13 @@ def _kpi_texts() -> list[tuple[str, str, str, str]]:
 
 KPI_TEXTS = _kpi_texts()
 
+
+def cloud_definitions(more: bool = False) -> list[tuple[str, str]]:
+    """(name as written, definition) of the cloud dashboards' names, by their kind of measure."""
+    names = CLOUD_KPI_NAMES + (MORE_CLOUD_KPI_NAMES if more else ())
+    kinds = [next(k for k in MEASURE_KINDS if not k[0] or any(w in n.lower() for w in k[0])) for n in names]
+    return [(n, kind[1].format(n)) for n, kind in zip(names, kinds, strict=True)]
+
 DEFAULT_DEFINITION_PREFIX = "No text is on record for "
 DEFAULT_DEFINITION_SUFFIX = "."
 DEFAULT_STRENGTH = "One of the best values in this selection."
@@ -124,13 +205,20 @@ def kpi_text_dim(spark: SparkSession) -> DataFrame:
     return _per_session(spark, "kpi_text", lambda: spark.createDataFrame(KPI_TEXTS, KPI_TEXT_SCHEMA))
 
 
+def cloud_definition_dim(spark: SparkSession, more: bool = False) -> DataFrame:
+    """S6 of the cloud dashboards: definitions keyed by the KPI name as written."""
+    schema = "kpi_name string, definition string"
+    return _per_session(spark, f"cloud_definitions{more}", lambda: spark.createDataFrame(cloud_definitions(more), schema))
+
+
 def kpi_text_from_csv(spark: SparkSession, path: str) -> DataFrame:
-    """S6 from a deployment's own CSV (columns as ``KPI_TEXT_SCHEMA``), one row per key."""
+    """S6 from a deployment's own CSV (columns as ``KPI_TEXT_SCHEMA``), one row per name as written (``kpi_name``)."""
     from trestle.sources.files import read_csv
 
     texts = read_csv(spark, path, KPI_TEXT_SCHEMA)
     columns = [F.col(f.name) if f.name in texts.columns else F.lit(None).cast("string").alias(f.name) for f in KPI_TEXT_SCHEMA]
-    return texts.select(*columns).withColumn("kpi_key", kpi_key("kpi_key")).dropDuplicates(["kpi_key"])
+    named = texts.select(*columns).withColumn("kpi_name", F.trim(F.coalesce("kpi_key", F.lit(""))))
+    return named.withColumn("kpi_key", kpi_key("kpi_key")).dropDuplicates(["kpi_name"])
 
 
 @plain_args_cache
