@@ -27,6 +27,8 @@ with one row per range carried over, give each page its neighbours; a pandas
 function aligns them.  (3) Deletions join all pages of the same lines, and those their pages again; the
 text is built in a second parse, so no text is written or shuffled twice.
 
+Very long pages are read in one pass over their tags, in time linear in their length.
+
 Defined results: null html has an empty text; null or odd URLs have an empty
 host and are compared among themselves; pages without neighbours keep all lines
 that markup doesn't drop; repeated rows and pages with the same lines are copies and get the same text; an empty table
@@ -37,6 +39,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import unquote
 
@@ -54,7 +57,7 @@ from trestle.llm.common import quoted, utf8, written
 _RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
 _SKIPPED = _RAW | {
     "head", "nav", "header", "footer", "aside", "form", "button", "select", "option", "datalist", "dialog", "menu", "svg",
-    "math", "canvas", "object", "audio", "video", "map", "fieldset", "label", "input",
+    "math", "canvas", "object", "audio", "video", "map", "fieldset", "input",
 }
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCKS = {
@@ -90,8 +93,17 @@ _WHITE = re.compile(r"\s+")
 _SPLIT_NAMES = re.compile(r"[\s_\-]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _marked(name: str, attributes: str) -> tuple[bool, bool]:
-    """(dropped, article): what an element's name, role, class and id say about it."""
+# Elements that hold other blocks and no text of their own kind: words inside their names may speak of layout.
+_CONTAINERS = {"div", "ul", "ol", "dl", "table", "span", "center", "details"}
+
+
+def _marked(name: str, attributes: str, inside: bool = False) -> tuple[bool, bool]:
+    """(dropped, article): what an element's name, role, class and id say about it.
+
+    Ids of headings, sections and paragraphs are slugs of what they say, so only a
+    class that is a noise word as a whole counts there; words inside class and id
+    (``site-footer``) count for containers, and nowhere ``inside`` a marked article.
+    """
     if name in _SKIPPED:
         return True, False
     article = name in ("article", "main")
@@ -110,12 +122,14 @@ def _marked(name: str, attributes: str) -> tuple[bool, bool]:
     names = f"{found.get('class', '')} {found.get('id', '')}"
     if names.strip() and name not in ("html", "body"):
         whole = set(names.lower().split())
+        classes = set(found.get("class", "").lower().split())
         words = {w.lower() for w in _SPLIT_NAMES.split(names) if w}
-        if words & _COMMENTS:
+        heard = words if name in _CONTAINERS and not inside else whole if name in _CONTAINERS else classes
+        if heard & _COMMENTS:
             return True, False
         if whole & _ARTICLE_BODY:
             return False, True
-        noise = words & _NOISE
+        noise = heard & _NOISE
         if noise == {"header"} and words & _ARTICLE:  # an article's own heading
             noise = set()
         if noise and not article:
@@ -136,6 +150,7 @@ def lines_of(page: str | None) -> tuple[list[str], bool]:
     buffer: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: name, dropped, inside (own or inherited)
     dropped, inside = False, False  # inside an article or the page's main part
+    opened: Counter = Counter()  # names in the stack, so that no search runs for what isn't there
     at, text = 0, page or ""
 
     def flush() -> None:
@@ -149,6 +164,7 @@ def lines_of(page: str | None) -> tuple[list[str], bool]:
         nonlocal dropped, inside
         if any(e[0] in _BLOCKS for e in stack[k:]):
             flush()
+        opened.subtract(e[0] for e in stack[k:])
         del stack[k:]
         dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
 
@@ -163,17 +179,14 @@ def lines_of(page: str | None) -> tuple[list[str], bool]:
             continue
         name = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-            else:
-                if name in _BLOCKS:
-                    flush()
+            if opened[name]:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
+            elif name in _BLOCKS:
+                flush()
             continue
-        if name in _CLOSES_P and name not in ("li", "dd", "dt"):
+        if opened["p"] and name in _CLOSES_P and name not in ("li", "dd", "dt"):
             _end_of_p(stack, close)
-        if name in _SELF_CLOSING:
+        if name in _SELF_CLOSING and any(opened[x] for x in _SELF_CLOSING[name]):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in _SELF_CLOSING[name]:
                     close(k)
@@ -184,16 +197,17 @@ def lines_of(page: str | None) -> tuple[list[str], bool]:
             flush()
         if name in _VOID:
             continue
-        drops, marks = _marked(name, m[3])
+        drops, marks = _marked(name, m[3], inside)
         if name in _RAW and not m[3].rstrip().endswith("/"):
             end = re.compile(rf"</{re.escape(name)}\s*/?>", re.I).search(text, at)
             at = end.end() if end else len(text)
             continue
-        if name == "header" and inside:  # the article's own heading
-            drops = re.search(r"<nav|<form", text[at : _end(text, at, "header")], re.I) is not None
+        if name == "header" and inside:  # the article's own heading; a menu or form in it goes by itself
+            drops = False
         if marks and not dropped:
             flush()
         stack.append((name, dropped or drops, inside or marks))
+        opened[name] += 1
         dropped, inside = stack[-1][1], stack[-1][2]
     if at < len(text) and not dropped:
         rest = text[at:]
@@ -205,11 +219,6 @@ def lines_of(page: str | None) -> tuple[list[str], bool]:
     return own if marked else [x for x, _ in lines], marked
 
 
-def _end(text: str, at: int, name: str) -> int:
-    end = re.compile(f"</{name}", re.I).search(text, at)
-    return end.start() if end else len(text)
-
-
 def _end_of_p(stack: list, close) -> None:
     """A block element ends an open paragraph."""
     for k in range(len(stack) - 1, -1, -1):
@@ -299,6 +308,8 @@ def deletions(hashes: np.ndarray, sizes: np.ndarray, neighbours: list[np.ndarray
     return np.flatnonzero(votes >= max(MARKED_VOTES, voters) if marked else sure | (votes > 1)).tolist()
 
 
+#: Line hashes of a range's pages and their neighbours, about.
+RANGE_BYTES = 4 << 20
 MARKED_VOTES = 3  # neighbours that must share a line of a marked article before it goes
 
 _PARSED = T.StructType(
@@ -345,9 +356,9 @@ def _distinct(parsed: DataFrame) -> DataFrame:
 
 def _neighbours(parsed: DataFrame, distance: int) -> DataFrame:
     """``parsed`` with the hashes of up to ``distance`` pages before and after it in (host, path, id) order."""
-    spark = parsed.sparkSession
     order = ["host", "path", "id", "page"]
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), parsed.count() // 256))
+    lines = parsed.agg(F.sum(F.size("hashes").cast("long"))).first()[0] or 0
+    parts = max(1, -(-lines * 8 * (1 + 2 * distance) // RANGE_BYTES))  # a row travels with its neighbours' hashes
     dealt = written(parsed.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
     numbers = dealt.select("part").distinct().withColumn("range", F.row_number().over(Window.orderBy("part")))
     ranged = dealt.join(F.broadcast(numbers), "part").drop("part")  # one row per range: no gaps in the numbers
