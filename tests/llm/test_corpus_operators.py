@@ -144,6 +144,19 @@ def test_lines_odd_and_empty(spark, odd, none, limit):
     assert line_mph.dedup_lines(none, max_broadcast_bytes=limit).count() == 0
 
 
+def test_lines_beyond_the_broadcast_probe_their_shards(spark, documents, monkeypatch):
+    """No join of lines; a line of all documents is dealt over many tasks."""
+    monkeypatch.setattr(line_mph, "GROUP_LINES", 50)
+    common = "A line that all of the documents hold, of more than forty code points."
+    docs = documents.select("doc_id", F.concat(F.lit(common + "\n"), "text", F.lit("\n" + common)).alias("text"))
+    wanted = line_mph.brute_force([(r[0], r[1]) for r in docs.collect()])
+    out = line_mph.dedup_lines(docs, max_broadcast_bytes=0, shard_keys=3)
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["d"]) for r in out.withColumn("d", line_mph.digest()).collect()}
+    assert got == wanted and all(n[1] >= 2 for i, n in got.items() if i != max(got))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "h1" not in "".join(x for x in plan.splitlines() if "Join" in x)
+
+
 def test_perfect_hash_is_minimal():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 63, 64, 5000):

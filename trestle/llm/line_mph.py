@@ -17,8 +17,11 @@ the document isn't the keeper.  Lines are not joined and texts not shuffled.
 
 Size of the broadcast: step 2's keys are counted first.  While the arrays
 (``BYTES_PER_KEY`` each) fit in ``max_broadcast_bytes`` they are broadcast.
-Beyond that the documents' line hashes are joined with the key table, which
-gives the same result.
+Beyond that the line hashes go to the arrays: hash, document number and place of
+each long line are dealt to the shards' tasks, which probe the same arrays; a shard
+with more than ``GROUP_LINES`` lines (a line of many documents) is copied to as many
+tasks as it takes.  What is to be dropped then joins the documents, whose texts are
+shuffled once.
 
 Defined results: a null text counts as empty, an empty text is one empty line;
 every row is a document of its own; a null id is below every other id, and if
@@ -43,6 +46,8 @@ from trestle.llm.common import annotate, quoted, utf8, written
 
 #: Fingerprint 8, keeper 8, count 4, keeper flag 1, about 3.7 bits of the hash, and slack.
 BYTES_PER_KEY = 24
+#: Lines that one task probes at a time where they are dealt to the shards.
+GROUP_LINES = 500_000
 FIELDS = [("n_lines", T.LongType()), ("n_dropped", T.LongType()), ("kept_text", T.StringType())]
 _NO_ID = np.iinfo(np.int64).min
 
@@ -205,7 +210,7 @@ def dedup_lines(
     keys = written(repeated_keys(docs, min_chars, min_docs, id_col, text_col))
     count = keys.count()
     if count * BYTES_PER_KEY > max_broadcast_bytes:
-        return _by_join(docs, keys, min_chars, id_col, text_col)
+        return _by_shard(docs, keys, -(-count // shard_keys), min_chars, id_col, text_col)
     shards = max(1, -(-count // shard_keys))
     rows = {r["shard"]: r.asDict() for r in build_shards(keys, shards).toLocalIterator()}
     shared = docs.sparkSession.sparkContext.broadcast(rows)
@@ -257,18 +262,15 @@ def annotate_with_id(docs: DataFrame, id_col: str, text_col: str, id_name: str,
     return source.mapInArrow(run, schema)
 
 
-def _by_join(docs: DataFrame, keys: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """The same result by a join of line hashes, for key tables too large to broadcast."""
-    key = F.struct(
-        F.col(quoted(id_col)).cast("long").alias("id"),
-        F.xxhash64(quoted(text_col)).alias("a"),
-        F.md5(quoted(text_col)).alias("b"),
-    )
+def _by_shard(docs: DataFrame, keys: DataFrame, shards: int, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """The same result where the arrays are too large to broadcast: lines are sent to their shard's arrays."""
+    id_, text = F.col(quoted(id_col)).cast("long"), F.col(quoted(text_col))
+    number = [F.xxhash64(F.lit(seed), id_, text) for seed in (0, 1)]  # 128 bits; equal rows are one document here
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             digests, rows, lines = [], [], []
-            for i, text in enumerate(utf8(b.column(1))):
+            for i, text in enumerate(utf8(b.column(3))):
                 for k, line in enumerate(text.split(b"\n") if text else ()):
                     h = line_hash(line, min_chars)
                     if h is not None:
@@ -276,32 +278,36 @@ def _by_join(docs: DataFrame, keys: DataFrame, min_chars: int, id_col: str, text
                         rows.append(i)
                         lines.append(k)
             h1, h2 = _halves(digests)
-            taken = b.column(0).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [taken, pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(lines, pa.int32())],
-                names=["doc", "h1", "h2", "line"],
-            )
-
-    schema = T.StructType(
-        [
-            T.StructField("doc", docs.select(key.alias("doc")).schema["doc"].dataType),
-            T.StructField("h1", T.LongType()),
-            T.StructField("h2", T.LongType()),
-            T.StructField("line", T.IntegerType()),
-        ]
-    )
-    lines = docs.select(key.alias("doc"), F.col(quoted(text_col)).alias("text")).distinct().mapInArrow(run, schema)
-    gone = (
-        lines.join(keys, ["h1", "h2"])
-        .where(~F.col("doc.id").eqNullSafe(F.col("keeper")))
-        .groupBy("doc")
-        .agg(F.collect_set("line").alias("__drop"))  # at most the lines of one document
-        .withColumnRenamed("doc", "__doc")
-    )
+            at = pa.array(rows, pa.int64())
+            own = [b.column(i).take(at) for i in range(3)]
+            made = [*own, pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(lines, pa.int32())]
+            yield pa.RecordBatch.from_arrays(made, names=["d1", "d2", "own", "h1", "h2", "line"])
+
+    numbered = docs.select(number[0].alias("d1"), number[1].alias("d2"), F.coalesce(id_, F.lit(_NO_ID)).alias("own"), text.alias("text"))
+    lines = numbered.mapInArrow(run, "d1 long, d2 long, own long, h1 long, h2 long, line int")
+    lines = written(lines.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int")))
+    parts = F.ceil(F.count(F.lit(1)) / GROUP_LINES).cast("int").alias("parts")
+    parts = written(lines.groupBy("shard").agg(parts))  # one row per shard
+    arrays = build_shards(keys, shards).join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = lines.join(F.broadcast(parts) if shards <= 100_000 else parts, "shard")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("d1", "d2", "line"), F.col("parts")).cast("int")).drop("parts")
+
+    def probe(own: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+        if not len(shard) or not len(own):
+            return pd.DataFrame({"d1": [], "d2": [], "line": []}).astype({"d1": "int64", "d2": "int64", "line": "int32"})
+        opened = Shard(shard.iloc[0].to_dict())
+        found, keeper = opened.probe(own["h1"].to_numpy().view(np.uint64), own["h2"].to_numpy().view(np.uint64))
+        return own.loc[found & (keeper != own["own"].to_numpy()), ["d1", "d2", "line"]]
+
+    gone = dealt.groupBy("shard", "part").cogroup(arrays.drop("parts").groupBy("shard", "part"))
+    gone = gone.applyInPandas(probe, "d1 long, d2 long, line int")
+    gone = gone.groupBy("d1", "d2").agg(F.collect_set("line").alias("__drop"))  # at most the lines of one document
+    key = F.struct(number[0].alias("d1"), number[1].alias("d2"))
+    gone = gone.select(F.struct("d1", "d2").alias("__doc"), "__drop")
     names = [n for n, _ in FIELDS]
     kept = [c for c in docs.columns if c not in names]
     joined = docs.select(*[F.col(quoted(c)) for c in kept], key.alias("__key"), F.col(quoted(text_col)).alias("__line_text"))
-    joined = joined.join(gone, F.col("__key").eqNullSafe(F.col("__doc")), "left")
+    joined = joined.join(gone, F.col("__key") == F.col("__doc"), "left")
     joined = joined.select(*[F.col(quoted(c)) for c in kept], "__drop", "__line_text")
     schema = T.StructType([*joined.schema.fields[: len(kept)], *[T.StructField(n, t, True) for n, t in FIELDS]])
 
