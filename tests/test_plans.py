@@ -6,7 +6,10 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as E
+from trestle.config import Selection
 from trestle.operators import aggregates as A
+from trestle.operators import filters as FL
+from trestle.plans import composites as Q
 from trestle.plans import registry
 from trestle.sources import staging
 
@@ -130,3 +133,14 @@ def test_scoreboard_reads_the_staged_meta(spark, qs):
 def test_one_scan_for_all_facets_and_improvements(spark, qs):
     for name in ("facet_values", "phase_improvement", "phase_improvement_helper"):
         assert executed(qs[name](spark, SF)).count("FileScan") == 1, name
+
+
+def test_people_lists_are_parsed_at_staging_only(spark, qs):
+    m = registry.main_model(spark, SF)
+    page = Q.executive_summary(spark, m, registry.MAIN, Selection(category="Schedule", person=registry.PERSON))
+    for df in (page, qs["filter_person"](spark, SF), qs["facet_people"](spark, SF)):
+        assert "lambda" not in executed(df)
+    parsed = FL.filter_person(m.scorecard, registry.PERSON)
+    assert "lambda" in executed(parsed)
+    assert sorted(map(repr, parsed.collect())) == sorted(map(repr, FL.filter_person(m.scorecard, registry.PERSON, people=m.people).collect()))
+    assert FL.filter_person(m.scorecard, "Nobody Here", people=m.people).count() == 0

@@ -242,13 +242,16 @@ def coverage(kpis: DataFrame, group_cols: tuple[str, ...], basis: str = "rows")
     )
 
 
-def facet_people(df: DataFrame, col: str = "project_managers") -> DataFrame:
-    """Sorted distinct parsed people names (explode after a partial
-    distinct on the raw text, so each distinct list is parsed once)."""
+def facet_people(df: DataFrame, col: str = "project_managers", people: DataFrame | None = None) -> DataFrame:
+    """Sorted distinct parsed people names (after a partial distinct on
+    the raw text, so each distinct list is parsed once; with ``people``, the
+    staged index of lists by person, none is)."""
     from trestle.functions.parse import parse_people
 
-    lists = df.where(F.col(col).isNotNull()).select(col).distinct()
-    return lists.select(F.explode(parse_people(col)).alias("person")).distinct().orderBy("person")
+    lists = df.where(F.col(col).isNotNull()).select(F.col(col).alias("people_text")).distinct()
+    if people is not None:
+        return people.join(lists, "people_text", "left_semi").select("person").distinct().orderBy("person")
+    return lists.select(F.explode(parse_people("people_text")).alias("person")).distinct().orderBy("person")
 
 
 def facet_date_bounds(meta: DataFrame) -> DataFrame:

@@ -43,10 +43,27 @@ def filter_office_program_stage(df: DataFrame, sel: Selection) -> DataFrame:
     return _eq(df, "project_stage", sel.stage, True)
 
 
-def filter_person(df: DataFrame, person: str | None, col: str = "project_managers") -> DataFrame:
-    """rows whose parsed people list holds the name; null list -> out."""
+def people_index(frames: list[DataFrame], col: str = "project_managers") -> DataFrame:
+    """(person, people_text): which people lists, as written, hold a person (C13); each distinct list is parsed once."""
+    lists = [f.where(F.col(col).isNotNull()).select(F.col(col).alias("people_text")) for f in frames if col in f.columns]
+    both = lists[0]
+    for more in lists[1:]:
+        both = both.unionAll(more)
+    return both.distinct().select(F.explode(parse_people("people_text")).alias("person"), "people_text").distinct()
+
+
+def filter_person(
+    df: DataFrame, person: str | None, col: str = "project_managers", people: DataFrame | None = None
+) -> DataFrame:
+    """rows whose parsed people list holds the name; null list -> out.
+
+    With ``people``, the staged ``people_index``, a semi join on the lists that
+    hold the person; without it every row's list is parsed.
+    """
     if person is None:
         return df
+    if people is not None:
+        return df.join(people.where(F.col("person") == F.lit(person)).select(F.col("people_text").alias(col)), col, "left_semi").select(*df.columns)
     return df.where(F.col(col).isNotNull() & F.array_contains(parse_people(col), F.lit(person)))
 
 
@@ -119,6 +136,7 @@ def apply_selection(
     sel: Selection,
     meta: DataFrame | None = None,
     as_string: bool = False,
+    people: DataFrame | None = None,
 ) -> DataFrame:
     """F2/F3/F4/F5 + F7/F8: the scorecard rows a selection keeps, *before* the
     category cut (what the scoreboard and the category card see).
@@ -129,7 +147,7 @@ def apply_selection(
     """
     df = filter_project_region_pm(scorecard, sel, as_string)
     df = filter_office_program_stage(df, sel)
-    df = filter_person(df, sel.person)
+    df = filter_person(df, sel.person, people=people)
     df = filter_name_flag(df, sel.name_flag)
     value_range = sel.value_range
     if value_range is None and sel.strict_value_range:

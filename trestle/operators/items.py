@@ -44,7 +44,9 @@ def filter_items_main(items: DataFrame, sel: Selection, category: str | None) ->
     return df
 
 
-def filter_items_optional(items: DataFrame, sel: Selection, flag_col: str = "name_flag") -> DataFrame:
+def filter_items_optional(
+    items: DataFrame, sel: Selection, flag_col: str = "name_flag", people: DataFrame | None = None
+) -> DataFrame:
     """F10 (cloud): each filter applies only when the item table has the
     column (a missing column silently disables that filter), compared as
     text; then the person of the parsed people list and the three-way
@@ -57,7 +59,7 @@ def filter_items_optional(items: DataFrame, sel: Selection, flag_col: str = "nam
         if value is not None and col in df.columns:
             df = df.where(F.col(col).cast("string") == F.lit(str(value)))
     if PEOPLE_COLUMN in df.columns:
-        df = filter_person(df, sel.person, PEOPLE_COLUMN)
+        df = filter_person(df, sel.person, PEOPLE_COLUMN, people)
     return filter_name_flag(df, sel.name_flag, flag_col)
 
 

@@ -396,7 +396,8 @@ def filter_office_program_stage(spark, d):
          WHERE project_managers IS NOT NULL AND list_contains({S.people('project_managers')}, '{PERSON}')""",
      dbl=("score",))
 def filter_person(spark, d):
-    return FL.filter_person(main_model(spark, d).scorecard, PERSON).select("projectId", "impact_category", "score")
+    m = main_model(spark, d)
+    return FL.filter_person(m.scorecard, PERSON, people=m.people).select("projectId", "impact_category", "score")
 
 
 @reg("filter_name_flag", "SELECT projectId, impact_category, score FROM sc WHERE name_flag = 1", dbl=("score",))
@@ -448,10 +449,11 @@ def filter_process(spark, d):
      dbl=("risk_value",), ints=("event_id",))
 def filter_action_items(spark, d):
     """filters on the columns that exist, the person and flag filters, and the main form."""
-    it = raw_model(spark, d).action_items
+    m = raw_model(spark, d)
+    it = m.action_items
     forms = {
         "columns": IT.filter_items_optional(it, Selection(office=OFFICE, stage=STAGE)),
-        "person": IT.filter_items_optional(it, Selection(person=PERSON, name_flag="only")),
+        "person": IT.filter_items_optional(it, Selection(person=PERSON, name_flag="only"), people=m.people),
         "main": IT.filter_items_main(it, Selection(region=REGION), "Schedule"),
     }
     parts = [df.select(F.lit(k).alias("form"), "event_id", "projectId", "risk_value") for k, df in forms.items()]
@@ -866,7 +868,8 @@ def facet_values(spark, d):
 @reg("facet_people",
      f"SELECT DISTINCT unnest({S.people('project_managers')}) AS person FROM (SELECT DISTINCT project_managers FROM sc WHERE project_managers IS NOT NULL)")
 def facet_people(spark, d):
-    return A.facet_people(main_model(spark, d).scorecard)
+    m = main_model(spark, d)
+    return A.facet_people(m.scorecard, people=m.people)
 
 
 @reg("facet_date_bounds", "SELECT min(startDate) AS date_min, max(startDate) AS date_max FROM meta")

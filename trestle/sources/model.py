@@ -33,7 +33,7 @@ from trestle.operators.cleaning import (
     exclude_kpis,
     exclude_kpis_in_process,
 )
-from trestle.operators.filters import allow_categories
+from trestle.operators.filters import allow_categories, people_index
 from trestle.session import session_key
 from trestle.sources import dims, files
 
@@ -61,6 +61,8 @@ class Model:
     meta: DataFrame | None = None
     # distinct KPI texts by their hash; set by staging
     words: DataFrame | None = None
+    # people lists by person (F4, A16); set by staging
+    people: DataFrame | None = None
     # KPI texts of the deployment (S6); None: the built-in ones
     kpi_texts: DataFrame | None = None
 
@@ -314,7 +316,11 @@ def stage_model(spark: SparkSession, model: Model, root: str) -> Model:
     words = staging.stage_table(spark, text_words(model.kpis, WORD_COLUMNS), f"{root}/words")
     if words.groupBy("word_id").count().where("count > 1").take(1):
         words = None  # two texts with one hash: A5 carries the texts themselves
-    return with_meta(model.replace(**frames, meta_path=f"{root}/meta", words=words))
+    people = None
+    if any("project_managers" in f.columns for f in (model.scorecard, model.action_items)):
+        index = people_index([frames["scorecard"], frames["action_items"]])
+        people = staging.stage_table(spark, index, f"{root}/people", sort_by="person")
+    return with_meta(model.replace(**frames, meta_path=f"{root}/meta", words=words, people=people))
 
 
 def with_meta(model: Model) -> Model:
