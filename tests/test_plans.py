@@ -9,6 +9,7 @@ import __spark_entry__ as E
 from trestle.config import Selection
 from trestle.operators import aggregates as A
 from trestle.operators import filters as FL
+from trestle.operators import ranking as R
 from trestle.plans import composites as Q
 from trestle.plans import registry
 from trestle.sources import staging
@@ -144,3 +145,17 @@ def test_people_lists_are_parsed_at_staging_only(spark, qs):
     assert "lambda" in executed(parsed)
     assert sorted(map(repr, parsed.collect())) == sorted(map(repr, FL.filter_person(m.scorecard, registry.PERSON, people=m.people).collect()))
     assert FL.filter_person(m.scorecard, "Nobody Here", people=m.people).count() == 0
+
+
+def test_pages_merge_partial_states(spark, qs):
+    for name in ("executive_summary", "phase_summary", "legacy_category_card"):
+        plan = executed(qs[name](spark, SF))
+        assert "weighted_sum" in plan or "_value_sum" in plan, name
+        assert "kpi_wt" not in plan and "row_order" not in plan, name  # columns of the facts
+    m = registry.raw_model(spark, SF)
+    merged = R.kpi_metrics(m.states, ("phase",)).collect()
+    direct = {(r.phase, r.kpi_name): r for r in R.kpi_metrics(m.kpis, ("phase",)).collect()}
+    assert len(merged) == len(direct) > 10
+    for r in merged:
+        d = direct[r.phase, r.kpi_name]
+        assert r.score_weighted == pytest.approx(d.score_weighted) and r.priority_metric == pytest.approx(d.priority_metric)

@@ -60,6 +60,32 @@ def _top(df: DataFrame, metric: str, group_cols: tuple[str, ...], k: int, tie: s
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: What selections and profiles tell KPI rows apart by, beside the KPI itself.
+STATE_KEYS = ("projectId", "phase", "process_name", "impact_category", "kpi_name", "name_flag")
+GAP_COLUMNS = ("phase_level_unrealized_value", "process_level_unrealized_value")
+
+
+def kpi_states(kpis: DataFrame) -> DataFrame:
+    """Partial states of the KPI means (A8-A11): counts and sums per ``STATE_KEYS``.
+
+    Staged once; ``kpi_metrics`` and ``top_gap`` take this frame in the place of
+    the KPI rows and merge the states of whatever a page selects.
+    """
+    weight_col, metric_col = pick_column(kpis, WEIGHT_COLUMN_CANDIDATES), pick_column(kpis, PRIORITY_METRIC_CANDIDATES)
+    w = _num0(kpis, weight_col) if weight_col else F.lit(1.0)
+    aggs = [F.count(F.lit(1)).alias("n_rows"), F.sum(_num0(kpis, "score") * w).alias("weighted_sum")]
+    if metric_col is not None:
+        aggs.append(F.sum(_num0(kpis, metric_col)).alias("priority_sum"))
+    for c in GAP_COLUMNS:
+        if c in kpis.columns:
+            aggs += [F.sum(nan_to_null(c)).alias(f"{c}_sum"), F.count(nan_to_null(c)).alias(f"{c}_n")]
+    return kpis.groupBy(*[k for k in STATE_KEYS if k in kpis.columns]).agg(*aggs)
+
+
+def _is_states(kpis: DataFrame) -> bool:
+    return "weighted_sum" in kpis.columns
+
+
 def kpi_metrics(kpis: DataFrame, group_cols: tuple[str, ...] = ()) -> DataFrame:
     """A8 + A9 inputs in one aggregation per KPI: ``score_weighted`` =
     mean(score x weight) and, when a priority column exists,
@@ -67,7 +93,15 @@ def kpi_metrics(kpis: DataFrame, group_cols: tuple[str, ...] = ()) -> DataFrame:
 
     Both top-5 lists of a page read this one aggregate (Spark reuses its
     exchange), so the KPI facts are scanned and shuffled once, not twice.
+    ``kpis`` may be their partial states (``kpi_states``).
     """
+    if _is_states(kpis):
+        src = kpis.where(F.col("kpi_name").isNotNull())
+        for g in group_cols:
+            src = src.where(F.col(g).isNotNull())
+        sums = [("weighted_sum", "score_weighted"), ("priority_sum", "priority_metric")]
+        means = [F.try_divide(F.sum(c), F.sum("n_rows")).alias(name) for c, name in sums if c in kpis.columns]
+        return src.groupBy(*group_cols, "kpi_name").agg(*means)
     weight_col = pick_column(kpis, WEIGHT_COLUMN_CANDIDATES)
     w = _num0(kpis, weight_col) if weight_col else F.lit(1.0)
     metric_col = pick_column(kpis, PRIORITY_METRIC_CANDIDATES)
@@ -112,17 +146,17 @@ def top_gap(
     skipped, top k (``Series.nlargest`` drops NaN means).  With
     ``suppress_zero`` a list whose k values sum to 0 gives no rows (A12).
     A frame without the metric column gives an empty list."""
-    if metric_col not in kpis.columns:
+    if metric_col not in kpis.columns and f"{metric_col}_n" not in kpis.columns:
         empty = kpis.where(F.lit(False)).select(*group_cols, "kpi_name", F.lit(None).cast("double").alias("gap"))
         return empty.withColumn("rank", F.lit(None).cast("int"))
     src = kpis.where(F.col("kpi_name").isNotNull())
     for g in group_cols:
         src = src.where(F.col(g).isNotNull())
-    agg = (
-        src.groupBy(*group_cols, "kpi_name")
-        .agg(F.avg(nan_to_null(metric_col)).alias("gap"))
-        .where(F.col("gap").isNotNull())
-    )
+    if _is_states(kpis):
+        mean = F.try_divide(F.sum(f"{metric_col}_sum"), F.sum(f"{metric_col}_n"))
+    else:
+        mean = F.avg(nan_to_null(metric_col))
+    agg = src.groupBy(*group_cols, "kpi_name").agg(mean.alias("gap")).where(F.col("gap").isNotNull())
     return top_gap_of(agg, group_cols, k, suppress_zero)
 
 

@@ -80,6 +80,19 @@ def all_kpis(model: Model, summary: DataFrame, profile: Profile | None = None) -
     return k.dropDuplicates(model.data_columns(k))
 
 
+def _states(model: Model, summary: DataFrame) -> DataFrame:
+    """J1 over the staged states of the KPI means, or over the KPI rows of a model that isn't staged."""
+    return FL.propagate_projects(model.kpis if model.states is None else model.states, summary)
+
+
+def _all_states(model: Model, summary: DataFrame, profile: Profile | None = None) -> DataFrame:
+    """The same over the deduplicated rows of all phases."""
+    if model.unique_states is None:
+        return all_kpis(model, summary, profile)
+    found = FL.propagate_projects(model.unique_states, summary)
+    return found if profile is None or all(p in model.phases for p in profile.phases) else found.where(F.lit(False))
+
+
 # --- Q1 -------------------------------------------------------------------
 
 def _summary_card(summary: DataFrame, phase_columns: dict[str, str], with_overall: bool = True) -> DataFrame:
@@ -139,7 +152,7 @@ def executive_summary(spark: SparkSession, model: Model, profile: Profile, sel:
     the card, and one aggregation over the selected KPI rows (semi-joined
     with the selected project ids) for both top-5 lists."""
     _, summary = selections(model, sel)
-    kpis = FL.filter_category(all_kpis(model, summary, profile), sel.category)
+    kpis = FL.filter_category(_all_states(model, summary, profile), sel.category)
     return _union([_summary_card(summary, profile.phase_score_columns), _top_lists(spark, R.kpi_metrics(kpis), own=model.kpi_texts)])
 
 
@@ -199,7 +212,7 @@ def phase_summary(spark: SparkSession, model: Model, profile: Profile, sel: Sele
     procs = FL.propagate_projects(model.processes, summary)
     means = A.process_scores(procs, ("phase",))
     listed = J.processes_with_default(spark, means, model.phases)
-    kpis = FL.propagate_projects(model.kpis, summary)
+    kpis = _states(model, summary)
     parts = [
         _card(phase_scores, "phase_score", "phase", "position", "phase_score"),
         _card(
@@ -305,8 +318,8 @@ def legacy_category_card(spark: SparkSession, model: Model, profile: Profile, se
 def _gap_lists(model: Model, profile: Profile, summary: DataFrame, category: str | None) -> tuple[DataFrame, DataFrame]:
     """A10 (phase-level gap over the deduplicated rows of every phase) and
     A11 (process-level gap per phase over all rows), each with A12."""
-    gap_all = R.top_gap(FL.filter_category(all_kpis(model, summary, profile), category), "phase_level_unrealized_value")
-    k = FL.filter_category(FL.propagate_projects(model.kpis, summary), category)
+    gap_all = R.top_gap(FL.filter_category(_all_states(model, summary, profile), category), "phase_level_unrealized_value")
+    k = FL.filter_category(_states(model, summary), category)
     return gap_all, R.top_gap(k, "process_level_unrealized_value", ("phase",))
 
 

@@ -34,6 +34,7 @@ from trestle.operators.cleaning import (
     exclude_kpis_in_process,
 )
 from trestle.operators.filters import allow_categories, people_index
+from trestle.operators.ranking import kpi_states
 from trestle.session import session_key
 from trestle.sources import dims, files
 
@@ -61,6 +62,9 @@ class Model:
     meta: DataFrame | None = None
     # distinct KPI texts by their hash; set by staging
     words: DataFrame | None = None
+    # partial states of the KPI means over all rows and over the deduplicated ones; set by staging
+    states: DataFrame | None = None
+    unique_states: DataFrame | None = None
     # people lists by person (F4, A16); set by staging
     people: DataFrame | None = None
     # KPI texts of the deployment (S6); None: the built-in ones
@@ -313,6 +317,9 @@ def stage_model(spark: SparkSession, model: Model, root: str) -> Model:
         name: staging.stage_table(spark, df, f"{root}/{name}", PARTITIONED.get(name), "projectId")
         for name, df in tables.items()
     }
+    # the KPI means of a page merge these instead of reading the facts
+    for name, source in (("states", "kpis"), ("unique_states", "kpis_unique")):
+        frames[name] = staging.stage_table(spark, kpi_states(frames[source]), f"{root}/{name}", "phase", "projectId")
     words = staging.stage_table(spark, text_words(model.kpis, WORD_COLUMNS), f"{root}/words")
     if words.groupBy("word_id").count().where("count > 1").take(1):
         words = None  # two texts with one hash: A5 carries the texts themselves
@@ -366,6 +373,11 @@ def cloud_layout(model: Model) -> Model:
     uniq = model.kpis_unique
     if uniq is not None:
         uniq = lower_cat(phase(uniq)).withColumn("score", F.col("score") / 100.0)
+    states = {
+        name: lower_cat(phase(f)).withColumn("weighted_sum", F.col("weighted_sum") / 100.0)
+        for name in ("states", "unique_states")
+        if (f := getattr(model, name)) is not None
+    }
     procs = lower_cat(phase(model.processes))
     items = model.action_items
     if "impact_category" in items.columns:
@@ -373,7 +385,7 @@ def cloud_layout(model: Model) -> Model:
     phases = tuple(CLOUD_PHASE_RENAMES.get(p, p) for p in model.phases)
     meta_path = f"{model.meta_path}-cloud" if model.meta_path else None
     return model.replace(scorecard=sc, kpis=kpis, processes=procs, action_items=items, phases=phases,
-                         kpis_unique=uniq, meta_path=meta_path)
+                         kpis_unique=uniq, meta_path=meta_path, **states)
 
 
 def for_profile(model: Model, profile: Profile) -> Model:
@@ -383,6 +395,7 @@ def for_profile(model: Model, profile: Profile) -> Model:
     uniq = model.kpis_unique
     if uniq is not None:
         uniq = _without_kpis(uniq, profile)
+    states = {n: _without_kpis(f, profile) for n in ("states", "unique_states") if (f := getattr(model, n)) is not None}
     items = model.action_items
     if profile.main_items and "impact_category" in items.columns:
         items = allow_categories(items, profile.categories)
@@ -391,8 +404,9 @@ def for_profile(model: Model, profile: Profile) -> Model:
         sc, kpis, procs = exclude_flagged(sc), exclude_flagged(kpis), exclude_flagged(procs)
         if uniq is not None:
             uniq = exclude_flagged(uniq)
+        states = {n: exclude_flagged(f) for n, f in states.items()}
     # the meta takes each project's first values among the rows that stay, so a profile has its own
     meta_path = f"{model.meta_path}-{profile.name}" if model.meta_path else None
     return with_meta(
-        model.replace(scorecard=sc, kpis=kpis, processes=procs, kpis_unique=uniq, action_items=items, meta_path=meta_path)
+        model.replace(scorecard=sc, kpis=kpis, processes=procs, kpis_unique=uniq, action_items=items, meta_path=meta_path, **states)
     )

@@ -41,7 +41,7 @@ from trestle.session import ensure_checkpoint_dir
 STAGE_DIR = "trestle-stage"
 # Version of the staged layout: part of every staging key, so tables written
 # by an older layout are never read by newer code.
-STAGE_VERSION = "v14"
+STAGE_VERSION = "v15"
 
 
 def _fs(spark: SparkSession, path: str):
