@@ -110,6 +110,16 @@ def test_simhash_odd_and_empty(odd, none):
     assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [1, 2, 5, 6, 7, 8]
 
 
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_components_of_a_star_and_a_chain(spark, limit, monkeypatch):
+    monkeypatch.setattr(simhash_trie, "MAX_LABELS", limit)
+    star = [(0, i) for i in range(1, 300)]
+    chain = [(1000 + i, 1001 + i) for i in range(40)]
+    edges = spark.createDataFrame([*star, *[c[::-1] for c in chain], (-5, -3)], "a long, b long")
+    got = {r["node"]: r["label"] for r in simhash_trie.components(edges).collect()}
+    assert got == {**dict.fromkeys(range(300), 0), **dict.fromkeys(range(1000, 1041), 1000), -5: -5, -3: -5}
+
+
 # ------------------------------------------------------------ lines
 
 LONG = "This line is long enough to count, and here it is again"

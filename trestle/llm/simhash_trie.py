@@ -189,16 +189,32 @@ def components(edges: DataFrame) -> DataFrame:
         lower = labels.join(near, F.col("node") == F.col("a"), "left").select(
             "node", F.col("label").alias("old"), F.least("label", F.coalesce("least", "label")).alias("label")
         )
+        lower = written(lower)
         jump = lower.select(F.col("node").alias("via"), F.col("label").alias("further"))
-        after = lower.join(jump, F.col("label") == F.col("via"), "left").select(
-            "node", "old", F.least("label", F.coalesce("further", "label")).alias("label")
-        )
+        told = lower.select(F.col("label").alias("of")).distinct().join(jump, F.col("of") == F.col("via")).drop("via")
+        after = _by_label(lower, told).select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label"))
         after = written(after)
         labels = after.select("node", "label")
         if after.where("label <> old").isEmpty():
             return labels
 
 
+#: Labels up to which they are broadcast (16 bytes each).
+MAX_LABELS = 500_000
+#: Parts that the nodes of one label are dealt over beyond that.
+PARTS = 16
+
+
+def _by_label(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``nodes`` with the row of ``labels`` (of, further) for their label; a label may hold most of the nodes."""
+    labels = written(labels)
+    if labels.count() <= MAX_LABELS:
+        return nodes.join(F.broadcast(labels), F.col("label") == F.col("of"), "left")
+    copied = labels.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = nodes.withColumn("__part", F.pmod(F.xxhash64("node"), F.lit(PARTS)).cast("int"))
+    return dealt.join(copied, (F.col("label") == F.col("of")) & (F.col("__part") == F.col("part")), "left").drop("__part", "part")
+
+
 def cluster(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -236,4 +252,11 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
     first = F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "key0"))
     rooted = _rooted(marked.groupBy("print").agg(first.alias("first")), max_bits)
     stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key0").alias("__stay"))
-    return docs.join(stay, key == F.col("__stay"), "left_semi").dropDuplicates(["doc_id", "text"])
+    repeats = marked.groupBy("key0").agg(F.count(F.lit(1)).alias("__n"))
+    stay = written(stay.join(repeats, F.col("__stay") == F.col("key0")).select("__stay", "__n"))
+
+    def kept(which: Column) -> DataFrame:
+        return docs.join(stay.where(which), key == F.col("__stay"), "left_semi")
+
+    # most rows are there once, so their texts move for the join alone
+    return kept(F.col("__n") == 1).unionByName(kept(F.col("__n") > 1).dropDuplicates(["doc_id", "text"]))
