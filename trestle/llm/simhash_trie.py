@@ -255,8 +255,10 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
     repeats = marked.groupBy("key0").agg(F.count(F.lit(1)).alias("__n"))
     stay = written(stay.join(repeats, F.col("__stay") == F.col("key0")).select("__stay", "__n"))
 
-    def kept(which: Column) -> DataFrame:
-        return docs.join(stay.where(which), key == F.col("__stay"), "left_semi")
+    def kept(which: Column, *hint: str) -> DataFrame:
+        chosen = stay.where(which)
+        return docs.join(chosen.hint(*hint) if hint else chosen, key == F.col("__stay"), "left_semi")
 
-    # most rows are there once, so their texts move for the join alone
-    return kept(F.col("__n") == 1).unionByName(kept(F.col("__n") > 1).dropDuplicates(["doc_id", "text"]))
+    # most rows are there once, so their texts move for the join alone; their keys grow with the documents, so
+    # the join is the same at every size
+    return kept(F.col("__n") == 1, "merge").unionByName(kept(F.col("__n") > 1).dropDuplicates(["doc_id", "text"]))
