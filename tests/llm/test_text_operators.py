@@ -41,12 +41,12 @@ def omh(text, slots=64, size=2, k=2):
             h = hashes[i] if c == 0 else h64(hashes[i], (c,))
             elements.append((h & high) | i)
     top = int(math.log2(slots))
-    out = []
-    for s in range(-slots // 2, slots // 2):
-        own = sorted(e for e in elements if e >> (64 - top) == s)[:size]
-        if own:
-            tuple_hash = h64(*[hashes[i] for i in sorted(e & ((1 << bits) - 1) for e in own)])
-            out.append((s << (64 - top)) | ((tuple_hash % 2**64) >> top))
+    ring, out = sorted(elements), []
+    for s in range(-slots // 2, slots // 2) if ring else ():
+        first = next((i for i, e in enumerate(ring) if e >> (64 - top) >= s), 0)
+        own = [ring[(first + t) % len(ring)] for t in range(min(size, len(ring)))]
+        tuple_hash = h64(*[hashes[i] for i in sorted(e & ((1 << bits) - 1) for e in own)])
+        out.append((s << (64 - top)) | ((tuple_hash % 2**64) >> top))
     return out
 
 
@@ -71,6 +71,29 @@ def test_order_minhash_sees_order_and_edits(spark):
     assert 0.2 < r["d"] < 0.8 and 0.3 < r["c"] < 1.0
 
 
+@pytest.mark.parametrize("size", [1, 3])
+def test_order_minhash_of_other_sizes(spark, odd, size):
+    texts = ["a", "a b", "a b c a b", " ".join(f"w{i % 90}" for i in range(700))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: r["fp"] for r in order_minhash.fingerprint(df, "t", "fp", size=size).collect()}
+    assert got == {i: omh(t, size=size) for i, t in enumerate(texts)}
+
+
+def test_order_counts_at_every_length(spark):
+    """Halves swapped: the mean likeness is the chance that two of all k-mers are in both texts and in one half."""
+    rows = []
+    for n, texts in ((20, 100), (40, 100), (400, 20), (4000, 5)):
+        for t in range(texts):
+            words = [f"w{t}x{i}" for i in range(n)]
+            rows.append((n, " ".join(words), " ".join(words[n // 2 :] + words[: n // 2])))
+    df = spark.createDataFrame(rows, "n int, a string, b string")
+    df = order_minhash.fingerprint(order_minhash.fingerprint(df, "a", "fa"), "b", "fb")
+    got = {r["n"]: r["m"] for r in df.groupBy("n").agg(F.avg(order_minhash.likeness("fa", "fb")).alias("m")).collect()}
+    for n, mean in got.items():
+        exact = 2 * math.comb(n // 2 - 1, 2) / math.comb(n + 2, 2)
+        assert abs(mean - exact) < 0.05, (n, mean, exact)
+
+
 @pytest.mark.parametrize("rows", [0, 1, 7])
 def test_neighbours(spark, rows):
     texts = [f"text number {i} with a few words" for i in range(rows)]

@@ -4,7 +4,10 @@ A text is the sequence of its words (runs without white space); its k-mers are
 runs of ``k`` neighbours (shorter ones at the start of the text), and the c-th
 occurrence of a k-mer is an element of its own.  Elements are hashed, dealt into ``slots`` by
 the top bits of the hash, and each slot takes the ``size`` elements with the
-smallest hashes, puts them back in text order and hashes the tuple.  Two texts
+smallest hashes, puts them back in text order and hashes the tuple.  A slot with
+fewer borrows the smallest ones of the slots after it (the first slot follows
+the last), so that short texts have whole tuples too: seen from any slot, the
+elements come in a random order.  Two texts
 agree in a slot if they share these elements in the same order, so moved or
 replaced passages both count.
 
@@ -35,12 +38,13 @@ SLOTS, SIZE, K = 64, 2, 2
 
 
 def fingerprint(df: DataFrame, text_col: str, out: str, slots: int = SLOTS, k: int = K, size: int = SIZE) -> DataFrame:
-    """``df`` with ``out``: an array of longs, one for each slot with an element, the slot's number in its top bits."""
+    """``df`` with ``out``: an array of longs, one for each slot (none without words), the slot's number in its top bits."""
     if slots & (slots - 1):
         raise ValueError("slots must be a power of two")
     top = int(math.log2(slots))
-    made = [f"__{out}_{x}" for x in ("words", "hashes", "bits", "order", "again", "seen", "elements", "picked")]
-    words, hashes, bits, order, again, seen, elements, picked = made
+    names = ("words", "hashes", "bits", "order", "again", "seen", "elements", "picked", "starts", "tuples")
+    made = [f"__{out}_{x}" for x in names]
+    words, hashes, bits, order, again, seen, elements, picked, starts, tuples = made
     # an intermediate column that a later one uses must be used twice or outside of its
     # lambda functions: else it would be moved into the lambda and computed per element
     df = df.withColumn(words, F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"), ""))
@@ -85,14 +89,31 @@ def fingerprint(df: DataFrame, text_col: str, out: str, slots: int = SLOTS, k: i
             f"filter(`{elements}`, (x, j) -> j < {size} or shiftright(get(`{elements}`, j - {size}), {shift}) <> shiftright(x, {shift}))"
         ),
     )
-    # at the first element of a slot: the slot's elements in text order, as one hash under the slot's bits
-    mates = f"filter(slice(`{picked}`, j + 1, {size}), y -> shiftright(y, {shift}) = shiftright(x, {shift}))"
-    in_order = f"transform(sort_array(transform({mates}, y -> y & {low})), q -> get(`{hashes}`, cast(q as int)))"
-    entry = f"shiftleft(shiftright(x, {shift}), {shift}) | shiftrightunsigned(xxhash64({in_order}), {top})"
-    repeats = f"j > 0 and shiftright(get(`{picked}`, j - 1), {shift}) = shiftright(x, {shift})"
+    # the first element of each slot that has one
+    df = df.withColumn(
+        starts,
+        F.expr(
+            f"filter(sequence(0, greatest(size(`{picked}`), 1) - 1), "
+            f"j -> j < size(`{picked}`) and (j = 0 or shiftright(get(`{picked}`, j - 1), {shift}) <> shiftright(get(`{picked}`, j), {shift})))"
+        ),
+    )
+    # from there on, round the end to the beginning, `size` elements: back in text order, as one hash
+    mates = f"transform(sequence(0, least({size}, size(`{picked}`)) - 1), t -> get(`{picked}`, (j + t) % size(`{picked}`)) & {low})"
+    in_order = f"transform(sort_array({mates}), q -> get(`{hashes}`, cast(q as int)))"
+    df = df.withColumn(tuples, F.expr(f"transform(`{starts}`, j -> shiftrightunsigned(xxhash64({in_order}), {top}))"))
+    # a slot without elements has the tuple of the next slot with some, the last ones that of the first
+    least, most = -(slots // 2), slots - slots // 2 - 1
+    slot = f"cast(shiftright(get(`{picked}`, j), {shift}) as int)"
+    before = f"if(i = 0, {least - 1}, cast(shiftright(get(`{picked}`, j - 1), {shift}) as int))"
+    filled = f"flatten(transform(`{starts}`, (j, i) -> transform(sequence({before} + 1, {slot}), s -> shiftleft(cast(s as bigint), {shift}) | get(`{tuples}`, i))))"
+    last = f"cast(shiftright(element_at(`{picked}`, -1), {shift}) as int)"
+    wrapped = f"transform(sequence({last} + 1, {most}), s -> shiftleft(cast(s as bigint), {shift}) | get(`{tuples}`, 0))"
     df = df.withColumn(
         out,
-        F.expr(f"filter(transform(`{picked}`, (x, j) -> if({repeats}, cast(null as bigint), {entry})), e -> e is not null)"),
+        F.expr(
+            f"case when size(`{picked}`) = 0 then cast(array() as array<bigint>) "
+            f"when {last} = {most} then {filled} else concat({filled}, {wrapped}) end"
+        ),
     )
     return df.drop(*made)
 
