@@ -43,7 +43,7 @@ from trestle.operators import ranking as R
 from trestle.operators.scoreboard import scoreboard
 from trestle.plans import composites as Q
 from trestle.plans import sqlparts as S
-from trestle.sources import dims, files, staging
+from trestle.sources import dims, files, parts, staging
 from trestle.sources.model import Model, cloud_layout, for_profile, from_tpch
 from trestle.sources.tpch_sql import ADAPTER_CTES
 
@@ -245,6 +245,26 @@ def scan_action_items(spark, d):
     return read.withColumns({c: F.col(c).cast("long") for c in ("event_id", "name_flag")})
 
 
+@reg("csv_parts_rollup",
+     "SELECT phase, kpi_name, avg(coalesce(score, 0) * coalesce(kpi_wt, 0)) AS score_weighted, count(*) AS n_rows "
+     "FROM kpis WHERE kpi_name IS NOT NULL GROUP BY phase, kpi_name",
+     dbl=("score_weighted",), ints=("n_rows",))
+def csv_parts_rollup(spark, d):
+    """The files of every phase staged file by file, and the partial states of the parts merged (A8 per phase)."""
+    m, profile = raw_model(spark, d), PRESETS["app"]
+    base = f"{staging.staging_root(spark)}/csv-{uuid.uuid4().hex}"
+    cols = [c for c in m.data_columns(m.kpis) if c != "phase"]
+    tables = {"executive_summary": m.scorecard}
+    for phase in profile.phases:
+        tables[f"{phase}_kpis"] = m.phase_kpis(phase).select(*cols)
+        tables[f"{phase}_processes"] = m.phase_processes(phase).drop("phase")
+    for name, df in tables.items():
+        df.write.options(header=True, quote='"', escape='"').csv(f"{base}/{name}.csv")
+    staged = parts.load_csv_parts(spark, base, profile)
+    counts = staged.states.where(F.col("kpi_name").isNotNull()).groupBy("phase", "kpi_name").agg(F.sum("n_rows").alias("n_rows"))
+    return R.kpi_metrics(staged.states, ("phase",)).select("phase", "kpi_name", "score_weighted").join(counts, ["phase", "kpi_name"])
+
+
 @reg("scan_object_store", "SELECT event_id, ts, user_id, event_type, value FROM events",
      dbl=("value",), ints=("event_id", "user_id"))
 def scan_object_store(spark, d):

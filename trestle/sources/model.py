@@ -124,43 +124,18 @@ def load_csv_model(
     as one bigint (``ROW_ORDER``) for pandas-``first`` semantics.
     """
     b = base.rstrip("/")
-
-    def dedup(df: DataFrame, order=()) -> DataFrame:
-        return drop_dup_rows(df, order) if profile.dedup_at_load else df
-
-    sc = dedup(files.read_csv(spark, f"{b}/{scorecard_file}", files.SCORECARD_SCHEMA))
-    sc = allow_categories(canonical_names(sc), profile.categories)
-    if profile.exclude_flagged_at_load:
-        sc = exclude_flagged(_flag_name(sc))
+    sc = _load_scorecard(spark, f"{b}/{scorecard_file}", profile)
     procs, kpis, loaded = [], [], []
-    for place, (phase, (p_path, k_path)) in enumerate(files.phase_table_paths(b, profile.phases).items()):
-        if not (_exists(spark, p_path) and _exists(spark, k_path)):
-            continue
-        p_raw = files.read_csv(spark, p_path, files.PROCESS_SCHEMA)
-        k_raw = _numbered(files.read_csv(spark, k_path, files.KPI_SCHEMA, position=ROW_ORDER), place)
-        if profile.phase_files_nonempty and (_is_empty(p_raw) or _is_empty(k_raw)):
-            continue
-        p = dedup(canonical_names(p_raw))
-        k = dedup(canonical_names(k_raw), (ROW_ORDER,))
-        if profile.exclude_flagged_at_load:
-            p, k = exclude_flagged(_flag_name(p)), exclude_flagged(_flag_name(k))
-        procs.append(p.withColumn("phase", F.lit(phase)))
-        kpis.append(k.withColumn("phase", F.lit(phase)))
+    for place, phase, p_path, k_path in _phase_files(spark, b, profile):
+        procs.append(_load_processes(spark, p_path, profile).withColumn("phase", F.lit(phase)))
+        kpis.append(_load_kpis(spark, k_path, profile, place).withColumn("phase", F.lit(phase)))
         loaded.append(phase)
     if procs:
         processes, k_all = _union(procs), _union(kpis)
     else:
-        processes = files.empty_frame(spark, files.PROCESS_SCHEMA).withColumn("phase", F.lit(None).cast("string"))
-        k_all = _no_order(files.empty_frame(spark, files.KPI_SCHEMA)).withColumn("phase", F.lit(None).cast("string"))
+        processes, k_all = _no_phases(spark)
     k_all = _without_kpis(k_all, profile)
-    items_path = f"{b}/{items_file}"
-    if _exists(spark, items_path):
-        items = files.read_csv(spark, items_path, files.ACTION_ITEM_SCHEMA, position=ROW_ORDER)
-        items = _flag_name(dedup(canonical_names(items), (ROW_ORDER,)))
-        if profile.main_items and "impact_category" in items.columns:
-            items = allow_categories(items, profile.categories)
-    else:  # S3: optional source
-        items = _no_order(files.empty_frame(spark, files.ACTION_ITEM_SCHEMA))
+    items = _load_items(spark, f"{b}/{items_file}", profile)
     return Model(
         scorecard=sc,
         processes=processes,
@@ -173,6 +148,58 @@ def load_csv_model(
     )
 
 
+def _dedup(df: DataFrame, profile: Profile, order: tuple[str, ...] = ()) -> DataFrame:
+    return drop_dup_rows(df, order) if profile.dedup_at_load else df
+
+
+def _load_scorecard(spark: SparkSession, path: str, profile: Profile) -> DataFrame:
+    sc = _dedup(files.read_csv(spark, path, files.SCORECARD_SCHEMA), profile)
+    sc = allow_categories(canonical_names(sc), profile.categories)
+    return exclude_flagged(_flag_name(sc)) if profile.exclude_flagged_at_load else sc
+
+
+def _phase_files(spark: SparkSession, base: str, profile: Profile) -> list[tuple[int, str, str, str]]:
+    """(place, phase, processes file, KPI file) of the phases that are loaded."""
+    out = []
+    for place, (phase, (p_path, k_path)) in enumerate(files.phase_table_paths(base, profile.phases).items()):
+        if not (_exists(spark, p_path) and _exists(spark, k_path)):
+            continue
+        if profile.phase_files_nonempty and (
+            _is_empty(files.read_csv(spark, p_path, files.PROCESS_SCHEMA)) or _is_empty(files.read_csv(spark, k_path, files.KPI_SCHEMA))
+        ):
+            continue
+        out.append((place, phase, p_path, k_path))
+    return out
+
+
+def _load_processes(spark: SparkSession, path: str, profile: Profile) -> DataFrame:
+    p = _dedup(canonical_names(files.read_csv(spark, path, files.PROCESS_SCHEMA)), profile)
+    return exclude_flagged(_flag_name(p)) if profile.exclude_flagged_at_load else p
+
+
+def _load_kpis(spark: SparkSession, path: str, profile: Profile, place: int) -> DataFrame:
+    raw = _numbered(files.read_csv(spark, path, files.KPI_SCHEMA, position=ROW_ORDER), place)
+    k = _dedup(canonical_names(raw), profile, (ROW_ORDER,))
+    return exclude_flagged(_flag_name(k)) if profile.exclude_flagged_at_load else k
+
+
+def _load_items(spark: SparkSession, path: str, profile: Profile) -> DataFrame:
+    if not _exists(spark, path):  # S3: optional source
+        return _no_order(files.empty_frame(spark, files.ACTION_ITEM_SCHEMA))
+    items = files.read_csv(spark, path, files.ACTION_ITEM_SCHEMA, position=ROW_ORDER)
+    items = _flag_name(_dedup(canonical_names(items), profile, (ROW_ORDER,)))
+    if profile.main_items and "impact_category" in items.columns:
+        items = allow_categories(items, profile.categories)
+    return items
+
+
+def _no_phases(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Process scores and KPI rows where no phase is loaded."""
+    phase = F.lit(None).cast("string")
+    kpis = _no_order(files.empty_frame(spark, files.KPI_SCHEMA))
+    return files.empty_frame(spark, files.PROCESS_SCHEMA).withColumn("phase", phase), kpis.withColumn("phase", phase)
+
+
 def _is_empty(raw: DataFrame) -> bool:
     # Asked of the raw scan, before any aggregate: one row of the first split is enough.
     return not raw.limit(1).collect()
