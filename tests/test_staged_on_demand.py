@@ -4,8 +4,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from trestle.operators import cleaning as C
 from trestle.sources import model as M
 from trestle.sources import staging, tpch
 
@@ -68,6 +70,30 @@ def test_numbering_shuffles_no_row_of_the_facts(spark, tables):
     assert "Exchange" not in merged
 
 
+def test_only_rows_that_share_a_hash_are_compared(spark, monkeypatch):
+    rows = [(1, "a", None), (1, "a", None), (1, None, "a"), (2, "b", "c"), (2, "b", "c"), (2, "b", "c"), (3, "x", "y")]
+    zeros = [(i, s, t, z) for i, s, t in rows for z in (0.0, -0.0)]
+    df = spark.createDataFrame(zeros, "i int, s string, t string, z double")
+    repeated = C.repeated_hashes(df)
+    exact = sorted(map(repr, df.dropDuplicates().withColumn("z", F.abs("z")).collect()))
+    found = C.distinct_rows(df, repeated)
+    assert sorted(map(repr, found.withColumn("z", F.abs("z")).collect())) == exact and len(exact) == 4
+    assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 2
+    # rows whose hashes collide are told apart: all hashes listed as repeated
+    every = df.select(F.xxhash64(*df.columns).alias(C._ROW_HASH)).distinct()
+    assert C.distinct_rows(df, every).count() == 4
+    monkeypatch.setattr(C, "MOST_REPEATED", 1)
+    assert "BroadcastHashJoin" not in C.distinct_rows(df, every)._jdf.queryExecution().executedPlan().toString()
+    assert C.distinct_rows(df, every).count() == 4
+
+
+def test_all_phase_kpis_shuffles_no_row_without_a_copy(spark, tables):
+    df = E.queries()["all_phase_kpis"](spark, tables())
+    assert {r.phase: r.n_rows for r in df.collect()} == {"bidding": 40, "construction": 20}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "LeftSemi" in plan
+
+
 def test_what_a_profile_changes_comes_as_late(spark):
     made = []
     model = M.Model(*[M.Later(lambda n=n: made.append(n)) for n in M.STAGED_TABLES], (), "event_id", ())
