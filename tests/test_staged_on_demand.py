@@ -54,6 +54,28 @@ def test_a_query_stages_only_what_it_reads(spark, tables):
     assert _staged(spark, base) == {"action_items", "kpis", "words", "states"}
 
 
+ITEMS, FACTS = {"action_items"}, {"kpis", "words"}
+READS = {
+    "action_item_counts": ITEMS,
+    "top_items_by_risk_per_phase": ITEMS,
+    "top_items_by_risk": ITEMS,
+    "top_items_by_weight": ITEMS,
+    "filter_action_items": ITEMS | FACTS | {"people"},
+    "parse_people": FACTS,
+    "portfolio_scoreboard": FACTS,
+    "project_meta_columns": FACTS,
+    "canonical_names": FACTS,
+    "kpi_display_name": FACTS,
+}
+
+
+@pytest.mark.parametrize("name", READS)
+def test_a_query_alone_stages_its_own_tables(spark, tables, name):
+    base = tables()
+    assert E.queries()[name](spark, base).collect()
+    assert _staged(spark, base) == READS[name]
+
+
 @pytest.mark.parametrize("shift", [0, 1 << 40])
 def test_rows_are_numbered_in_the_order_of_their_key(spark, tables, shift):
     base = tables(shift)
