@@ -54,6 +54,16 @@ def test_a_query_stages_only_what_it_reads(spark, tables):
     assert _staged(spark, base) == {"action_items", "kpis", "words", "states"}
 
 
+def test_csv_parts_rollup_writes_little_csv(spark, tables):
+    root = staging.staging_root(spark).removeprefix("file:")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    got = E.queries()["csv_parts_rollup"](spark, tables()).collect()
+    assert sum(r.n_rows for r in got) == 80
+    (made,) = [d for d in set(os.listdir(root)) - before if d.startswith("csv-")]
+    names = [f for _, _, found in os.walk(f"{root}/{made}") for f in found if f.startswith("part-")]
+    assert len(names) >= 9 and all(f.endswith(".csv.gz") for f in names)
+
+
 ITEMS, FACTS = {"action_items"}, {"kpis", "words"}
 READS = {
     "action_item_counts": ITEMS,
